@@ -135,9 +135,11 @@ def texts_to_ids(own: Codec, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def ids_to_bytes(own: Codec, ids: pa.Array) -> list[bytes]:
-    """The bytes of each list of ids; null: none."""
-    return [own.decode(x) if x else b"" for x in ids.to_pylist()]
+def id_lists(ids: pa.Array) -> Iterator[list[int]]:
+    """The ids of each row, a row at a time; null: none."""
+    values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+    for start, end, null in zip(offsets, offsets[1:], ids.is_null().to_pylist(), strict=False):
+        yield [] if null else values[start:end].tolist()
 
 
 @dataclass(frozen=True)
@@ -180,6 +182,6 @@ class ByteBpe:
         def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = codec(model.value, pattern)
             for ids in parts:
-                yield pa.array(ids_to_bytes(own, ids), pa.binary())
+                yield pa.array(map(own.decode, id_lists(ids)), pa.binary())
 
         return decode

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +23,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     import public_tokenizers
 
-    from .byte_bpe import ByteBpe, codec, ids_to_bytes
+    from .byte_bpe import ByteBpe, codec, id_lists
 
     bpe = ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,14 +35,44 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         decimal = list(map(str, range(len(own.tokens))))
         for ids in parts:
             n, of_ids, of_bytes = [], [], []
-            for row, decoded in zip(ids.to_pylist(), ids_to_bytes(own, ids), strict=True):
-                n.append(len(row or ()))
-                of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, row or ())).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(decoded).hexdigest())
+            for row in id_lists(ids):
+                n.append(len(row))
+                of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, row)).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(own.decode(row)).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return bpe.encode(docs).select("doc_id", digests("ids").alias("d")).select("doc_id", "d.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, in the order in which they are served."""
+    from .mixing import mix, n_words, served_order
+
+    sizes = saved(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    return served_order(mix(sizes)).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "finish")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's ids to shard files and reads them back."""
+    import zlib
+
+    import public_tokenizers
+    from pyspark.sql import Window
+
+    from .token_files import write_tokens
+
+    files = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+    @F.arrow_udf("long")
+    def crc32(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
+
+    read = files.read().select("key", "shard", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    read = saved(read, "token-digests")
+    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return read.join(before, "shard").select(F.col("key").alias("doc_id"), (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op4_mixing": op4_mixing, "op9_token_files": op9_token_files}
 ORACLES: dict[str, str] = {}
