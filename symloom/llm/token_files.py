@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .shared import file_at, saved, shared_dir
 
-#: White-space-separated chunks whose ids a worker remembers; beyond that it starts again.
-REMEMBERED = 400_000
+#: Lower-case words whose ids a worker remembers; beyond that it starts again.
+REMEMBERED = 300_000
 #: Characters of texts that are encoded at a time (a longer text alone).
-AT_ONCE = 1_000_000
+AT_ONCE = 2_000_000
 #: Bits per key at each level of the hash.
 LOAD = 2
 MANIFEST = "key long, shard int, file string, nth int"
@@ -96,7 +96,7 @@ class Encoder:
     end with a word-end piece, and which lower-cases.
 
     White space separates pre-tokens and is dropped, so a text's ids are those of its chunks
-    between spaces and line feeds. Ids of chunks and of their lower-case words are remembered."""
+    between spaces and line feeds. Ids of their lower-case words are remembered."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,7 +108,6 @@ class Encoder:
         suffix = json.loads(spec)["model"]["end_of_word_suffix"]
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self._ids_of: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
@@ -125,16 +124,16 @@ class Encoder:
                 self._words[word] = raw[start:end]
                 start = end
 
-    def _learn(self, chunks: list[str]) -> None:
-        words, pending = self._words, []
+    def _ids_of(self, chunks: set[str]) -> dict[str, bytes]:
+        words, pending, found = self._words, [], {}
         for c in chunks:
             m = SIMPLE(c)
             if m is None:
-                self._ids_of[c] = self._encode(c).tobytes()
+                found[c] = self._encode(c).tobytes()
                 continue
             letters, marks = m.groups()
             try:
-                self._ids_of[c] = words[letters.lower()] + words[marks]
+                found[c] = words[letters.lower()] + words[marks]
             except KeyError:
                 pending.append((c, letters.lower(), marks))
         new = {w for _, *pair in pending for w in pair}
@@ -142,15 +141,13 @@ class Encoder:
             self._words = words = {"": b""}
         self._learn_words([w for w in new if w not in words])
         for c, letters, marks in pending:
-            self._ids_of[c] = words[letters] + words[marks]
+            found[c] = words[letters] + words[marks]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*chunks)
-        if len(self._ids_of) + len(distinct) > REMEMBERED:
-            self._ids_of.clear()
-        self._learn([c for c in distinct if c not in self._ids_of])
-        return [b"".join(map(self._ids_of.__getitem__, x)) for x in chunks]
+        ids_of = self._ids_of(set().union(*chunks)).__getitem__
+        return [b"".join(map(ids_of, x)) for x in chunks]
 
     def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """In order, a part of the texts at a time."""
