@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document, by the base rule and rules learned from labels."""
+    from .quality_rules import apply_rules, labelled, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = learn(labelled(docs, table(spark, sf_dir, "labels"), "text", "doc_id", "quality"))
+    m = F.col("measures")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return apply_rules(docs, rules).select("doc_id", *[m[c].alias(c) for c in names], "base_failed", "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -74,5 +85,31 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(before, "shard").select(F.col("key").alias("doc_id"), (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op4_mixing": op4_mixing, "op9_token_files": op9_token_files}
-ORACLES: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a record for every page and reads the archives back."""
+    from .warc import write_archives
+
+    read = write_archives(table(spark, sf_dir, "pages")).read()
+    return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_mixing": op4_mixing,
+    "op9_token_files": op9_token_files,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op10_warc": ORACLE_OP10}
