@@ -30,6 +30,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, rules).select("doc_id", *[m[c].alias(c) for c in names], "base_failed", "kept")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's set of 5-word n-grams, and the component it is linked to."""
+    from .ngram_join import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -63,6 +70,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return served_order(mix(sizes)).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "finish")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found for every vector whose id is divisible by 100."""
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to shard files and reads them back."""
     import zlib
@@ -107,8 +122,10 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
+    "op5_neighbours": op5_neighbours,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
