@@ -78,6 +78,31 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a network that learns from the rows not held out."""
+    from .mil_classifier import fit, held_out, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    out = scored(docs, fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under a network trained on all of them."""
+    from .pseudo_lm import learn, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored(docs, learn(docs)).select("doc_id", "lm.*")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, linked by quotation, in reply order, without quotes."""
+    from .chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to shard files and reads them back."""
     import zlib
@@ -126,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_neighbours": op5_neighbours,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_pseudo_lm": op7_pseudo_lm,
+    "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
