@@ -17,7 +17,6 @@ shard, and a key that isn't there is recognised by its fingerprint.
 from __future__ import annotations
 
 import io
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -30,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import alphabet
 from .shared import file_at, saved, shared_dir
 
 #: Lower-case words whose ids a worker remembers; beyond that it starts again.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Characters of texts that are encoded at a time (a longer text alone).
-AT_ONCE = 2_000_000
+AT_ONCE = 1_500_000
 #: Bits per key at each level of the hash.
 LOAD = 2
 MANIFEST = "key long, shard int, file string, nth int"
@@ -105,24 +105,18 @@ class Encoder:
         self._tokenizer = Tokenizer.from_str(spec)
         vocabulary = self._tokenizer.get_vocab(True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 2**16 else "<u4")
-        suffix = json.loads(spec)["model"]["end_of_word_suffix"]
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._spelling = alphabet()
         self._words: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn_words(self, words: list[str]) -> None:
-        """Each word is one pre-token, so many are encoded as one text and cut at word ends."""
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = self._encode(" ".join(some))
-            ends = (np.flatnonzero(self._ends[ids]) + 1) * self.dtype.itemsize
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self._words[word] = raw[start:end]
-                start = end
+        """Each word is one pre-token in its final form, so the merges alone are run."""
+        tokenize, width = self._tokenizer.model.tokenize, self.dtype.itemsize
+        for word in words:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._spelling)
+            self._words[word] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(spelled)])
 
     def _ids_of(self, chunks: set[str]) -> dict[str, bytes]:
         words, pending, found = self._words, [], {}
