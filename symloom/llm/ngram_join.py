@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 #: Rounds in which lists have leaders, before what is left is joined in full.
-ROUNDS = 6
+ROUNDS = 3
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -99,18 +99,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words:
 
 
 def index_rows(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, block, uid, n): the leading shared tokens of each class that can have a partner."""
+    """(tok, block, uid, n, place): the leading shared tokens of each class that can have a partner."""
     missing = F.floor((100 - percent) * F.col("n") / 100)
     least = F.floor(F.ceil(percent * F.col("n") / 100) / 10) + 1
     tokens = classes.select("uid", F.explode("prefix").alias("tok"))
     shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).filter("df > 1")
     shared = saved(shared, "ngram-shared")
-    able = shared.groupBy("uid").agg(F.count("*").alias("s")).join(classes.select("uid", "n"), "uid").filter(F.col("s") >= least).select("uid", "n", (F.col("s") - least + 1).alias("lead"))
+    own = classes.select("uid", "n", F.size("prefix").alias("k"))
+    able = shared.groupBy("uid").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("w")).join(own, "uid").filter(F.col("s") >= least)
+    # The place in a list: first comes whose tokens are shared most, the centre of its copies.
+    able = able.select("uid", "n", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
     order = Window.partitionBy("uid").orderBy("df", "tok")
     leading = shared.join(able, "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
     # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9))
-    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n"), "ngram-index")
+    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "place"), "ngram-index")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -142,6 +145,34 @@ def fits(n: str, m: str, percent: int):
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
+def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the classes left (uid, c) that may link, of different components.
+
+    Tokens that no other class left has are counted (alone). They are in no intersection and
+    in every union, which bounds a pair's similarity; the rarest of the others are the index."""
+    missing = F.floor((100 - percent) * F.col("n") / 100)
+    rows = left.join(sets, "uid").select("uid", "c", F.size("set").cast("long").alias("n"), F.explode("set").alias("tok"))
+    n_left = None
+    while True:
+        # A class that loses its partners' tokens may lose its last possible partner, and so on.
+        rows = saved(rows.withColumn("df", F.count("*").over(Window.partitionBy("tok")).cast("int")), "ngram-rest")
+        alone = saved(rows.groupBy("uid").agg(F.count_if(F.col("df") == 1).alias("alone"), F.first("n").alias("n")).filter(F.col("alone") <= missing).select("uid", "alone"), "ngram-alone")
+        before, n_left = n_left, alone.count()
+        if n_left == 0 or (before is not None and n_left > 0.9 * before):
+            break
+        rows = rows.drop("df").join(alone.select("uid"), "uid", "left_semi")
+    order = Window.partitionBy("uid").orderBy("df", "tok")
+    index = rows.filter("df > 1").join(alone, "uid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= missing + 1 - F.col("alone"))
+    index = saved(index.select("tok", "uid", "c", "n", "alone", "rank"), "ngram-rest-index")
+    x, y = (index.select("tok", *[F.col(k).alias(k + i) for k in ("uid", "c", "n", "alone", "rank")]) for i in "xy")
+    together = F.least(F.col("nx") - F.col("alonex"), F.col("ny") - F.col("aloney"))
+    union = F.greatest(F.col("nx") + F.col("aloney"), F.col("ny") + F.col("alonex"))
+    # From this list's token on, no more tokens can be common than either set has left.
+    ahead = F.least(F.col("nx") - F.col("alonex") - F.col("rankx"), F.col("ny") - F.col("aloney") - F.col("ranky")) + 1
+    fit = (100 * together >= percent * union) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
+    return x.join(y, "tok").filter((F.col("uidx") < F.col("uidy")) & (F.col("cx") != F.col("cy")) & fit).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct()
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (size of its set) and component_id, the
     smallest doc_id that links reach, its own included.
@@ -161,18 +192,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     lists = Window.partitionBy("tok", "block")
     for _ in range(rounds):
         open_ = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi").drop("lo", "hi")
-        led = saved(open_.withColumn("first", F.min(F.struct("uid", "n", "c")).over(lists)), "ngram-led")
+        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "c")).over(lists)), "ngram-led")
         if led.isEmpty():
             index = None
             break
         pairs = led.filter((F.col("first.c") != F.col("c")) & fits("first.n", "n", percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
         labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
-        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n")
+        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "place")
     if index is not None:
         left = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi")
-        left = saved(left.select("tok", "block", "uid", "n", "c"), "ngram-left")
-        x, y = (left.select("tok", "block", F.col("uid").alias(i), F.col("n").alias("n" + i), F.col("c").alias("c" + i)) for i in "ab")
-        pairs = x.join(y, ["tok", "block"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb", percent)).select("a", "b").distinct()
+        left = saved(left.select("uid", "c").distinct(), "ngram-left")
+        pairs = saved(rest_pairs(left, sets, percent), "ngram-pairs")
         labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
     named = reps.join(labels, "uid", "left").withColumn("c", F.coalesce("c", "uid"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
