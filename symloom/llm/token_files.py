@@ -33,9 +33,9 @@ from .byte_bpe import alphabet
 from .shared import file_at, saved, shared_dir
 
 #: Lower-case words whose ids a worker remembers; beyond that it starts again.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Characters of texts that are encoded at a time (a longer text alone).
-AT_ONCE = 1_500_000
+AT_ONCE = 1_000_000
 #: Bits per key at each level of the hash.
 LOAD = 2
 MANIFEST = "key long, shard int, file string, nth int"
