@@ -72,14 +72,21 @@ class Network:
         small = lambda *s: rng.standard_normal(s).astype(np.float32)
         return cls(small(n, DIM) * 0.3, small(len(PLACES), DIM, DIM) / DIM**0.5 / len(PLACES) ** 0.5, np.concatenate([small(DIM, CLASSES) * 0.1, bias]).astype(np.float32))
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
+    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
+        """near: the embeddings at each place of the window."""
+        return np.tanh(sum(x @ w for x, w in zip(near, self.place, strict=True)))
+
+    def near(self, around: np.ndarray) -> list[np.ndarray]:
         """around: (positions, places) of ids."""
-        return np.tanh(sum(self.embed[around[:, k]] @ self.place[k] for k in range(len(PLACES))))
+        return [self.embed[around[:, k]] for k in range(len(PLACES))]
 
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
-        x = h @ self.out[:-1] + self.out[-1]
+    def exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the class activations, less their maximum, and the activation of target."""
+        x = h @ self.out[:-1]
+        x += self.out[-1]
         x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        own = x[np.arange(len(x)), target]
+        return np.exp(x, out=x), own
 
 
 def windows(docs: list[np.ndarray], pad: int) -> np.ndarray:
@@ -120,17 +127,20 @@ def trained(net: Network, docs: Iterator[np.ndarray], class_of: np.ndarray) -> t
     for target, around in batches(docs, len(net.embed) - 1):
         n = len(target)
         total += n
-        h = net.hidden(around)
-        d = np.exp(net.log_classes(h))
-        d[np.arange(n), class_of[target]] -= 1
-        d /= n
+        near = net.near(around)
+        h = net.hidden(near)
+        d, _ = net.exponentials(h, class_of[target])
+        d *= (1 / (n * d.sum(axis=1)))[:, None]
+        d[np.arange(n), class_of[target]] -= np.float32(1 / n)
         g_out = np.concatenate([h.T @ d, d.sum(axis=0)[None]])
         dh = (d @ net.out[:-1].T) * (1 - h * h)
-        g_place = np.stack([net.embed[around[:, k]].T @ dh for k in range(len(PLACES))])
-        flat = around.T.ravel()
-        g_rows = np.concatenate([dh @ net.place[k].T for k in range(len(PLACES))])
+        g_place = np.stack([x.T @ dh for x in near])
+        flat = around.T.ravel().astype(np.uint16)
+        g_rows = np.concatenate([dh @ w.T for w in net.place])
         order = np.argsort(flat, kind="stable")
-        rows, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows, count = ordered[first], np.diff([*first, len(ordered)])
         g = np.add.reduceat(g_rows[order], first, axis=0)
         uses[rows] += count
         for x, seen, grad in ((net.out, seen_out, g_out), (net.place, seen_place, g_place)):
@@ -150,8 +160,8 @@ class Model:
         """For each document the sum of the log probabilities of its words."""
         v, found = self.vocabulary, []
         for target, around in batches(iter(docs), len(self.network.embed) - 1):
-            logs = self.network.log_classes(self.network.hidden(around))
-            found.append(logs[np.arange(len(target)), v.class_of[target]] + v.log_share[target])
+            e, own = self.network.exponentials(self.network.hidden(self.network.near(around)), v.class_of[target])
+            found.append(own - np.log(e.sum(axis=1)) + v.log_share[target])
         if not found:
             return [0.0] * len(docs)
         upto = np.concatenate([[0.0], np.cumsum(np.concatenate(found), dtype=float)])
