@@ -54,7 +54,7 @@ UNION ALL SELECT s_suppkey, 0, 1, 'nope.h', TRUE, FALSE FROM {supplier} WHERE s_
     # Rules over files, commands, diagnostics and tracker ticks.
     "rules": "SELECT CAST(n_nationkey AS BIGINT) AS rule_ord, concat('**/', CASE WHEN n_nationkey % 3 = 0 THEN '*.cpp' WHEN n_nationkey % 3 = 1 THEN concat('f', n_nationkey % 10, '*') ELSE concat('brand', n_nationkey % 5 + 1, '?/*.h') END) AS pattern, concat('-D', n_name) AS append, CASE WHEN n_nationkey % 4 = 0 THEN '-DALGERIA' ELSE concat('-DX', n_nationkey) END AS remove FROM {nation}",
     "commands": "SELECT concat('/src/', lower(replace(p_brand,'#','')), '/f', p_partkey, '.cpp') AS file, concat('/build', p_size % 3) AS directory, concat('clang++ -g -O', p_size % 3, ' -I inc', p_size % 4, ' -I/abs -DA=', p_size % 2, ' -DALGERIA -Wall -c') AS command FROM {part}",
-    "diagnostics": "SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) AS seq, CASE WHEN l_quantity < 15 THEN 'note' WHEN l_quantity < 18 THEN 'ignored' WHEN l_quantity < 30 THEN 'warning' ELSE 'error' END AS severity, concat('code', CAST(l_quantity AS BIGINT) % 7) AS code, CAST(l_partkey % 4 AS BIGINT) AS node FROM {lineitem}",
+    "diagnostics": "SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS seq, CASE WHEN l_quantity < 15 THEN 'note' WHEN l_quantity < 18 THEN 'ignored' WHEN l_quantity < 30 THEN 'warning' ELSE 'error' END AS severity, concat('code', CAST(l_quantity AS BIGINT) % 7) AS code, CAST(l_partkey % 4 AS BIGINT) AS node FROM {lineitem}",
     "ticks": "SELECT o_custkey AS path, o_orderkey AS tick, o_orderpriority AS stamp, o_orderstatus <> 'P' AS there FROM {orders}",
 }
 
