@@ -99,21 +99,27 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words:
 
 
 def index_rows(classes: DataFrame, percent: int) -> DataFrame:
-    """(tok, block, uid, n, place): the leading shared tokens of each class that can have a partner."""
-    missing = F.floor((100 - percent) * F.col("n") / 100)
+    """(tok, block, uid, n, alone, place): the leading shared tokens of each class that can have a partner."""
     least = F.floor(F.ceil(percent * F.col("n") / 100) / 10) + 1
+    own = saved(classes.select("uid", "n", F.size("prefix").alias("k")), "ngram-sizes")
     tokens = classes.select("uid", F.explode("prefix").alias("tok"))
-    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).filter("df > 1")
-    shared = saved(shared, "ngram-shared")
-    own = classes.select("uid", "n", F.size("prefix").alias("k"))
-    able = shared.groupBy("uid").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("w")).join(own, "uid").filter(F.col("s") >= least)
+    df = F.count("*").over(Window.partitionBy("tok")).cast("int")
+    n_able = None
+    while True:
+        # Without a class that is out, its tokens may be no longer shared, and so on.
+        shared = saved(tokens.withColumn("df", df).filter("df > 1"), "ngram-shared")
+        able = saved(shared.groupBy("uid").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("w")).join(own, "uid").filter(F.col("s") >= least), "ngram-able")
+        before, n_able = n_able, able.count()
+        if n_able == 0 or (before is not None and n_able > 0.9 * before):
+            break
+        tokens = shared.drop("df").join(able.select("uid"), "uid", "left_semi")
     # The place in a list: first comes whose tokens are shared most, the centre of its copies.
-    able = able.select("uid", "n", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
+    able = able.select("uid", "n", (F.col("k") - F.col("s")).alias("alone"), (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
     order = Window.partitionBy("uid").orderBy("df", "tok")
     leading = shared.join(able, "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
     # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9))
-    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "place"), "ngram-index")
+    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "alone", "place"), "ngram-index")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -141,8 +147,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def fits(n: str, m: str, percent: int):
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+def may_link(n: str, alone: str, m: str, alone_m: str, percent: int):
+    """Whether sets of n and m tokens may link if `alone` of each are not in the other: those
+    are in no intersection and in every union."""
+    n, a, m, b = (F.col(x) for x in (n, alone, m, alone_m))
+    return 100 * F.least(n - a, m - b) >= percent * F.greatest(n + b, m + a)
 
 
 def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,11 +174,9 @@ def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     index = rows.filter("df > 1").join(alone, "uid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= missing + 1 - F.col("alone"))
     index = saved(index.select("tok", "uid", "c", "n", "alone", "rank"), "ngram-rest-index")
     x, y = (index.select("tok", *[F.col(k).alias(k + i) for k in ("uid", "c", "n", "alone", "rank")]) for i in "xy")
-    together = F.least(F.col("nx") - F.col("alonex"), F.col("ny") - F.col("aloney"))
-    union = F.greatest(F.col("nx") + F.col("aloney"), F.col("ny") + F.col("alonex"))
     # From this list's token on, no more tokens can be common than either set has left.
     ahead = F.least(F.col("nx") - F.col("alonex") - F.col("rankx"), F.col("ny") - F.col("aloney") - F.col("ranky")) + 1
-    fit = (100 * together >= percent * union) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
+    fit = may_link("nx", "alonex", "ny", "aloney", percent) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
     return x.join(y, "tok").filter((F.col("uidx") < F.col("uidy")) & (F.col("cx") != F.col("cy")) & fit).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct()
 
 
@@ -192,13 +199,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     lists = Window.partitionBy("tok", "block")
     for _ in range(rounds):
         open_ = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi").drop("lo", "hi")
-        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "c")).over(lists)), "ngram-led")
+        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "alone", "c")).over(lists)), "ngram-led")
         if led.isEmpty():
             index = None
             break
-        pairs = led.filter((F.col("first.c") != F.col("c")) & fits("first.n", "n", percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
+        pairs = led.filter((F.col("first.c") != F.col("c")) & may_link("first.n", "first.alone", "n", "alone", percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
         labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
-        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "place")
+        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "alone", "place")
     if index is not None:
         left = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi")
         left = saved(left.select("uid", "c").distinct(), "ngram-left")
