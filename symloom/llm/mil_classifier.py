@@ -115,7 +115,7 @@ def gradients(net: AttentionNet, x: np.ndarray, starts: np.ndarray, y: np.ndarra
     dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
     dcode = a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T
     dx = dcode * (1 - code * code)
-    return {"b": z.T @ d, "b0": d.sum(), "w": (t * s).T @ de, "V": code.T @ dt, "U": code.T @ ds, "W": x.T @ dx, "c": dx.sum(axis=0)}
+    return {"b": z.T @ d, "b0": d.sum(keepdims=True), "w": (t * s).T @ de, "V": code.T @ dt, "U": code.T @ ds, "W": x.T @ dx, "c": dx.sum(axis=0)}
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> AttentionNet:
@@ -124,11 +124,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Attentio
     everything = np.concatenate(bags) if bags else np.zeros((1, WIDTH), np.float32)
     mean, scale = everything.mean(axis=0), np.maximum(everything.std(axis=0), 1e-3)
     start = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0]))
-    net = AttentionNet(mean, scale, {"W": start(WIDTH, HIDDEN), "c": np.zeros(HIDDEN), "V": start(HIDDEN, GATE), "U": start(HIDDEN, GATE), "w": start(GATE), "b": start(HIDDEN), "b0": np.zeros(())})
+    net = AttentionNet(mean, scale, {"W": start(WIDTH, HIDDEN), "c": np.zeros(HIDDEN), "V": start(HIDDEN, GATE), "U": start(HIDDEN, GATE), "w": start(GATE), "b": start(HIDDEN), "b0": np.zeros(1)})
     good = labels.mean() if len(labels) else 0.5
-    if not 0 < good < 1:  # nothing to tell apart: a constant score
+    if not bags or not 0 < good < 1:  # nothing to tell apart: a constant score
         net.weights["b"][:] = 0
-        net.weights["b0"] = np.array(np.log((good + 0.01) / (1.01 - good)))
+        net.weights["b0"][:] = np.log((good + 0.01) / (1.01 - good))
         return net
     standard = [net.standard(b) for b in bags]
     weight = np.where(labels == 1, 0.5 / good, 0.5 / (1 - good))
