@@ -56,7 +56,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    rows = bpe.round_trip(docs.select("doc_id", "source", "text")).select("doc_id", "source", "text", "round_trip.*")
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decoded_ok"))
 
