@@ -250,3 +250,9 @@ def read_index(spark: SparkSession, path: str, name: str, generation: int | None
     if generation is None:
         generation = df.agg(F.max("generation")).first()[0]
     return df.filter(F.col("generation") == generation).drop("generation")
+
+
+def stats_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table's rows as JSON lines, below its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/report={name}")

@@ -235,3 +235,12 @@ def _(t):
     lists = t.x2.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("includes"))
     lists.join(names, "src", "left").write.json(path)
     return t.spark.read.schema("src long, module string, includes array<long>").json(path).select("src", "module", F.array_join(F.transform("includes", lambda x: x.cast("string")), " ").alias("includes"))
+
+
+@query("A12_stats_report", "SELECT 'kinds' AS report, kind AS name, count(*) AS n FROM {x14} GROUP BY kind UNION ALL SELECT 'edges', concat('c', config_id), count(*) FROM {x2} GROUP BY config_id")
+def _(t):
+    path = shared_folder(t.spark, "report")
+    kinds = i.kind_histogram(t.x14).select(F.col("kind").alias("name"), "n")
+    edges = t.x2.groupBy(F.concat(F.lit("c"), "config_id").alias("name")).agg(F.count("*").alias("n"))
+    i.stats_report({"kinds": kinds, "edges": edges}, path)
+    return t.spark.read.schema("name string, n long, report string").json(path).select("report", "name", "n")
