@@ -86,7 +86,9 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(uid, set) of wanted rows (uid, h1, h2)."""
     rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("h1"), F.hash(F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")).alias("h2"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = rows.join(wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"])
+    # A merge join at every size: what is wanted grows with the corpus. A row that repeats is
+    # dropped where the join has put it.
+    found = rows.join(wanted.hint("merge"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("uid", "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
