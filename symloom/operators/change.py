@@ -150,7 +150,27 @@ def hoist_header_diagnostics(diagnostics: DataFrame, tree: DataFrame) -> DataFra
     return diagnostics.join(moved.select("tu", "node", "up"), ["tu", "node"]).join(top, ["tu", "up"]).drop("up")
 
 
-def tag_diagnostics(diagnostics: DataFrame, deprecated: DataFrame, unused: DataFrame) -> DataFrame:
-    """diagnostics with tag: deprecated or unused by code (lists of codes), else null."""
-    tags = deprecated.select("code", F.lit("deprecated").alias("tag")).union(unused.select("code", F.lit("unused")))
-    return diagnostics.join(F.broadcast(tags.groupBy("code").agg(F.min("tag").alias("tag"))), "code", "left")
+#: Codes of deprecated and of unused code.
+DEPRECATED = """
+warn_access_decl_deprecated warn_atl_uuid_deprecated warn_deprecated warn_deprecated_altivec_src_compat
+warn_deprecated_comma_subscript warn_deprecated_copy warn_deprecated_copy_with_dtor
+warn_deprecated_copy_with_user_provided_copy warn_deprecated_copy_with_user_provided_dtor warn_deprecated_def
+warn_deprecated_increment_decrement_volatile warn_deprecated_message
+warn_deprecated_redundant_constexpr_static_def warn_deprecated_register warn_deprecated_simple_assign_volatile
+warn_deprecated_string_literal_conversion warn_deprecated_this_capture warn_deprecated_volatile_param
+warn_deprecated_volatile_return warn_deprecated_volatile_structured_binding warn_opencl_attr_deprecated_ignored
+warn_property_method_deprecated warn_vector_mode_deprecated
+""".split()
+UNUSED = """
+warn_opencl_attr_deprecated_ignored warn_pragma_attribute_unused warn_unused_but_set_parameter
+warn_unused_but_set_variable warn_unused_comparison warn_unused_const_variable warn_unused_exception_param
+warn_unused_function warn_unused_label warn_unused_lambda_capture warn_unused_local_typedef
+warn_unused_member_function warn_unused_parameter warn_unused_private_field
+warn_unused_property_backing_ivar warn_unused_template warn_unused_variable
+""".split()
+
+
+def tag_diagnostics(diagnostics: DataFrame, deprecated=DEPRECATED, unused=UNUSED) -> DataFrame:
+    """diagnostics with tag: deprecated or unused by code, else null; both: deprecated."""
+    tag = F.when(F.col("code").isin(*deprecated), "deprecated").when(F.col("code").isin(*unused), "unused")
+    return diagnostics.withColumn("tag", tag)

@@ -8,14 +8,24 @@ from pyspark.sql import types as T
 
 from symloom.functions.columns import glob_regex, suffix
 
-#: Flags by what they concern. Those of USER stay with the file; DISCARDED and
+#: Flags by what they concern (spelled out). Those of USER stay with the file; DISCARDED and
 #: CODEGEN ones don't belong to a compile's identity; PAIRED ones take the next argument when
 #: they stand alone.
 USER = ("-I", "-isystem", "-iquote", "-idirafter", "-D", "-U", "-include")
 DIRS = ("-I", "-isystem", "-iquote", "-idirafter")
-DISCARDED = ("-c", "-o", "-MD", "-MMD", "-MF", "-MT", "-MQ", "-MP", "-M", "-MM")
-CODEGEN = ("-g", "-gdwarf", "-gsplit-dwarf", "-fPIC", "-fpic", "-fPIE", "-pipe")
-PAIRED = ("-o", "-MF", "-MT", "-MQ", *USER)
+DISCARDED = ("--", "-main-file-name", "-c", "-o", "-emit-pch", "-include-pch", "-E", "-M", "-MM", "-MD", "-MMD", "-MF", "-MT", "-MQ", "-MG", "-MP")
+DISCARDED_PREFIXES = ("-fmodule-file", "-fmodule-output", "-fprebuilt-module-path", "--show-", "-show-")
+CODEGEN = (
+    "-fPIC", "-fno-PIC", "-fpic", "-fno-pic", "-fPIE", "-fno-PIE", "-fpie", "-fno-pie", "-fomit-frame-pointer", "-fno-omit-frame-pointer",
+    "-funwind-tables", "-fno-unwind-tables", "-fasynchronous-unwind-tables", "-fno-asynchronous-unwind-tables",
+    "-fstack-protector", "-fstack-protector-strong", "-fstack-protector-all", "-fno-stack-protector",
+    "-fdata-sections", "-fno-data-sections", "-ffunction-sections", "-fno-function-sections", "-flto", "-fno-lto",
+    "-fsemantic-interposition", "-fno-semantic-interposition", "-fvisibility-inlines-hidden",
+    "-fcolor-diagnostics", "-fno-color-diagnostics", "-ftrapping-math", "-fno-trapping-math", "-w",
+)
+#: Debug information, and options with a value.
+CODEGEN_PATTERN = "^(-g(dwarf.*|gdb.*|line.*|split.*|codeview.*|column.*|[0-3])?|-mframe-pointer=.*|-flto=.*)$"
+PAIRED = ("-o", "-MF", "-MT", "-MQ", "-main-file-name", "-include-pch", *USER)
 #: Suffixes of C-family files.
 C_FAMILY = (".c", ".cc", ".cpp", ".cxx", ".c++", ".C", ".h", ".hh", ".hpp", ".hxx", ".ixx", ".cppm", ".mpp", ".cu", ".m", ".mm")
 
@@ -54,7 +64,7 @@ def classify_flags(entries: DataFrame, key: str = "file") -> DataFrame:
     c = F.col
     pch = ((c("arg") == "-Xclang") & c("next").isin("-include-pch")) | ((c("arg") == "-include-pch") & (c("prev") == "-Xclang")) | ((c("arg") == "-Xclang") & (c("prev") == "-include-pch")) | ((c("prev") == "-Xclang") & (c("prev2") == "-include-pch") & (c("prev3") == "-Xclang"))
     value = F.coalesce(c("prev").isin(*PAIRED), F.lit(False))
-    drop = F.coalesce(pch, F.lit(False)) | (c("pos") == 0) | c("arg").isin(*DISCARDED, *CODEGEN) | c("arg").rlike("^-g(dwarf.*|gdb.*|[0-3])?$") | (value & c("prev").isin(*DISCARDED)) | (absolute(c("arg"), c("directory")) == c("file"))
+    drop = F.coalesce(pch, F.lit(False)) | (c("pos") == 0) | c("arg").isin(*DISCARDED, *CODEGEN) | c("arg").rlike(CODEGEN_PATTERN) | c("arg").rlike("^(" + "|".join(DISCARDED_PREFIXES) + ")") | (value & c("prev").isin(*DISCARDED)) | (absolute(c("arg"), c("directory")) == c("file"))
     joined = F.lit(None).cast("string")
     flag = F.lit(None).cast("string")
     for f in USER:
@@ -126,8 +136,8 @@ def effective_command(files: DataFrame, entries: DataFrame, matched: DataFrame)
     """(path, args): each entry's arguments without what rules remove (`flag*` removes every
     value) and with what they append; files without an entry get a default by their suffix."""
     base = files.select("path").distinct().join(entries.select(F.col("file").alias("path"), "args"), "path", "left").join(matched, "path", "left")
-    language = F.when(suffix(F.col("path")) == ".c", "c").otherwise("c++")
-    default = F.array(F.lit("clang"), F.lit("-x"), language, F.col("path"))
+    plus = F.array(F.lit("clang++"), F.lit("-std=c++20"))
+    default = F.when(suffix(F.col("path")).isin(".cpp", ".hpp", ".cc"), plus).otherwise(F.array(F.lit("clang")))
     gone = F.coalesce(removed(F.col("rules")), F.array().cast("array<string>"))
     hit = lambda a: F.exists(gone, lambda r: (a == r) | (r.endswith("*") & F.startswith(a, F.regexp_replace(r, r"\*$", ""))))
     kept = F.filter(F.coalesce("args", default), lambda a: ~hit(a))

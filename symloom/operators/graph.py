@@ -188,7 +188,7 @@ def orphaned_choices(choices: DataFrame, reach: DataFrame, counts: DataFrame, ha
 
 
 #: Errors that mean that a header can't stand alone.
-CONTEXT_CODES = ("err_typename_requires_specqual", "err_undeclared_var_use", "err_unknown_typename", "err_no_template")
+CONTEXT_CODES = ("err_unknown_typename", "err_undeclared_var_use", "err_undeclared_var_use_suggest", "err_pp_unterminated_conditional")
 
 
 def header_mode(diagnostics: DataFrame, codes=CONTEXT_CODES) -> DataFrame:

@@ -138,5 +138,4 @@ def _(t):
 
 @query("H20_tag_diagnostics", "SELECT file_id, seq, code, CASE WHEN code = 'code1' THEN 'deprecated' WHEN code IN ('code2', 'code3') THEN 'unused' END AS tag FROM {diagnostics}")
 def _(t):
-    codes = t.diagnostics.select("code").distinct()
-    return c.tag_diagnostics(t.diagnostics, codes.filter("code = 'code1'"), codes.filter("code in ('code2', 'code3')")).select("file_id", "seq", "code", "tag")
+    return c.tag_diagnostics(t.diagnostics, ["code1"], ["code2", "code3"]).select("file_id", "seq", "code", "tag")

@@ -92,7 +92,7 @@ def _(t):
 
 
 @query("B9_effective_command", f"""WITH {HITS}, m AS (SELECT path, list(remove) AS gone, string_agg(append, ' ' ORDER BY rule_ord) FILTER (later = 0) AS more FROM (SELECT a.*, (SELECT count(*) FROM hits h WHERE h.path = a.path AND h.rule_ord > a.rule_ord AND h.remove = a.append) AS later FROM hits a) z GROUP BY path)
-SELECT path, concat_ws(' ', array_to_string(list_filter(CASE WHEN command IS NULL THEN ['clang', '-x', 'c++', path] ELSE str_split(command, ' ') END, lambda x: NOT list_contains(coalesce(gone, []), x)), ' '), more) AS args FROM {{x1}} LEFT JOIN {{commands}} ON file = path LEFT JOIN m USING (path)""")
+SELECT path, concat_ws(' ', array_to_string(list_filter(CASE WHEN command IS NULL AND (path LIKE '%.cpp' OR path LIKE '%.hpp' OR path LIKE '%.cc') THEN ['clang++', '-std=c++20'] WHEN command IS NULL THEN ['clang'] ELSE str_split(command, ' ') END, lambda x: NOT list_contains(coalesce(gone, []), x)), ' '), more) AS args FROM {{x1}} LEFT JOIN {{commands}} ON file = path LEFT JOIN m USING (path)""")
 def _(t):
     return c.effective_command(t.x1, entries(t), c.match_rules(t.x1, t.rules)).select("path", F.array_join("args", " ").alias("args"))
 
