@@ -20,7 +20,7 @@ def perf_events(lines: DataFrame, line: str = "value", file: str = "file") -> Da
     values = F.regexp_extract_all("rest", F.lit(PAIRS), F.lit(2))
     last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
     lanes = found.select("file").distinct().withColumn("pid", F.row_number().over(Window.orderBy("file")))
-    return found.join(F.broadcast(lanes), "file").select("file", "topic", "ts", "pid", F.when(F.col("thread") == "", 1).otherwise(F.col("thread").cast("long")).alias("tid"), F.map_from_entries(last).alias("values"))
+    return found.join(lanes, "file").select("file", "topic", "ts", "pid", F.when(F.col("thread") == "", 1).otherwise(F.col("thread").cast("long")).alias("tid"), F.map_from_entries(last).alias("values"))
 
 
 def read_perf_log(spark: SparkSession, path: str) -> DataFrame:
