@@ -178,7 +178,10 @@ def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = (index.select("tok", *[F.col(k).alias(k + i) for k in ("uid", "c", "n", "alone", "rank")]) for i in "xy")
     # From this list's token on, no more tokens can be common than either set has left.
     ahead = F.least(F.col("nx") - F.col("alonex") - F.col("rankx"), F.col("ny") - F.col("aloney") - F.col("ranky")) + 1
-    fit = may_link("nx", "alonex", "ny", "aloney", percent) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
+    # A common token lies among the first of the smaller set that a set as large must share.
+    short = lambda i: (100 + percent) * (F.col("rank" + i) + F.col("alone" + i) - 1) <= (100 - percent) * F.col("n" + i)
+    early = ((F.col("nx") <= F.col("ny")) & short("x")) | ((F.col("ny") <= F.col("nx")) & short("y"))
+    fit = early & may_link("nx", "alonex", "ny", "aloney", percent) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
     return x.join(y, "tok").filter((F.col("uidx") < F.col("uidy")) & (F.col("cx") != F.col("cy")) & fit).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct()
 
 
