@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved
@@ -101,9 +101,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words:
 
 
 def index_rows(classes: DataFrame, percent: int) -> DataFrame:
-    """(tok, block, uid, n, alone, place): the leading shared tokens of each class that can have a partner."""
+    """(tok, block, uid, n, alone, last, place): the leading shared tokens of each class that can
+    have a partner. No other prefix holds `alone` of its prefix's tokens, and `last` is the
+    largest hash up to which its prefix is its set."""
     least = F.floor(F.ceil(percent * F.col("n") / 100) / 10) + 1
-    own = saved(classes.select("uid", "n", F.size("prefix").alias("k")), "ngram-sizes")
+    last = F.when(F.size("prefix") < F.col("n"), F.element_at("prefix", -1)).otherwise(F.lit(2**63 - 1))
+    own = saved(classes.select("uid", "n", F.size("prefix").alias("k"), last.alias("last")), "ngram-sizes")
     tokens = classes.select("uid", F.explode("prefix").alias("tok"))
     df = F.count("*").over(Window.partitionBy("tok")).cast("int")
     n_able = None
@@ -116,12 +119,12 @@ def index_rows(classes: DataFrame, percent: int) -> DataFrame:
             break
         tokens = shared.drop("df").join(able.select("uid"), "uid", "left_semi")
     # The place in a list: first comes whose tokens are shared most, the centre of its copies.
-    able = able.select("uid", "n", (F.col("k") - F.col("s")).alias("alone"), (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
+    able = able.select("uid", "n", (F.col("k") - F.col("s")).alias("alone"), "last", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
     order = Window.partitionBy("uid").orderBy("df", "tok")
     leading = shared.join(able, "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
     # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9))
-    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "alone", "place"), "ngram-index")
+    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "alone", "last", "place"), "ngram-index")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -149,13 +152,21 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def may_link(n: str, alone: str, m: str, alone_m: str, percent: int):
-    """Whether sets of n and m tokens may link if `alone` of each are not in the other: those
+def may_link(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens may link if a and b of them are not in the other: those
     are in no intersection and in every union."""
-    n, a, m, b = (F.col(x) for x in (n, alone, m, alone_m))
     return 100 * F.least(n - a, m - b) >= percent * F.greatest(n + b, m + a)
 
 
+def may_link_leader(percent: int) -> Column:
+    """Whether a list's first may link with a member. A token that no other prefix holds may lie
+    in the partner beyond the partner's prefix, if that ends at a smaller hash; so only what is
+    alone in the prefix that ends first counts."""
+    first, own = ([F.col(i + x) for x in ("n", "alone", "last")] for i in ("first.", ""))
+    (n, a, x), (m, b, y) = first, own
+    return may_link(n, F.when(x <= y, a).otherwise(0), m, F.when(y <= x, b).otherwise(0), percent)
+
+
 def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the classes left (uid, c) that may link, of different components.
 
@@ -181,7 +192,7 @@ def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # A common token lies among the first of the smaller set that a set as large must share.
     short = lambda i: (100 + percent) * (F.col("rank" + i) + F.col("alone" + i) - 1) <= (100 - percent) * F.col("n" + i)
     early = ((F.col("nx") <= F.col("ny")) & short("x")) | ((F.col("ny") <= F.col("nx")) & short("y"))
-    fit = early & may_link("nx", "alonex", "ny", "aloney", percent) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
+    fit = early & may_link(F.col("nx"), F.col("alonex"), F.col("ny"), F.col("aloney"), percent) & ((100 + percent) * ahead >= percent * (F.col("nx") + F.col("ny")))
     return x.join(y, "tok").filter((F.col("uidx") < F.col("uidy")) & (F.col("cx") != F.col("cy")) & fit).select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct()
 
 
@@ -204,13 +215,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     lists = Window.partitionBy("tok", "block")
     for _ in range(rounds):
         open_ = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi").drop("lo", "hi")
-        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "alone", "c")).over(lists)), "ngram-led")
+        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "alone", "last", "c")).over(lists)), "ngram-led")
         if led.isEmpty():
             index = None
             break
-        pairs = led.filter((F.col("first.c") != F.col("c")) & may_link("first.n", "first.alone", "n", "alone", percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
+        pairs = led.filter((F.col("first.c") != F.col("c")) & may_link_leader(percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
         labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
-        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "alone", "place")
+        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "alone", "last", "place")
     if index is not None:
         left = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi")
         left = saved(left.select("uid", "c").distinct(), "ngram-left")

@@ -58,6 +58,22 @@ def test_components_match_brute_force(spark, rounds):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_pairs_of_unequal_sizes(spark, rounds):
+    """A text and itself with up to a fifth of its words cut off or put in, at either end or inside."""
+    rng, rows = random.Random(5), []
+    for n in [*range(5, 41), *range(45, 501, 35)]:
+        for change in sorted({1, max(1, n // 12), n // 5}):
+            for where in ("cut", "in", "head", "off"):
+                base = [f"{len(rows)}w{k}" for k in range(n)]
+                at = {"cut": n, "off": 0, "head": 0}.get(where, rng.randrange(n))
+                more = [f"{len(rows)}x{k}" for k in range(change)]
+                other = base[: n - change] if where == "cut" else base[change:] if where == "off" else base[:at] + more + base[at:]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in components(docs_table(spark, [(k, t, "s") for k, t in rows]), rounds=rounds).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert components(docs_table(spark, ODD).limit(0)).count() == 0
 
