@@ -11,9 +11,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+#: Rows that a batch fold holds at a time.
+ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -23,17 +29,30 @@ class Fold:
     step: Callable[[dict, dict], list[dict]]
 
 
-def run_batch(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
-    """The outputs over a table. A key's events are one group, in order of seq."""
+def folded(parts: Iterator[pa.RecordBatch], key: str, fold: Fold, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The outputs over rows in order of key and sequence, in batches, with the state of one key
+    at a time; a key may go on over any number of batches. As in pandas, a null number is NaN."""
+    now, state = object(), {}
+    for part in parts:
+        for lo in range(0, part.num_rows, ROWS):
+            some, out = part.slice(lo, ROWS), []
+            keys = some.column(key).to_pylist()
+            numeric = [f.name for f in some.schema if pa.types.is_integer(f.type) or pa.types.is_floating(f.type)]
+            for k, row in zip(keys, some.to_pylist(), strict=True):
+                row.update({c: float("nan") for c in numeric if row[c] is None})
+                if k != now and not (k != k and now != now):
+                    now, state = k, fold.start()
+                out += fold.step(state, row)
+            columns = [[None if r[c] != r[c] else r[c] for r in out] for c in schema.names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = fold.start(), []
-        for row in pdf.sort_values(seq, kind="stable").to_dict("records"):
-            out += fold.step(state, row)
-        return pd.DataFrame(out, columns=names)
 
-    names = [x.split()[0] for x in fold.schema.split(", ")]
-    return rows.groupBy(key).applyInPandas(apply, fold.schema)
+def run_batch(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
+    """The outputs over a table. A key's events are folded in order of seq as they come from a
+    sorted partition, so that a hot key needs no more memory than others."""
+    schema = to_arrow_schema(StructType.fromDDL(fold.schema))
+    ordered = rows.repartition(key).sortWithinPartitions(key, F.col(seq).asc_nulls_last())
+    return ordered.mapInArrow(lambda parts: folded(parts, key, fold, schema), fold.schema)
 
 
 def run_stream(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:

@@ -1,5 +1,8 @@
 """Folds: literal histories, and the same outputs from a stream as from a batch."""
 
+from itertools import islice
+
+import pyarrow as pa
 import pytest
 
 from symloom.operators.change import debounce, rate_limit
@@ -74,6 +77,32 @@ def test_stream_equals_batch(spark, tmp_path, case):
     assert sorted(map(tuple, folds.run_batch(spark.createDataFrame(rows, schema), *args).collect()), key=str) == want
 
 
+def test_outputs_come_before_a_key_ends():
+    def endless():
+        seq = 0
+        while True:
+            yield pa.RecordBatch.from_pydict({"id": ["hot"] * 5, "seq": list(range(seq, seq + 5))})
+            seq += 5
+
+    schema = pa.schema([("seq", pa.int64()), ("id", pa.string()), ("action", pa.string())])
+    got = [r["action"] for part in islice(folds.folded(endless(), "id", folds.RATE_LIMIT, schema), 3) for r in part.to_pylist()]
+    assert got == ["pass"] * 8 + ["suppressed"]
+
+
+def test_a_hot_key_is_no_group(spark):
+    rows = [(1 if k % 3 else k, k, "crash" if k % 5 else "land", float(k)) for k in range(5000)] + [(None, k, "crash", 0.0) for k in range(3)]
+    table = spark.createDataFrame(rows, "doc long, seq long, kind string, at double").repartition(7)
+    out = folds.run_batch(table, "doc", "seq", folds.CRASH_BUDGET)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for doc in {r[0] for r in rows}:
+        state = folds.CRASH_BUDGET.start()
+        for r in sorted(r for r in rows if r[0] == doc):
+            want += folds.CRASH_BUDGET.step(state, dict(zip(("doc", "seq", "kind", "at"), r, strict=True)))
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted((tuple(r.values()) for r in want), key=key)
+
+
 def test_windowed_rates(spark, tmp_path):
     from datetime import datetime
 
