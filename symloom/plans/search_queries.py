@@ -153,6 +153,48 @@ def _(t):
     return s.hierarchy(t.x4.filter("symbol_id % 10 = 0").select("symbol_id").distinct(), rel(t), "Caller", "Callee")
 
 
+# The same over all of x4, x14 and documents. The SQL above holds a part of the rows, so these
+# have none.
+@query("G1_symbol_at_whole")
+def _(t):
+    return s.symbol_at(t.x4.select("file_id", (F.col("begin_off") + F.floor(F.col("len") / 2)).alias("offset")), occ(t))
+
+
+@query("G2_relations_of_whole")
+def _(t):
+    return s.relations_of(t.x4, rel(t), "Reference").select("symbol_id", "file_id", "begin")
+
+
+@query("G4_relation_locations_whole")
+def _(t):
+    return s.relation_locations(t.x4, rel(t), "Callee")
+
+
+@query("G7_type_definition_whole")
+def _(t):
+    return s.type_definition(t.x4, renamed(t, "TypeDefinition"))
+
+
+@query("G9_references_whole")
+def _(t):
+    return s.references(t.x4, rel(t))
+
+
+@query("G10_references_with_context_whole")
+def _(t):
+    return s.references_with_context(t.x4, rel(t), docs(t), definitions=True)
+
+
+@query("G17_hierarchy_whole")
+def _(t):
+    return s.hierarchy(t.x4.select("symbol_id").distinct(), rel(t), "Caller", "Callee")
+
+
+@query("G22_document_symbols_whole")
+def _(t):
+    return s.document_symbols(t.documents.select(F.col("doc_id").alias("file_id")), symbols(t), rel(t), docs(t))
+
+
 def asked(t):
     return t.nation.select(F.substring(F.lower("n_name"), 1, 2).alias("query")).union(t.region.select(F.lit("the"))).distinct()
 

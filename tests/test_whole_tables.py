@@ -1,0 +1,32 @@
+"""Queries over whole tables, against the registered SQL of their parts without its filters."""
+
+import pytest
+
+from symloom.plans import ORACLES, QUERIES
+
+from .test_oracles import SF, db, rows  # noqa: F401
+
+#: Query -> what its SQL has to pick a part of the rows, and what stands for it here.
+FILTERS = {
+    "G1_symbol_at": {" WHERE tok % 5 = 0": ""},
+    "G2_relations_of": {" AND symbol_id % 3 = 0": ""},
+    "G4_relation_locations": {" AND symbol_id % 2 = 0": ""},
+    "G7_type_definition": {" AND c.symbol_id % 5 = 0": ""},
+    "G9_references": {" AND symbol_id % 7 = 0": ""},
+    "G10_references_with_context": {" WHERE symbol_id % 7 = 0": ""},
+    "G17_hierarchy": {" AND symbol_id % 10 = 0": ""},
+    "G22_document_symbols": {" AND def.file_id % 3 = 0": ""},
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_whole_tables(spark, db, name):  # noqa: F811
+    sql = ORACLES[name]
+    for old, new in FILTERS[name].items():
+        assert old in sql
+        sql = sql.replace(old, new)
+    got, want = QUERIES[f"{name}_whole"](spark, SF).toPandas(), db.execute(sql).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert len(want) > len(db.execute(ORACLES[name]).df())
+    assert rows(got, columns) == rows(want, columns)
