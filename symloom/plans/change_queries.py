@@ -62,8 +62,18 @@ UNION SELECT 'reindex', file_id FROM ev WHERE kind = 'changed' AND file_id NOT I
 UNION SELECT CASE WHEN node IN (SELECT f FROM opened) THEN 'recompile' ELSE 'reindex' END, node FROM up WHERE node <> root AND node IN (SELECT src FROM top)
 UNION SELECT 'drop_context', src FROM {{x2}} WHERE dst IN (SELECT file_id FROM moved) UNION SELECT 'rebuild_module', node FROM up""")
 def _(t):
+    return invalidated(t, t.events.filter("event_id % 11 = 0"), F.lit(150))
+
+
+# All events, spread over all of part. The SQL above holds a part of the rows, so this has none.
+@query("H7_invalidate_whole")
+def _(t):
+    return invalidated(t, t.events.crossJoin(F.broadcast(t.part.agg(F.count("*").alias("parts")))), F.col("parts"))
+
+
+def invalidated(t, events, files):
     kind = F.when(F.col("event_type") == "click", "changed").when(F.col("event_type") == "view", "saved").when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "opened").otherwise("closed")
-    events = t.events.filter("event_id % 11 = 0").select(kind.alias("kind"), (1 + F.col("event_id") % 150).alias("file_id"))
+    events = events.select(kind.alias("kind"), (1 + F.col("event_id") % files).alias("file_id"))
     chains = t.x2.select(F.col("src").alias("header"), F.col("dst").alias("node"))
     return c.invalidate(events, t.x2, chains, t.x2, t.part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("file_id")))
 

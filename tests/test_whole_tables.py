@@ -16,6 +16,7 @@ FILTERS = {
     "G10_references_with_context": {" WHERE symbol_id % 7 = 0": ""},
     "G17_hierarchy": {" AND symbol_id % 10 = 0": ""},
     "G22_document_symbols": {" AND def.file_id % 3 = 0": ""},
+    "H7_invalidate": {"event_id % 150": "event_id % (SELECT count(*) FROM part)", " WHERE event_id % 11 = 0": ""},
 }
 
 
