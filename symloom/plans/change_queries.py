@@ -53,6 +53,17 @@ def _(t):
     return c.stale_tus(t.documents.select(F.col("source").alias("tu")), deps(t).filter("mtime_ns % 9 = 1").withColumnRenamed("artifact", "tu"), t.x9b)
 
 
+# The same over every dependency. The SQL above holds a part of the rows, so these have none.
+@query("H3_deps_changed_whole")
+def _(t):
+    return c.deps_changed(deps(t), t.x9b)
+
+
+@query("H6_stale_tus_whole")
+def _(t):
+    return c.stale_tus(t.documents.select(F.col("source").alias("tu")), deps(t).withColumnRenamed("artifact", "tu"), t.x9b)
+
+
 EVENTS = "ev AS (SELECT CASE event_type WHEN 'click' THEN 'changed' WHEN 'view' THEN 'saved' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'opened' ELSE 'closed' END AS kind, 1 + event_id % 150 AS file_id FROM {events} WHERE event_id % 11 = 0), moved AS (SELECT DISTINCT file_id FROM ev WHERE kind IN ('changed', 'saved', 'removed')), opened AS (SELECT p_partkey AS f FROM {part} WHERE p_partkey % 4 = 0)"
 
 

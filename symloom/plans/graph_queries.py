@@ -125,6 +125,13 @@ def _(t):
     return g.chain_dependents(chains, t.x1.filter("file_id % 10 = 0"))
 
 
+# The same for every file. The SQL above holds a part of the rows, so this has none.
+@query("E18_chain_dependents_whole")
+def _(t):
+    chains = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), t.x2).select(F.col("root").alias("header"), "node")
+    return g.chain_dependents(chains, t.x1)
+
+
 @query("E19_orphaned_choices", """WITH RECURSIVE c AS (SELECT dst AS file_id, src AS host, ord AS occurrence, src % 5 AS hash FROM {x2}),
 kept AS (SELECT src, dst FROM {x2} WHERE src % 3 <> 0), down(root, node) AS (SELECT host, host FROM c UNION SELECT root, dst FROM down JOIN kept ON src = node),
 n AS (SELECT src AS host, dst AS file_id, count(*) AS n FROM {x2} GROUP BY src, dst),
