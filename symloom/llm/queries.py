@@ -105,8 +105,6 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to shard files and reads them back."""
-    import zlib
-
     import public_tokenizers
     from pyspark.sql import Window
 
@@ -114,11 +112,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
-    @F.arrow_udf("long")
-    def crc32(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
-
-    read = files.read().select("key", "shard", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+    read = files.read().select("key", "shard", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     read = saved(read, "token-digests")
     totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

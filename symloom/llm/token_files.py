@@ -17,14 +17,17 @@ shard, and a key that isn't there is recognised by its fingerprint.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 from .byte_bpe import alphabet
 from .shared import file_at, saved, shared_dir
 
-#: Lower-case words whose ids a worker remembers; beyond that it starts again.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers; beyond that it keeps those of the texts in hand.
+REMEMBERED = 150_000
 #: Characters of texts that are encoded at a time (a longer text alone).
-AT_ONCE = 1_000_000
+AT_ONCE = 2_000_000
+#: Rows, and bytes of ids, after which a task begins another shard.
+SHARD_ROWS, SHARD_BYTES = 500_000, 1 << 29
 #: Bits per key at each level of the hash.
 LOAD = 2
-MANIFEST = "key long, shard int, file string, nth int"
+MANIFEST = "key long, shard long, file string, nth int"
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -88,60 +93,88 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 #: A chunk of letters and then marks whose letters make one pre-token and whose marks make
 #: another, and which normalisation only puts in lower case.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: The rules of a tokenizers file under which chunks between spaces can be encoded
+#: alone, and simple chunks by the merges of their letters and marks.
+BY_CHUNKS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def by_chunks(spec: dict) -> bool:
+    """Whether BY_CHUNKS are the rules of a tokenizers file, and no added token lies in a simple
+    chunk or across chunks. (What is added and isn't simple lies in no simple chunk.)"""
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+    apart = all(t and not re.search(r"[ \n]", t) and not re.match(SIMPLE, t) for t in added)
+    return spec["model"].get("type") == "BPE" and apart and all(spec.get(k) == v for k, v in BY_CHUNKS.items())
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file whose pre-tokens never hold white space and
-    end with a word-end piece, and which lower-cases.
+    """Ids of whole texts by a tokenizers file.
 
-    White space separates pre-tokens and is dropped, so a text's ids are those of its chunks
-    between spaces and line feeds. Ids of their lower-case words are remembered."""
+    Where its rules are BY_CHUNKS, white space separates pre-tokens and is dropped, so a text's
+    ids are those of its chunks between spaces and line feeds. Each distinct chunk of the texts
+    in hand is looked up once, and ids of its words are remembered. By other rules each text is
+    encoded as a whole."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(spec)
+        self._by_chunks = by_chunks(json.loads(spec))
         vocabulary = self._tokenizer.get_vocab(True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 2**16 else "<u4")
         self._spelling = alphabet()
-        self._words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Each word is one pre-token in its final form, so the merges alone are run."""
-        tokenize, width = self._tokenizer.model.tokenize, self.dtype.itemsize
-        for word in words:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._spelling)
-            self._words[word] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(spelled)])
-
-    def _ids_of(self, chunks: set[str]) -> dict[str, bytes]:
-        words, pending, found = self._words, [], {}
-        for c in chunks:
-            m = SIMPLE(c)
-            if m is None:
-                found[c] = self._encode(c).tobytes()
-                continue
-            letters, marks = m.groups()
-            try:
-                found[c] = words[letters.lower()] + words[marks]
-            except KeyError:
-                pending.append((c, letters.lower(), marks))
-        new = {w for _, *pair in pending for w in pair}
-        if len(words) + len(new) > REMEMBERED:
-            self._words = words = {"": b""}
-        self._learn_words([w for w in new if w not in words])
-        for c, letters, marks in pending:
-            found[c] = words[letters] + words[marks]
-        return found
+        self._words: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word is one pre-token in its final form, so the merges alone are run."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._spelling)
+        return b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in self._tokenizer.model.tokenize(spelled)])
+
+    def _lists(self, ids: list[bytes]) -> pa.ListArray:
+        width = self.dtype.itemsize
+        ends = np.cumsum([0, *(len(x) // width for x in ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+
+    def _chunk_ids(self, chunks: pa.StringArray) -> pa.ListArray:
+        """The ids of each of distinct chunks: those of its letters, then those of its marks."""
+        simple = pc.extract_regex(chunks, SIMPLE)
+        odd = pc.is_null(simple)
+        letters, marks = (pc.fill_null(pc.struct_field(simple, k), "") for k in ("letters", "marks"))
+        words = pa.concat_arrays([pc.utf8_lower(letters), marks]).dictionary_encode()
+        known = self._words
+        found = {w: known.get(w) for w in words.dictionary.to_pylist()}
+        new = [w for w, ids in found.items() if ids is None]
+        found.update({w: self._word(w) for w in new})
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = found
+        known.update({w: found[w] for w in new})
+        others = [self._encode(c) for c in chunks.filter(odd).to_pylist()]
+        table = self._lists([*found.values(), *others])
+        at = words.indices.to_numpy().reshape(2, -1).copy()
+        at[0, odd.to_numpy(zero_copy_only=False)] = len(found) + np.arange(len(others))
+        both = table.take(pa.array(at.T.ravel()))
+        return pa.ListArray.from_arrays(both.offsets.take(pa.array(np.arange(0, len(both) + 1, 2))), both.values)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        ids_of = self._ids_of(set().union(*chunks)).__getitem__
-        return [b"".join(map(ids_of, x)) for x in chunks]
+        if not self._by_chunks:
+            return [self._encode(t) for t in texts]
+        chunks = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        ids = self._chunk_ids(coded.dictionary).take(coded.indices)
+        cuts = ids.offsets.to_numpy()[chunks.offsets.to_numpy()].tolist()
+        values = ids.values.to_numpy()
+        return [values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """In order, a part of the texts at a time."""
@@ -252,14 +285,14 @@ class TokenFiles:
                         got = [shard.ids(int(r)) for r in (first + nth)[lo : lo + 500]]
                         k = slice(a + lo, a + lo + len(got))
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(rows["key"][k], pa.int64()), pa.array(rows["shard"][k], pa.int32()),
+                            pa.array(rows["key"][k], pa.int64()), pa.array(rows["shard"][k], pa.int64()),
                             pa.array(shard.at[(first + nth)[lo : lo + 500]], pa.int64()), pa.array([len(x) for x in got], pa.int64()),
                             pa.array([x.astype("<u4").tobytes() for x in got], pa.binary()),
                         ], names=["key", "shard", "start", "n_tokens", "ids"])
             if shard:
                 shard.close()
 
-        return self.manifest.mapInArrow(look_up, "key long, shard int, start long, n_tokens long, ids binary")
+        return self.manifest.mapInArrow(look_up, "key long, shard long, start long, n_tokens long, ids binary")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, shards: int | None = None) -> TokenFiles:
@@ -268,7 +301,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     Null keys come first and are found as key null. Rows with equal keys stay together, in the
     order of a hash of their texts, each with its own ids; one key with very many rows is
-    spread over shards. An empty table has no shards. A task that runs again writes files of
+    spread over shards. A task begins another shard after SHARD_ROWS rows or SHARD_BYTES bytes,
+    so that it holds no more keys, however large the table is. An empty table has no shards. A task that runs again writes files of
     a new name, and only those of the attempt that counted are in the manifest."""
     spark: SparkSession = docs.sparkSession
     folder = shared_dir(spark, "token-files")
@@ -280,7 +314,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        shard, name = context.partitionId(), f"{context.partitionId():06d}-{context.taskAttemptId()}"
         own = encoder(spec.value)
         end = b"" if end_id is None else np.array([end_id], own.dtype).tobytes()
 
@@ -290,23 +323,27 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
                 for k, ids in zip(keys, own.encode_all(x.as_py() for x in part.column("text")), strict=True):
                     yield k, ids + end
 
-        first = next(it := encoded(), None)
-        if first is None:
-            return
-        keys = write_shard(folder, name, _after(first, it), own.dtype)
-        before, nth = object(), 0
-        places = []
-        for k in keys:
-            nth = nth + 1 if k == before else 0
-            before = k
-            places.append(nth)
-        for lo in range(0, len(keys), 10_000):
-            k = keys[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([shard] * len(k), pa.int32()), pa.array([f"{folder}/{name}"] * len(k)), pa.array(places[lo : lo + len(k)], pa.int32())], names=["key", "shard", "file", "nth"])
+        rows, nth = encoded(), 0
+        while (first := next(rows, None)) is not None:
+            shard, name = (context.partitionId() << 24) + nth, f"{context.partitionId():06d}-{nth:06d}-{context.taskAttemptId()}"
+            nth += 1
+            keys = write_shard(folder, name, _some(first, rows), own.dtype)
+            places = []
+            for i, k in enumerate(keys):
+                places.append(places[-1] + 1 if i and k == keys[i - 1] else 0)
+            for lo in range(0, len(keys), 10_000):
+                k = keys[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([shard] * len(k), pa.int64()), pa.array([f"{folder}/{name}"] * len(k)), pa.array(places[lo : lo + len(k)], pa.int32())], names=["key", "shard", "file", "nth"])
 
     return TokenFiles(folder, saved(order.drop("tie").mapInArrow(write, MANIFEST), "token-manifest"))
 
 
-def _after(first, rest):
+def _some(first: tuple[int | None, bytes], rest: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple[int | None, bytes]]:
+    """The rows of one shard."""
     yield first
-    yield from rest
+    size = len(first[1])
+    for row in islice(rest, SHARD_ROWS - 1):
+        yield row
+        size += len(row[1])
+        if size >= SHARD_BYTES:
+            return

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from symloom.llm.token_files import Encoder, PerfectHash, Shard, fingerprints, write_shard, write_tokens
+from symloom.llm import token_files
+from symloom.llm.token_files import Encoder, PerfectHash, Shard, fingerprints, by_chunks, write_shard, write_tokens
 
 from .helpers import ODD, docs_table
 
@@ -55,3 +56,48 @@ def test_files_hold_every_document_in_order(spark, shards):
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
     assert zlib.crc32(bytes(ordered[0]["ids"])) >= 0
     assert write_tokens(docs.limit(0), PATH).read().count() == 0
+
+
+def test_another_tokenizer_file(spark):
+    """By rules other than those that allow chunks, texts are encoded as a whole."""
+    path = public.path("byte_bpe_50k.json")
+    whole = library.Tokenizer.from_file(path)
+    docs = docs_table(spark, [*ODD, (9, "Mixed CASE,  two  spaces\nand lines", "s")])
+    got = write_tokens(docs, path, end_id=None).read().collect()
+    want = sorted(((r["doc_id"], whole.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()), key=str)
+    assert sorted(((r["key"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in got), key=str) == want
+
+
+def test_an_added_word_forbids_chunks():
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert by_chunks(spec)
+    for content in ("word", "two words", "a."):
+        assert not by_chunks(spec | {"added_tokens": [*spec["added_tokens"], {"content": content}]})
+    assert not by_chunks(spec | {"normalizer": None})
+
+
+def test_words_are_forgotten_without_loss(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    monkeypatch.setattr(token_files, "AT_ONCE", 10)
+    with open(PATH, encoding="utf-8") as f:
+        own = Encoder(f.read())
+    whole = library.Tokenizer.from_file(PATH)
+    texts = [f"some words {k % 4}, more words: {k % 3} Word{'s' * (k % 5)}!" for k in range(40)]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(iter(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_task_begins_new_shards():
+    rows = [(k, b"x" * 10) for k in range(7)]
+    it = iter(rows)
+    assert len(list(token_files._some(next(it), it))) == 7
+
+
+def test_small_shards(monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_ROWS", 3)
+    it, found = iter([(k, b"") for k in range(7)]), []
+    while (first := next(it, None)) is not None:
+        found.append([k for k, _ in token_files._some(first, it)])
+    assert found == [[0, 1, 2], [3, 4, 5], [6]]
