@@ -1,15 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a flow whose packets are its documents in shuffled order, all of them once and
-then all of them again. A packet's virtual finish time is the source's words up to its end
-divided by the source's target. Served in order of virtual finish time, all sources fill at
-the same pace, and as the targets add up to the budget, the budget is spent at virtual time
-one: the mix is what lies before it. The document in service at that moment is cut there (in
-`taken`) or rounded to a whole one (in `copies`).
-
-The running sums are distributed: a document's place in the shuffle is a hash, its leading
-bits name a bucket, and only sums of buckets are carried from bucket to bucket. So a source
-with a third of all rows is spread over as many tasks as it has buckets.
+Each source is a flow of its documents in shuffled order, all of them once and then all of them
+again, in packets of at most PACKET words. A packet's virtual finish time is the source's words
+up to its end divided by the source's target. All packets are range-sorted by finish time, over
+all sources, and the order is truncated where its running total of words would exceed the total
+budget. What a document has before the cut is taken; `copies` rounds it to whole documents.
+
+The running sums are distributed. A document's place in the shuffle is a hash, its leading bits
+name a bucket, and only sums of buckets are carried from bucket to bucket, so that a source with
+a third of all rows is spread over as many tasks as it has buckets. In the same way only sums of
+ranges of finish times are carried, and the range that the cut falls into is looked at alone.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of a source that share a bucket, about, beyond the least number of buckets.
 BUCKET_ROWS = 20_000
 LEAST_BUCKETS = 256
+#: Words of a packet, and ranges of one unit of virtual time, at least.
+PACKET = 128
+LEAST_RANGES = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -49,6 +52,21 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     return level.select("key", "source_size", F.coalesce(F.least("cap", first_open["level"] * F.col("weight")), "cap").alias("target"))
 
 
+def cut_time(packets: DataFrame, budget: float, ranges: int) -> float:
+    """The finish time of the packet with which the words of packets (finish, words), in order of
+    finish time, exceed the budget; infinite if they don't. Packets of one time count together."""
+    part = F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges))
+    upto = lambda c: F.sum("words").over(Window.orderBy(c))
+    ranged = packets.withColumn("range", part)
+    sums = ranged.groupBy("range").agg(F.sum("words").alias("words")).withColumn("upto", upto("range"))
+    crossed = sums.filter(F.col("upto") > budget).orderBy("range").first()  # a row, of a row for each range
+    if crossed is None:
+        return float("inf")
+    left = budget - (crossed["upto"] - crossed["words"])
+    times = ranged.filter(F.col("range") == crossed["range"]).groupBy("finish").agg(F.sum("words").alias("words"))
+    return times.withColumn("upto", upto("finish")).filter(F.col("upto") > left).agg(F.min("finish")).first()[0]
+
+
 def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """One row per row of docs: `row` (struct of all its columns, whatever their names), size,
     source_size, target, taken (words, repeats counted; at most twice the size), copies (0, 1
@@ -58,28 +76,45 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     null sources are one source, the last; a null key is a key like others. Rows that agree in
     all columns are served one after another. A row of size 0 is never taken. An empty table
     gives an empty table. The order depends on key, size and seed only, so reruns agree."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    flow = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    columns = [
         F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")).alias("key"),
-        h.alias("place"),
+        F.xxhash64(F.lit(seed), F.col(key)).alias("place"),
         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
-    )
-    largest = flow.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    bits = max(LEAST_BUCKETS, largest // BUCKET_ROWS).bit_length()
-    flow = flow.withColumn("bucket", F.shiftrightunsigned("place", 64 - bits))
-    buckets = flow.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
+    ]
+    slim = saved(docs.select(*columns), "mix-sizes")
+    counts = slim.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).agg(F.max("n").alias("n"), F.sum("size").alias("size")).first()
+    bits = max(LEAST_BUCKETS, (counts["n"] or 0) // BUCKET_ROWS).bit_length()
+    bucket = F.shiftrightunsigned("place", 64 - bits)
+    buckets = slim.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("key", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
     goal = targets(buckets.groupBy("key").agg(F.sum("n").alias("source_size")), weights, share, most)
+    flows = saved(offsets.join(goal, "key"), "mix-buckets")
     within = Window.partitionBy("key", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    served = flow.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets.join(goal, "key"), ["key", "bucket"])
-    start = F.col("offset") + F.col("before")
-    room = F.floor("target")
-    once = F.greatest(F.lit(0), F.least("size", room - start)).cast("long")
-    again = F.greatest(F.lit(0), F.least("size", room - F.col("source_size") - start)).cast("long")
-    whole = lambda part: F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
-    return served.select("row", "size", "source_size", "target", (once + again).alias("taken"), (whole(once) + whole(again)).alias("copies"), ((start + F.col("size")) / F.nullif("target", F.lit(0.0))).alias("finish"))
+    ends = lambda end: end / F.nullif("target", F.lit(0.0))
+
+    def served(flow: DataFrame) -> DataFrame:
+        before = flow.withColumn("bucket", bucket).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        return before.join(flows, ["key", "bucket"]).withColumn("start", F.col("offset") + F.col("before"))
+
+    copies = F.array(F.lit(0).cast("long"), F.col("source_size"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PACKET)), lambda k: k * PACKET)
+    packets = served(slim).filter("size > 0").withColumn("start", F.explode(F.transform(copies, lambda c: c + F.col("start")))).withColumn("part", F.explode(parts))
+    words = F.least(F.lit(PACKET), F.col("size") - F.col("part"))
+    packets = packets.select(ends(F.col("start") + F.col("part") + words).alias("finish"), words.alias("words"))
+    total = counts["size"] or 0
+    cut = cut_time(packets, share * total, max(LEAST_RANGES, 2 * total // PACKET // BUCKET_ROWS))
+
+    def before_cut(start: Column) -> Column:
+        """The words of a document's packets that finish before the cut."""
+        whole = ends(start + F.col("size")) < cut
+        done = F.size(F.filter(parts, lambda p: ends(start + F.least(p + PACKET, "size")) < cut)) * PACKET
+        return F.when(F.col("size") == 0, 0).when(whole, F.col("size")).when(ends(start) >= cut, 0).otherwise(F.least(done, "size")).cast("long")
+
+    out = served(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns))
+    out = out.withColumns({"once": before_cut(F.col("start")), "again": before_cut(F.col("source_size") + F.col("start"))})
+    rounded = lambda part: F.when((F.col(part) > 0) & (2 * F.col(part) >= F.col("size")), 1).otherwise(0)
+    return out.select("row", "size", "source_size", "target", (F.col("once") + F.col("again")).alias("taken"), (rounded("once") + rounded("again")).alias("copies"), ends(F.col("start") + F.col("size")).alias("finish"))
 
 
 def served_order(mixed: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from symloom.llm.mixing import mix, n_words, served_order
+from symloom.llm.mixing import PACKET, mix, n_words, served_order
 
 from .helpers import ODD, docs_table
 
@@ -26,6 +26,28 @@ def goals(sizes):
     return goal
 
 
+def prefix(rows, goal):
+    """Words of each row in the order of finish times of all packets, up to the budget."""
+    packets, at = [], defaultdict(int)
+    for k in range(2):
+        for i in sorted(range(len(rows)), key=lambda i: (rows[i]["finish"] or 0)):
+            r = rows[i]
+            for lo in range(0, r["size"], PACKET):
+                n = min(PACKET, r["size"] - lo)
+                at[r["source"]] += n
+                packets.append((at[r["source"]] / r["target"], i, n))
+    times, left, out = defaultdict(list), 1.5 * sum(r["size"] for r in rows), [0] * len(rows)
+    for f, i, n in packets:
+        times[f].append((i, n))
+    for f in sorted(times):
+        left -= sum(n for _, n in times[f])
+        if left < 0:
+            break
+        for i, n in times[f]:
+            out[i] += n
+    return out
+
+
 def check(rows):
     sizes, taken = defaultdict(int), defaultdict(int)
     for r in rows:
@@ -35,7 +57,9 @@ def check(rows):
     goal = goals(sizes)
     for r in rows:
         assert abs(r["target"] - goal[r["source"]]) < 1e-6 * max(1, goal[r["source"]]) and r["source_size"] == sizes[r["source"]]
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)
+    # A source ends within a packet of its target, and the rest of the budget goes on.
+    assert all(abs(taken[s] - goal[s]) <= PACKET + 1 for s in sizes) and sum(taken.values()) <= 1.5 * sum(sizes.values())
+    assert [r["taken"] for r in rows] == prefix(rows, goal)
 
 
 def mixed(docs):
