@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors reach.
 
-    Only where the setting is absent (a single-machine session, as in tests) a temporary
-    folder is taken, and set as the checkpoint folder too.
+    Only where the setting is absent and the session runs on a single machine, as in tests, a
+    temporary folder is taken, and set as the checkpoint folder too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,6 +39,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one computation: saved as `saved` does, and deleted as soon as
+    they have been read for the last time, so that they don't stay on disk until its end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._folder, self._held = spark, shared_dir(spark, name), {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self._folder}/{len(self._held)}-{name}"
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._held[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes the files of saved tables; others, and None, are left alone. Shuffle files go
+        when the driver's JVM notices that no plan needs them, so it is asked to look."""
+        jvm, conf = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p, held in self._held.items() if any(held is t for t in tables)]:
+            self._held[path] = None
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        jvm.System.gc()
+
+
 def file_at(uri: str):
     """(file system, path) of a URI, for tasks that write or read raw files."""
     from pyarrow import fs
