@@ -2,17 +2,24 @@
 
 Texts with equal sets are one class, and only classes are compared. A class is indexed by the
 first tokens of its set in a global order (prefix filter): first by hash, to find which tokens
-are shared at all, then, of the shared ones, rarest first. A pair in question shares more than
-one of its hash-first tokens, so a class with too few shared ones is out, and of the others
-only the leading positions are indexed. Index lists are cut into blocks by set size, so that a
-class skips the blocks that hold no answer of its own.
-
-Within a block, lists may be long (a group of near copies), so not all pairs are formed. In
-each round a list's first member is compared with all others; what a member's answers are then
-follows from those of the highly similar member before it: members of one component need not
-be compared again, so their list is done. A leader has met all its list and leaves it. Lists
-that still hold several components after some rounds are joined in full. No link between
-different sets is lost.
+are shared at all, then, of the shared ones, rarest first. Sets that link share a certain number
+of their hash-first tokens, so a class with too few shared ones is out.
+
+Index lists are skipped in blocks by position. An entry knows how many of its class's tokens
+come from its position on, and so up to which size of a partner it may be the first common
+token: from a late position on, the block of larger sets is skipped as a whole, and within a
+block the pairs whose positions leave too few common tokens.
+
+Lists may be long (a group of near copies), so not all pairs are formed. In each round a
+list's first class, its leader, is compared with the others. Answers of a class are derived
+from those that its leader has already computed: where two classes share an earlier leader,
+their overlaps with it bound theirs from below (a link without another look) and from above
+(no link); only what lies between is computed from the sets. Members of one component need not
+be compared again. A leader has met all its list and leaves it. Lists that still hold several
+components after some rounds are joined in full. No link between different sets is lost.
+
+Tokens are counted by partial sums that are joined back, and a list's leader is found in the
+same way, so that a token in very many documents isn't gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import Scratch
 
 #: Rounds in which lists have leaders, before what is left is joined in full.
 ROUNDS = 3
@@ -50,16 +57,24 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def shared_at_least(n: int, percent: int) -> int:
+    """Hash-first tokens that two linked sets have in common, if the smaller has n tokens."""
+    return min(-(-percent * n // 100), 1 + n // 10)
+
+
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     """(tokens of the hash-first prefix, tokens of it that a partner shares at least)."""
     missing = (100 - percent) * n // 100
-    least_partner = -(-percent * n // 100)
-    return min(n, missing + 1 + n // 10), least_partner // 10 + 1
+    return min(n, missing + 1 + n // 10), shared_at_least(-(-percent * n // 100), percent)
+
+
+def shared_column(n: Column, percent: int) -> Column:
+    return F.least(F.ceil(percent * n / 100), 1 + F.floor(n / 10))
 
 
-def classes_of(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+def rows_of(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """A row per document: uid (of the row), doc_id, h1 and h2 (of the row's content), n, sig
-    (of the set), prefix."""
+    (of the set), prefix, last (the largest hash up to which the prefix is the set)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumns({"h1": F.xxhash64("doc_id", "text"), "h2": F.hash("text", "doc_id")})
 
@@ -68,22 +83,24 @@ def classes_of(docs: DataFrame, doc_id: str, text: str, words: int, percent: int
 
         uid = TaskContext.get().partitionId() << 40
         for part in parts:
-            n, sig, prefixes = [], [], []
+            n, sig, prefixes, last = [], [], [], []
             for t in part.column("text"):
                 s = shingle_set(t.as_py(), words)
+                k = prefix_lengths(len(s), percent)[0]
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefixes.append(s[: prefix_lengths(len(s), percent)[0]])
+                prefixes.append(s[:k])
+                last.append(int(s[k - 1]) if k < len(s) else 2**63 - 1)
             offsets = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             ids = np.arange(uid, uid + len(n))
             uid += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column("doc_id"), part.column("h1"), part.column("h2"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["uid", "doc_id", "h1", "h2", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column("doc_id"), part.column("h1"), part.column("h2"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(last, pa.int64())], names=["uid", "doc_id", "h1", "h2", "n", "sig", "prefix", "last"])
 
-    return saved(rows.mapInArrow(sets, "uid long, doc_id long, h1 long, h2 int, n long, sig binary, prefix array<long>"), "ngram-rows")
+    return rows.mapInArrow(sets, "uid long, doc_id long, h1 long, h2 int, n long, sig binary, prefix array<long>, last long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> DataFrame:
     """(uid, set) of wanted rows (uid, h1, h2)."""
     rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("h1"), F.hash(F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")).alias("h2"), F.col(f"`{text}`").cast("string").alias("text"))
     # A merge join at every size: what is wanted grows with the corpus. A row that repeats is
@@ -97,59 +114,67 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words:
                 found = [shingle_set(t.as_py(), words) for t in some.column("text")]
                 yield pa.RecordBatch.from_arrays([some.column("uid"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))], names=["uid", "set"])
 
-    return saved(found.mapInArrow(sets, "uid long, set array<long>"), "ngram-sets")
+    return scratch.save(found.mapInArrow(sets, "uid long, set array<long>"), "sets")
 
 
-def index_rows(classes: DataFrame, percent: int) -> DataFrame:
-    """(tok, block, uid, n, alone, last, place): the leading shared tokens of each class that can
-    have a partner. No other prefix holds `alone` of its prefix's tokens, and `last` is the
-    largest hash up to which its prefix is its set."""
-    least = F.floor(F.ceil(percent * F.col("n") / 100) / 10) + 1
-    last = F.when(F.size("prefix") < F.col("n"), F.element_at("prefix", -1)).otherwise(F.lit(2**63 - 1))
-    own = saved(classes.select("uid", "n", F.size("prefix").alias("k"), last.alias("last")), "ngram-sizes")
-    tokens = classes.select("uid", F.explode("prefix").alias("tok"))
-    df = F.count("*").over(Window.partitionBy("tok")).cast("int")
-    n_able = None
+def index_rows(classes: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(tok, block, uid, n, alone, last, place, ahead): the leading shared tokens of each class
+    that can have a partner. classes (saved; deleted here) have uid and prefix, sizes (uid, n, k,
+    last) the prefixes' lengths and ends. No other prefix holds `alone` of a class's tokens;
+    `ahead` shared tokens come from this one on."""
+    least = shared_column(F.ceil(percent * F.col("n") / 100), percent)
+    tokens, shared, n_able = classes.select("uid", F.explode("prefix").alias("tok")), classes, None
     while True:
         # Without a class that is out, its tokens may be no longer shared, and so on.
-        shared = saved(tokens.withColumn("df", df).filter("df > 1"), "ngram-shared")
-        able = saved(shared.groupBy("uid").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("w")).join(own, "uid").filter(F.col("s") >= least), "ngram-able")
+        df = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+        known, shared = shared, scratch.save(tokens.join(df.hint("shuffle_hash"), "tok").select("uid", "tok", F.col("df").cast("int")), "shared")
+        able = scratch.save(shared.groupBy("uid").agg(F.count("*").alias("s"), F.sum(F.log2("df")).alias("w")).join(sizes, "uid").filter(F.col("s") >= least), "able")
+        scratch.drop(known)
         before, n_able = n_able, able.count()
         if n_able == 0 or (before is not None and n_able > 0.9 * before):
             break
         tokens = shared.drop("df").join(able.select("uid"), "uid", "left_semi")
     # The place in a list: first comes whose tokens are shared most, the centre of its copies.
-    able = able.select("uid", "n", (F.col("k") - F.col("s")).alias("alone"), "last", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
+    able = able.select("uid", "n", "s", (F.col("k") - F.col("s")).alias("alone"), "last", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
     order = Window.partitionBy("uid").orderBy("df", "tok")
     leading = shared.join(able, "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
-    # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones.
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9))
-    return saved(leading.select("tok", F.explode(F.array(block, block + 1)).alias("block"), "uid", "n", "alone", "last", "place"), "ngram-index")
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    leading = leading.withColumn("ahead", (F.col("s") - F.col("rank") + 1).cast("int"))
+    # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones. Two sets
+    # of the higher block, or of one and the other, meet in the higher; a position that leaves
+    # too few tokens for a partner as large as the set itself skips it.
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9)).cast("int")
+    blocks = F.when(F.col("ahead") >= shared_column(F.col("n"), percent), F.array(block, block + 1)).otherwise(F.array(block))
+    index = scratch.save(leading.select("tok", F.explode(blocks).alias("block"), "uid", "n", "alone", "last", "place", "ahead"), "index")
+    scratch.drop(shared)
+    return index
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """labels (uid, c) after the components that links (a, b) connect have become one, named
     by its smallest uid. Every step hooks components to their smallest neighbours and then
     follows hooks once more; the number of steps follows the logarithm of the paths' length."""
     a, b = labels.select(F.col("uid").alias("a"), F.col("c").alias("ca")), labels.select(F.col("uid").alias("b"), F.col("c").alias("cb"))
-    edges = saved(links.join(a, "a").join(b, "b").filter("ca <> cb").select("ca", "cb").distinct(), "ngram-edges")
+    edges = scratch.save(links.join(a, "a").join(b, "b").filter("ca <> cb").select("ca", "cb").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.union(edges.select("cb", "ca"))
         hook = both.groupBy("ca").agg(F.min("cb").alias("to")).filter("`to` < ca")
         further = hook.select(F.col("ca").alias("to"), F.col("to").alias("to2"))
-        hook = saved(hook.join(further, "to", "left").select(F.col("ca").alias("c"), F.coalesce("to2", "to").alias("to")), "ngram-hooks")
-        labels = saved(labels.join(hook, "c", "left").select("uid", F.coalesce("to", "c").alias("c")), "ngram-labels")
+        hook = scratch.save(hook.join(further, "to", "left").select(F.col("ca").alias("c"), F.coalesce("to2", "to").alias("to")), "hooks")
+        old, labels = labels, scratch.save(labels.join(hook, "c", "left").select("uid", F.coalesce("to", "c").alias("c")), "labels")
         x, y = hook.select(F.col("c").alias("ca"), F.col("to").alias("ta")), hook.select(F.col("c").alias("cb"), F.col("to").alias("tb"))
         moved = edges.join(x, "ca", "left").join(y, "cb", "left").select(F.coalesce("ta", "ca").alias("ca"), F.coalesce("tb", "cb").alias("cb"))
-        edges = saved(moved.filter("ca <> cb").distinct(), "ngram-edges")
+        done, edges = edges, scratch.save(moved.filter("ca <> cb").distinct(), "edges")
+        scratch.drop(done, old, hook)
+    scratch.drop(edges)
     return labels
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link: 100 * intersection >= percent * union."""
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the size of the intersection, and whether the sets link: 100 *
+    intersection >= percent * union."""
     a, b = sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), sets.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    both = pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", "both", (100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).alias("link"))
 
 
 def may_link(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
@@ -159,33 +184,48 @@ def may_link(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column
 
 
 def may_link_leader(percent: int) -> Column:
-    """Whether a list's first may link with a member. A token that no other prefix holds may lie
-    in the partner beyond the partner's prefix, if that ends at a smaller hash; so only what is
-    alone in the prefix that ends first counts."""
-    first, own = ([F.col(i + x) for x in ("n", "alone", "last")] for i in ("first.", ""))
-    (n, a, x), (m, b, y) = first, own
-    return may_link(n, F.when(x <= y, a).otherwise(0), m, F.when(y <= x, b).otherwise(0), percent)
-
-
-def rest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Whether a list's first may link with a member, as far as counts and positions tell. A
+    token that no other prefix holds may lie in the partner beyond the partner's prefix, if that
+    ends at a smaller hash; so only what is alone in the prefix that ends first counts. If the
+    list's token is the first that two sets share, all they share come from its positions on."""
+    first, own = ([F.col(i + x) for x in ("n", "alone", "last", "ahead")] for i in ("first.", ""))
+    (n, a, x, p), (m, b, y, q) = first, own
+    enough = F.least(p, q) >= shared_column(F.least(n, m), percent)
+    return enough & may_link(n, F.when(x <= y, a).otherwise(0), m, F.when(y <= x, b).otherwise(0), percent)
+
+
+def derived(percent: int) -> tuple[Column, Column]:
+    """(surely a link, surely none) of a list's first and a member, from their overlaps with the
+    leader before: both hold what exceeds its size, and share no more than the smaller overlap
+    and what either has beyond it. Null where one of the overlaps isn't known."""
+    n, o, m, q, size = F.col("first.n"), F.col("first.known"), F.col("n"), F.col("known"), F.col("lead_n")
+    low, high = o + q - size, F.least(o, q) + F.least(n - o, m - q)
+    return (100 + percent) * low >= percent * (n + m), (100 + percent) * high < percent * (n + m)
+
+
+def rest_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of the classes left (uid, c) that may link, of different components.
 
     Tokens that no other class left has are counted (alone). They are in no intersection and
     in every union, which bounds a pair's similarity; the rarest of the others are the index."""
     missing = F.floor((100 - percent) * F.col("n") / 100)
     rows = left.join(sets, "uid").select("uid", "c", F.size("set").cast("long").alias("n"), F.explode("set").alias("tok"))
-    n_left = None
+    n_left, held = None, None
     while True:
         # A class that loses its partners' tokens may lose its last possible partner, and so on.
-        rows = saved(rows.withColumn("df", F.count("*").over(Window.partitionBy("tok")).cast("int")), "ngram-rest")
-        alone = saved(rows.groupBy("uid").agg(F.count_if(F.col("df") == 1).alias("alone"), F.first("n").alias("n")).filter(F.col("alone") <= missing).select("uid", "alone"), "ngram-alone")
+        df = rows.groupBy("tok").agg(F.count("*").cast("int").alias("df"))
+        known, held = held, scratch.save(rows.join(df.hint("shuffle_hash"), "tok"), "rest")
+        rows = held
+        alone = scratch.save(rows.groupBy("uid").agg(F.count_if(F.col("df") == 1).alias("alone"), F.first("n").alias("n")).filter(F.col("alone") <= missing).select("uid", "alone"), "alone")
+        scratch.drop(known)
         before, n_left = n_left, alone.count()
         if n_left == 0 or (before is not None and n_left > 0.9 * before):
             break
         rows = rows.drop("df").join(alone.select("uid"), "uid", "left_semi")
     order = Window.partitionBy("uid").orderBy("df", "tok")
     index = rows.filter("df > 1").join(alone, "uid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= missing + 1 - F.col("alone"))
-    index = saved(index.select("tok", "uid", "c", "n", "alone", "rank"), "ngram-rest-index")
+    index = scratch.save(index.select("tok", "uid", "c", "n", "alone", "rank"), "rest-index")
+    scratch.drop(held)
     x, y = (index.select("tok", *[F.col(k).alias(k + i) for k in ("uid", "c", "n", "alone", "rank")]) for i in "xy")
     # From this list's token on, no more tokens can be common than either set has left.
     ahead = F.least(F.col("nx") - F.col("alonex") - F.col("rankx"), F.col("ny") - F.col("aloney") - F.col("ranky")) + 1
@@ -204,29 +244,51 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     A null text and one without words have an empty set and no links. Null doc_ids don't
     count for the smallest; a component without others has component_id null. Repeated rows
     stay, in one component. Other columns are ignored; an empty table gives no rows."""
-    rows = classes_of(docs, doc_id, text, words, percent)
-    full = rows.filter("n > 0")
-    reps = saved(full.groupBy("sig").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "ngram-reps")
-    classes = full.join(reps.select("uid"), "uid", "left_semi")
-    index = index_rows(classes.select("uid", "n", "prefix"), percent)
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    every = scratch.save(rows_of(docs, doc_id, text, words, percent), "rows")
+    rows = scratch.save(every.drop("prefix", "last"), "rows")
+    # Equal sets have equal prefixes. Partial aggregates put the copies of a task together.
+    classes = every.filter("n > 0").groupBy("sig").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "last", "prefix")])
+    classes = scratch.save(classes, "classes")
+    scratch.drop(every)
+    reps = scratch.save(classes.select("sig", "uid", "least", "n", F.size("prefix").alias("k"), "last"), "classes")
+    index = index_rows(classes, reps.select("uid", "n", "k", "last"), percent, scratch)
     able = index.select("uid").distinct()
-    sets = full_sets(docs, classes.join(able, "uid", "left_semi").select("uid", "h1", "h2"), doc_id, text, words)
-    labels = saved(able.withColumn("c", F.col("uid")), "ngram-labels")
-    lists = Window.partitionBy("tok", "block")
+    sets = full_sets(docs, rows.select("uid", "h1", "h2").join(able, "uid", "left_semi"), doc_id, text, words, scratch)
+    labels = scratch.save(able.withColumn("c", F.col("uid")), "labels")
+    lists = ["tok", "block"]
+    nothing = F.lit(None).cast("long")
+    held, answers, found = index, None, None
+    index = index.withColumns({"lead": nothing, "lead_n": nothing})
     for _ in range(rounds):
-        open_ = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi").drop("lo", "hi")
-        led = saved(open_.withColumn("first", F.min(F.struct("place", "uid", "n", "alone", "last", "c")).over(lists)), "ngram-led")
+        # What each list's leader before had in common with its members.
+        known = index.withColumn("known", F.lit(None).cast("int")) if answers is None else index.join(answers, "uid", "left").withColumn("known", F.element_at("overlap", F.col("lead"))).drop("overlap")
+        open_ = known.join(labels, "uid")
+        first = F.min(F.struct("place", "uid", "n", "alone", "last", "ahead", "known", "c")).alias("first")
+        firsts = open_.groupBy(*lists).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).filter("lo <> hi").drop("lo", "hi")
+        sure, none = derived(percent)
+        asked = (F.col("first.c") != F.col("c")) & may_link_leader(percent) & ~F.coalesce(none, F.lit(False))
+        led = open_.join(firsts.hint("shuffle_hash"), lists).withColumns({"asked": asked, "sure": F.coalesce(sure, F.lit(False)), "by": F.col("first.uid"), "by_n": F.col("first.n")})
+        led = scratch.save(led.select("tok", "block", "uid", "n", "alone", "last", "place", "ahead", "asked", "sure", F.col("by").alias("lead"), F.col("by_n").alias("lead_n")), "led")
+        scratch.drop(held, found)
+        held = led
         if led.isEmpty():
             index = None
             break
-        pairs = led.filter((F.col("first.c") != F.col("c")) & may_link_leader(percent)).select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
-        labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
-        index = led.filter("first.uid <> uid").select("tok", "block", "uid", "n", "alone", "last", "place")
+        pairs = led.filter("asked").groupBy(F.col("lead").alias("a"), F.col("uid").alias("b")).agg(F.max("sure").alias("sure"))
+        pairs = scratch.save(pairs, "pairs")
+        found = scratch.save(overlaps(pairs.filter("not sure").select("a", "b"), sets, percent), "links")
+        labels = merged(labels, found.filter("link").select("a", "b").union(pairs.filter("sure").select("a", "b")), scratch)
+        # Leaders that a class was compared with are no more than its own entries.
+        answers = found.groupBy(F.col("b").alias("uid")).agg(F.map_from_entries(F.collect_list(F.struct("a", "both"))).alias("overlap"))
+        scratch.drop(pairs)
+        index = led.filter("lead <> uid").drop("asked", "sure")
     if index is not None:
-        left = index.join(labels, "uid").withColumns({"lo": F.min("c").over(lists), "hi": F.max("c").over(lists)}).filter("lo <> hi")
-        left = saved(left.select("uid", "c").distinct(), "ngram-left")
-        pairs = saved(rest_pairs(left, sets, percent), "ngram-pairs")
-        labels = merged(labels, saved(linked(pairs, sets, percent), "ngram-links"))
+        ends = index.join(labels, "uid").groupBy(*lists).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(*lists)
+        left = scratch.save(index.join(ends, lists, "left_semi").select("uid").distinct().join(labels, "uid"), "left")
+        pairs = scratch.save(rest_pairs(left, sets, percent, scratch), "rest-pairs")
+        labels = merged(labels, overlaps(pairs, sets, percent).filter("link").select("a", "b"), scratch)
+    scratch.drop(sets)
     named = reps.join(labels, "uid", "left").withColumn("c", F.coalesce("c", "uid"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     of_sig = named.join(least, "c").select("sig", "component_id", F.lit(True).alias("known"))
