@@ -100,27 +100,100 @@ def _(t):
     return c.mass_removal(t.x2, t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("file_id"))).select("src", "config_id", "dst")
 
 
-@query("H10_pending_ledger")
-def _(t):
-    kind = F.when(F.col("event_type").isin("click", "view"), "enqueue").otherwise("done")
-    rows = t.events.select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_type") == "click", "ContentChanged").otherwise("DepsOnly").alias("reason"), (F.col("event_id") - F.col("event_id") % 40).alias("ticket"))
-    return folds.run_batch(rows, "doc", "seq", folds.PENDING)
-
-
-@query("H11_requeue_verdict")
-def _(t):
-    kind = F.when(F.col("kind") == "edit", "enqueue").when(F.col("kind") == "dispatch", "preempt").when(F.col("kind") == "reset", "fail").otherwise(F.col("kind"))
-    return folds.run_batch(t.x8.select("doc", "seq", kind.alias("kind"), (F.col("seq") % 5 == 0).alias("superseded")), "doc", "seq", folds.REQUEUE)
-
-
-@query("H12_quarantine")
-def _(t):
-    return folds.run_batch(t.x8.withColumns({"query": F.when(F.col("seq") % 3 == 0, F.lit("hover")), "death": F.concat(F.lit("w"), F.floor(F.col("seq") / 3).cast("string"))}), "doc", "seq", folds.QUARANTINE)
-
-
-@query("H13_crash_budget")
-def _(t):
-    return folds.run_batch(t.x8.withColumn("at", F.col("seq") * 7.0), "doc", "seq", folds.CRASH_BUDGET)
+def stepwise(events: str, start: dict[str, str], steps: list[dict[str, str]], out: str) -> str:
+    """SQL of a fold: events (doc, seq, ...) are numbered by seq in each doc, and a recursive query
+    carries the state columns from one to the next. start has their first values; each of steps
+    replaces some of them from those before it; out are the columns of each event's row."""
+    names, inner = list(start), "SELECT e.*, {} FROM {}"
+    first = inner.format(", ".join(f"{v} AS {k}" for k, v in start.items()), "e WHERE rn = 1")
+    more = inner.format(", ".join(f"s.{k}" for k in names), "s JOIN e ON e.doc = s.doc AND e.rn = s.rn + 1")
+    for step in steps:
+        kept = ", ".join(f"({step[k]}) AS {k}" if k in step else k for k in names)
+        first, more = (f"SELECT doc, seq, rn, {{own}}, {kept} FROM ({q})" for q in (first, more))
+    return f"WITH RECURSIVE ev AS ({events}), e AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) AS rn FROM ev), s AS ({first} UNION ALL {more}) SELECT {out}"
+
+
+# Each event that works on a unit is two: the slot is taken, and what comes of it.
+WORK = """SELECT user_id AS doc, 2 * event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'enqueue' WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'drop' ELSE 'take' END AS kind,
+  CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'ContentChanged' ELSE 'DepsOnly' END AS reason FROM {events}
+UNION ALL SELECT user_id, 2 * event_id + 1, CASE WHEN event_type = 'error' THEN 'crash' WHEN event_type = 'signup' THEN 'preempt' WHEN event_id % 3 = 0 THEN 'done' ELSE 'crash' END, NULL FROM {events} WHERE event_type NOT IN ('click', 'view')"""
+OWED, FAILED = "reason0 IS NOT NULL", "kind IN ('crash', 'preempt')"
+OUTCOME = f"""CASE WHEN kind = 'enqueue' THEN CASE WHEN queued THEN 'merged' ELSE 'queued' END WHEN kind = 'take' THEN CASE WHEN {OWED} AND queued THEN 'taken' ELSE 'idle' END
+  WHEN kind = 'drop' THEN 'dropped' WHEN reason0 IS NULL THEN CASE WHEN kind = 'done' THEN 'kept' ELSE 'dropped' END
+  WHEN flight < content THEN CASE WHEN kind = 'done' THEN 'discarded' ELSE 'superseded' END WHEN kind = 'done' THEN CASE WHEN flight = ticket THEN 'cleared' ELSE 'kept' END
+  WHEN kind = 'crash' AND crashes >= 3 THEN 'gave up' ELSE 'requeued' END"""
+GONE = "outcome IN ('cleared', 'gave up') OR kind = 'drop'"
+LEDGER_STEPS = [
+    {"outcome": OUTCOME},
+    # The reason with which it is owed again.
+    {"owe": "CASE WHEN kind = 'enqueue' THEN reason WHEN outcome = 'requeued' THEN CASE WHEN flight = content THEN 'ContentChanged' ELSE reason0 END END"},
+    {
+        "content": f"CASE WHEN {GONE} THEN -1 WHEN owe = 'ContentChanged' THEN seq WHEN owe IS NOT NULL AND reason0 IS NULL THEN -1 ELSE content END",
+        "crashes": f"CASE WHEN {GONE} THEN 0 WHEN outcome = 'requeued' THEN crashes + CASE WHEN kind = 'crash' THEN 1 ELSE 0 END WHEN owe = 'ContentChanged' OR reason0 IS NULL THEN 0 ELSE crashes END",
+        "flight": "CASE WHEN outcome = 'taken' THEN ticket ELSE flight END",
+        "ticket": f"CASE WHEN {GONE} THEN -1 WHEN owe IS NOT NULL THEN seq ELSE ticket END",
+        "reason0": f"CASE WHEN {GONE} THEN NULL WHEN owe IS NULL THEN reason0 WHEN reason0 IS NULL OR NOT queued OR owe = 'ContentChanged' THEN owe ELSE reason0 END",
+        "queued": f"CASE WHEN {GONE} OR outcome = 'taken' THEN FALSE WHEN owe IS NOT NULL THEN TRUE ELSE queued END",
+    },
+]
+LEDGER_START = {"reason0": "CAST(NULL AS VARCHAR)", "ticket": "CAST(-1 AS BIGINT)", "content": "CAST(-1 AS BIGINT)", "crashes": "0", "queued": "FALSE", "flight": "CAST(-1 AS BIGINT)", "outcome": "CAST(NULL AS VARCHAR)", "owe": "CAST(NULL AS VARCHAR)"}
+LEDGER = stepwise(WORK, LEDGER_START, LEDGER_STEPS, "{}").replace("{own}", "kind, reason")
+
+
+def work(t):
+    kind, id_ = F.col("event_type"), F.col("event_id")
+    first = F.struct((2 * id_).alias("seq"), F.when(kind.isin("click", "view"), "enqueue").when((kind == "signup") & (id_ % 7 == 0), "drop").otherwise("take").alias("kind"))
+    after = F.when(kind == "error", "crash").when(kind == "signup", "preempt").when(id_ % 3 == 0, "done").otherwise("crash")
+    second = F.struct((2 * id_ + 1).alias("seq"), after.alias("kind"))
+    rows = t.events.select(F.col("user_id").alias("doc"), F.when((kind == "click") & (id_ % 4 == 0), "ContentChanged").otherwise("DepsOnly").alias("reason"), F.explode(F.when(kind.isin("click", "view"), F.array(first)).otherwise(F.array(first, second))).alias("e"))
+    return rows.select("doc", "e.seq", "e.kind", "reason")
+
+
+@query("H10_pending_ledger", LEDGER.replace("SELECT {}", "SELECT doc, seq, outcome FROM s"))
+def _(t):
+    return folds.run_batch(work(t), "doc", "seq", folds.PENDING)
+
+
+@query("H11_requeue_verdict", LEDGER.replace("SELECT {}", f"SELECT doc, seq, outcome AS verdict FROM s WHERE {FAILED}"))
+def _(t):
+    return folds.run_batch(work(t), "doc", "seq", folds.REQUEUE)
+
+
+CRASHED = "SELECT doc, seq, kind, changed, seq % 3 = 0 AS asked, CASE WHEN seq % 4 = 0 THEN '' ELSE concat('w', CAST(floor(seq / 200) AS BIGINT)) END AS death FROM {x8}"
+COUNTS = "kind = 'crash' AND (death = '' OR death <> last)"
+QUARANTINE = stepwise(
+    CRASHED, {"streak": "0", "strikes": "0", "inherited": "0", "probe": "FALSE", "told": "FALSE", "last": "''", "announce": "FALSE"},
+    [
+        {"probe": "CASE WHEN kind = 'reset' THEN FALSE WHEN kind = 'edit' AND changed AND streak + strikes >= 2 THEN TRUE WHEN kind = 'dispatch' AND streak + strikes >= 2 AND CASE WHEN asked THEN strikes > 0 ELSE streak > 0 END THEN FALSE ELSE probe END"},
+        {
+            "streak": f"CASE WHEN kind = 'reset' THEN 0 WHEN asked THEN streak WHEN {COUNTS} THEN streak + 1 WHEN kind = 'land' THEN streak - least(inherited, streak) ELSE streak END",
+            "strikes": f"CASE WHEN kind = 'reset' THEN 0 WHEN NOT asked THEN strikes WHEN {COUNTS} THEN strikes + 1 WHEN kind = 'land' THEN 0 ELSE strikes END",
+            "inherited": "CASE WHEN kind = 'reset' THEN 0 WHEN asked THEN inherited WHEN kind = 'dispatch' THEN streak WHEN kind = 'land' THEN 0 ELSE inherited END",
+            "last": "CASE WHEN kind = 'reset' THEN '' WHEN kind = 'crash' AND death <> '' THEN death ELSE last END",
+        },
+        {"probe": "probe AND NOT (kind = 'land' AND streak + strikes < 2)", "told": "told AND NOT (kind = 'reset' OR kind = 'land' AND streak + strikes < 2)"},
+        {"announce": "streak + strikes >= 2 AND NOT told", "told": "told OR streak + strikes >= 2"},
+    ],
+    "doc, seq, streak + strikes AS crashes, streak + strikes >= 2 AND NOT probe AS blocked, announce FROM s",
+).replace("{own}", "kind, changed, asked, death")
+
+
+@query("H12_quarantine", QUARANTINE)
+def _(t):
+    death = F.when(F.col("seq") % 4 == 0, "").otherwise(F.concat(F.lit("w"), F.floor(F.col("seq") / 200).cast("string")))
+    return folds.run_batch(t.x8.withColumns({"query": F.when(F.col("seq") % 3 == 0, F.lit("hover")), "death": death}), "doc", "seq", folds.QUARANTINE)
+
+
+BUDGET = stepwise(
+    "SELECT doc, seq, kind, CAST(seq AS DOUBLE) AS secs FROM {x8}", {"crashes": "0", "last": "CAST(0 AS DOUBLE)"},
+    [{"crashes": "CASE WHEN kind = 'crash' THEN crashes + 1 WHEN kind = 'land' OR crashes >= 2 AND secs - last >= 300 THEN 0 ELSE crashes END", "last": "CASE WHEN kind = 'crash' THEN secs ELSE last END"}],
+    "doc, seq, crashes >= 2 AS blocked FROM s",
+).replace("{own}", "kind, secs")
+
+
+@query("H13_crash_budget", BUDGET)
+def _(t):
+    return folds.run_batch(t.x8.withColumn("at", F.col("seq").cast("double")), "doc", "seq", folds.CRASH_BUDGET)
 
 
 LIMITED = "SELECT seq, topic AS id, CASE WHEN n <= 8 THEN 'pass' ELSE 'suppressed' END AS action FROM (SELECT seq, topic, row_number() OVER (PARTITION BY topic ORDER BY seq) AS n FROM {x7}) z WHERE n <= 9"

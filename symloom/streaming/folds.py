@@ -24,9 +24,13 @@ ROWS = 1000
 
 @dataclass(frozen=True)
 class Fold:
+    """idle: seconds without events after which a stream forgets a state (0: at once; None:
+    never)."""
+
     schema: str
     start: Callable[[], dict]
     step: Callable[[dict, dict], list[dict]]
+    idle: Callable[[dict], float | None] = lambda state: None
 
 
 def folded(parts: Iterator[pa.RecordBatch], key: str, fold: Fold, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -56,71 +60,96 @@ def run_batch(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
 
 
 def run_stream(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
-    """The outputs of a stream, appended; the state of a key is one JSON text."""
+    """The outputs of a stream, appended; the state of a key is one JSON text, with a timer where
+    the fold says when an idle one is to be forgotten."""
     names = [x.split()[0] for x in fold.schema.split(", ")]
 
     def apply(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = json.loads(state.get[0]) if state.exists else fold.start()
         out = []
         for row in pd.concat(list(parts)).sort_values(seq, kind="stable").to_dict("records"):
             out += fold.step(own, row)
-        state.update((json.dumps(own),))
+        idle = fold.idle(own)
+        if idle == 0:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(own),))
+            if idle is not None:
+                state.setTimeoutDuration(int(idle * 1000))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(apply, fold.schema, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _pending(state: dict, e: dict) -> list[dict]:
-    """Events enqueue (reason ContentChanged or DepsOnly) and done (ticket). Content absorbs
-    dependencies; a new event has a new ticket; a result clears its own ticket only, and one
-    older than a ContentChanged ticket is discarded."""
-    out = lambda what: [{"doc": e["doc"], "seq": e["seq"], "outcome": what}]
-    if e["kind"] == "enqueue":
-        content = e["reason"] == "ContentChanged" or state["reason"] == "ContentChanged"
-        state.update(reason="ContentChanged" if content else "DepsOnly", ticket=int(e["seq"]))
-        if e["reason"] == "ContentChanged":
-            state["content"] = int(e["seq"])
-        return out("queued")
-    if state["content"] is not None and e["ticket"] < state["content"]:
-        return out("discarded")
-    if e["ticket"] == state["ticket"]:
-        state.update(reason=None, ticket=None, content=None)
-        return out("cleared")
-    return out("kept")
-
-
-PENDING = Fold("doc long, seq long, outcome string", lambda: {"reason": None, "ticket": None, "content": None}, _pending)
+    return rows.groupBy(key).applyInPandasWithState(apply, fold.schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+NO_DEBT = {"reason": None, "ticket": -1, "content": -1, "crashes": 0, "queued": False}
+
+
+def _owe(state: dict, reason: str, ticket: int) -> str:
+    """Books that a unit must be indexed. Until its slot is taken, changed content outlasts changes
+    of dependencies; a slot after that has its own reason. New content forgets crashes."""
+    new, fresh = state["reason"] is None, not state["queued"]
+    if new or fresh or reason == "ContentChanged":
+        state["reason"] = reason
+    if new or reason == "ContentChanged":
+        state.update(content=ticket if reason == "ContentChanged" else -1, crashes=0)
+    state.update(ticket=ticket, queued=True)
+    return "queued" if fresh else "merged"
+
+
+def _ledger(state: dict, e: dict, most: int = 3) -> list[dict]:
+    """Events of a unit: enqueue (reason ContentChanged or DepsOnly; seq is its ticket), take (its
+    slot begins to be worked on), then done, crash or preempt of what was taken (or of an explicit
+    ticket), and drop. Results and failures of content that has been replaced don't count; only a
+    result of the last ticket clears the debt; a unit is queued again after `most` crashes, and
+    given up at the next; preemptions are free."""
+    given = e.get("ticket")
+    ticket = state["flight"] if given is None or given != given else int(given)
+    owed, kind = state["reason"] is not None, e["kind"]
+    if kind == "enqueue":
+        outcome = _owe(state, e["reason"], int(e["seq"]))
+    elif kind == "take":
+        outcome = "taken" if owed and state["queued"] else "idle"
+        if outcome == "taken":
+            state.update(queued=False, flight=state["ticket"])
+    elif kind == "drop" or not owed:
+        outcome = "kept" if kind == "done" else "dropped"
+        if kind == "drop":
+            state.update(NO_DEBT)
+    elif ticket < state["content"]:
+        outcome = "discarded" if kind == "done" else "superseded"
+    elif kind == "done":
+        outcome = "cleared" if ticket == state["ticket"] else "kept"
+        if outcome == "cleared":
+            state.update(NO_DEBT)
+    elif kind == "crash" and state["crashes"] >= most:
+        outcome = "gave up"
+        state.update(NO_DEBT)
+    else:
+        outcome, crashes = "requeued", state["crashes"] + (kind == "crash")
+        _owe(state, "ContentChanged" if ticket == state["content"] else state["reason"], int(e["seq"]))
+        state["crashes"] = crashes
+    return [{"doc": e["doc"], "seq": e["seq"], "outcome": outcome}]
 
 
-def _requeue(state: dict, e: dict, most: int = 3) -> list[dict]:
-    """Events enqueue, fail, crash, preempt and land of a unit."""
-    what = None
-    if e["kind"] == "enqueue":
-        state.update(live=True, crashes=0)
-    elif e["kind"] == "land":
-        state.update(live=False, crashes=0)
-    elif not state["live"]:
-        what = "dropped"
-    elif e["kind"] == "preempt":
-        what = "requeued"
-    elif e.get("superseded"):
-        what = "superseded"
-    elif e["kind"] == "crash":
-        state["crashes"] += 1
-        what = "gave up" if state["crashes"] >= most else "requeued"
-        if what == "gave up":
-            state["live"] = False
-    return [{"doc": e["doc"], "seq": e["seq"], "verdict": what}] if what else []
+def _verdict(state: dict, e: dict) -> list[dict]:
+    """The ledger's outcomes of failures only."""
+    return [{"doc": r["doc"], "seq": r["seq"], "verdict": r["outcome"]} for r in _ledger(state, e) if e["kind"] in ("crash", "preempt")]
 
 
-REQUEUE = Fold("doc long, seq long, verdict string", lambda: {"live": False, "crashes": 0}, _requeue)
+PENDING = Fold("doc long, seq long, outcome string", lambda: NO_DEBT | {"flight": -1}, _ledger)
+REQUEUE = Fold("doc long, seq long, verdict string", lambda: NO_DEBT | {"flight": -1}, _verdict)
 
 
 def _quarantine(state: dict, e: dict, most: int = 2) -> list[dict]:
     """Events dispatch, crash and land (of a query kind, or of the compile without one), edit
     and reset of a document. Crashes pool into one budget; a compile's success clears only what
     it inherited at its dispatch, a query's success its own kind; an edit that changes
-    something arms one probe, which the next dispatch spends; a death counts once."""
+    something arms one probe, which the next dispatch spends; a death counts once, and one
+    without a name always."""
     crashes = lambda: state["streak"] + sum(state["kinds"].values())
     kind = e.get("query") or ""
     if e["kind"] == "reset":
@@ -134,12 +163,13 @@ def _quarantine(state: dict, e: dict, most: int = 2) -> list[dict]:
             state["inherited"] = state["streak"]
     elif e["kind"] == "crash":
         death = e.get("death") or ""
-        if not death or death != state["death"]:
-            if kind:
-                state["kinds"][kind] = state["kinds"].get(kind, 0) + 1
-            else:
-                state["streak"] += 1
-        state["death"] = death
+        if death and death == state["death"]:
+            pass  # counted
+        elif kind:
+            state["kinds"][kind] = state["kinds"].get(kind, 0) + 1
+        else:
+            state["streak"] += 1
+        state["death"] = death or state["death"]
     elif e["kind"] == "land":
         if kind:
             state["kinds"].pop(kind, None)
@@ -162,17 +192,21 @@ QUARANTINE = Fold("doc long, seq long, crashes long, blocked boolean, announce b
 
 
 def _budget(state: dict, e: dict, most: int = 2, cooldown: float = 300.0) -> list[dict]:
-    """Events crash, land and ask, with seconds `at`: blocked from the second crash on until the
-    cooldown since the last has passed; a success clears."""
+    """Events crash, land and ask (any other), with seconds `at`: blocked from the second crash on
+    until the cooldown since the last has passed, and then with a fresh budget; a success clears."""
     if e["kind"] == "crash":
         state.update(crashes=state["crashes"] + 1, last=float(e["at"]))
-    elif e["kind"] == "land":
+    elif e["kind"] == "land" or (state["crashes"] >= most and e["at"] - state["last"] >= cooldown):
         state.update(crashes=0)
-    blocked = state["crashes"] >= most and e["at"] - state["last"] < cooldown
-    return [{"doc": e["doc"], "seq": e["seq"], "blocked": bool(blocked)}]
+    return [{"doc": e["doc"], "seq": e["seq"], "blocked": state["crashes"] >= most}]
 
 
-CRASH_BUDGET = Fold("doc long, seq long, blocked boolean", lambda: {"crashes": 0, "last": 0.0}, _budget)
+def _cooling(state: dict, most: int = 2, cooldown: float = 300.0) -> float | None:
+    """Strikes below the budget stay; a spent budget is forgotten after the cooldown, none at once."""
+    return 0.0 if not state["crashes"] else cooldown if state["crashes"] >= most else None
+
+
+CRASH_BUDGET = Fold("doc long, seq long, blocked boolean", lambda: {"crashes": 0, "last": 0.0}, _budget, _cooling)
 
 
 def _limit(state: dict, e: dict, most: int = 8) -> list[dict]:
@@ -224,15 +258,23 @@ TRACK = Fold("path string, seq long, event string", lambda: {"seen": False, "has
 
 
 def _settle(state: dict, e: dict) -> list[dict]:
-    """Ticks of a file (stamp, there): a stamp is applied at its second tick in a row."""
+    """Ticks of a file (stamp, there; force and readable where the table has them): a stamp is
+    applied at its second tick in a row, or at a forced tick whatever it is. A missing file is
+    forgotten. One that can't be read just then isn't applied, and is tried again when its stamp
+    has settled again."""
     if not e["there"]:
         state.update(before=None, applied=None)
         return []
-    before, state["before"] = state["before"], e["stamp"]
-    if before != e["stamp"] or state["applied"] == e["stamp"]:
+    before, stamp, forced = state["before"], e["stamp"], e.get("force") is True
+    state["before"] = stamp
+    if not forced and (before != stamp or state["applied"] == stamp):
+        return []
+    state["before"] = None if forced else stamp
+    if e.get("readable") is False:
+        state["before"] = None
         return []
-    state["applied"] = e["stamp"]
-    return [{"path": e["path"], "tick": e["tick"], "stamp": e["stamp"]}]
+    state["applied"] = stamp
+    return [{"path": e["path"], "tick": e["tick"], "stamp": stamp}]
 
 
 DEBOUNCE = Fold("path long, tick long, stamp string", lambda: {"before": None, "applied": None}, _settle)
