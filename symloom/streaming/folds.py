@@ -24,13 +24,13 @@ ROWS = 1000
 
 @dataclass(frozen=True)
 class Fold:
-    """idle: seconds without events after which a stream forgets a state (0: at once; None:
-    never)."""
+    """idle: of a state, the seconds without events after which a stream forgets it (0: at once;
+    None: never)."""
 
     schema: str
     start: Callable[[], dict]
     step: Callable[[dict, dict], list[dict]]
-    idle: Callable[[dict], float | None] = lambda state: None
+    idle: Callable[[dict], float | None] | None = None
 
 
 def folded(parts: Iterator[pa.RecordBatch], key: str, fold: Fold, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def run_stream(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
         out = []
         for row in pd.concat(list(parts)).sort_values(seq, kind="stable").to_dict("records"):
             out += fold.step(own, row)
-        idle = fold.idle(own)
+        idle = fold.idle(own) if fold.idle else None
         if idle == 0:
             if state.exists:
                 state.remove()
@@ -82,7 +82,7 @@ def run_stream(rows: DataFrame, key: str, seq: str, fold: Fold) -> DataFrame:
                 state.setTimeoutDuration(int(idle * 1000))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(apply, fold.schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(apply, fold.schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if fold.idle else GroupStateTimeout.NoTimeout)
 
 
 NO_DEBT = {"reason": None, "ticket": -1, "content": -1, "crashes": 0, "queued": False}

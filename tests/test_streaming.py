@@ -1,5 +1,6 @@
 """Folds: literal histories, and the same outputs from a stream as from a batch."""
 
+import time
 from itertools import islice
 
 import pyarrow as pa
@@ -30,16 +31,61 @@ def test_a_success_clears_only_inherited_evidence():
     assert [r["crashes"] for r in out] == [1, 1, 2, 2, 0]
 
 
+def test_a_death_without_a_name_always_counts_and_hides_no_other():
+    out = history(folds.QUARANTINE, [{"kind": "crash", "death": "d1"}, {"kind": "crash", "death": ""}, {"kind": "crash", "death": "d1"}])
+    assert [r["crashes"] for r in out] == [1, 2, 2]
+
+
 def test_crash_budget_cools_down():
     out = history(folds.CRASH_BUDGET, [{"kind": "crash", "at": 0}, {"kind": "crash", "at": 10}, {"kind": "ask", "at": 300}, {"kind": "ask", "at": 311}])
     assert [r["blocked"] for r in out] == [False, True, True, False]
-
-
-def test_pending_and_requeue():
-    out = history(folds.PENDING, [{"kind": "enqueue", "reason": "DepsOnly"}, {"kind": "enqueue", "reason": "ContentChanged"}, {"kind": "done", "ticket": 0}, {"kind": "enqueue", "reason": "DepsOnly"}, {"kind": "done", "ticket": 1}, {"kind": "done", "ticket": 3}])
-    assert [r["outcome"] for r in out] == ["queued", "queued", "discarded", "queued", "kept", "cleared"]
-    out = history(folds.REQUEUE, [{"kind": "crash"}, {"kind": "enqueue"}, {"kind": "crash"}, {"kind": "preempt"}, {"kind": "crash"}, {"kind": "crash"}, {"kind": "fail"}])
-    assert [r["verdict"] for r in out] == ["dropped", "requeued", "requeued", "requeued", "gave up", "dropped"]
+    out = history(folds.CRASH_BUDGET, [{"kind": "crash", "at": 0}, {"kind": "crash", "at": 1}, {"kind": "ask", "at": 400}, {"kind": "crash", "at": 401}, {"kind": "crash", "at": 402}, {"kind": "land", "at": 403}])
+    assert [r["blocked"] for r in out] == [False, True, False, False, True, False]
+
+
+def test_pending_ledger():
+    add = lambda reason: {"kind": "enqueue", "reason": reason}
+    out = history(folds.PENDING, [add("DepsOnly"), add("ContentChanged"), {"kind": "done", "ticket": 0}, add("DepsOnly"), {"kind": "done", "ticket": 1}, {"kind": "done", "ticket": 3}, {"kind": "take"}])
+    assert [r["outcome"] for r in out] == ["queued", "merged", "discarded", "merged", "kept", "cleared", "idle"]
+    # Within a slot changed content stays; a slot after it has its own reason.
+    state = folds.PENDING.start()
+    for seq, e in enumerate([add("ContentChanged"), add("DepsOnly")]):
+        folds.PENDING.step(state, {"doc": 1, "seq": seq, **e})
+    assert state["reason"] == "ContentChanged"
+    for seq, e in enumerate([{"kind": "take"}, add("DepsOnly")], 2):
+        folds.PENDING.step(state, {"doc": 1, "seq": seq, **e})
+    assert state["reason"] == "DepsOnly"
+
+
+def test_requeue_verdicts():
+    add, take, crash, preempt = {"kind": "enqueue", "reason": "ContentChanged"}, {"kind": "take"}, {"kind": "crash"}, {"kind": "preempt"}
+    verdicts = lambda *events: [r["verdict"] for r in history(folds.REQUEUE, events)]
+    assert verdicts(crash, add, take, crash, take, crash, take, crash, take, crash, crash) == ["dropped", "requeued", "requeued", "requeued", "gave up", "dropped"]
+    # Preemptions are free, even when the budget is spent.
+    assert verdicts(add, take, crash, take, crash, take, crash, take, preempt, take, crash) == ["requeued"] * 4 + ["gave up"]
+    # What failed has been replaced, and the new content has a fresh budget.
+    assert verdicts(add, take, crash, take, crash, take, crash, take, add, crash, take, crash) == ["requeued"] * 3 + ["superseded", "requeued"]
+    # Dependencies that changed meanwhile don't give a fresh budget.
+    deps = {"kind": "enqueue", "reason": "DepsOnly"}
+    assert verdicts(add, take, crash, take, crash, take, crash, deps, take, crash) == ["requeued"] * 3 + ["gave up"]
+    assert verdicts(add, take, {"kind": "drop"}, crash) == ["dropped"]
+
+
+def test_forced_ticks_and_failed_reloads():
+    tick = lambda stamp, **more: {"path": 1, "tick": 0, "stamp": stamp, "there": stamp is not None, **more}
+    applied = lambda *ticks: [k for k, t in enumerate(ticks) for _ in folds.DEBOUNCE.step(state, t)]
+    state = folds.DEBOUNCE.start()
+    assert applied(tick("a"), tick("a"), tick("a"), tick("b", force=True), tick("b"), tick("b"), tick("b", force=True)) == [1, 3, 6]
+    state = folds.DEBOUNCE.start()
+    assert applied(tick("a"), tick("a", readable=False), tick("a"), tick("a"), tick(None), tick("a"), tick("a")) == [3, 6]
+
+
+def test_idle_states_are_forgotten(spark, tmp_path):
+    assert folds.CRASH_BUDGET.idle({"crashes": 2}) == 300 and folds.CRASH_BUDGET.idle({"crashes": 1}) is None and folds.CRASH_BUDGET.idle({"crashes": 0}) == 0
+    rows = [(k % 3, k, "crash" if k % 4 else "land", float(k)) for k in range(40)]
+    schema = "doc long, seq long, kind string, at double"
+    want = sorted(map(tuple, folds.run_batch(spark.createDataFrame(rows, schema), "doc", "seq", folds.CRASH_BUDGET).collect()), key=str)
+    assert streamed(spark, tmp_path, rows, schema, "doc", "seq", folds.CRASH_BUDGET, len(want)) == want
 
 
 def test_edits_are_clamped():
@@ -52,14 +98,17 @@ def test_tracker():
     assert [(r["seq"], r["event"]) for r in out] == [(2, "changed"), (3, "removed"), (4, "changed")]
 
 
-def streamed(spark, tmp_path, rows, schema, key, seq, fold):
+def streamed(spark, tmp_path, rows, schema, key, seq, fold, expected):
     half = len(rows) // 2
     for k, part in enumerate((rows[:half], rows[half:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/b{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     name = f"out_{fold.schema.split()[0]}_{len(rows)}"
     q = folds.run_stream(stream, key, seq, fold).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    # A query with timers goes on without data, so it is stopped once the rows are there.
+    until = time.time() + 60
+    while spark.table(name).count() < expected and time.time() < until:
+        time.sleep(0.5)
     q.stop()
     return sorted(map(tuple, spark.table(name).collect()), key=str)
 
@@ -73,7 +122,7 @@ def test_stream_equals_batch(spark, tmp_path, case):
         rows, schema, args = [(k % 2, k, "ab"[(k // 5) % 2], k % 17 != 0) for k in range(80)], "path long, tick long, stamp string, there boolean", ("path", "tick", folds.DEBOUNCE)
         batch = debounce(spark.createDataFrame(rows, schema)).select("path", "tick", "stamp")
     want = sorted(map(tuple, batch.collect()), key=str)
-    assert streamed(spark, tmp_path, rows, schema, *args) == want
+    assert streamed(spark, tmp_path, rows, schema, *args, len(want)) == want
     assert sorted(map(tuple, folds.run_batch(spark.createDataFrame(rows, schema), *args).collect()), key=str) == want
 
 
