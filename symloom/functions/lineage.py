@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (one machine), a new
-    temporary folder, which becomes the checkpoint folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset and the session runs on a
+    single machine, as in tests, a new temporary folder, which becomes the checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

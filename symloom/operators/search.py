@@ -23,6 +23,19 @@ CLASS_LIKE = ("Class", "Struct", "Union")
 BUCKET = 4096
 
 
+#: Rows of a stated list that meet every row of a table, at most.
+FEW = 10_000
+
+
+def few(asked: DataFrame) -> DataFrame:
+    """A stated list of queries or locators, to be broadcast: each of its rows is held against all
+    names, so a list that isn't short is refused."""
+    n = asked.limit(FEW + 1).count()
+    if n > FEW:
+        raise ValueError(f"more than {FEW} queries at once; ask in parts")
+    return F.broadcast(asked)
+
+
 def symbol_at(cursors: DataFrame, occurrences: DataFrame) -> DataFrame:
     """cursors (file_id, offset) with begin, end and symbol_id of the occurrence that holds the
     offset; one that only ends there comes after one that holds it. Both sides meet in buckets
@@ -83,6 +96,25 @@ def _places(rows: DataFrame, first) -> DataFrame:
     return places.withColumn("n", n).filter("not (more and here and n > 1)").select("cursor_file", "offset", "symbol_id", "file_id", "begin", "end")
 
 
+def place_counts(cursors: DataFrame, occurrences: DataFrame, relations: DataFrame, definitions_first: bool) -> DataFrame:
+    """cursors with n, how many places `definition` (definitions_first) or `declaration` gives,
+    and s, the sum of their offsets, without making a row for each: places are added up by
+    symbol, and a cursor's own place is taken off where it doesn't count."""
+    at = symbol_at(cursors, occurrences).select(F.col("file_id").alias("cursor_file"), "offset", "symbol_id")
+    places = relations.filter(F.col("kind").isin("Definition", "Declaration")).join(at.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    places = places.groupBy("symbol_id", "file_id", "begin", "end").agg(F.bool_or(F.col("kind") == "Definition").alias("main"))
+    sums = places.groupBy("symbol_id").agg(F.count("*").alias("n"), F.sum("begin").alias("s"), F.count_if("main").alias("n_main"), F.sum(F.when(F.col("main"), F.col("begin"))).alias("s_main"))
+    spans = places.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / BUCKET), F.floor(F.col("end") / BUCKET)))).withColumnRenamed("file_id", "cursor_file")
+    own = at.withColumn("bucket", F.floor(F.col("offset") / BUCKET)).join(spans, ["symbol_id", "cursor_file", "bucket"]).filter("begin <= offset and offset <= end")
+    own = own.groupBy("cursor_file", "offset").agg(F.count("*").alias("n_own"), F.sum("begin").alias("s_own"), F.bool_or("main").alias("on_main"))
+    rows = at.join(sums, "symbol_id").join(own, ["cursor_file", "offset"], "left")
+    more = (F.col("n_main") == 0) | F.coalesce("on_main", F.lit(False)) if definitions_first else F.lit(True)
+    off = more & (F.col("n") > 1)
+    n = F.when(off, F.col("n") - F.coalesce("n_own", F.lit(0))).when(more, F.col("n")).otherwise(F.col("n_main"))
+    s = F.when(off, F.col("s") - F.coalesce("s_own", F.lit(0))).when(more, F.col("s")).otherwise(F.col("s_main"))
+    return rows.select("cursor_file", "offset", n.alias("n"), s.alias("s")).filter("n > 0")
+
+
 def relation_location(wanted: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
     """One place per symbol: of the source with the lowest priority number, the first file and
     offset there."""
@@ -136,6 +168,14 @@ def references_with_context(wanted: DataFrame, relations: DataFrame, sources: Da
     return rows.join(context.withColumnRenamed("offset", "begin"), ["file_id", "begin"], "left").select("symbol_id", "file_id", "begin", "line", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def reference_totals(wanted: DataFrame, relations: DataFrame, definitions: bool = False) -> DataFrame:
+    """(symbol_id, total): how many references each wanted symbol has, 0 included; with
+    definitions too if asked for."""
+    kinds = ("Reference", "Definition") if definitions else ("Reference",)
+    rows = relations_of(wanted, relations, *kinds).select("symbol_id", "file_id", "begin").distinct().groupBy("symbol_id").agg(F.count("*").alias("total"))
+    return wanted.select("symbol_id").distinct().join(rows, "symbol_id", "left").select("symbol_id", F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def definition_text(wanted: DataFrame, relations: DataFrame, sources: DataFrame) -> DataFrame:
     """(symbol_id, file_id, text): the first definition whose range is in bounds and not empty."""
     found = relations_of(wanted, relations, "Definition").join(sources.select("file_id", F.length("content").alias("n")), "file_id").filter("begin < end and end <= n")
@@ -144,11 +184,14 @@ def definition_text(wanted: DataFrame, relations: DataFrame, sources: DataFrame)
 
 
 def calls(wanted: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
-    """(symbol_id, target_symbol, ranges): rows of Caller (incoming) or Callee (outgoing) by
-    target, with the number of distinct ranges; targets without a place are dropped."""
-    rows = relations_of(wanted, relations, kind).filter("target_symbol is not null").groupBy("symbol_id", "target_symbol").agg(F.countDistinct("file_id", "begin", "end").alias("ranges"))
-    placed = relations.filter(F.col("kind").isin("Definition", "Declaration")).select(F.col("symbol_id").alias("target_symbol"))
-    return rows.join(placed.distinct(), "target_symbol", "left_semi").select("symbol_id", "target_symbol", "ranges")
+    """(symbol_id, target_symbol, file_id, begin, end, ranges, calls): rows of Caller (incoming)
+    or Callee (outgoing) by target: where the target is (its definition, else its declaration;
+    targets without a place are dropped), and its distinct ranges (file_id, begin, end) in
+    order with their number."""
+    rows = relations_of(wanted, relations, kind).filter("target_symbol is not null").select("symbol_id", "target_symbol", F.struct("file_id", "begin", "end").alias("range")).distinct()
+    grouped = rows.groupBy("symbol_id", "target_symbol").agg(F.array_sort(F.collect_list("range")).alias("ranges"), F.count("*").alias("calls"))
+    place = canonical_location(rows.select(F.col("target_symbol").alias("symbol_id")), relations).withColumnRenamed("symbol_id", "target_symbol")
+    return grouped.join(place, "target_symbol").select("symbol_id", "target_symbol", "file_id", "begin", "end", "ranges", "calls")
 
 
 def incoming_calls(wanted: DataFrame, relations: DataFrame) -> DataFrame:
@@ -188,7 +231,7 @@ def search_symbols(queries: DataFrame, symbols: DataFrame, relations: DataFrame,
     if kinds is not None:
         rows = rows.filter(F.col("kind").isin(*kinds))
     defined = relations.filter("kind = 'Definition'").select("symbol_id").distinct()
-    hits = rows.join(F.broadcast(queries.select("query").distinct()), F.expr("contains(lower(name), lower(query))")).join(defined, "symbol_id", "left_semi")
+    hits = rows.join(few(queries.select("query").distinct()), F.expr("contains(lower(name), lower(query))")).join(defined, "symbol_id", "left_semi")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("name", "symbol_id"))).filter(F.col("rank") <= most).select("query", "rank", "symbol_id", "name", "kind")
 
 
@@ -196,7 +239,7 @@ def locate_symbols(locators: DataFrame, symbols: DataFrame, places: DataFrame) -
     """locators (locator, name, path) -> (locator, symbol_id): symbols named so, whole or after
     `::`, case aside; if there are none, those whose name holds it. With a path only those
     defined (places: symbol_id, path) in a file of that base name or path ending."""
-    asked = F.broadcast(locators.withColumn("low", F.lower("name")).select("locator", "low", F.col("path").alias("want")))
+    asked = few(locators.withColumn("low", F.lower("name")).select("locator", "low", F.col("path").alias("want")))
     low = F.lower(symbols["name"])
     hits = symbols.join(asked, F.contains(low, F.col("low"))).withColumn("partial", ~((low == F.col("low")) | F.endswith(low, F.concat(F.lit("::"), "low"))))
     ok = (basename(F.col("path")) == F.col("want")) | F.endswith(F.col("path"), F.concat(F.lit("/"), "want")) | (F.col("path") == F.col("want"))
@@ -238,34 +281,76 @@ def serving_files(files: DataFrame, pending: DataFrame, open_files: DataFrame, i
     return out if disk_only else out.join(open_files.select("file_id"), "file_id", "left_anti")
 
 
-def fuzzy_score(query: str, name: str) -> float:
-    """0 if query is no subsequence of name, case aside; else up to 2: the best sum over ways to
-    place the letters, in which starts of segments, runs and equal case count more."""
-    q, n = query.lower(), name.lower()
+#: Bytes of a query and of a name that take part in a fuzzy score.
+QUERY_MOST, NAME_MOST = 63, 127
+#: Scores of a letter: full marks, and what can't be.
+FULL, NEVER = 4, -(1 << 13)
+
+
+def segments(text: str) -> tuple[list[str], set[str]]:
+    """The place of each character in its segment (head, tail, or - for separators), and the
+    kinds of characters (lower, upper, -) that occur. Digits and non-ASCII count as lower."""
+    kind = ["upper" if "A" <= c <= "Z" else "lower" if c.isalnum() or ord(c) > 127 else "-" for c in text]
+    role = []
+    for i, k in enumerate(kind):
+        before, after = kind[i - 1] if i else "-", kind[i + 1] if i + 1 < len(kind) else None
+        inside = before == "lower" if k == "lower" else before == "upper" and after != "lower"
+        role.append("-" if k == "-" else "tail" if before != "-" and (inside or (k == "lower" and before == "upper")) else "head")
+    return role, set(kind)
+
+
+def fuzzy_score(query: str, name: str) -> float | None:
+    """How well the letters of query are found in order in name, case aside; None: not at all.
+
+    The best placement counts. The first letter, and one after a gap, must begin a segment.
+    A letter scores 1; 1 more if the case agrees or it begins a segment in both; 2 more right
+    after another or at the start of the name. It costs to skip the first character (3) and the
+    head of a segment (1) before the last letter is placed, and to match inside of a segment.
+    Full marks for every letter are 1, and twice that if nothing of the name is left over. Bytes
+    count as letters, and only ASCII has cases."""
+    q, n = (x.encode().decode("latin-1")[:most] for x, most in ((query, QUERY_MOST), (name, NAME_MOST)))
     if not q:
         return 1.0
-    head = [i == 0 or not name[i - 1].isalnum() or (name[i].isupper() and not name[i - 1].isupper()) or (name[i].isdigit() != name[i - 1].isdigit()) for i in range(len(name))]
-    worst = -1e9
-    run = [worst] * len(n)  # best sums with the last letter placed here
-    for k, c in enumerate(q):
-        best, now = worst, [worst] * len(n)
-        for i, x in enumerate(n):
-            if x == c:
-                point = 1.0 + (1.0 if head[i] else 0.0) + (0.2 if query[k] == name[i] else 0.0)
-                before = 0.0 if k == 0 else max(best, (run[i - 1] + 0.8) if i and run[i - 1] > worst else worst)
-                if before > worst:
-                    now[i] = before + point
-            best = max(best, run[i] if k else worst)
-        run = now
-    top = max(run, default=worst)
-    return 0.0 if top <= worst else min(2.0, 2.0 * top / (3.0 * len(q)) * (0.8 + 0.2 * len(q) / len(n)))
+    if len(q) > len(n):
+        return None
+    same = [c.lower() if c.isascii() else c for c in n]
+    role, kinds = segments(n)
+    own_role, own_kinds = segments(q)
+    single = own_kinds in ({"lower"}, {"upper"})
+    skip = [3 if i == 0 else int(r == "head") for i, r in enumerate(role)]
+    # Best sums over the characters so far whose last one was skipped, or matched.
+    skipped, matched = [0], [NEVER]
+    for i in range(len(n)):
+        skipped.append(skipped[-1] - skip[i])
+        matched.append(NEVER)
+    for k, letter in enumerate(q):
+        last = k == len(q) - 1
+        low = letter.lower() if letter.isascii() else letter
+        to_skipped, to_matched = [NEVER] * (len(n) + 1), [NEVER] * (len(n) + 1)
+        for i in range(k, len(n)):
+            cost = 0 if last else skip[i]
+            to_skipped[i + 1] = max(to_matched[i], to_skipped[i]) - cost
+            if same[i] != low:
+                continue
+            tail = role[i] == "tail"
+            point = 1 + (letter == n[i] or (role[i] == "head" and (single or own_role[k] == "head"))) - (own_role[k] == "head" and tail) - 4 * (k == 0 and tail)
+            run = matched[i] + point + 2
+            # Capitals of one word may begin segments of their own, unless all letters are capitals.
+            strong = not tail or (n[i] != same[i] and "lower" in kinds)
+            jump = skipped[i] + point + 2 * (i == 0) - 3 * (tail and k > 0) if strong else NEVER
+            to_matched[i + 1] = max(run, jump)
+        skipped, matched = to_skipped, to_matched
+    best = max(skipped[-1], matched[-1])
+    if best < NEVER / 2:
+        return None
+    return min(FULL * len(q), max(0, best)) / (FULL * len(q)) * (2 if len(q) == len(n) else 1)
 
 
 def fuzzy_rank(queries: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, name, score): the k best of the distinct names for each of the (few, stated)
-    queries. Names that lack the letters in order are dropped before any is scored."""
+    queries, ties by name. Names that lack the letters in order are dropped before any is scored."""
     letters = F.transform(F.filter(F.split(F.lower("query"), ""), lambda x: x != ""), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
-    asked = F.broadcast(queries.select("query").distinct().withColumn("rx", F.concat(F.lit("(?s)"), F.array_join(letters, ".*"))))
+    asked = few(queries.select("query").distinct()).withColumn("rx", F.concat(F.lit("(?s)"), F.array_join(letters, ".*")))
     pairs = names.select("name").distinct().join(asked, F.expr("length(name) >= length(query) and lower(name) rlike rx"))
 
     @F.pandas_udf("double")
@@ -273,7 +358,7 @@ def fuzzy_rank(queries: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
         for q, n in parts:
             yield pd.Series([fuzzy_score(a, b) for a, b in zip(q, n, strict=True)], dtype=float)
 
-    scored = pairs.select("query", "name", score("query", "name").alias("score")).filter("score > 0")
+    scored = pairs.select("query", "name", score("query", "name").alias("score")).filter("score is not null")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))).filter(F.col("rank") <= k).select("query", "rank", "name", "score")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from symloom.operators import change as c
 from symloom.streaming import folds
 
-from .registry import query
+from .registry import alias, query
 
 
 def deps(t):
@@ -33,9 +33,9 @@ def _(t):
 V = "v AS (SELECT a.*, b.size AS s1, b.mtime_ns AS m1, b.hash AS h1, CASE WHEN b.hash IS NULL THEN TRUE WHEN a.size = b.size AND a.mtime_ns = b.mtime_ns THEN FALSE ELSE a.hash <> b.hash END AS changed FROM {x9a} a LEFT JOIN {x9b} b USING (path))"
 
 
-@query("H3_deps_changed", f"WITH {V} SELECT artifact, bool_or(changed) AS changed FROM v WHERE mtime_ns % 9 = 1 GROUP BY artifact")
+@query("H3_deps_changed", f"WITH {V} SELECT artifact, bool_or(changed) AS changed FROM v GROUP BY artifact")
 def _(t):
-    return c.deps_changed(deps(t).filter("mtime_ns % 9 = 1"), t.x9b)
+    return c.deps_changed(deps(t), t.x9b)
 
 
 @query("H4_repair_fast_path", f"WITH {V} SELECT artifact, path, CASE WHEN hash = h1 THEN s1 ELSE size END AS size, CASE WHEN hash = h1 THEN m1 ELSE mtime_ns END AS mtime_ns, hash, FALSE AS missing FROM v")
@@ -48,20 +48,14 @@ def _(t):
     return c.capture_deps(t.x9a.select("artifact", "path"), t.x9b, 100)
 
 
-@query("H6_stale_tus", f"WITH {V} SELECT DISTINCT artifact AS tu FROM v WHERE changed AND mtime_ns % 9 = 1 UNION SELECT source FROM {{documents}} WHERE source NOT IN (SELECT artifact FROM {{x9a}} WHERE mtime_ns % 9 = 1)")
-def _(t):
-    return c.stale_tus(t.documents.select(F.col("source").alias("tu")), deps(t).filter("mtime_ns % 9 = 1").withColumnRenamed("artifact", "tu"), t.x9b)
-
-
-# The same over every dependency. The SQL above holds a part of the rows, so these have none.
-@query("H3_deps_changed_whole")
+@query("H6_stale_tus", f"WITH {V} SELECT DISTINCT artifact AS tu FROM v WHERE changed UNION SELECT source FROM {{documents}} WHERE source NOT IN (SELECT artifact FROM {{x9a}})")
 def _(t):
-    return c.deps_changed(deps(t), t.x9b)
+    return c.stale_tus(t.documents.select(F.col("source").alias("tu")), deps(t).withColumnRenamed("artifact", "tu"), t.x9b)
 
 
-@query("H6_stale_tus_whole")
-def _(t):
-    return c.stale_tus(t.documents.select(F.col("source").alias("tu")), deps(t).withColumnRenamed("artifact", "tu"), t.x9b)
+# Other names of queries over every dependency.
+for name in ("H3_deps_changed", "H6_stale_tus"):
+    alias(name + "_whole", name)
 
 
 EVENTS = "ev AS (SELECT CASE event_type WHEN 'click' THEN 'changed' WHEN 'view' THEN 'saved' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'opened' ELSE 'closed' END AS kind, 1 + event_id % 150 AS file_id FROM {events} WHERE event_id % 11 = 0), moved AS (SELECT DISTINCT file_id FROM ev WHERE kind IN ('changed', 'saved', 'removed')), opened AS (SELECT p_partkey AS f FROM {part} WHERE p_partkey % 4 = 0)"

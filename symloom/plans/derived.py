@@ -8,6 +8,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symloom.functions.lineage import shared_folder
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _FILES = "SELECT p_partkey AS file_id, concat('/src/', lower(replace(p_brand,'#','')), '/f', p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '.cpp' ELSE '.h' END) AS path FROM {part}"
@@ -17,10 +19,19 @@ UNION ALL SELECT p_partkey, 1, CAST(floor(p_partkey/2) AS BIGINT), FALSE, 2 FROM
 _OCC = """SELECT * FROM (SELECT doc_id AS file_id, source AS tu, line, tok, {KEY} AS symbol_id, lower(w) AS name,
   CAST(coalesce(sum(length(w)+1) OVER (PARTITION BY doc_id ORDER BY line, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS begin_off,
   CAST(length(w) AS BIGINT) AS len FROM t) q WHERE len > 0"""
-_RELATIONS = """SELECT file_id, symbol_id, CASE WHEN rn = 1 THEN 'Definition' ELSE 'Reference' END AS kind, begin_off, begin_off + len AS end_off, CAST(NULL AS BIGINT) AS target_symbol
-FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY file_id, begin_off) AS rn FROM {x4}) a
-UNION ALL SELECT file_id, symbol_id, 'Callee', begin_off, begin_off + len, nxt FROM (SELECT *, lead(symbol_id) OVER (PARTITION BY file_id, line ORDER BY tok) AS nxt FROM {x4}) b WHERE nxt IS NOT NULL
-UNION ALL SELECT file_id, nxt, 'Caller', begin_off, begin_off + len, symbol_id FROM (SELECT *, lead(symbol_id) OVER (PARTITION BY file_id, line ORDER BY tok) AS nxt FROM {x4}) d WHERE nxt IS NOT NULL"""
+# Where a symbol comes first is its definition: a partial minimum that is joined back. Every
+# occurrence is itself, and a call of and from the symbol after it in its line.
+_FIRST = "SELECT symbol_id, min(file_id * 4294967296 + begin_off) AS first FROM {x4} GROUP BY symbol_id"
+_NEXT = "SELECT *, lead(symbol_id) OVER (PARTITION BY file_id, line ORDER BY tok) AS nxt FROM {x4}"
+_KIND = "CASE WHEN o.file_id * 4294967296 + o.begin_off = f.first THEN 'Definition' ELSE 'Reference' END"
+_RELATIONS = (
+    f"""SELECT o.file_id, r.symbol_id, r.kind, o.begin_off, o.begin_off + o.len AS end_off, r.target_symbol FROM ({_NEXT}) o JOIN ({_FIRST}) f ON f.symbol_id = o.symbol_id
+LATERAL VIEW explode(filter(array(named_struct('symbol_id', o.symbol_id, 'kind', {_KIND}, 'target_symbol', CAST(NULL AS BIGINT)), named_struct('symbol_id', o.symbol_id, 'kind', 'Callee', 'target_symbol', nxt), named_struct('symbol_id', nxt, 'kind', 'Caller', 'target_symbol', o.symbol_id)),
+  x -> x.symbol_id IS NOT NULL AND (x.target_symbol IS NOT NULL OR x.kind NOT IN ('Callee', 'Caller')))) v AS r""",
+    f"""SELECT o.file_id, o.symbol_id, {_KIND} AS kind, o.begin_off, o.begin_off + o.len AS end_off, CAST(NULL AS BIGINT) AS target_symbol FROM {{x4}} o JOIN ({_FIRST}) f ON f.symbol_id = o.symbol_id
+UNION ALL SELECT file_id, symbol_id, 'Callee', begin_off, begin_off + len, nxt FROM ({_NEXT}) b WHERE nxt IS NOT NULL
+UNION ALL SELECT file_id, nxt, 'Caller', begin_off, begin_off + len, symbol_id FROM ({_NEXT}) d WHERE nxt IS NOT NULL""",
+)
 
 #: Name -> SQL for both engines, or (Spark, DuckDB).
 DERIVED: dict[str, str | tuple[str, str]] = {
@@ -59,14 +70,26 @@ UNION ALL SELECT s_suppkey, 0, 1, 'nope.h', TRUE, FALSE FROM {supplier} WHERE s_
 }
 
 
+#: Derived tables that many queries read: written once a session and input, by these columns.
+WRITTEN = {"x4": [], "x14": ["kind"]}
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = DERIVED[name]
     sql = sql if isinstance(sql, str) else sql[0]
-    inputs = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{i: table(spark, sf_dir, i) for i in inputs})
+    made = spark.sql(sql, **{i: table(spark, sf_dir, i) for i in set(re.findall(r"\{(\w+)\}", sql))})
+    if name not in WRITTEN:
+        return made
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = shared_folder(spark, name)
+        made.write.partitionBy(*WRITTEN[name]).parquet(path)
+        _written[key] = path
+    return spark.read.schema(made.schema).parquet(_written[key]).select(*made.columns)
 
 
 def oracle(sql: str) -> str:

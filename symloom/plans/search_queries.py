@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import search as s
 
-from .registry import query
+from .registry import alias, query
 
 DEF = "def AS (SELECT symbol_id, file_id, begin_off AS b, end_off AS e FROM {x14} WHERE kind = 'Definition')"
 KIND = "CASE symbol_id % 6 WHEN 0 THEN 'Class' WHEN 1 THEN 'Function' WHEN 2 THEN 'Parameter' WHEN 3 THEN 'Label' WHEN 4 THEN 'Header' ELSE 'Macro' END"
@@ -31,17 +31,17 @@ def docs(t):
 
 
 def cursors(t):
-    return t.x4.filter("tok % 5 = 0").select("file_id", (F.col("begin_off") + F.floor(F.col("len") / 2)).alias("offset"))
+    return t.x4.select("file_id", (F.col("begin_off") + F.floor(F.col("len") / 2)).alias("offset"))
 
 
-@query("G1_symbol_at", "SELECT file_id, begin_off + len // 2 AS offset, begin_off AS begin, begin_off + len AS \"end\", symbol_id FROM {x4} WHERE tok % 5 = 0")
+@query("G1_symbol_at", "SELECT file_id, begin_off + len // 2 AS offset, begin_off AS begin, begin_off + len AS \"end\", symbol_id FROM {x4}")
 def _(t):
     return s.symbol_at(cursors(t), occ(t))
 
 
-@query("G2_relations_of", "SELECT symbol_id, file_id, begin_off AS begin FROM {x14} WHERE kind = 'Reference' AND symbol_id % 3 = 0")
+@query("G2_relations_of", "SELECT symbol_id, file_id, begin_off AS begin FROM {x14} WHERE kind = 'Reference'")
 def _(t):
-    return s.relations_of(t.x4.filter("symbol_id % 3 = 0"), rel(t), "Reference").select("symbol_id", "file_id", "begin")
+    return s.relations_of(t.x4, rel(t), "Reference").select("symbol_id", "file_id", "begin")
 
 
 @query("G3_symbol_info", f"WITH n AS (SELECT symbol_id, name, {KIND} AS kind, CASE WHEN file_id % 9 = 0 THEN 0 ELSE 1 END AS p FROM {{x4}} UNION ALL SELECT symbol_id, concat(chr(48), name), {KIND}, 0 FROM {{x4}} WHERE file_id % 11 = 0) SELECT symbol_id, min_by(name, (p, name)) AS name, any_value(kind) AS kind FROM n GROUP BY symbol_id")
@@ -51,35 +51,35 @@ def _(t):
     return s.symbol_info(t.x4, base.drop("file_id").union(more))
 
 
-@query("G4_relation_locations", "SELECT DISTINCT symbol_id, file_id, begin_off AS begin, end_off AS \"end\" FROM {x14} WHERE kind = 'Callee' AND symbol_id % 2 = 0")
+@query("G4_relation_locations", "SELECT DISTINCT symbol_id, file_id, begin_off AS begin, end_off AS \"end\" FROM {x14} WHERE kind = 'Callee'")
 def _(t):
-    return s.relation_locations(t.x4.filter("symbol_id % 2 = 0"), rel(t), "Callee")
+    return s.relation_locations(t.x4, rel(t), "Callee")
 
 
-DECL = "r2 AS (SELECT symbol_id, file_id, begin_off AS b, end_off AS e, CASE WHEN kind = 'Definition' THEN kind ELSE 'Declaration' END AS kind FROM {x14} WHERE (kind = 'Definition' AND symbol_id % 2 = 0) OR (kind = 'Reference' AND begin_off % 4 = 0)), cur AS (SELECT file_id AS cf, begin_off + len // 2 AS o, symbol_id FROM {x4} WHERE tok % 25 = 0), j AS (SELECT DISTINCT cf, o, r2.*, (r2.file_id = cf AND o BETWEEN b AND e) AS here FROM cur JOIN r2 USING (symbol_id))"
+# Definitions of every other symbol, and a part of all places, are declarations.
+DECLARED = "CASE WHEN kind = 'Definition' AND symbol_id % 2 = 0 THEN kind WHEN kind IN ('Definition', 'Reference') AND {} % 4 = 0 THEN 'Declaration' WHEN kind = 'Definition' THEN 'Reference' ELSE kind END"
+PLACES = f"""r2 AS (SELECT symbol_id, file_id, begin_off AS b, end_off AS e, {DECLARED.format("begin_off")} AS kind FROM {{x14}}),
+pl AS (SELECT symbol_id, file_id, b, e, bool_or(kind = 'Definition') AS main FROM r2 WHERE kind IN ('Definition', 'Declaration') GROUP BY ALL), sums AS (SELECT symbol_id, count(*) AS n, sum(b) AS s, count(*) FILTER (main) AS nm, sum(b) FILTER (main) AS sm FROM pl GROUP BY 1),
+cur AS (SELECT file_id AS cf, begin_off + len // 2 AS o, symbol_id FROM {{x4}}), own AS (SELECT cf, o, count(*) AS n0, sum(b) AS s0, bool_or(main) AS om FROM cur JOIN pl ON pl.symbol_id = cur.symbol_id AND file_id = cf AND o BETWEEN b AND e GROUP BY 1, 2)"""
 
 
 def declared(t):
-    kind = F.when(F.col("kind") == "Definition", F.col("kind")).otherwise("Declaration")
-    return rel(t).filter("(kind = 'Definition' and symbol_id % 2 = 0) or (kind = 'Reference' and begin % 4 = 0)").withColumn("kind", kind)
-
+    return rel(t).withColumn("kind", F.expr(DECLARED.format("begin")))
 
-def some_cursors(t):
-    return t.x4.filter("tok % 25 = 0").select("file_id", (F.col("begin_off") + F.floor(F.col("len") / 2)).alias("offset"))
 
+def place_sql(more: str) -> str:
+    return f"""WITH {PLACES}, m AS (SELECT cur.cf AS cursor_file, cur.o AS "offset", n, s, nm, sm, coalesce(n0, 0) AS n0, coalesce(s0, 0) AS s0, {more} AS more FROM cur JOIN sums USING (symbol_id) LEFT JOIN own ON own.cf = cur.cf AND own.o = cur.o),
+k AS (SELECT cursor_file, "offset", CASE WHEN NOT more THEN nm WHEN n > 1 THEN n - n0 ELSE n END AS n, CAST(CASE WHEN NOT more THEN sm WHEN n > 1 THEN s - s0 ELSE s END AS BIGINT) AS s FROM m) SELECT * FROM k WHERE n > 0"""
 
-def counted(df):
-    return df.groupBy("cursor_file", "offset").agg(F.count("*").alias("n"), F.sum("begin").alias("s"))
 
-
-@query("G5_definition", f"WITH {DECL}, m AS (SELECT *, count(*) FILTER (kind = 'Definition') OVER w = 0 OR coalesce(bool_or(kind = 'Definition' AND here) OVER w, FALSE) AS more FROM j WINDOW w AS (PARTITION BY cf, o)), p AS (SELECT DISTINCT cf, o, symbol_id, file_id, b, e, here, more FROM m WHERE kind = 'Definition' OR more), q AS (SELECT *, count(*) OVER (PARTITION BY cf, o) AS n FROM p) SELECT cf AS cursor_file, o AS \"offset\", count(*) AS n, CAST(sum(b) AS BIGINT) AS s FROM q WHERE NOT (more AND here AND n > 1) GROUP BY cf, o")
+@query("G5_definition", place_sql("(nm = 0 OR coalesce(om, FALSE))"))
 def _(t):
-    return counted(s.definition(some_cursors(t), occ(t), declared(t)))
+    return s.place_counts(cursors(t), occ(t), declared(t), True)
 
 
-@query("G6_declaration", f"WITH {DECL}, p AS (SELECT DISTINCT cf, o, symbol_id, file_id, b, e, here FROM j), q AS (SELECT *, count(*) OVER (PARTITION BY cf, o) AS n FROM p) SELECT cf AS cursor_file, o AS \"offset\", count(*) AS n, CAST(sum(b) AS BIGINT) AS s FROM q WHERE NOT (here AND n > 1) GROUP BY cf, o")
+@query("G6_declaration", place_sql("TRUE"))
 def _(t):
-    return counted(s.declaration(some_cursors(t), occ(t), declared(t)))
+    return s.place_counts(cursors(t), occ(t), declared(t), False)
 
 
 TARGETS = "SELECT DISTINCT c.symbol_id, target_symbol, d.file_id, d.b AS begin, d.e AS \"end\" FROM {x14} c JOIN def d ON d.symbol_id = target_symbol WHERE kind = 'Callee' AND target_symbol IS NOT NULL"
@@ -89,9 +89,9 @@ def renamed(t, kind):
     return rel(t).withColumn("kind", F.when(F.col("kind") == "Callee", kind).otherwise(F.col("kind")))
 
 
-@query("G7_type_definition", f"WITH {DEF} {TARGETS} AND c.symbol_id % 5 = 0")
+@query("G7_type_definition", f"WITH {DEF} {TARGETS}")
 def _(t):
-    return s.type_definition(t.x4.filter("symbol_id % 5 = 0"), renamed(t, "TypeDefinition"))
+    return s.type_definition(t.x4, renamed(t, "TypeDefinition"))
 
 
 @query("G8_implementation", f"WITH {DEF} {TARGETS} AND (CASE WHEN c.symbol_id % 6 = 0 THEN c.begin_off % 2 = 0 ELSE c.begin_off % 2 = 1 END)")
@@ -100,14 +100,19 @@ def _(t):
     return s.implementation(t.x4.select("symbol_id").distinct(), symbols(t), rel(t).withColumn("kind", split))
 
 
-@query("G9_references", "SELECT DISTINCT symbol_id, kind, file_id, begin_off AS begin, end_off AS \"end\" FROM {x14} WHERE kind IN ('Reference', 'Definition') AND symbol_id % 7 = 0")
+@query("G9_references", "SELECT DISTINCT symbol_id, kind, file_id, begin_off AS begin, end_off AS \"end\" FROM {x14} WHERE kind IN ('Reference', 'Definition')")
 def _(t):
-    return s.references(t.x4.filter("symbol_id % 7 = 0"), rel(t))
+    return s.references(t.x4, rel(t))
 
 
-@query("G10_references_with_context", f"WITH {LINES} SELECT symbol_id, o.file_id, begin_off AS begin, o.line, text FROM {{x4}} o JOIN dl ON dl.file_id = o.file_id AND dl.line = o.line WHERE symbol_id % 7 = 0")
+@query("G10_references_with_context", f"WITH {LINES} SELECT symbol_id, o.file_id, begin_off AS begin, o.line, text FROM {{x4}} o JOIN dl ON dl.file_id = o.file_id AND dl.line = o.line")
 def _(t):
-    return s.references_with_context(t.x4.filter("symbol_id % 7 = 0"), rel(t), docs(t), definitions=True)
+    return s.references_with_context(t.x4, rel(t), docs(t), definitions=True)
+
+
+@query("G10_reference_totals", "SELECT symbol_id, count(DISTINCT (file_id, begin_off)) FILTER (kind IN ('Reference', 'Definition')) AS total FROM {x14} GROUP BY symbol_id")
+def _(t):
+    return s.reference_totals(t.x4, rel(t), definitions=True)
 
 
 @query("G11_definition_text", f"WITH {DEF} SELECT symbol_id, file_id, substr(text, b + 1, e - b) AS text FROM def JOIN {{documents}} ON doc_id = file_id")
@@ -125,17 +130,23 @@ def _(t):
     return s.resolve_symbol(t.x4, symbols(t), rel(t))
 
 
-CALLS = "SELECT symbol_id, target_symbol, count(DISTINCT (file_id, begin_off, end_off)) AS ranges FROM {x14} WHERE kind = '%s' AND target_symbol IS NOT NULL GROUP BY 1, 2"
+CALLS = f"""WITH {DEF}, c AS (SELECT DISTINCT symbol_id, target_symbol, file_id, begin_off, end_off FROM {{x14}} WHERE kind = '%s' AND target_symbol IS NOT NULL)
+SELECT c.symbol_id, target_symbol, def.file_id, b AS begin, e AS "end", count(*) AS calls, string_agg(concat_ws('-', c.file_id, begin_off, end_off), ' ' ORDER BY c.file_id, begin_off, end_off) AS ranges FROM c JOIN def ON def.symbol_id = target_symbol GROUP BY 1, 2, 3, 4, 5"""
+
+
+def spelled(calls):
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["file_id"], r["begin"], r["end"])), " ")
+    return calls.withColumn("ranges", text)
 
 
 @query("G14_incoming_calls", CALLS % "Caller")
 def _(t):
-    return s.incoming_calls(t.x4, rel(t))
+    return spelled(s.incoming_calls(t.x4, rel(t)))
 
 
 @query("G15_outgoing_calls", CALLS % "Callee")
 def _(t):
-    return s.outgoing_calls(t.x4, rel(t))
+    return spelled(s.outgoing_calls(t.x4, rel(t)))
 
 
 @query("G16_supertypes", f"WITH {DEF} {TARGETS}")
@@ -148,51 +159,14 @@ def _(t):
     return s.subtypes(t.x4, renamed(t, "Derived"))
 
 
-@query("G17_hierarchy", "SELECT DISTINCT symbol_id AS root, kind AS side, target_symbol AS symbol_id, 1 AS depth FROM {x14} WHERE kind IN ('Caller', 'Callee') AND target_symbol IS NOT NULL AND target_symbol <> symbol_id AND symbol_id % 10 = 0")
-def _(t):
-    return s.hierarchy(t.x4.filter("symbol_id % 10 = 0").select("symbol_id").distinct(), rel(t), "Caller", "Callee")
-
-
-# The same over all of x4, x14 and documents. The SQL above holds a part of the rows, so these
-# have none.
-@query("G1_symbol_at_whole")
-def _(t):
-    return s.symbol_at(t.x4.select("file_id", (F.col("begin_off") + F.floor(F.col("len") / 2)).alias("offset")), occ(t))
-
-
-@query("G2_relations_of_whole")
-def _(t):
-    return s.relations_of(t.x4, rel(t), "Reference").select("symbol_id", "file_id", "begin")
-
-
-@query("G4_relation_locations_whole")
-def _(t):
-    return s.relation_locations(t.x4, rel(t), "Callee")
-
-
-@query("G7_type_definition_whole")
-def _(t):
-    return s.type_definition(t.x4, renamed(t, "TypeDefinition"))
-
-
-@query("G9_references_whole")
-def _(t):
-    return s.references(t.x4, rel(t))
-
-
-@query("G10_references_with_context_whole")
-def _(t):
-    return s.references_with_context(t.x4, rel(t), docs(t), definitions=True)
-
-
-@query("G17_hierarchy_whole")
+@query("G17_hierarchy", "SELECT DISTINCT symbol_id AS root, kind AS side, target_symbol AS symbol_id, 1 AS depth FROM {x14} WHERE kind IN ('Caller', 'Callee') AND target_symbol IS NOT NULL AND target_symbol <> symbol_id")
 def _(t):
     return s.hierarchy(t.x4.select("symbol_id").distinct(), rel(t), "Caller", "Callee")
 
 
-@query("G22_document_symbols_whole")
-def _(t):
-    return s.document_symbols(t.documents.select(F.col("doc_id").alias("file_id")), symbols(t), rel(t), docs(t))
+# Other names of queries over whole tables.
+for name in ("G1_symbol_at", "G2_relations_of", "G4_relation_locations", "G7_type_definition", "G9_references", "G10_references_with_context", "G17_hierarchy"):
+    alias(name + "_whole", name)
 
 
 def asked(t):
@@ -233,12 +207,15 @@ def _(t):
     return s.resolve_unique(locators(t), s.locate_symbols(locators(t), symbols(t), places(t)))
 
 
-@query("G22_document_symbols", f"WITH {DEF}, {SYM} SELECT def.file_id, symbol_id, sym.name, sym.kind, o.line + 1 AS start_line, o.line + 1 AS end_line FROM def JOIN sym USING (symbol_id) JOIN {{x4}} o ON o.file_id = def.file_id AND o.begin_off = def.b WHERE sym.kind IN ('Class', 'Function', 'Macro') AND def.file_id % 3 = 0".replace("symbol_id, sym.name", "def.symbol_id, sym.name").replace("JOIN sym USING (symbol_id)", "JOIN sym ON sym.symbol_id = def.symbol_id"))
+@query("G22_document_symbols", f"WITH {DEF}, {SYM} SELECT def.file_id, symbol_id, sym.name, sym.kind, o.line + 1 AS start_line, o.line + 1 AS end_line FROM def JOIN sym USING (symbol_id) JOIN {{x4}} o ON o.file_id = def.file_id AND o.begin_off = def.b WHERE sym.kind IN ('Class', 'Function', 'Macro')".replace("symbol_id, sym.name", "def.symbol_id, sym.name").replace("JOIN sym USING (symbol_id)", "JOIN sym ON sym.symbol_id = def.symbol_id"))
 def _(t):
-    files = t.documents.select(F.col("doc_id").alias("file_id")).filter("file_id % 3 = 0")
+    files = t.documents.select(F.col("doc_id").alias("file_id"))
     return s.document_symbols(files, symbols(t), rel(t), docs(t))
 
 
+alias("G22_document_symbols_whole", "G22_document_symbols")
+
+
 @query("G23_read_symbol", f"WITH {LOC}, {DEF}, c AS (SELECT n_nationkey AS locator, (SELECT count(*) FROM located l WHERE l.locator = n_nationkey) AS candidates, (SELECT min(symbol_id) FROM located l WHERE l.locator = n_nationkey) AS m FROM {{nation}}) SELECT locator, CASE WHEN candidates = 0 THEN 'not found' WHEN candidates = 1 THEN 'found' ELSE 'ambiguous' END AS status, candidates, CASE WHEN candidates = 1 THEN (SELECT substr(text, b + 1, e - b) FROM def JOIN {{documents}} ON doc_id = file_id WHERE symbol_id = m) END AS text FROM c")
 def _(t):
     return s.read_symbol(locators(t), symbols(t), places(t), rel(t), docs(t))
