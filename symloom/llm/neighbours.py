@@ -50,10 +50,15 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.filter(ok & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vec"))
 
 
-def distances(vectors: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Euclidean distances of each of vectors to x. Squares that would overflow or vanish are
-    taken of rows times a power of two."""
-    most = np.maximum(np.abs(vectors).max(axis=1, initial=0), np.abs(x).max(initial=0))
+def largest(vectors: np.ndarray) -> np.ndarray:
+    """The largest component of each vector, without its sign."""
+    return np.maximum(vectors.max(axis=1, initial=0), -vectors.min(axis=1, initial=0))
+
+
+def distances(vectors: np.ndarray, x: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """Euclidean distances of each of vectors (with their largest components) to x. Squares that
+    would overflow or vanish are taken of rows times a power of two."""
+    most = np.maximum(largest(vectors) if most is None else most, np.abs(x).max(initial=0))
     odd = (most > 1e140) | (most < 1e-140)
     with np.errstate(over="ignore", under="ignore"):
         found = np.sqrt(((vectors - x) ** 2).sum(axis=1))
@@ -80,7 +85,7 @@ class Block:
     """The sorted arrays of a block's projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.largest = ids, vectors, largest(vectors)
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
         places = (vectors * SCALE) @ self.directions
         order = np.argsort(places, axis=0, kind="stable")
@@ -93,7 +98,7 @@ class Block:
         n = len(self.ids)
         at = (query * SCALE) @ self.directions
         need = math.ceil(THRESHOLD * PROJECTIONS)
-        count = np.zeros(n, np.int16)
+        count = np.zeros(n, np.int64)
         own = self.ids == query_id
         lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
         hi = lo.copy()
@@ -109,17 +114,19 @@ class Block:
             for j in range(PROJECTIONS):
                 a = np.searchsorted(self.sorted[j, : lo[j]], at[j] - half)
                 b = hi[j] + np.searchsorted(self.sorted[j, hi[j] :], at[j] + half, side="right")
-                for ring in (self.order[j, a : lo[j]], self.order[j, hi[j] : b]):
-                    if len(ring):
-                        count[ring] += 1  # a vector is in an array once
-                        rings.append(ring)
+                rings += [ring for ring in (self.order[j, a : lo[j]], self.order[j, hi[j] : b]) if len(ring)]
                 lo[j], hi[j] = a, b
             if rings:
                 touched = np.concatenate(rings)
-                new = np.unique(touched[(count[touched] >= need) & ~checked[touched]])
+                if len(touched) < n:  # the work follows what the rings hold, or the block: whichever is less
+                    np.add.at(count, touched, 1)
+                    new = np.unique(touched[(count[touched] >= need) & ~checked[touched]])
+                else:
+                    count += np.bincount(touched, minlength=n)
+                    new = np.flatnonzero((count >= need) & ~checked)
                 checked[new] = True
                 left -= len(new)
-                d = distances(self.vectors[new], query)
+                d = distances(self.vectors[new], query, self.largest[new])
                 found.append(new)
                 far.append(d)
                 steps.append(np.full(len(new), step))
@@ -137,8 +144,10 @@ class Block:
         order = np.lexsort((self.ids[rows], d))
         rows, d, at_step = rows[order], d[order], at_step[order]
         # One is of use if fewer than k nearer ones have collided by its own step.
-        keep, sooner = [], []
+        keep, sooner, soonest = [], [], int(at_step.min())
         for i, s in enumerate(at_step.tolist()):
+            if len(sooner) >= k and sooner[k - 1] == soonest:
+                break
             if len(sooner) < k or s < sooner[k - 1]:
                 keep.append(i)
                 insort(sooner, s)
@@ -152,7 +161,7 @@ def first_step(sample: np.ndarray, k: int) -> int:
         return 0
     near = np.array([np.partition(distances(sample, x), min(k, len(sample) - 1))[min(k, len(sample) - 1)] for x in sample[::8]])
     near = near[(near > 0) & np.isfinite(near)]
-    return int(step_of(float(np.quantile(near, 0.1)) / 4)) if len(near) else 0
+    return int(step_of(float(np.quantile(near, 0.1)) / 2)) if len(near) else 0
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 3) -> DataFrame:
