@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import chain_dependents, dependents_closure, host_sources
+from symloom.functions.ranks import running
+
+from .graph import chain_dependents, reached_from, reversed_, roots
 
 
 def sweep_diff(baseline: DataFrame, now: DataFrame, open_files: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def invalidate(events: DataFrame, edges: DataFrame, chains: DataFrame, deps: Dat
     moved = events.filter("kind in ('saved', 'changed', 'removed')").select("file_id").distinct()
     is_open = open_files.select("file_id", F.lit(True).alias("open")).distinct()
     selves = events.filter("kind = 'changed'").select("file_id").distinct().join(is_open, "file_id", "left_anti").select(F.lit("reindex").alias("effect"), "file_id")
-    hosts = host_sources(moved, edges).select(F.col("host").alias("file_id")).distinct().join(is_open, "file_id", "left").select(F.when(F.col("open"), "recompile").otherwise("reindex").alias("effect"), "file_id")
+    hosts = reached_from(moved, reversed_(edges)).join(roots(edges), "file_id", "left_semi").join(is_open, "file_id", "left").select(F.when(F.col("open"), "recompile").otherwise("reindex").alias("effect"), "file_id")
     context = chain_dependents(chains, moved).select(F.lit("drop_context").alias("effect"), F.col("header").alias("file_id"))
-    rebuilt = dependents_closure(moved, deps).select(F.lit("rebuild_module").alias("effect"), F.col("dependent").alias("file_id"))
+    rebuilt = moved.union(reached_from(moved, reversed_(deps))).select(F.lit("rebuild_module").alias("effect"), "file_id")
     return own.union(selves).union(hosts).union(context).union(rebuilt).distinct()
 
 
@@ -120,8 +122,7 @@ def evict_lru(entries: DataFrame, budget: int, keep: DataFrame) -> DataFrame:
     per = entries.groupBy("namespace", "key").agg(F.sum("size").alias("size"), F.max("atime").alias("atime"))
     total = per.groupBy("namespace").agg(F.sum("size").alias("total"))
     free = per.join(keep.select("namespace", "key").distinct(), ["namespace", "key"], "left_anti")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("namespace").orderBy("atime", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return free.withColumn("before", before).join(total, "namespace").filter(F.col("total") - F.col("before") > budget).select("namespace", "key", "size")
+    return running(free, ["namespace"], ["atime", "key"], "size", "before").join(total, "namespace").filter(F.col("total") - F.col("before") > budget).select("namespace", "key", "size")
 
 
 def attach_notes(diagnostics: DataFrame) -> DataFrame:

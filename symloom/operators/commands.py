@@ -15,13 +15,15 @@ USER = ("-I", "-isystem", "-iquote", "-idirafter", "-D", "-U", "-include")
 DIRS = ("-I", "-isystem", "-iquote", "-idirafter")
 DISCARDED = ("--", "-main-file-name", "-c", "-o", "-emit-pch", "-include-pch", "-E", "-M", "-MM", "-MD", "-MMD", "-MF", "-MT", "-MQ", "-MG", "-MP")
 DISCARDED_PREFIXES = ("-fmodule-file", "-fmodule-output", "-fprebuilt-module-path", "--show-", "-show-")
+#: The same for drivers with options of their own: a driver's base name, and how theirs begin.
+DRIVER_PREFIXES = {r"(?i)(^|[/\\\\])(clang-)?cl(\.exe)?$": r"^[-/](Fo|Fd|Yu|Fp|showIncludes|showFilenames)", r"(?i)(^|[/\\\\])(clang-)?dxc(\.exe)?$": r"^[-/](Fc|Fo)"}
 CODEGEN = (
     "-fPIC", "-fno-PIC", "-fpic", "-fno-pic", "-fPIE", "-fno-PIE", "-fpie", "-fno-pie", "-fomit-frame-pointer", "-fno-omit-frame-pointer",
     "-funwind-tables", "-fno-unwind-tables", "-fasynchronous-unwind-tables", "-fno-asynchronous-unwind-tables",
     "-fstack-protector", "-fstack-protector-strong", "-fstack-protector-all", "-fno-stack-protector",
     "-fdata-sections", "-fno-data-sections", "-ffunction-sections", "-fno-function-sections", "-flto", "-fno-lto",
     "-fsemantic-interposition", "-fno-semantic-interposition", "-fvisibility-inlines-hidden",
-    "-fcolor-diagnostics", "-fno-color-diagnostics", "-ftrapping-math", "-fno-trapping-math", "-w",
+    "-fcolor-diagnostics", "-fno-color-diagnostics", "-ftrapping-math", "-fno-trapping-math",
 )
 #: Debug information, and options with a value.
 CODEGEN_PATTERN = "^(-g(dwarf.*|gdb.*|line.*|split.*|codeview.*|column.*|[0-3])?|-mframe-pointer=.*|-flto=.*)$"
@@ -52,11 +54,11 @@ def read_cdb(spark: SparkSession, path: str) -> DataFrame:
 
 
 def classify_flags(entries: DataFrame, key: str = "file") -> DataFrame:
-    """entries with canonical and patch (arrays in order): the arguments after the compiler and
-    without the file itself, -Xclang -include-pch pairs, and flags of DISCARDED and CODEGEN;
-    flags of USER go to patch, with their directories absolute."""
+    """entries with canonical and patch (arrays in order): canonical has the compiler first, and
+    then the arguments without the file itself, -Xclang -include-pch pairs, and flags of DISCARDED
+    and CODEGEN; flags of USER go to patch, with their directories absolute."""
     rows = entries.withColumn("entry_", F.xxhash64(key, "directory", F.to_json(F.struct("args"))))
-    flat = rows.select("entry_", "file", "directory", F.posexplode("args").alias("pos", "arg"))
+    flat = rows.select("entry_", "file", "directory", F.get("args", F.lit(0)).alias("driver"), F.posexplode("args").alias("pos", "arg"))
     order = Window.partitionBy("entry_", "file", "directory").orderBy("pos")
     for name, n in (("prev", -1), ("prev2", -2), ("prev3", -3), ("next", 1), ("next2", 2)):
         flat = flat.withColumn(name, F.lag("arg", -n).over(order) if n < 0 else F.lead("arg", n).over(order))
@@ -64,7 +66,12 @@ def classify_flags(entries: DataFrame, key: str = "file") -> DataFrame:
     c = F.col
     pch = ((c("arg") == "-Xclang") & c("next").isin("-include-pch")) | ((c("arg") == "-include-pch") & (c("prev") == "-Xclang")) | ((c("arg") == "-Xclang") & (c("prev") == "-include-pch")) | ((c("prev") == "-Xclang") & (c("prev2") == "-include-pch") & (c("prev3") == "-Xclang"))
     value = F.coalesce(c("prev").isin(*PAIRED), F.lit(False))
-    drop = F.coalesce(pch, F.lit(False)) | (c("pos") == 0) | c("arg").isin(*DISCARDED, *CODEGEN) | c("arg").rlike(CODEGEN_PATTERN) | c("arg").rlike("^(" + "|".join(DISCARDED_PREFIXES) + ")") | (value & c("prev").isin(*DISCARDED)) | (absolute(c("arg"), c("directory")) == c("file"))
+    theirs = F.lit(False)
+    for driver, begins in DRIVER_PREFIXES.items():
+        theirs = theirs | (c("driver").rlike(driver) & c("arg").rlike(begins))
+    flags = c("arg").isin(*DISCARDED, *CODEGEN) | c("arg").rlike(CODEGEN_PATTERN) | c("arg").rlike("^(" + "|".join(DISCARDED_PREFIXES) + ")") | theirs
+    drop = F.coalesce(pch, F.lit(False)) | (flags & ~value) | (value & c("prev").isin(*DISCARDED)) | (absolute(c("arg"), c("directory")) == c("file"))
+    drop = drop & (c("pos") > 0)
     joined = F.lit(None).cast("string")
     flag = F.lit(None).cast("string")
     for f in USER:

@@ -23,13 +23,29 @@ def closure(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataF
         if front.isEmpty():
             break
         levels.append(front.withColumn("depth", F.lit(depth)))
-        met = met.union(front)
+        # Every so often what was met becomes one table again.
+        met = met.union(front) if depth % 8 else cut(met.union(front))
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
     return out
 
 
+def reached_from(files: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(file_id): what arcs (src, dst) lead to from any of files, in one step or more. One
+    frontier goes on for all files; which of them a node was reached from isn't kept."""
+    arcs = cut(arcs.select("src", "dst").distinct())
+    front, met, step = cut(files.select("file_id").distinct()), None, 0
+    while True:
+        step += 1
+        after = front.join(arcs, front["file_id"] == arcs["src"]).select(F.col("dst").alias("file_id")).distinct()
+        front = cut(after if met is None else after.join(met, "file_id", "left_anti"))
+        if met is not None and front.isEmpty():
+            return met
+        met = front if met is None else met.union(front)
+        met = met if step % 8 else cut(met)
+
+
 def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.columns import key64
+from symloom.functions.ranks import numbered
 
 #: A relation and the one that mirrors it on the other symbol.
 MIRRORS = {"Callee": "Caller", "Base": "Derived", "Interface": "Implementation", "TypeDefinition": "Constructor"}
@@ -67,25 +68,34 @@ def local_names(names: DataFrame, references: DataFrame) -> DataFrame:
 
 def merge_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols (tu, symbol_id, name, kind, scope, file_id) -> one row per External symbol: name
-    and kind of the first unit, number of files. A unit with a file that doesn't exist is
-    rejected as a whole."""
-    bad = symbols.join(files.select("file_id").distinct(), "file_id", "left_anti").select("tu").distinct()
-    good = symbols.join(bad, "tu", "left_anti").filter("scope = 'External'")
-    return good.groupBy("symbol_id").agg(F.min_by("name", "tu").alias("name"), F.min_by("kind", "tu").alias("kind"), F.countDistinct("file_id").alias("files"))
+    and kind of the first unit, and the number of its files (`symbol_files` has them). A unit
+    with a file that doesn't exist is rejected as a whole."""
+    good = accepted(symbols, files)
+    per = good.groupBy("symbol_id", "file_id").agg(F.min(F.struct("tu", "name", "kind")).alias("first"))
+    return per.groupBy("symbol_id").agg(F.min("first").alias("first"), F.count("*").alias("files")).select("symbol_id", "first.name", "first.kind", "files")
+
+
+def symbol_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, file_id): the union of the files of each External symbol over the units that
+    merge_symbols accepts, a row for each."""
+    return accepted(symbols, files).select("symbol_id", "file_id").distinct()
+
+
+def accepted(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The External symbols of units all of whose files exist."""
+    used = symbols.select("tu", "file_id").distinct()
+    bad = used.join(files.select("file_id").distinct(), "file_id", "left_anti").select("tu").distinct()
+    return symbols.filter("scope = 'External'").join(bad, "tu", "left_anti")
 
 
 def intern_file_versions(known: DataFrame, seen: DataFrame) -> DataFrame:
     """known (fv_id, file_id, content_hash) with new pairs of seen (file_id, content_hash), which
-    get the next ids in order of path and hash. Their numbers come from a count per slice of
-    the keys, so no task sees all of them."""
+    get the next ids in order of path and hash. Their numbers come from counts of ranges of the
+    keys, so no task sees all of them."""
     new = seen.select("file_id", "content_hash").distinct().join(known, ["file_id", "content_hash"], "left_anti")
-    sliced = new.withColumn("slice", F.substring("file_id", 1, 6))
-    sizes = sliced.groupBy("slice").count()
-    offsets = sizes.select("slice", (F.sum("count").over(Window.orderBy("slice")) - F.col("count")).alias("offset"))
     top = known.agg(F.coalesce(F.max("fv_id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.partitionBy("slice").orderBy("file_id", "content_hash"))
-    fresh = sliced.withColumn("n", n).join(offsets, "slice").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("offset") + F.col("n")).cast("long").alias("fv_id"), "file_id", "content_hash")
-    return known.select("fv_id", "file_id", "content_hash").union(fresh)
+    fresh = numbered(new, ["file_id", "content_hash"], "n").crossJoin(F.broadcast(top))  # one row
+    return known.select("fv_id", "file_id", "content_hash").union(fresh.select((F.col("top") + F.col("n")).cast("long").alias("fv_id"), "file_id", "content_hash"))
 
 
 def apply_manifest(contributions: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -184,6 +194,37 @@ def index_stats(occurrences: DataFrame, relations: DataFrame, contributions: Dat
     return a.crossJoin(b).crossJoin(c).unpivot([], ["occurrences", "symbols", "files", "relations", "units", "variants"], "metric", "value")
 
 
+def storage_stats(stored: DataFrame, versions: DataFrame) -> DataFrame:
+    """(metric, value): shards and bytes of stored (path, bytes), the largest and the mean shard
+    (floor), and the versions (file_id, content_hash) with the files that have several."""
+    a = stored.groupBy("path").agg(F.sum("bytes").alias("bytes")).agg(F.count("*").alias("shards"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("bytes"), F.lit(0)).alias("largest"))
+    a = a.withColumn("mean", F.coalesce(F.floor(F.col("bytes") / F.nullif("shards", F.lit(0))), F.lit(0)))
+    b = versions.select("file_id", "content_hash").distinct().groupBy("file_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("versions"), F.count_if(F.col("count") > 1).alias("files_with_several"))
+    names = ["shards", "bytes", "largest", "mean", "versions", "files_with_several"]
+    return a.crossJoin(b).select(*[F.col(c).cast("long") for c in names]).unpivot([], names, "metric", "value")  # one row each
+
+
+def shares_over(values: DataFrame, thresholds: list[int]) -> DataFrame:
+    """values (measure, value) -> (measure, threshold, n, share): how many values of each measure
+    are above each threshold."""
+    over = values.groupBy("measure").agg(F.count("*").alias("all"), *[F.count_if(F.col("value") > x).alias(str(x)) for x in thresholds])
+    rows = over.unpivot(["measure", "all"], [F.col(f"`{x}`") for x in thresholds], "threshold", "n")
+    return rows.select("measure", F.col("threshold").cast("long").alias("threshold"), "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def relations_per_variant(relations: DataFrame) -> DataFrame:
+    """relations (path, variant, ...) -> (measure, value): relations of each stored variant."""
+    return relations.groupBy("path", "variant").agg(F.count("*").cast("long").alias("value")).select(F.lit("relations").alias("measure"), "value")
+
+
+def graph_rows(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """(src, module, includes): a row per including file, ready for JSON: the first of its module
+    names (or null), and its included files in order, over all configurations."""
+    names = modules.groupBy(F.col("file_id").alias("src")).agg(F.min("name").alias("module"))
+    lists = edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("includes"))
+    return lists.join(names, "src", "left").select("src", "module", "includes")
+
+
 def largest_files(occurrences: DataFrame, n: int = 10) -> DataFrame:
     return occurrences.groupBy("file_id").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "file_id").limit(n)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.ranks import running
 from symloom.sources.logs import event_name, number
 
 
@@ -19,8 +22,9 @@ def percentile_rows(values: DataFrame, by: list[str], value: str, ps: dict[str,
 
     Ranks come from a count of each distinct value, so a group's equal values are one row."""
     counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumns({"upto_": F.sum("n_").over(order), "all_": F.sum("n_").over(Window.partitionBy(*by))})
+    totals = counts.groupBy(*by).agg(F.sum("n_").alias("all_")).select(*[F.col(c).alias(f"{c}_of") for c in by], "all_")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by], F.lit(True))
+    ranked = running(counts, by, [value], "n_", "before_").join(totals, same).withColumn("upto_", F.col("before_") + F.col("n_"))
     at = lambda p: F.floor(F.lit(p) * (F.col("all_") - 1))
     hit = lambda p: (at(p) < F.col("upto_")) & (at(p) >= F.col("upto_") - F.col("n_"))
     return ranked.groupBy(*by).agg(*[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in ps.items()])

@@ -10,7 +10,7 @@ from symloom.operators import graph as g
 
 from .registry import query
 
-CANON = "concat('-O', p_size % 3, ' -Wall')"
+CANON = "concat('clang++ -O', p_size % 3, ' -Wall')"
 PATCH = "concat('-I/build', p_size % 3, '/inc', p_size % 4, ' -I/abs -DA=', p_size % 2, ' -DALGERIA')"
 CFG = f"cfg AS (SELECT concat('/src/', lower(replace(p_brand,'#','')), '/f', p_partkey, '.cpp') AS file, concat('/build', p_size % 3) AS directory, {CANON} AS canonical, {PATCH} AS patch FROM {{part}})"
 

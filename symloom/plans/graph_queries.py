@@ -119,14 +119,15 @@ def _(t):
     return g.build_levels(t.x2.select("src", "dst").union(cycle))
 
 
-@query("E18_chain_dependents", f"""WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {{x1}} UNION SELECT header, dst FROM up JOIN {{x2}} ON src = node) SELECT DISTINCT node AS file_id, header FROM up WHERE node % 10 = 0""")
+@query("E18_chain_dependents", f"""WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {{x1}} UNION SELECT header, dst FROM up JOIN {{x2}} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
 def _(t):
-    chains = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), t.x2).select(F.col("root").alias("header"), "node")
-    return g.chain_dependents(chains, t.x1.filter("file_id % 10 = 0"))
+    # From the files asked for backwards, so that no other chain is followed.
+    up = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), g.reversed_(t.x2))
+    return up.select(F.col("root").alias("file_id"), F.col("node").alias("header"))
 
 
-# The same for every file. The SQL above holds a part of the rows, so this has none.
-@query("E18_chain_dependents_whole")
+# The same by given chains.
+@query("E18_chain_dependents_whole", """WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {x1} UNION SELECT header, dst FROM up JOIN {x2} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
 def _(t):
     chains = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), t.x2).select(F.col("root").alias("header"), "node")
     return g.chain_dependents(chains, t.x1)

@@ -125,15 +125,15 @@ def _(t):
     return i.compact(stored, live)
 
 
-SECTIONS = "sec AS (SELECT source AS tu, lang AS path, md5(text) AS rows_hash, CAST(n_chars % 50 AS BIGINT) AS content_hash FROM {documents} WHERE doc_id % 2 = 0), sto AS (SELECT DISTINCT lang AS path, md5(text) AS variant, CAST(n_chars % 40 AS BIGINT) AS content_hash, doc_id % 3 AS generation FROM {documents} WHERE doc_id % 5 = 0)"
+SECTIONS = "sec AS (SELECT source AS tu, lang AS path, md5(text) AS rows_hash, CAST(n_chars % 50 AS BIGINT) AS content_hash FROM {documents}), sto AS (SELECT DISTINCT lang AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE concat(text, '!') END) AS variant, CAST(n_chars % 40 AS BIGINT) AS content_hash, doc_id % 3 AS generation FROM {documents})"
 
 
 def sections(t):
-    return t.documents.filter("doc_id % 2 = 0").select(F.col("source").alias("tu"), F.col("lang").alias("path"), F.md5("text").alias("rows_hash"), (F.col("n_chars") % 50).alias("content_hash"))
+    return t.documents.select(F.col("source").alias("tu"), F.col("lang").alias("path"), F.md5("text").alias("rows_hash"), (F.col("n_chars") % 50).alias("content_hash"))
 
 
 def stored(t):
-    return t.documents.filter("doc_id % 5 = 0").select(F.col("lang").alias("path"), F.md5("text").alias("variant"), (F.col("n_chars") % 40).alias("content_hash"), (F.col("doc_id") % 3).alias("generation")).distinct()
+    return t.documents.select(F.col("lang").alias("path"), F.md5(F.expr("CASE WHEN doc_id % 5 = 0 THEN text ELSE concat(text, '!') END")).alias("variant"), (F.col("n_chars") % 40).alias("content_hash"), (F.col("doc_id") % 3).alias("generation")).distinct()
 
 
 @query("F16_merge_plan", f"WITH {SECTIONS} SELECT tu, path, rows_hash, CASE WHEN (path, rows_hash) IN (SELECT (path, variant) FROM sto) THEN 'hit' WHEN (path, content_hash) IN (SELECT (path, content_hash) FROM sto) THEN 'appended' ELSE 'rebuilt' END AS outcome FROM sec")
@@ -166,10 +166,10 @@ def _(t):
     return i.adopt_manifests(m, pins, t.part.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("fv_id")))
 
 
-@query("F21_unservable_files", f"WITH {SECTIONS}, c AS (SELECT DISTINCT tu || path AS path, rows_hash AS variant FROM {{x5}}), st AS (SELECT DISTINCT source || lang AS path, md5(text) AS variant, doc_id % 2 AS generation FROM {{documents}} WHERE lang <> 'es' AND doc_id % 3 <> 0 AND source < 'src2'), g AS (SELECT path, count(DISTINCT generation) AS n FROM st GROUP BY path), p AS (SELECT c.path, bool_or(st.path IS NULL) AS lacks FROM c LEFT JOIN (SELECT DISTINCT path, variant FROM st) st ON st.path = c.path AND st.variant = c.variant GROUP BY c.path), r AS (SELECT p.path, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' WHEN lacks THEN 'variant' END AS reason FROM p LEFT JOIN g ON g.path = p.path) SELECT * FROM r WHERE reason IS NOT NULL")
+@query("F21_unservable_files", f"WITH {SECTIONS}, c AS (SELECT DISTINCT tu || path AS path, rows_hash AS variant FROM {{x5}}), st AS (SELECT DISTINCT source || replace(lang, 'es', 'no') AS path, md5(CASE WHEN doc_id % 3 = 0 AND lang = 'fr' THEN concat(text, '!') ELSE text END) AS variant, CASE WHEN lang = 'de' THEN doc_id % 2 ELSE 0 END AS generation FROM {{documents}}), g AS (SELECT path, count(DISTINCT generation) AS n FROM st GROUP BY path), p AS (SELECT c.path, bool_or(st.path IS NULL) AS lacks FROM c LEFT JOIN (SELECT DISTINCT path, variant FROM st) st ON st.path = c.path AND st.variant = c.variant GROUP BY c.path), r AS (SELECT p.path, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' WHEN lacks THEN 'variant' END AS reason FROM p LEFT JOIN g ON g.path = p.path) SELECT * FROM r WHERE reason IS NOT NULL")
 def _(t):
     c = t.x5.select("tu", F.concat("tu", "path").alias("path"), "rows_hash")
-    st = t.documents.filter("lang <> 'es' and doc_id % 3 <> 0 and source < 'src2'").select(F.concat("source", "lang").alias("path"), F.md5("text").alias("variant"), (F.col("doc_id") % 2).alias("generation"))
+    st = t.documents.selectExpr("source || replace(lang, 'es', 'no') AS path", "md5(CASE WHEN doc_id % 3 = 0 AND lang = 'fr' THEN concat(text, '!') ELSE text END) AS variant", "CASE WHEN lang = 'de' THEN doc_id % 2 ELSE 0 END AS generation")
     return i.unservable_files(c, st)
 
 
@@ -188,6 +188,26 @@ def _(t):
     return i.largest_files(t.x4)
 
 
+@query("F9_symbol_files", f"WITH s AS (SELECT tu, symbol_id, {SCOPE} AS scope, file_id FROM {{x4}}), bad AS (SELECT DISTINCT tu FROM s WHERE file_id % 97 = 0) SELECT DISTINCT symbol_id, file_id FROM s WHERE tu NOT IN (SELECT tu FROM bad) AND scope = 'External'")
+def _(t):
+    s = t.x4.select("tu", "symbol_id", i.classify_scope(linkage()).alias("scope"), "file_id")
+    return i.symbol_files(s, t.documents.select(F.col("doc_id").alias("file_id")).filter("file_id % 97 <> 0"))
+
+
+@query("F23_storage_stats", "WITH p AS (SELECT concat(source, lang) AS path, sum(octet_length(encode(text))) AS b FROM {documents} GROUP BY 1), v AS (SELECT concat(source, lang) AS f, count(DISTINCT md5(text)) AS n FROM {documents} WHERE text IS NOT NULL GROUP BY 1) SELECT 'shards' AS metric, count(*) AS value FROM p UNION ALL SELECT 'bytes', CAST(sum(b) AS BIGINT) FROM p UNION ALL SELECT 'largest', CAST(max(b) AS BIGINT) FROM p UNION ALL SELECT 'mean', CAST(sum(b) // count(*) AS BIGINT) FROM p UNION ALL SELECT 'versions', CAST(sum(n) AS BIGINT) FROM v UNION ALL SELECT 'files_with_several', count(*) FILTER (n > 1) FROM v")
+def _(t):
+    path = F.concat("source", "lang")
+    versions = t.documents.filter("text is not null").select(path.alias("file_id"), F.md5("text").alias("content_hash"))
+    return i.storage_stats(t.documents.select(path.alias("path"), F.octet_length("text").alias("bytes")), versions)
+
+
+@query("F25_shares", "WITH v AS (SELECT 'rows' AS measure, count(*) AS v FROM {x4} GROUP BY file_id UNION ALL SELECT 'relations', count(*) FROM {x14} GROUP BY file_id), a AS (SELECT measure, count(*) AS n FROM v GROUP BY 1), t AS (SELECT unnest([10, 100, 1000]) AS threshold) SELECT v.measure, CAST(threshold AS BIGINT) AS threshold, count(*) FILTER (v > threshold) AS n, count(*) FILTER (v > threshold) / any_value(a.n) AS share FROM v JOIN a USING (measure), t GROUP BY 1, 2")
+def _(t):
+    rows = i.row_distributions(occ(t).select("file_id", "begin", "end", "symbol_id")).filter("measure = 'rows'")
+    relations = t.x14.select(F.col("file_id").alias("path"), F.lit("v").alias("variant"))
+    return i.shares_over(rows.union(i.relations_per_variant(relations)), [10, 100, 1000])
+
+
 @query("F24_variant_stats", "WITH p AS (SELECT path, count(DISTINCT rows_hash) AS m, count(*) AS n FROM (SELECT tu || path AS path, rows_hash FROM {x5}) z GROUP BY path) SELECT CASE WHEN m = 1 THEN '1' WHEN m <= 8 THEN '2-8' WHEN m <= 16 THEN '9-16' WHEN m <= 32 THEN '17-32' WHEN m <= 64 THEN '33-64' ELSE '>64' END AS bucket, count(*) AS files, CAST(sum(m) AS BIGINT) AS variants, CAST(sum(n) AS BIGINT) AS contributions, 1 - sum(m) / sum(n) AS hit_rate FROM p GROUP BY 1")
 def _(t):
     return i.variant_stats(t.x5.select("tu", F.concat("tu", "path").alias("path"), "rows_hash"))
@@ -231,9 +251,7 @@ def _(t):
 @query("A10_export_graph_json", "SELECT src, (SELECT min(name) FROM {x3} m WHERE m.file_id = src) AS module, string_agg(dst, ' ' ORDER BY ord, dst) AS includes FROM {x2} GROUP BY src")
 def _(t):
     path = shared_folder(t.spark, "graph")
-    names = t.x3.groupBy(F.col("file_id").alias("src")).agg(F.min("name").alias("module"))
-    lists = t.x2.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("includes"))
-    lists.join(names, "src", "left").write.json(path)
+    i.graph_rows(t.x2, t.x3).write.json(path)
     return t.spark.read.schema("src long, module string, includes array<long>").json(path).select("src", "module", F.array_join(F.transform("includes", lambda x: x.cast("string")), " ").alias("includes"))
 
 

@@ -28,7 +28,18 @@ def test_flags_and_diff(spark):
     assert c.cdb_diff(base, snapshot("-DFOO=1", "-O3")).count() == 1
     e = spark.createDataFrame([("/a.cpp", "/b", ["cc", "-I", "inc", "-Xclang", "-include-pch", "-Xclang", "x.pch", "-o", "out", "-isystem/s", "-Wall"])], "file string, directory string, args array<string>")
     row = c.classify_flags(e).first()
-    assert row["patch"] == ["-I/b/inc", "-isystem/s"] and row["canonical"] == ["-Wall"]
+    assert row["patch"] == ["-I/b/inc", "-isystem/s"] and row["canonical"] == ["cc", "-Wall"]
+
+
+def test_the_driver_is_part_of_a_context(spark):
+    rows = [("/a.cpp", "/b", [d, "-O2", "a.cpp"]) for d in ("clang++", "g++")] + [("/b.cpp", "/b", ["C:\\\\bin\\\\clang-cl.exe", "/Fox.obj", "-showIncludes:user", "/YuPch.h", "/W4", "-I", "/Fonts/inc"]), ("/c.cpp", "/b", ["g++", "-I", "-c", "/Fox"])]
+    e = c.classify_flags(spark.createDataFrame(rows, "file string, directory string, args array<string>"))
+    got = {(r["file"], r["canonical"][0]): r for r in e.collect()}
+    assert [got["/a.cpp", d]["canonical"] for d in ("clang++", "g++")] == [["clang++", "-O2", "a.cpp"], ["g++", "-O2", "a.cpp"]]
+    cl = got["/b.cpp", "C:\\\\bin\\\\clang-cl.exe"]
+    assert cl["canonical"][1:] == ["/W4"] and cl["patch"] == ["-I/Fonts/inc"]
+    assert got["/c.cpp", "g++"]["canonical"] == ["g++", "/Fox"] and got["/c.cpp", "g++"]["patch"] == ["-I/b/-c"]
+    assert c.unique_configs(e.filter("file = '/a.cpp'")).count() == 2
 
 
 def test_rules(spark):
