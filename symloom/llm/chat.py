@@ -94,9 +94,9 @@ def quotes(messages: DataFrame) -> DataFrame:
     level = F.col("p.level").cast("int")
     key = ["conv_id", "level", "hash"]
     wanted = found.filter(level > 0).select("conv_id", "turn", F.struct("turn", F.xxhash64("p"), "nth").alias("passage"), (level - 1).alias("level"), F.explode(asked(F.col("p"))).alias("hash"))
-    holding = found.select("conv_id", "turn", level.alias("level"), F.explode(held(F.col("p"))).alias("hash")).distinct()
+    holding = found.select("conv_id", "turn", level.alias("level"), F.explode(held(F.col("p"))).alias("hash"))
     # Only what is quoted somewhere in the conversation is ordered.
-    holding = holding.join(wanted.select(*key).distinct(), key, "left_semi")
+    holding = holding.join(wanted.select(*key).distinct(), key, "left_semi").distinct()
     nothing = lambda kind: F.lit(None).cast(kind)
     both = holding.select(*key, "turn", F.col("turn").alias("at"), nothing("struct<turn: bigint, hash: bigint, nth: int>").alias("passage")).unionAll(wanted.select(*key, "turn", nothing("bigint"), "passage"))
     linked = latest_before(both, key, "turn", "at", "origin").filter("passage is not null")

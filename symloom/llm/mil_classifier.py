@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: Words of a passage.
 PASSAGE = 64
 #: Labelled documents that the network learns from, about, at most (taken by a hash of the
-#: id), and the longest of them in passages; longer ones are scored in full all the same.
+#: id), and passages that one of them shows; of a longer one that many are taken at even steps
+#: from its beginning to its end. In scoring every passage counts.
 LEARN_DOCS, LEARN_PASSAGES = 4_000, 1_000
 HASHED = 64
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 25, 64, 0.01, 1e-4
@@ -69,6 +70,11 @@ def passages(text: str | None) -> np.ndarray:
     return np.concatenate([classes, shape, bag], axis=1).astype(np.float32)
 
 
+def at_even_steps(bag: np.ndarray, most: int) -> np.ndarray:
+    """A bag of at most `most` passages, first and last included."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -164,10 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for part in parts:
             for lo in range(0, part.num_rows, 200):
                 some = part.slice(lo, 200)
-                bags = [passages(t.as_py()) for t in some.column("own_text")]
-                keep = pa.array([len(b) <= LEARN_PASSAGES for b in bags])
-                out = pa.RecordBatch.from_arrays([some.column("label_key"), some.column("label"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
-                yield out.filter(keep)
+                bags = [at_even_steps(passages(t.as_py()), LEARN_PASSAGES) for t in some.column("own_text")]
+                yield pa.RecordBatch.from_arrays([some.column("label_key"), some.column("label"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
 
     kinds = dict(picked.dtypes)
     rows = picked.mapInArrow(encode, f"id {kinds['label_key']}, label {kinds['label']}, bag binary").collect()  # bounded by LEARN_DOCS and LEARN_PASSAGES

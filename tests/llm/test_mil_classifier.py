@@ -34,6 +34,23 @@ def test_passages():
     assert len(c.passages("w " * 65)) == 2 and len(c.passages("  x")) == 1
 
 
+def test_long_documents_are_learned_from(monkeypatch):
+    bag = np.arange(3000.0)[:, None]
+    some = c.at_even_steps(bag, 100)
+    assert len(some) == 100 and some[0, 0] == 0 and some[-1, 0] == 2999 and np.diff(some[:, 0]).max() <= 31
+    assert c.at_even_steps(bag, 3000) is bag
+
+
+def test_long_labelled_documents_count(spark, monkeypatch):
+    """Where only long documents tell the classes apart, they are told apart."""
+    monkeypatch.setattr(c, "LEARN_PASSAGES", 4)
+    rows = [(i, ("plain words " if i % 2 else "## %% odd ") * 400, "s") for i in range(40)]
+    docs = docs_table(spark, rows)
+    net = c.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    scores = {r["doc_id"]: r["p"] for r in c.scored(docs, net, to="p").collect()}
+    assert min(scores[i] for i in range(1, 40, 2)) > 0.8 and max(scores[i] for i in range(0, 40, 2)) < 0.2
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("aeionrst"), rng.integers(2, 8)))

@@ -22,7 +22,7 @@ def test_probabilities_sum_to_one(model):
     e, _ = m.network.exponentials(m.network.hidden(m.network.near(around)), np.zeros(3, int))
     classes = e / e.sum(axis=1, keepdims=True)
     known = classes[:, v.class_of[:n]] * np.exp(v.log_share[:n])
-    other = classes[:, -1]  # shared equally by all other words
+    other = classes[:, -1]  # shared by all other words, by their counts
     empty = [c for c in range(lm.CLASSES) if c not in set(v.class_of)]
     assert np.allclose(known.sum(axis=1) + other + classes[:, empty].sum(axis=1), 1, atol=1e-4)
 
@@ -58,6 +58,28 @@ def test_scores_match_brute_force_and_odd_tables(spark, model):
     assert lm.scored(docs.limit(0), m).count() == 0
 
 
+def test_other_words_have_their_counted_shares(spark, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    rows = [(1, "a a a a b b b c c c d d e f", "s"), (2, "g d", "s")]
+    docs = docs_table(spark, rows)
+    m = lm.learn(docs)
+    v = m.vocabulary
+    assert set(v.ids) == {"a", "b", "c"} and np.isclose(v.log_share[-1], -np.log(6))
+    found = ["a", "d", "e", "never", "d"]
+    assert np.isclose(v.rare_share(found, v.ids_of(found)), 2 * np.log(3), atol=1e-3)
+    got = {r["doc_id"]: r["lm"]["log_prob"] for r in lm.scored(docs, m).collect()}
+    base = dict(zip((1, 2), m.scores([v.encode(t) for _, t, _ in rows]), strict=True))
+    assert np.isclose(got[1], base[1] + 2 * np.log(3), atol=1e-2) and np.isclose(got[2], base[2] + np.log(3), atol=1e-2)
+
+
+def test_copies_follow_words_not_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPY", 400)
+    monkeypatch.setattr(lm, "BATCH", 100)
+    docs = docs_table(spark, [(i, "one two three four five " * 20, "s") for i in range(30)])
+    a, b = (lm.learn(docs.repartition(n)).network for n in (1, 3))
+    assert np.allclose(a.embed, b.embed, atol=0.2) and not np.allclose(a.embed, lm.Network.start(len(a.embed), np.ones(lm.CLASSES) / lm.CLASSES).embed)
+
+
 def test_empty_corpus(spark):
     m = lm.learn(docs_table(spark, ODD[:3]))
     assert m.scores([np.zeros(0, int)]) == [0.0]
