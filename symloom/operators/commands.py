@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symloom.functions.bounded import few
 from symloom.functions.columns import glob_regex, suffix
 
 #: Flags by what they concern (spelled out). Those of USER stay with the file; DISCARDED and
@@ -120,7 +121,7 @@ def match_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path) x rules (rule_ord, pattern, append, remove) -> path, rules in order. The
     rules are a configuration file's, a few rows, and every file is tried on each."""
     patterns = rules.filter("pattern is not null and pattern <> ''").withColumn("regex", glob_regex(F.col("pattern")))
-    hits = files.join(F.broadcast(patterns), F.expr("path rlike regex"))
+    hits = files.join(few(patterns), F.expr("path rlike regex"))
     return hits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rule_ord", "append", "remove"))).alias("rules"))
 
 

@@ -98,11 +98,19 @@ def host_sources(files: DataFrame, edges: DataFrame) -> DataFrame:
     return up.filter("depth > 0 and node <> root").join(tops, "node", "left_semi").select(F.col("root").alias("file_id"), F.col("node").alias("host"))
 
 
+def leading_to(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) on any way to one of files, found by one frontier backwards, so that
+    ways from single roots aren't followed where nothing that is asked for lies."""
+    files = files.select("file_id").distinct()
+    behind = reached_from(files, reversed_(edges)).union(files).distinct().withColumnRenamed("file_id", "dst")
+    return edges.select("src", "dst").distinct().join(behind, "dst", "left_semi").select("src", "dst")
+
+
 def include_chain(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, target, step, node): a shortest chain from host to target for each reachable
     pair; a single step where they are equal. Of several includers at the same distance the
     smallest is taken."""
-    arcs = cut(edges.select("src", "dst").distinct())
+    arcs = cut(leading_to(pairs.select(F.col("target").alias("file_id")), edges))
     seeds = pairs.select(F.col("host").alias("root"), F.col("host").alias("node"))
     reach = cut(closure(seeds, arcs))
     at = cut(pairs.distinct().join(reach.select(F.col("root").alias("host"), F.col("node").alias("target"), "depth"), ["host", "target"]).select("host", "target", F.col("depth").alias("step"), F.col("target").alias("node")))
@@ -117,7 +125,8 @@ def include_chain(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reaches(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (host, target) with `reaches`."""
-    reach = closure(pairs.select(F.col("host").alias("root"), F.col("host").alias("node")), edges).select(F.col("root").alias("host"), F.col("node").alias("target"), F.lit(True).alias("found"))
+    arcs = leading_to(pairs.select(F.col("target").alias("file_id")), edges)
+    reach = closure(pairs.select(F.col("host").alias("root"), F.col("host").alias("node")), arcs).select(F.col("root").alias("host"), F.col("node").alias("target"), F.lit(True).alias("found"))
     return pairs.join(reach, ["host", "target"], "left").select("host", "target", F.coalesce("found", F.lit(False)).alias("reaches"))
 
 

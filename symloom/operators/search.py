@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.bounded import few
 from symloom.functions.columns import basename
 
 from .scan import line_context, line_table, to_position
@@ -23,19 +24,6 @@ CLASS_LIKE = ("Class", "Struct", "Union")
 BUCKET = 4096
 
 
-#: Rows of a stated list that meet every row of a table, at most.
-FEW = 10_000
-
-
-def few(asked: DataFrame) -> DataFrame:
-    """A stated list of queries or locators, to be broadcast: each of its rows is held against all
-    names, so a list that isn't short is refused."""
-    n = asked.limit(FEW + 1).count()
-    if n > FEW:
-        raise ValueError(f"more than {FEW} queries at once; ask in parts")
-    return F.broadcast(asked)
-
-
 def symbol_at(cursors: DataFrame, occurrences: DataFrame) -> DataFrame:
     """cursors (file_id, offset) with begin, end and symbol_id of the occurrence that holds the
     offset; one that only ends there comes after one that holds it. Both sides meet in buckets

@@ -45,12 +45,12 @@ def trace(t):
 
 @query("A6_read_session_trace", "SELECT CAST(conv_id * 10 + turn AS DOUBLE) AS ts, concat('m/', role) AS method, CAST(conv_id AS VARCHAR) AS id, concat('{\"turn\":', turn, '}') AS params FROM {conversations}")
 def _(t):
-    return trace(t)
+    return trace(t).drop("pos")
 
 
 @query("A7_trace_summary", "SELECT method, n, messages, duration FROM (SELECT concat('m/', role) AS method, count(*) AS n, min(conv_id * 10 + turn) AS f FROM {conversations} GROUP BY role) a, (SELECT count(*) AS messages, CAST(max(conv_id * 10 + turn) - min(conv_id * 10 + turn) AS DOUBLE) AS duration FROM {conversations}) b ORDER BY n DESC, f LIMIT 8")
 def _(t):
-    return logs.trace_summary(trace(t))
+    return logs.trace_summary(trace(t).drop("pos"))
 
 
 @query("A11_export_chrome_trace", "SELECT concat(event_type, '.k', user_id % 3) AS name, (ms - (SELECT min(event_id % 1000) FROM {events}) - event_id % 977) * 1000 AS ts, CAST((event_id % 977) * 1000 AS BIGINT) AS dur, CAST(user_id % 4 AS BIGINT) AS tid FROM (SELECT *, CAST(event_id % 1000 AS BIGINT) AS ms FROM {events}) z")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.columns import basename
+
 #: Fixed value: `[stamp] ... [perf:topic] key=value key=value`; a value runs to the next key.
 PERF_LINE = r"^(?:\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\] )?.*?\[perf:([\w-]+)\] (.*)$"
 PAIRS = r"(\w+)=((?:(?!\s\w+=).)*)"
@@ -42,20 +44,25 @@ def read_anomaly_log(spark: SparkSession, path: str) -> DataFrame:
 def session_messages(rows: DataFrame) -> DataFrame:
     """rows (ts, msg: JSON text) with method, id and params of the message."""
     get = lambda p: F.get_json_object("msg", p)
-    return rows.select("ts", get("$.method").alias("method"), get("$.id").alias("id"), get("$.params").alias("params"))
+    place = ["pos"] if "pos" in rows.columns else []
+    return rows.select("ts", *place, get("$.method").alias("method"), get("$.id").alias("id"), get("$.params").alias("params"))
 
 
 def read_session_trace(spark: SparkSession, path: str) -> DataFrame:
-    """A session's JSON lines {ts, msg}, msg being an object or its text."""
-    raw = spark.read.text(path)
-    return session_messages(raw.select(F.get_json_object("value", "$.ts").cast("double").alias("ts"), F.get_json_object("value", "$.msg").alias("msg")))
+    """A session's JSON lines {ts, msg}, msg being an object or its text. pos is the place of a
+    line: that of its part of the file, and then within it."""
+    raw = spark.read.text(path).withColumn("pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    rows = raw.select(F.get_json_object("value", "$.ts").cast("double").alias("ts"), F.get_json_object("value", "$.msg").alias("msg"), "pos")
+    return session_messages(rows)
 
 
 def trace_summary(trace: DataFrame, top: int = 8) -> DataFrame:
-    """The most frequent methods; of equals the one met first. Each row also has the number
-    of messages and the duration of the whole trace."""
+    """The most frequent methods; of equals the one that comes first: by pos, the place in the
+    trace, where the table has it, and else by ts. Each row also has the number of messages and
+    the duration of the whole trace."""
+    at = "pos" if "pos" in trace.columns else "ts"
     whole = trace.agg(F.count("*").alias("messages"), (F.max("ts") - F.min("ts")).alias("duration"))
-    counts = trace.filter("method is not null").groupBy("method").agg(F.count("*").alias("n"), F.min("ts").alias("first")).orderBy(F.desc("n"), "first", "method").limit(top)
+    counts = trace.filter("method is not null").groupBy("method").agg(F.count("*").alias("n"), F.min(at).alias("first")).orderBy(F.desc("n"), "first", "method").limit(top)
     return counts.crossJoin(F.broadcast(whole)).select("method", "n", "messages", "duration")
 
 
@@ -73,14 +80,14 @@ def number(text: Column) -> Column:
 
 def chrome_trace(perf: DataFrame) -> DataFrame:
     """Trace events, one JSON object a row: spans [ts - dur, ts] in microseconds since the
-    first stamp of all files, and a name for each process lane. Lines without a stamp or a
+    first stamp of all files, and for each process lane a name, its file's base name. Lines without a stamp or a
     numeric total_ms or elapsed_ms have no span."""
     ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     base = perf.agg(F.min(ms).alias("base"))
     dur = number(F.coalesce(F.try_element_at("values", F.lit("total_ms")), F.try_element_at("values", F.lit("elapsed_ms"))))
     spans = perf.filter("ts is not null").withColumn("d", dur).filter("d is not null").crossJoin(F.broadcast(base))
     out = spans.select(F.to_json(F.struct(event_name(F.col("topic"), F.col("values")).alias("name"), F.col("topic").alias("cat"), F.lit("X").alias("ph"), ((ms - F.col("base") - F.col("d")) * 1000).cast("long").alias("ts"), (F.col("d") * 1000).cast("long").alias("dur"), "pid", "tid", F.col("values").alias("args"))).alias("value"))
-    names = perf.select("pid", "file").distinct().select(F.to_json(F.struct(F.lit("process_name").alias("name"), F.lit("M").alias("ph"), "pid", F.struct(F.col("file").alias("name")).alias("args"))).alias("value"))
+    names = perf.select("pid", "file").distinct().select(F.to_json(F.struct(F.lit("process_name").alias("name"), F.lit("M").alias("ph"), "pid", F.struct(basename(F.col("file")).alias("name")).alias("args"))).alias("value"))
     return names.union(out)
 
 

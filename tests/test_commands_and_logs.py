@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import commands as c
@@ -65,3 +66,21 @@ def test_floor_percentiles(spark):
 def test_anomalies(spark):
     rows = spark.createDataFrame([("e [anomaly:lost-file] gone",), ("w [guidance] try this",), ("x",)], "value string")
     assert sorted((r["kind"], r["id"], r["message"]) for r in logs.anomalies(rows).collect()) == [("anomaly", "lost-file", "gone"), ("guidance", None, "try this")]
+
+
+def test_equal_counts_keep_the_order_of_the_trace(spark, tmp_path):
+    lines = [{"ts": t, "msg": {"method": m}} for t, m in ((5, "b"), (1, "a"), (2, "b"), (3, "a"), (4, "c"))]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    trace = logs.read_session_trace(spark, str(tmp_path / "s.jsonl"))
+    assert [r["method"] for r in logs.trace_summary(trace).collect()] == ["b", "a", "c"]
+    assert [r["method"] for r in logs.trace_summary(trace.drop("pos")).collect()] == ["a", "b", "c"]
+
+
+def test_rules_are_few(spark, monkeypatch):
+    from symloom.functions import bounded
+
+    monkeypatch.setattr(bounded, "FEW", 2)
+    files = spark.createDataFrame([("/p/a.cpp",)], "path string")
+    rules = spark.createDataFrame([(k, "*", "-DA", None) for k in range(3)], "rule_ord int, pattern string, append string, remove string")
+    with pytest.raises(ValueError):
+        c.match_rules(files, rules)
