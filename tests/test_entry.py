@@ -40,3 +40,8 @@ def test_entry(spark):
         pytest.skip("no test tables")
     out = e.entry(spark)
     assert "symbol_id" in out.columns and out.count() > 0
+
+
+def test_only_the_fuzzy_ranks_have_no_sql():
+    sql, own = e.oracle_sql(), [n for n in e.queries() if not n.startswith("op") and n != "pipeline"]
+    assert [n for n in own if n not in sql] == ["G26_fuzzy_rank"]
