@@ -28,6 +28,8 @@ MEMBER = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that the reader asks the file system for at a time.
 READ_BYTES = 1 << 20
+#: Bytes that are inflated at a time.
+FEED_BYTES = 1 << 14
 #: Rows of a batch that the reader hands on, at most, and their payload bytes, about.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: For record identifiers: the same page gives the same one whenever its task runs again.
@@ -107,46 +109,63 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
 
 
 class Window:
-    """A file's bytes from some offset on, read as they are needed and dropped when passed."""
+    """A file's bytes from some offset on, read as they are needed. Bytes that were passed are
+    cut off once they are as many as a read brings, so that passing a record copies nothing."""
 
     def __init__(self, source):
-        self._source, self.at, self.held, self.ended = source, 0, b"", False
+        self._source, self._held, self._from, self.at, self.ended = source, b"", 0, 0, False
+
+    def __len__(self) -> int:
+        return len(self._held) - self._from
 
     def more(self) -> bool:
         got = b"" if self.ended else self._source.read(READ_BYTES)
         self.ended = not got
-        self.held += got
+        self._held, self._from = self._held[self._from :] + got, 0
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.held = self.held[n:]
+        self._from += n
         self.at += n
 
+    def starts(self, mark: bytes) -> bool:
+        return self._held.startswith(mark, self._from)
+
+    def find(self, mark: bytes, start: int = 0) -> int:
+        """Where mark comes first from start on, -1 if it isn't held."""
+        return max(-1, self._held.find(mark, self._from + start) - self._from)
+
+    def part(self, start: int, end: int) -> bytes:
+        return self._held[self._from + start : min(self._from + end, len(self._held))]
+
 
 def inflated(window: Window) -> tuple[bytes, int] | None:
     """(content, length) of the gzip member at the start of the window, if its checksum holds."""
     d = zlib.decompressobj(wbits=31)
     out, fed = [], 0
-    while True:
+    while not d.eof:
+        if fed == len(window) and not window.more():
+            return None
+        piece = window.part(fed, fed + FEED_BYTES)
         try:
-            out.append(d.decompress(window.held[fed:]))
+            out.append(d.decompress(piece))
         except zlib.error:
             return None
-        if d.eof:
-            return b"".join(out), len(window.held) - len(d.unused_data)
-        fed = len(window.held)
-        if not window.more():
-            return None
+        fed += len(piece)
+    return b"".join(out), fed - len(d.unused_data)
 
 
 def plain(window: Window) -> tuple[dict[str, str], bytes, int] | None:
     """The uncompressed record at the start of the window."""
-    while not (got := parsed(window.held)):
-        end = window.held.find(b"\r\n\r\n")
-        m = re.search(rb"(?i)content-length:\s*(\d+)", window.held[:end]) if end >= 0 else None
-        if (m and len(window.held) >= end + 8 + int(m[1])) or not window.more():
+    while (end := window.find(b"\r\n\r\n")) < 0:
+        if not window.more():
+            return None
+    m = re.search(rb"(?i)content-length:\s*(\d+)", window.part(0, end))
+    size = end + 8 + int(m[1]) if m else 0
+    while len(window) < size:
+        if not window.more():
             return None
-    return got
+    return parsed(window.part(0, size)) if m else None
 
 
 def salvage(source) -> Iterator[Record | Gap]:
@@ -156,15 +175,15 @@ def salvage(source) -> Iterator[Record | Gap]:
     window = Window(source)
     gap_at, searching = 0, False
     while True:
-        if len(window.held) < len(VERSION):
+        if len(window) < len(VERSION):
             window.more()
-        if not window.held:
+        if not len(window):
             break
         got = None
-        if window.held.startswith(MEMBER):
+        if window.starts(MEMBER):
             if (m := inflated(window)) and (p := parsed(m[0])) and p[2] == len(m[0]):
                 got = (p[0], p[1], m[1])
-        elif window.held.startswith(VERSION):
+        elif window.starts(VERSION):
             got = plain(window)
         if got:
             if searching:
@@ -176,13 +195,13 @@ def salvage(source) -> Iterator[Record | Gap]:
         if not searching:
             gap_at, searching = window.at, True
         while True:
-            found = [i for mark in (MEMBER, VERSION) if (i := window.held.find(mark, 1)) > 0]
+            found = [i for mark in (MEMBER, VERSION) if (i := window.find(mark, 1)) > 0]
             if found:
                 window.drop(min(found))
                 break
-            window.drop(max(1, len(window.held) - len(VERSION) + 1))
+            window.drop(max(1, len(window) - len(VERSION) + 1))
             if not window.more():
-                window.drop(len(window.held))
+                window.drop(len(window))
                 break
     if searching:
         yield Gap(gap_at, window.at - gap_at)
