@@ -100,12 +100,17 @@ def rows_of(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -
     return rows.mapInArrow(sets, "uid long, doc_id long, h1 long, h2 int, n long, sig binary, prefix array<long>, last long")
 
 
+def at_any_size(df: DataFrame) -> DataFrame:
+    """For joins with what grows with the corpus: a merge join on small tables too, so that they
+    are worked on as large ones are, and nothing is broadcast by its size."""
+    return df.hint("merge")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int, scratch: Scratch) -> DataFrame:
     """(uid, set) of wanted rows (uid, h1, h2)."""
     rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("h1"), F.hash(F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")).alias("h2"), F.col(f"`{text}`").cast("string").alias("text"))
-    # A merge join at every size: what is wanted grows with the corpus. A row that repeats is
-    # dropped where the join has put it.
-    found = rows.join(wanted.hint("merge"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("uid", "text")
+    # A row that repeats is dropped where the join has put it.
+    found = rows.join(at_any_size(wanted), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("uid", "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -133,11 +138,11 @@ def index_rows(classes: DataFrame, sizes: DataFrame, percent: int, scratch: Scra
         before, n_able = n_able, able.count()
         if n_able == 0 or (before is not None and n_able > 0.9 * before):
             break
-        tokens = shared.drop("df").join(able.select("uid"), "uid", "left_semi")
+        tokens = shared.drop("df").join(at_any_size(able.select("uid")), "uid", "left_semi")
     # The place in a list: first comes whose tokens are shared most, the centre of its copies.
     able = able.select("uid", "n", "s", (F.col("k") - F.col("s")).alias("alone"), "last", (F.col("s") - least + 1).alias("lead"), (-F.col("w") / F.col("k")).alias("place"))
     order = Window.partitionBy("uid").orderBy("df", "tok")
-    leading = shared.join(able, "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
+    leading = shared.join(at_any_size(able), "uid").withColumn("rank", F.row_number().over(order)).filter("rank <= lead")
     leading = leading.withColumn("ahead", (F.col("s") - F.col("rank") + 1).cast("int"))
     # Sizes in a ratio of `percent` or more lie in one block or in neighbouring ones. Two sets
     # of the higher block, or of one and the other, meet in the higher; a position that leaves
@@ -173,7 +178,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with the size of the intersection, and whether the sets link: 100 *
     intersection >= percent * union."""
     a, b = sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), sets.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    both = at_any_size(at_any_size(pairs).join(b, "b")).join(a, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", "both", (100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).alias("link"))
 
 
@@ -209,7 +214,7 @@ def rest_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     Tokens that no other class left has are counted (alone). They are in no intersection and
     in every union, which bounds a pair's similarity; the rarest of the others are the index."""
     missing = F.floor((100 - percent) * F.col("n") / 100)
-    rows = left.join(sets, "uid").select("uid", "c", F.size("set").cast("long").alias("n"), F.explode("set").alias("tok"))
+    rows = at_any_size(left).join(sets, "uid").select("uid", "c", F.size("set").cast("long").alias("n"), F.explode("set").alias("tok"))
     n_left, held = None, None
     while True:
         # A class that loses its partners' tokens may lose its last possible partner, and so on.
@@ -221,9 +226,9 @@ def rest_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
         before, n_left = n_left, alone.count()
         if n_left == 0 or (before is not None and n_left > 0.9 * before):
             break
-        rows = rows.drop("df").join(alone.select("uid"), "uid", "left_semi")
+        rows = rows.drop("df").join(at_any_size(alone.select("uid")), "uid", "left_semi")
     order = Window.partitionBy("uid").orderBy("df", "tok")
-    index = rows.filter("df > 1").join(alone, "uid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= missing + 1 - F.col("alone"))
+    index = rows.filter("df > 1").join(at_any_size(alone), "uid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= missing + 1 - F.col("alone"))
     index = scratch.save(index.select("tok", "uid", "c", "n", "alone", "rank"), "rest-index")
     scratch.drop(held)
     x, y = (index.select("tok", *[F.col(k).alias(k + i) for k in ("uid", "c", "n", "alone", "rank")]) for i in "xy")
@@ -263,7 +268,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     for _ in range(rounds):
         # What each list's leader before had in common with its members.
         known = index.withColumn("known", F.lit(None).cast("int")) if answers is None else index.join(answers, "uid", "left").withColumn("known", F.element_at("overlap", F.col("lead"))).drop("overlap")
-        open_ = known.join(labels, "uid")
+        open_ = known.join(at_any_size(labels), "uid")
         first = F.min(F.struct("place", "uid", "n", "alone", "last", "ahead", "known", "c")).alias("first")
         firsts = open_.groupBy(*lists).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first).filter("lo <> hi").drop("lo", "hi")
         sure, none = derived(percent)
