@@ -35,6 +35,8 @@ from .shared import file_at, saved, shared_dir
 
 VOCABULARY, CLASSES, DIM, SIDE, BATCH, RATE = 8_192, 128, 16, 2, 4_096, 0.1
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
+#: Sums over classes are products with this.
+ONES = np.ones(CLASSES, np.float32)
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 300_000
 #: Rounds of averaging, and words that a copy of the network learns from.
@@ -134,10 +136,12 @@ class Network:
         return [self.embed[around[:, k]] for k in range(len(PLACES))]
 
     def exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of the class activations, less their maximum, and the activation of target."""
+        """exp of the class activations (less their maximum, if they may be large), and the
+        activation of target."""
         x = h @ self.out[:-1]
         x += self.out[-1]
-        x -= x.max(axis=1, keepdims=True)
+        if np.abs(self.out).sum(axis=0).max() > 60:  # h lies between -1 and 1
+            x -= x.max(axis=1, keepdims=True)
         own = x[np.arange(len(x)), target]
         return np.exp(x, out=x), own
 
@@ -183,7 +187,7 @@ def trained(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], class_
         near = net.near(around)
         h = net.hidden(near)
         d, _ = net.exponentials(h, class_of[target])
-        d *= (1 / (n * d.sum(axis=1)))[:, None]
+        d *= (1 / (n * (d @ ONES)))[:, None]
         d[np.arange(n), class_of[target]] -= np.float32(1 / n)
         g_out = np.concatenate([h.T @ d, d.sum(axis=0)[None]])
         dh = (d @ net.out[:-1].T) * (1 - h * h)
@@ -217,7 +221,7 @@ class Model:
         v, found = self.vocabulary, []
         for target, around in batches(iter(docs), len(self.network.embed) - 1):
             e, own = self.network.exponentials(self.network.hidden(self.network.near(around)), v.class_of[target])
-            found.append(own - np.log(e.sum(axis=1)) + v.log_share[target])
+            found.append(own - np.log(e @ ONES) + v.log_share[target])
         if not found:
             return [0.0] * len(docs)
         upto = np.concatenate([[0.0], np.cumsum(np.concatenate(found), dtype=float)])
