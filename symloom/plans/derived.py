@@ -75,6 +75,12 @@ WRITTEN = {"x4": [], "x14": ["kind"]}
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder still exists; the shared folder may be cleared between queries."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one."""
     if name in TABLES:
@@ -85,7 +91,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in WRITTEN:
         return made
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
+    if key not in _written or not there(spark, _written[key]):
         path = shared_folder(spark, name)
         made.write.partitionBy(*WRITTEN[name]).parquet(path)
         _written[key] = path

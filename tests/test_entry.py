@@ -45,3 +45,16 @@ def test_entry(spark):
 def test_only_the_fuzzy_ranks_have_no_sql():
     sql, own = e.oracle_sql(), [n for n in e.queries() if not n.startswith("op") and n != "pipeline"]
     assert [n for n in own if n not in sql] == ["G26_fuzzy_rank"]
+
+
+def test_written_tables_are_made_again(spark):
+    import shutil
+
+    from symloom.plans import derived
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    n = derived.table(spark, "/root/testdata/sf0.001", "x4").count()
+    path = derived._written[spark.sparkContext.applicationId, "/root/testdata/sf0.001", "x4"]
+    shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
+    assert derived.table(spark, "/root/testdata/sf0.001", "x4").count() == n > 0
