@@ -127,6 +127,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the first components of all of them, at unit variance."""
+    from .whitening import fit, whitened
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitened(vectors, fit(vectors))
+
+
 ORACLE_OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
@@ -150,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op12_whitening": op12_whitening,
 }
 ORACLES: dict[str, str] = {"op10_warc": ORACLE_OP10}
