@@ -127,6 +127,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    from .lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector along the first components of all of them, at unit variance."""
     from .whitening import fit, whitened
@@ -147,6 +154,21 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+# The pattern of a term and the folding of A-Z, as in lexical.FOLD.
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {TERMS} AS a FROM documents WHERE text IS NOT NULL),
+t AS (SELECT k, doc_id, unnest(a) AS term FROM d),
+f AS (SELECT k, doc_id, term, count(*) AS tf FROM t GROUP BY k, doc_id, term),
+c AS (SELECT count(*) AS docs, CAST(sum(len(a)) AS BIGINT) AS terms FROM d WHERE len(a) > 0),
+m AS (SELECT k, 50 + (50 * len(a) * docs) // terms AS m FROM d, c WHERE len(a) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY item_id, k, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
@@ -158,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_lexical": op11_lexical,
     "op12_whitening": op12_whitening,
 }
-ORACLES: dict[str, str] = {"op10_warc": ORACLE_OP10}
+ORACLES: dict[str, str] = {"op10_warc": ORACLE_OP10, "op11_lexical": ORACLE_OP11}
