@@ -142,6 +142,17 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(vectors, fit(vectors))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by the nearest examples of the rows not held out."""
+    from .mil_classifier import held_out
+    from .toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    out = scored(docs, fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.evidence")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 ORACLE_OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
@@ -182,5 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_lexical": op11_lexical,
     "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op10_warc": ORACLE_OP10, "op11_lexical": ORACLE_OP11}

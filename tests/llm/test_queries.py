@@ -12,7 +12,7 @@ import corpus_pipeline
 from symloom.llm import mil_classifier
 from symloom.llm.queries import ORACLES, QUERIES
 
-from . import test_chat, test_mixing, test_neighbours, test_ngram_join, test_quality_rules, test_warc
+from . import test_chat, test_lexical, test_mixing, test_neighbours, test_ngram_join, test_quality_rules, test_warc, test_whitening
 from .helpers import LONG
 
 public = pytest.importorskip("public_tokenizers")
@@ -43,7 +43,10 @@ def sf(spark, tmp_path_factory):
     put = lambda name, data, schema: spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{at}/{name}.parquet")
     put("documents", [(i, t, "en", s, len(t or ""), "9", "x", "y") for i, t, s in rows], DOCS)
     labels = {i: int("%%" not in t) for i, t, _ in rows if i and i >= 100}
-    put("labels", [*((i, q, 0) for i, q in labels.items()), (None, 1, 0), (7, 0, 0), (101, None, 0)], "doc_id long, quality int, toxic int")
+    put("labels", [*((i, q, int(not q)) for i, q in labels.items()), (None, 1, 0), (7, 0, 0), (101, None, None)], "doc_id long, quality int, toxic int")
+    common = " ".join({w for _, t, _ in rows[::5] for w in (t or "").split()[:40]})
+    items = [(5, common), (1, " ".join(rows[3][1].split()[:20]) if rows[3][1] else "x"), (2, "w1 W2, w976 w1"), (3, None), (4, "one two three"), (4, "one two three")]
+    put("benchmark", items, "item_id long, text string")
     rng = np.random.default_rng(4)
     vectors = [(i, rng.standard_normal(8).tolist(), 0) for i in range(400)] + [(500, None, 0), (600, [0.0] * 8, 0), (700, [float("nan")] * 8, 0), (800, [1e200] * 8, 0), (900, [1.0, None, *[0.0] * 6], 0)]
     put("embeddings", vectors, "vec_id long, embedding array<double>, label int")
@@ -51,13 +54,13 @@ def sf(spark, tmp_path_factory):
     put("pages", pages, "page_id long, url string, html string")
     talk = [(1, 0, "a", "Who reads the old archive files these days, and why?"), (1, 1, "b", "> Who reads the old archive files\n> these days, and why?\nI do."), (1, 2, "a", "> I do.\nThanks"), (1, 3, "c", "> Who reads the old archive files these days, and why?\nNobody."), (2, None, "a", "x"), (None, 1, None, None), (3, 1, "a", "")]
     put("conversations", talk, "conv_id long, turn long, role string, text string")
-    return {"at": str(at), "docs": rows, "vectors": vectors, "pages": pages, "talk": talk}
+    return {"at": str(at), "docs": rows, "labels": labels, "items": items, "vectors": vectors, "pages": pages, "talk": talk}
 
 
 @pytest.fixture(scope="module")
 def empty(spark, sf, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "pages", "conversations"):
         spark.read.parquet(f"{sf['at']}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return str(at)
 
@@ -159,6 +162,32 @@ def test_op10(spark, sf):
     assert got == sorted(want, key=str) and "op10_warc" in ORACLES
 
 
+def test_op11(spark, sf):
+    want = test_lexical.brute([(i, t) for i, t, _ in sf["docs"]], [i for i in sf["items"] if i[1]])
+    assert rows(spark, sf, "op11_lexical", "item_id", "rank", "doc_id", "score") == want and len(want) > 50
+
+
+def test_op12(spark, sf):
+    """Against an eigenvalue routine; one entry of 1e200 would leave a single component, so that
+    row is left out here."""
+    usable = [(i, v) for i, v, _ in sf["vectors"] if v is not None and None not in v and np.isfinite(v).all()]
+    got = QUERIES["op12_whitening"](spark, sf["at"]).collect()
+    assert Counter(r["vec_id"] for r in got).keys() == {i for i, _ in usable}
+    assert {r["n"] for r in got} == {len(usable)} and max(r["identity_error"] for r in got) <= 1e-4
+    without = spark.read.parquet(f"{sf['at']}/embeddings.parquet").filter("vec_id <> 800 or vec_id is null")
+    from symloom.llm import whitening
+
+    usable = [(i, np.float32(v)) for i, v in usable if i != 800]
+    without = without.withColumn("embedding", whitening.F.col("embedding").cast("array<float>"))
+    test_whitening.check(whitening.whitened(without, whitening.fit(without)).collect(), usable)
+
+
+def test_op13(spark, sf):
+    got = rows(spark, sf, "op13_toxicity", "doc_id", "held_out", "score", "predicted")
+    assert Counter(r[0] for r in got) == Counter(i for i, *_ in sf["docs"])
+    assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= s <= 1 and p == (s >= 0.5) for i, h, s, p in got)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
