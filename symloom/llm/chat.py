@@ -20,12 +20,15 @@ tree, of which each step follows a stretch twice as long.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-MARKS = r"^(?:[ \t]*>)+"
+#: One class of characters, so that any number of marks is matched in a loop.
+MARKS = r"^[ \t>]*>"
 #: Words that are hashed together.
 WINDOW = 8
 #: Turns of a conversation that share a task.
@@ -134,18 +137,25 @@ def placed(links: DataFrame, scratch: Scratch) -> DataFrame:
     around = links.join(beside, ["conv_id", "turn"], "left").join(first, ["conv_id", "turn"], "left")
     enter = F.struct(F.lit(False).alias("left"), F.coalesce("first", "turn").alias("next"), F.col("first").isNull().alias("next_left"), F.col("n").alias("count"))
     leave = F.struct(F.lit(True).alias("left"), F.coalesce("beside", "reply_to").alias("next"), F.col("beside").isNull().alias("next_left"), F.lit(0).cast("long").alias("count"))
-    steps = scratch.save(around.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("s")).select("conv_id", "turn", "s.*"), "steps")
+    held = active = scratch.save(around.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("s")).select("conv_id", "turn", "s.*", F.lit(False).alias("done")), "steps")
+    # Those that point to their root's leaving are done, and only looked up by others; they don't
+    # meet in that one step again.
+    done = []
     while True:
-        over = steps.select("conv_id", F.col("turn").alias("next"), F.col("left").alias("next_left"), F.col("next").alias("further"), F.col("next_left").alias("further_left"), F.col("count").alias("more"))
+        steps = reduce(DataFrame.unionAll, [active, *done])
+        over = steps.select("conv_id", F.col("turn").alias("next"), F.col("left").alias("next_left"), F.col("next").alias("further"), F.col("next_left").alias("further_left"), F.col("count").alias("more"), F.col("done").alias("over_done"))
         moved = F.col("further").isNotNull()
-        ahead = steps.join(over, ["conv_id", "next", "next_left"], "left").select(
+        ahead = active.join(over, ["conv_id", "next", "next_left"], "left").select(
             "conv_id", "turn", "left", F.coalesce("further", "next").alias("next"), F.when(moved, F.col("further_left")).otherwise(F.col("next_left")).alias("next_left"),
-            (F.col("count") + F.when(moved, F.col("more")).otherwise(0)).alias("count"), moved.alias("moved"),
+            (F.col("count") + F.when(moved, F.col("more")).otherwise(0)).alias("count"), (~moved | F.col("over_done")).alias("done"),
         )
-        last, steps = steps, scratch.save(ahead, "steps")
-        scratch.drop(last)
-        if steps.filter("moved").isEmpty():
+        last, held = held, scratch.save(ahead, "steps", "done")
+        scratch.drop(last, part="done=false" if done else "")
+        done.append(held.filter("done"))
+        active = held.filter("not done")
+        if active.isEmpty():
             break
+    steps = reduce(DataFrame.unionAll, done)
     entered = steps.filter(~F.col("left")).select("conv_id", "turn", F.col("next").alias("thread"), "count")
     sizes = entered.filter("turn = thread").select("conv_id", "thread", F.col("count").alias("size"))
     return links.join(entered.join(sizes, ["conv_id", "thread"]), ["conv_id", "turn"]).withColumn("position", F.col("size") - F.col("count") + 1).drop("size", "count")

@@ -1,6 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of a fixed number of words; only the document has a label.
+A document is a bag of passages of a fixed number of words (in very long documents a multiple of
+it, so that a bag is bounded and yet holds every word); only the document has a label.
 Every passage is encoded (shares of byte classes, word shape, hashed words, then one learned
 layer), a gated attention weighs the passages, and a logistic unit scores their weighted sum.
 The whole text counts. The network is trained in numpy on a bounded sample of labelled
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage.
-PASSAGE = 64
-#: Labelled documents that the network learns from, about, at most (taken by a hash of the
-#: id), and passages that one of them shows; of a longer one that many are taken at even steps
-#: from its beginning to its end. In scoring every passage counts.
-LEARN_DOCS, LEARN_PASSAGES = 4_000, 1_000
+#: Words of a passage, and passages of a bag: with more words the passages of a document are
+#: longer, by a whole factor.
+PASSAGE, BAG = 64, 1_000
+#: Labelled documents that the network learns from, about, at most (taken by a hash of the id).
+LEARN_DOCS = 4_000
+#: Bytes of a text that are looked at together, about (a passage is whole).
+PIECE = 4 << 20
 HASHED = 64
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 25, 64, 0.01, 1e-4
 
@@ -42,39 +44,49 @@ WIDTH = CLASSES + 5 + HASHED
 def passages(text: str | None) -> np.ndarray:
     """(passages, WIDTH) raw features of a whole text; a text without words is one passage of
     zeros."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     inside = ~SPACE[raw]
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
     if not len(starts):
         return np.zeros((1, WIDTH), np.float32)
-    n = -(-len(starts) // PASSAGE)
+    words = PASSAGE * -(-len(starts) // (PASSAGE * BAG))
+    # A passage ends where the next begins; the first has what is before its first word.
+    cuts = np.concatenate([[0], starts[words::words], [len(raw)]])
+    out, at = [], 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + PIECE, side="right")) - 1)
+        a, b = cuts[at], cuts[to]
+        out.append(features(raw[a:b], inside[a:b], starts[at * words : to * words] - a, words))
+        at = to
+    return np.concatenate(out)
+
+
+def features(raw: np.ndarray, inside: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Of consecutive passages of so many words, whose words begin at starts."""
+    n = -(-len(starts) // words)
     word = np.cumsum(np.bincount(starts, minlength=len(raw))) - 1
     word[word < 0] = 0
-    part = word // PASSAGE
+    part = word // words
     size = np.bincount(part, minlength=n)
     classes = np.bincount(part * CLASSES + CLASS_OF[raw], minlength=n * CLASSES).reshape(n, CLASSES) / size[:, None]
     place = (np.arange(len(raw)) - starts[word]) & 15
     with np.errstate(over="ignore"):
         hashes = np.add.reduceat(np.where(inside, WORD_TABLE[place, raw], np.uint64(0)), starts)
     length = np.add.reduceat(inside.astype(np.int64), starts)
-    of = np.arange(len(starts)) // PASSAGE
-    words = np.bincount(of, minlength=n)
+    of = np.arange(len(starts)) // words
+    held = np.bincount(of, minlength=n)
     order = np.lexsort((hashes, of))
     again = (hashes[order][1:] == hashes[order][:-1]) & (of[order][1:] == of[order][:-1])
-    repeats = np.bincount(of[order][1:][again], minlength=n) / words
+    repeats = np.bincount(of[order][1:][again], minlength=n) / held
     ends = np.minimum(starts + length - 1, len(raw) - 1)
-    mark_end = np.bincount(of, CLASS_OF[raw[ends]] < len(MARKS), n) / words
-    capital = np.bincount(of, CLASS_OF[raw[starts]] == UPPER, n) / words
-    shape = np.stack([np.bincount(of, length, n) / words / 10, repeats, mark_end, capital, words / PASSAGE], axis=1)
-    bag = np.bincount(of * HASHED + (hashes >> np.uint64(20)).astype(np.int64) % HASHED, minlength=n * HASHED).reshape(n, HASHED) / words[:, None]
+    mark_end = np.bincount(of, CLASS_OF[raw[ends]] < len(MARKS), n) / held
+    capital = np.bincount(of, CLASS_OF[raw[starts]] == UPPER, n) / held
+    # The length as a logarithm: one very long word must not set the scale for all others.
+    shape = np.stack([np.log1p(np.bincount(of, length, n) / held), repeats, mark_end, capital, held / words], axis=1)
+    bag = np.bincount(of * HASHED + (hashes >> np.uint64(20)).astype(np.int64) % HASHED, minlength=n * HASHED).reshape(n, HASHED) / held[:, None]
     return np.concatenate([classes, shape, bag], axis=1).astype(np.float32)
 
 
-def at_even_steps(bag: np.ndarray, most: int) -> np.ndarray:
-    """A bag of at most `most` passages, first and last included."""
-    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -170,13 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for part in parts:
             for lo in range(0, part.num_rows, 200):
                 some = part.slice(lo, 200)
-                bags = [at_even_steps(passages(t.as_py()), LEARN_PASSAGES) for t in some.column("own_text")]
-                yield pa.RecordBatch.from_arrays([some.column("label_key"), some.column("label"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
+                bags = [passages(t.as_py()).tobytes() for t in some.column("own_text")]
+                yield pa.RecordBatch.from_arrays([some.column("label_key"), some.column("label"), pa.array(bags, pa.binary())], names=["id", "label", "bag"])
 
     kinds = dict(picked.dtypes)
-    rows = picked.mapInArrow(encode, f"id {kinds['label_key']}, label {kinds['label']}, bag binary").collect()  # bounded by LEARN_DOCS and LEARN_PASSAGES
+    rows = picked.mapInArrow(encode, f"id {kinds['label_key']}, label {kinds['label']}, bag binary").collect()  # bounded by LEARN_DOCS and BAG
     rows.sort(key=lambda r: (r["id"], r["label"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in rows]
     return train(bags, np.array([r["label"] for r in rows], float))
 
 

@@ -46,20 +46,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self._spark, self._folder, self._held = spark, shared_dir(spark, name), {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """With by, a folder for each value of that column, of which some can be dropped."""
         path = f"{self._folder}/{len(self._held)}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self._spark.read.schema(df.schema).parquet(path)
         self._held[path] = out
         return out
 
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Deletes the files of saved tables; others, and None, are left alone. Shuffle files go
-        when the driver's JVM notices that no plan needs them, so it is asked to look."""
+    def drop(self, *tables: DataFrame | None, part: str = "") -> None:
+        """Deletes the files of saved tables, or of a part (column=value) of them; others, and
+        None, are left alone. Shuffle files go when the driver's JVM notices that no plan needs
+        them, so it is asked to look."""
         jvm, conf = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
         for path in [p for p, held in self._held.items() if any(held is t for t in tables)]:
-            self._held[path] = None
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            if not part:
+                self._held[path] = None
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             at.getFileSystem(conf).delete(at, True)
         jvm.System.gc()
 

@@ -142,3 +142,10 @@ def test_long_conversations_and_odd_rows(spark):
     assert odd[None, 1]["thread"] is None and odd[2, None]["position"] is None and odd[2, None]["content"] == "" and odd[3, 1]["content"] is None and odd[4, 1]["content"] == ""
     assert sorted(r["position"] for r in got if r["conv_id"] == 5) == [1, 2]
     assert formatted(table(spark, rows).limit(0)).count() == 0
+
+
+def test_any_number_of_marks_and_very_long_lines(spark):
+    rows = [(1, 1, "a", "What is this?"), (1, 2, "b", ">" * 100_000 + " x\nno"), (1, 3, "c", "> " * 100_000 + "\n> What is this?\nA thing"), (1, 4, "d", "w" * 1_000_000), (1, 5, "e", "> " + "w" * 1_000_000)]
+    found, got = results(spark, rows)
+    assert found == brute(rows) and found[1, 3][2] == 1 and found[1, 5][2] == 4
+    assert {r["turn"]: r["content"] for r in got if r["turn"] in (2, 3, 5)} == {2: "no", 3: "A thing", 5: ""}

@@ -34,16 +34,28 @@ def test_passages():
     assert len(c.passages("w " * 65)) == 2 and len(c.passages("  x")) == 1
 
 
-def test_long_documents_are_learned_from(monkeypatch):
-    bag = np.arange(3000.0)[:, None]
-    some = c.at_even_steps(bag, 100)
-    assert len(some) == 100 and some[0, 0] == 0 and some[-1, 0] == 2999 and np.diff(some[:, 0]).max() <= 31
-    assert c.at_even_steps(bag, 3000) is bag
+def test_long_documents_keep_every_word(monkeypatch):
+    """More words than a bag has passages for make longer passages; pieces change nothing."""
+    rng = np.random.default_rng(8)
+    text = "  " + " ".join("".join(rng.choice(list("aB3%é"), rng.integers(1, 9))) for _ in range(3_000))
+    whole = c.passages(text)
+    assert len(whole) == 47
+    monkeypatch.setattr(c, "PIECE", 700)
+    assert np.array_equal(c.passages(text), whole)
+    monkeypatch.setattr(c, "BAG", 10)
+    few = c.passages(text)
+    assert len(few) == 10
+    # Shares of classes by their passages' bytes are those of the text as a whole.
+    raw = text.encode()
+    letters = np.bincount(c.CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=c.CLASSES)
+    starts = [i for i, x in enumerate(raw) if x != 32 and raw[i - 1] == 32][:: 64 * 5]
+    size = np.diff([0, *starts[1:], len(raw)])
+    assert np.allclose((few[:, : c.CLASSES] * size[:, None]).sum(axis=0), letters, atol=1e-2)
 
 
 def test_long_labelled_documents_count(spark, monkeypatch):
     """Where only long documents tell the classes apart, they are told apart."""
-    monkeypatch.setattr(c, "LEARN_PASSAGES", 4)
+    monkeypatch.setattr(c, "BAG", 4)
     rows = [(i, ("plain words " if i % 2 else "## %% odd ") * 400, "s") for i in range(40)]
     docs = docs_table(spark, rows)
     net = c.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
@@ -51,6 +63,15 @@ def test_long_labelled_documents_count(spark, monkeypatch):
     assert min(scores[i] for i in range(1, 40, 2)) > 0.8 and max(scores[i] for i in range(0, 40, 2)) < 0.2
 
 
+def test_one_long_word_spoils_nothing(spark):
+    rows = [(i, ("plain words in a line, " if i % 2 else "## %% odd ") * 40, "s") for i in range(40)] + [(40, "QUJD" * 500_000, "s"), (41, "x " + "QUJD" * 500_000, "s")]
+    docs = docs_table(spark, rows)
+    net = c.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int"))
+    scores = {r["doc_id"]: r["p"] for r in c.scored(docs, net, to="p").collect()}
+    assert len(scores) == 42 and all(0 <= p <= 1 for p in scores.values())
+    assert min(scores[i] for i in range(1, 40, 2)) > 0.8 and max(scores[i] for i in range(0, 40, 2)) < 0.2
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("aeionrst"), rng.integers(2, 8)))
