@@ -108,45 +108,63 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     return head, block, start + n + 4
 
 
-class Window:
-    """A file's bytes from some offset on, read as they are needed. Bytes that were passed are
-    cut off once they are as many as a read brings, so that passing a record copies nothing."""
+class Bytes:
+    """A file's bytes by place. One piece is held, that which was read last."""
 
-    def __init__(self, source):
-        self._source, self._held, self._from, self.at, self.ended = source, b"", 0, 0, False
+    def __init__(self, file):
+        self._file, self._held, self._from = file, b"", 0
+        self.size = file.seek(0, 2)
 
-    def __len__(self) -> int:
-        return len(self._held) - self._from
+    def _read(self, start: int, n: int) -> bytes:
+        self._file.seek(start)
+        return self._file.read(n)
 
-    def more(self) -> bool:
-        got = b"" if self.ended else self._source.read(READ_BYTES)
-        self.ended = not got
-        self._held, self._from = self._held[self._from :] + got, 0
-        return bool(got)
-
-    def drop(self, n: int) -> None:
-        self._from += n
-        self.at += n
-
-    def starts(self, mark: bytes) -> bool:
-        return self._held.startswith(mark, self._from)
-
-    def find(self, mark: bytes, start: int = 0) -> int:
-        """Where mark comes first from start on, -1 if it isn't held."""
-        return max(-1, self._held.find(mark, self._from + start) - self._from)
+    def ahead(self, at: int) -> bytes:
+        """Some bytes from a place on; none at the end."""
+        if not self._from <= at < self._from + len(self._held):
+            self._held, self._from = self._read(at, READ_BYTES), at
+        return self._held[at - self._from :] if at > self._from else self._held
 
     def part(self, start: int, end: int) -> bytes:
-        return self._held[self._from + start : min(self._from + end, len(self._held))]
+        end = min(end, self.size)
+        if start >= end:
+            return b""
+        if start < self._from or end > self._from + len(self._held):
+            if end - start > READ_BYTES:
+                return self._read(start, end - start)
+            self._held, self._from = self._read(start, READ_BYTES), start
+        return self._held[start - self._from : end - self._from]
+
+    def peek(self, start: int, n: int) -> bytes:
+        """A few bytes from anywhere; what is held stays."""
+        held = self._from <= start and start + n <= self._from + len(self._held)
+        return self.part(start, start + n) if held else self._read(start, n) if start < self.size else b""
+
+    def find(self, marks: tuple[bytes, ...], at: int) -> int:
+        """Where the first of marks begins from a place on; -1 for nowhere."""
+        most = max(map(len, marks)) - 1
+        while at < self.size:
+            piece = self.ahead(at)
+            if len(piece) <= most and at + len(piece) < self.size:
+                self._held = b""  # the end of what is held, and too short: read from here
+                piece = self.ahead(at)
+            found = [i for m in marks if (i := piece.find(m)) >= 0]
+            if found:
+                return at + min(found)
+            if at + len(piece) >= self.size:
+                break
+            at += len(piece) - most
+        return -1
 
 
-def inflated(window: Window) -> tuple[bytes, int] | None:
-    """(content, length) of the gzip member at the start of the window, if its checksum holds."""
+def inflated(source: Bytes, at: int) -> tuple[bytes, int] | None:
+    """(content, length) of the gzip member at a place, if its checksum holds."""
     d = zlib.decompressobj(wbits=31)
     out, fed = [], 0
     while not d.eof:
-        if fed == len(window) and not window.more():
+        piece = source.part(at + fed, at + fed + FEED_BYTES)
+        if not piece:
             return None
-        piece = window.part(fed, fed + FEED_BYTES)
         try:
             out.append(d.decompress(piece))
         except zlib.error:
@@ -155,56 +173,44 @@ def inflated(window: Window) -> tuple[bytes, int] | None:
     return b"".join(out), fed - len(d.unused_data)
 
 
-def plain(window: Window) -> tuple[dict[str, str], bytes, int] | None:
-    """The uncompressed record at the start of the window."""
-    while (end := window.find(b"\r\n\r\n")) < 0:
-        if not window.more():
-            return None
-    m = re.search(rb"(?i)content-length:\s*(\d+)", window.part(0, end))
-    size = end + 8 + int(m[1]) if m else 0
-    while len(window) < size:
-        if not window.more():
-            return None
-    return parsed(window.part(0, size)) if m else None
+def plain(source: Bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """The uncompressed record at a place. Its head can't go on beyond the next version line,
+    and its block is read only if it ends where its length says, so that a wrong length costs a
+    look at that place and not the rest of the file."""
+    end = source.find((b"\r\n\r\n", b"\r\n" + VERSION), at)
+    if end < 0 or source.part(end, end + 4) != b"\r\n\r\n":
+        return None
+    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", source.part(at, end + 2))
+    if not m:
+        return None
+    after = end + 4 + int(m[1])
+    return parsed(source.part(at, after + 4)) if source.peek(after, 4) == b"\r\n\r\n" else None
 
 
-def salvage(source) -> Iterator[Record | Gap]:
-    """Every valid record of an archive, and a gap for each run of bytes that belongs to none.
+def salvage(file) -> Iterator[Record | Gap]:
+    """Every valid record of an archive (a file that can be read from any place), and a gap for
+    each run of bytes that belongs to none.
 
     After a failed check, every later member start or version line is tried in turn."""
-    window = Window(source)
-    gap_at, searching = 0, False
-    while True:
-        if len(window) < len(VERSION):
-            window.more()
-        if not len(window):
-            break
-        got = None
-        if window.starts(MEMBER):
-            if (m := inflated(window)) and (p := parsed(m[0])) and p[2] == len(m[0]):
+    source, at, gap_at = Bytes(file), 0, -1
+    while 0 <= at < source.size:
+        head, got = source.part(at, at + len(VERSION)), None
+        if head.startswith(MEMBER):
+            if (m := inflated(source, at)) and (p := parsed(m[0])) and p[2] == len(m[0]):
                 got = (p[0], p[1], m[1])
-        elif window.starts(VERSION):
-            got = plain(window)
+        elif head == VERSION:
+            got = plain(source, at)
         if got:
-            if searching:
-                yield Gap(gap_at, window.at - gap_at)
-                searching = False
-            yield Record(window.at, got[0], got[1])
-            window.drop(got[2])
-            continue
-        if not searching:
-            gap_at, searching = window.at, True
-        while True:
-            found = [i for mark in (MEMBER, VERSION) if (i := window.find(mark, 1)) > 0]
-            if found:
-                window.drop(min(found))
-                break
-            window.drop(max(1, len(window) - len(VERSION) + 1))
-            if not window.more():
-                window.drop(len(window))
-                break
-    if searching:
-        yield Gap(gap_at, window.at - gap_at)
+            if gap_at >= 0:
+                yield Gap(gap_at, at - gap_at)
+                gap_at = -1
+            yield Record(at, got[0], got[1])
+            at += got[2]
+        else:
+            gap_at = at if gap_at < 0 else gap_at
+            at = source.find((MEMBER, VERSION), at + 1)
+    if gap_at >= 0:
+        yield Gap(gap_at, source.size - gap_at)
 
 
 def deduplicated(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int) -> DataFrame:
@@ -244,8 +250,8 @@ def batches(file: str) -> Iterator[pa.RecordBatch]:
     number = lambda x: int(x) if x else None
     fs, path = file_at(file)
     rows, size = [], 0
-    with fs.open_input_stream(path) as source:
-        for x in salvage(source):
+    with fs.open_input_file(path) as file_:
+        for x in salvage(file_):
             if isinstance(x, Gap):
                 rows.append((file, x.offset, "gap", x.n_bytes, *[None] * 7))
             else:

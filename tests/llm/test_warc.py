@@ -63,3 +63,51 @@ def test_salvage_finds_every_record_after_damage():
 def test_members_are_plain_gzip():
     raw = record(7, "http://x", b"abc", None, False)
     assert gzip.decompress(member(raw)) == raw and b"WARC-Type: response" in raw
+
+
+class Counted(io.BytesIO):
+    """A file that counts what is read."""
+
+    n = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.n += len(got)
+        return got
+
+
+def plain_archive(n, size):
+    rng = random.Random(1)
+    return [record(k, "u", rng.randbytes(size), None, False) for k in range(n)]
+
+
+def test_wrong_lengths_are_salvaged_in_linear_time():
+    parts = plain_archive(1_000, 64_000)
+    for wrong in (b"Content-Length: 99999999999", b"Content-Length: 20000000", b"Content-Length: 7", b"Content-Length: x", b"Content-Longth: 64000"):
+        broken = [p.replace(b"Content-Length: 64000", wrong, 1) if k % 2 else p for k, p in enumerate(parts)]
+        file = Counted(b"".join(broken))
+        found = list(salvage(file))
+        assert [int(x.head["x-page-id"]) for x in found if isinstance(x, Record)] == list(range(0, 1_000, 2))
+        assert [x.n_bytes for x in found if isinstance(x, Gap)] == [len(p) for p in broken[1::2]]
+        assert file.n < 3 * sum(map(len, broken))
+
+
+def test_version_lines_without_heads():
+    """A head that never ends isn't looked for beyond the next version line."""
+    file = Counted(b"WARC/1.1\r\nA: b\r\n" * 100_000 + plain_archive(1, 10)[0])
+    found = list(salvage(file))
+    assert [type(x) for x in found] == [Gap, Record] and found[0].n_bytes == 1_600_000
+    assert file.n < 3 * 1_600_000
+
+
+def test_marks_across_pieces(monkeypatch):
+    from symloom.llm import warc
+
+    parts = plain_archive(30, 50)
+    whole = b"".join(p if k % 2 else member(p) for k, p in enumerate(parts))
+    want = [(x.offset, x.block) for x in salvage(io.BytesIO(whole))]
+    for size in (64, 1_000):
+        monkeypatch.setattr(warc, "READ_BYTES", size)
+        assert [(x.offset, x.block) for x in salvage(io.BytesIO(whole))] == want and len(want) == 30
+        cut = b"junk" + whole[7:]
+        assert sum(isinstance(x, Record) for x in salvage(io.BytesIO(cut))) == 29
