@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,32 +34,60 @@ LEARN_DOCS = 4_000
 #: log-likelihood ratio; 12 has a chance of 1 in 2,000).
 TERMS, UNLIKELY = 16_384, 12.0
 PREFIXES = (4, 5, 6)
-#: Letters of a word that count as a term; the rest of a longer one is left out of its name only.
+#: Letters of a word that is a term as a whole; of longer ones the beginnings are.
 WORD_LETTERS = 40
 NEAREST = 15
 #: Examples of an index block.
 BLOCK = 32
 #: Added to a distance, and the weight of the vote that nothing speaks for or against.
 NEAR, UNKNOWN = 0.1, 0.5
-WORD, BLANK = re.compile(r"\w+"), re.compile(r"\W")
-#: Characters of a text that are cut into words at once, and words whose terms a task remembers.
-PIECE, REMEMBERED = 1 << 20, 200_000
+WORD, BLANK, GAP = re.compile(r"\w+"), re.compile(r"\W"), re.compile(r"\W+")
+#: Characters of a text that are looked at together.
+PIECE = 1 << 20
 
 
-def words(text: str | None) -> Counter:
-    """How often a text holds each word, in parts of bounded size (a word is whole)."""
-    text, counts, at = text or "", Counter(), 0
+def pieces(text: str | None) -> Iterator[str]:
+    """A text in lower case, in parts of bounded size in which words are whole."""
+    text, at = text or "", 0
     while at < len(text):
         cut = BLANK.search(text, at + PIECE)
         end = cut.start() if cut else len(text)
-        counts.update(WORD.findall(text[at:end].lower()))
+        yield text[at:end].lower()
         at = end
-    return counts
 
 
 def terms_of(word: str) -> list[str]:
     """A word, and its beginnings."""
-    return [word[:WORD_LETTERS], *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
+    return [word] * (len(word) <= WORD_LETTERS) + [word[:n] + "*" for n in PREFIXES if len(word) >= n]
+
+
+def counted(text: str | None) -> Counter:
+    """How often a text holds each term."""
+    words: Counter = Counter()
+    for piece in pieces(text):
+        words.update(WORD.findall(piece))
+    held: Counter = Counter()
+    for word, times in words.items():
+        for t in terms_of(word):
+            held[t] += times
+    return held
+
+
+class Finder:
+    """Finds given terms ({term: number}) in texts, all at once."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self._found = ahocorasick.Automaton()
+        for term, i in numbers.items():
+            self._found.add_word(" " + (term[:-1] if term[-1] == "*" else term + " "), i)
+        self._found.make_automaton()
+        self._any = bool(numbers)
+
+    def counts(self, text: str | None) -> Counter:
+        held: Counter = Counter()
+        for piece in pieces(text) if self._any else ():
+            held.update(i for _, i in self._found.iter(f" {GAP.sub(' ', piece)} "))
+        return held
 
 
 @dataclass
@@ -71,8 +100,9 @@ class Examples:
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: What an example stands for: one over the share of its class that was taken.
     stands: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Votes without evidence, and the curve.
+    #: The vote without evidence, what an example stands for on average, and the curve.
     rate: float = 0.0
+    usual: float = 1.0
     curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +142,25 @@ class Examples:
             return best, cosines
         allowed = w @ self.most[at]
         order = np.argsort(-allowed, kind="stable")
-        order = order[allowed[order] > 0]
-        step = 4
-        for lo in range(0, len(order), step):
-            some = order[lo : lo + step]
-            if len(cosines) == k and allowed[some[0]] + 1e-9 < cosines[-1]:  # the sums differ by rounding
+        cells = at[:, None] * self.blocks
+        lo, step = 0, 2
+        while lo < len(order) and allowed[order[lo]] > 0:
+            if len(cosines) == k and allowed[order[lo]] + 1e-9 < cosines[-1]:  # the sums differ by rounding
                 break
-            a = self.starts[at[:, None] * self.blocks + some]
-            n = self.starts[at[:, None] * self.blocks + some + 1] - a
-            each = n.reshape(-1)
-            if not each.sum():
-                continue
-            places = np.repeat(a.reshape(-1) - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
-            found, row = np.unique(self.of[places], return_inverse=True)
-            sums = np.bincount(row, self.weights[places] * np.repeat(np.repeat(w, len(some)), each))
-            keep = found != skip
-            best, cosines = np.concatenate([best, found[keep]]), np.concatenate([cosines, sums[keep]])
+            some = order[lo : lo + step]
+            lo, step = lo + step, min(2 * step, 16)
+            a = self.starts[cells + some].reshape(-1)
+            each = self.starts[cells + some + 1].reshape(-1) - a
+            before = np.cumsum(each) - each
+            places = np.repeat(a - before, each) + np.arange(before[-1] + each[-1])
+            # Examples of the opened blocks, numbered within these.
+            shift = np.tile((np.arange(len(some)) - some) * BLOCK, len(at))
+            sums = np.bincount(self.of[places] + np.repeat(shift, each), self.weights[places] * np.repeat(np.repeat(w, len(some)), each), len(some) * BLOCK)
+            row = np.flatnonzero(sums > (cosines[-1] - 1e-9 if len(cosines) == k else 0))
+            found = some[row // BLOCK] * BLOCK + row % BLOCK
+            if skip >= 0:
+                row, found = row[found != skip], found[found != skip]
+            best, cosines = np.concatenate([best, found]), np.concatenate([cosines, sums[row]])
             top = np.lexsort((best, -cosines))[:k]
             best, cosines = best[top], cosines[top]
         return best, cosines
@@ -135,8 +168,10 @@ class Examples:
     def vote(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
         """The share of toxic among the neighbours, weighed by distance and by what they stand
         for; the rate without evidence counts a little."""
+        own = UNKNOWN * self.usual
+        if not len(numbers):
+            return self.rate
         weight = self.stands[numbers] / (NEAR + 1 - np.minimum(cosines, 1))
-        own = UNKNOWN * (self.stands.mean() if len(self.stands) else 1.0)
         return float((weight @ self.labels[numbers] + own * self.rate) / (weight.sum() + own))
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -144,6 +179,7 @@ class Examples:
         example gets from the others. vectors are in the order of the examples' numbers."""
         n = len(vectors)
         total = self.stands.sum()
+        self.usual = float(self.stands.mean()) if n else 1.0
         overall = (self.stands @ self.labels + 0.5 * total / max(n, 1)) / (total * (1 + 1 / n)) if n else 0.5
         bare = np.array([not len(at) for at, _ in vectors], bool)
         mass = self.stands[bare].sum()
@@ -211,10 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def terms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
-                held: Counter = Counter()
-                for word, times in words(row["own_text"]).items():
-                    for t in terms_of(word):
-                        held[t] += times
+                held = counted(row["own_text"])
                 yield pa.RecordBatch.from_pydict({"id": pa.array([row["label_key"]], part.schema.field("label_key").type), "label": pa.array([row["label"]], pa.int32()), "term": pa.array([list(held)], pa.list_(pa.string())), "times": pa.array([list(held.values())], pa.list_(pa.int64()))})
 
     held = saved(picked.mapInArrow(terms, f"id {kind}, label int, term array<string>, times array<bigint>"), "examples")
@@ -257,22 +290,18 @@ def scored(docs: DataFrame, model: Examples, text: str = "text", to: str = "toxi
 
     @F.arrow_udf(f"score double, evidence array<struct<id: {key}, cosine: double, label: int>>")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, known = shared.value, {}
+        own = shared.value
+        finder = Finder(own.numbers)
+        ids, labels = pa.array([i if key == "long" else str(i) for i in own.ids], kind), own.labels.astype(np.int32)
         for texts in parts:
-            scores, evidence = [], []
-            for t in texts:
-                counts: Counter = Counter()
-                for word, times in words(t.as_py()).items():
-                    held = known.get(word)
-                    if held is None:
-                        held = tuple(own.numbers[x] for x in terms_of(word) if x in own.numbers)
-                        if len(known) < REMEMBERED and len(word) <= WORD_LETTERS:
-                            known[word] = held
-                    for x in held:
-                        counts[x] += times
-                s, numbers, cosines = own.score(*own.vector(counts))
-                scores.append(s)
-                evidence.append([{"id": own.ids[i] if key == "long" else str(own.ids[i]), "cosine": c, "label": int(own.labels[i])} for i, c in zip(numbers.tolist(), cosines.tolist(), strict=True)])
-            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(neighbour))], ["score", "evidence"])
+            scores, numbers, cosines, ends = np.zeros(len(texts)), [], [], [0]
+            for nth, t in enumerate(texts):
+                scores[nth], near, far = own.score(*own.vector(finder.counts(t.as_py())))
+                numbers.append(near)
+                cosines.append(far)
+                ends.append(ends[-1] + len(near))
+            at = np.concatenate([np.zeros(0, np.int64), *numbers])
+            near = pa.StructArray.from_arrays([ids.take(pa.array(at)), pa.array(np.concatenate([np.zeros(0), *cosines])), pa.array(labels[at])], fields=list(neighbour))
+            yield pa.StructArray.from_arrays([pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], ["score", "evidence"])
 
     return docs.withColumn(to, score(docs[text].cast("string")))

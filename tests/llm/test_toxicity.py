@@ -54,11 +54,18 @@ def test_blocks_are_skipped(monkeypatch):
     assert len(numbers) == 5 and np.allclose(cosines, 1) and sum(opened) < 100
 
 
-def test_words_are_whole(monkeypatch):
-    text = "Über-älle don't x_y 3.14\n" * 50 + "w" * 999
-    want = Counter(x.WORD.findall(text.lower()))
-    monkeypatch.setattr(x, "PIECE", 7)
-    assert x.words(text) == want and x.words(None) == Counter()
+def test_terms_are_found_alike(monkeypatch):
+    """Terms counted one by one, and found all at once, in pieces of any size."""
+    text = "Über-älle don't x_y 3.14 LoserS loser\nlosers, İx an an an\n" * 50 + "w" * 999
+    want = Counter(t for w in x.WORD.findall(text.lower()) for t in x.terms_of(w))
+    assert x.counted(text) == want and want["loser*"] == 150 and want["loser"] == 50 and want["an"] == 150
+    terms = {t: i for i, t in enumerate([*want, "none", "anan*"])}
+    finder = x.Finder(terms)
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(x, "PIECE", size)
+        assert x.counted(text) == want
+        assert finder.counts(text) == {terms[t]: n for t, n in want.items()}
+    assert x.counted(None) == Counter() and finder.counts(None) == Counter() and x.Finder({}).counts("a") == Counter()
     assert x.terms_of("loser") == ["loser", "lose*", "loser*"] and x.terms_of("an") == ["an"]
 
 
