@@ -32,6 +32,9 @@ PAIRED = ("-o", "-MF", "-MT", "-MQ", "-main-file-name", "-include-pch", *USER)
 #: Suffixes of C-family files.
 C_FAMILY = (".c", ".cc", ".cpp", ".cxx", ".c++", ".C", ".h", ".hh", ".hpp", ".hxx", ".ixx", ".cppm", ".mpp", ".cu", ".m", ".mm")
 
+#: Words of a command. Possessive, so that a long one is matched in a loop and not by recursion.
+WORDS = r"""(?:[^\s"']++|"[^"]*+"|'[^']*+')++"""
+
 CDB_SCHEMA = T.StructType([T.StructField("directory", T.StringType()), T.StructField("file", T.StringType()), T.StructField("command", T.StringType()), T.StructField("arguments", T.ArrayType(T.StringType()))])
 
 
@@ -42,8 +45,9 @@ def absolute(path: Column, directory: Column) -> Column:
 def cdb_entries(rows: DataFrame) -> DataFrame:
     """Rows of CDB_SCHEMA as entries; bad ones and files of other languages are dropped.
 
-    A command text is split at white space outside of single or double quotes."""
-    words = F.transform(F.regexp_extract_all("command", F.lit(r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""), F.lit(1)), lambda w: F.regexp_replace(w, "[\"']", ""))
+    A command text is split at white space outside of single or double quotes; a quote that isn't
+    closed is left out."""
+    words = F.transform(F.regexp_extract_all("command", F.lit(WORDS), F.lit(0)), lambda w: F.regexp_replace(w, "[\"']", ""))
     args = F.coalesce("arguments", words)
     good = rows.filter("directory is not null and file is not null and (arguments is not null or command is not null)")
     return good.filter(suffix(F.col("file")).isin(*C_FAMILY)).select(absolute(F.col("file"), F.col("directory")).alias("file"), "directory", args.alias("args"))

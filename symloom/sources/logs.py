@@ -9,7 +9,7 @@ from symloom.functions.columns import basename
 
 #: Fixed value: `[stamp] ... [perf:topic] key=value key=value`; a value runs to the next key.
 PERF_LINE = r"^(?:\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\] )?.*?\[perf:([\w-]+)\] (.*)$"
-PAIRS = r"(\w+)=((?:(?!\s\w+=).)*)"
+PAIRS = r"(\w+)=(.*?)(?=\s\w+=|[\n\r\u0085\u2028\u2029]|\z)"
 
 
 def perf_events(lines: DataFrame, line: str = "value", file: str = "file") -> DataFrame:

@@ -17,6 +17,20 @@ def test_read_cdb(spark, tmp_path):
     assert got == {"/b/a.cpp": ["clang++", "-c", "a.cpp"], "/x/b.cc": ["cc", "-DX=a b", "-I", "inc", "b.cc"]}
 
 
+def test_commands_with_very_long_words(spark, tmp_path):
+    long = "x" * 100_000
+    rows = [{"directory": "/b", "file": f"{k}.cpp", "command": t} for k, t in enumerate([f"cc -D{long}=1 '{long} y'{long} a", f'cc "{long}', "'a'b\"c d\"e " * 30_000])]
+    (tmp_path / "cdb.json").write_text(json.dumps(rows))
+    got = {r["file"]: r["args"] for r in c.read_cdb(spark, str(tmp_path / "cdb.json")).collect()}
+    assert got["/b/0.cpp"] == ["cc", f"-D{long}=1", f"{long} y{long}", "a"] and got["/b/1.cpp"] == ["cc", long] and got["/b/2.cpp"] == ["abc de"] * 30_000
+
+
+def test_perf_values_of_any_length(spark):
+    value = "a\U0001f600" * 20_000
+    out = logs.perf_events(spark.createDataFrame([(f"[perf:x] path={value} b=1 c=d e", "f")], "value string, file string")).first()
+    assert out["values"] == {"path": value, "b": "1", "c": "d e"}
+
+
 def test_flags_and_diff(spark):
     def snapshot(*args):
         e = spark.createDataFrame([("/a.cpp", "/b", ["cc", *args])], "file string, directory string, args array<string>")
