@@ -30,6 +30,20 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(basename(path), r".(\.[^.]*)$", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` pieces; a `..` beyond the root is dropped, one beyond the
+    beginning of a relative path stays."""
+    rooted = path.startswith("/")
+
+    def step(held: Column, piece: Column) -> Column:
+        up = (piece == "..") & (F.size(held) > 0) & (F.coalesce(F.element_at(held, -1), F.lit("")) != "..")
+        return F.when((piece == "") | (piece == ".") | ((piece == "..") & rooted & (F.size(held) == 0)), held).when(up, F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(piece)))
+
+    plain = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    # Most paths have no such pieces.
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), F.concat(F.when(rooted, "/").otherwise(""), plain)).otherwise(path)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two strings."""
     n = F.least(F.length(a), F.length(b))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,3 +29,30 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Grown:
+    """A table that a loop adds to: a folder for each step, so that a step is read on its own and
+    all steps are one scan, however many there are. all() has the step as column `at_step`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._folder, self._steps, self._schema = spark, shared_folder(spark, name), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/at_step={self._steps}"
+        df.write.parquet(path)
+        self._schema, self._steps = df.schema, self._steps + 1
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        schema = StructType([*self._schema.fields, StructField("at_step", IntegerType())])
+        return self._spark.read.schema(schema).parquet(self._folder)
+
+    def drop(self) -> None:
+        """Deletes what was added, once nothing reads it any more."""
+        delete(self._spark, self._folder)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.columns import common_prefix, dirname, stem, suffix
-from symloom.functions.lineage import cut
+from symloom.functions.lineage import Grown, cut
+from symloom.operators.scan import resolve_includes
 
 
 def closure(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
@@ -14,36 +15,30 @@ def closure(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataF
     shortest way; the seed itself has depth 0. All roots advance together, a step of the loop
     for each level; what was met before is dropped by an anti join, so cycles end."""
     arcs = cut(arcs.select("src", "dst").distinct())
-    front = cut(seeds.select("root", "node").distinct())
-    levels, met, depth = [front.withColumn("depth", F.lit(0))], front, 0
+    levels = Grown(seeds.sparkSession, "closure")
+    front, depth = levels.add(seeds.select("root", "node").distinct()), 0
     while most is None or depth < most:
         depth += 1
         step = front.join(arcs, front["node"] == arcs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(met, ["root", "node"], "left_anti"))
+        front = levels.add(step.join(levels.all().select("root", "node"), ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
-        levels.append(front.withColumn("depth", F.lit(depth)))
-        # Every so often what was met becomes one table again.
-        met = met.union(front) if depth % 8 else cut(met.union(front))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+    return levels.all().withColumnRenamed("at_step", "depth")
 
 
 def reached_from(files: DataFrame, arcs: DataFrame) -> DataFrame:
     """(file_id): what arcs (src, dst) lead to from any of files, in one step or more. One
     frontier goes on for all files; which of them a node was reached from isn't kept."""
     arcs = cut(arcs.select("src", "dst").distinct())
-    front, met, step = cut(files.select("file_id").distinct()), None, 0
-    while True:
-        step += 1
+    met, front = None, files.select("file_id").distinct()
+    while met is None or not front.isEmpty():
         after = front.join(arcs, front["file_id"] == arcs["src"]).select(F.col("dst").alias("file_id")).distinct()
-        front = cut(after if met is None else after.join(met, "file_id", "left_anti"))
-        if met is not None and front.isEmpty():
-            return met
-        met = front if met is None else met.union(front)
-        met = met if step % 8 else cut(met)
+        if met is None:
+            met = Grown(files.sparkSession, "reached")
+            front = met.add(after)
+        else:
+            front = met.add(after.join(met.all().select("file_id"), "file_id", "left_anti"))
+    return met.all().select("file_id")
 
 
 def reversed_(edges: DataFrame) -> DataFrame:
@@ -112,15 +107,14 @@ def include_chain(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     smallest is taken."""
     arcs = cut(leading_to(pairs.select(F.col("target").alias("file_id")), edges))
     seeds = pairs.select(F.col("host").alias("root"), F.col("host").alias("node"))
-    reach = cut(closure(seeds, arcs))
-    at = cut(pairs.distinct().join(reach.select(F.col("root").alias("host"), F.col("node").alias("target"), "depth"), ["host", "target"]).select("host", "target", F.col("depth").alias("step"), F.col("target").alias("node")))
-    out = at
+    reach = closure(seeds, arcs)
+    walked = Grown(edges.sparkSession, "chain")
+    at = walked.add(pairs.distinct().join(reach.select(F.col("root").alias("host"), F.col("node").alias("target"), "depth"), ["host", "target"]).select("host", "target", F.col("depth").alias("step"), F.col("target").alias("node")))
     while not (at := at.filter("step > 0")).isEmpty():
         up = at.join(arcs, at["node"] == arcs["dst"]).select("host", "target", (F.col("step") - 1).alias("step"), F.col("src").alias("node"))
         on_way = up.join(reach.select(F.col("root").alias("host"), "node", F.col("depth").alias("step")), ["host", "node", "step"])
-        at = cut(on_way.groupBy("host", "target", "step").agg(F.min("node").alias("node")))
-        out = out.union(at)
-    return out
+        at = walked.add(on_way.groupBy("host", "target", "step").agg(F.min("node").alias("node")).select("host", "target", "step", "node"))
+    return walked.all().drop("at_step")
 
 
 def reaches(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,16 +178,14 @@ def build_levels(deps: DataFrame) -> DataFrame:
     cycle or behind one. Units whose needs all have levels are peeled off, level by level."""
     arcs = cut(deps.select("src", "dst").distinct())
     left = cut(all_files(arcs))
-    out, level = None, 0
+    levels = Grown(deps.sparkSession, "levels")
     while True:
         open_ = arcs.join(left.withColumnRenamed("file_id", "dst"), "dst", "left_semi").select(F.col("src").alias("file_id"))
-        ready = cut(left.join(open_, "file_id", "left_anti").select(F.col("file_id").alias("unit"), F.lit(level).alias("level")))
+        ready = levels.add(left.join(open_, "file_id", "left_anti"))
         if ready.isEmpty():
             failed = left.select(F.col("file_id").alias("unit"), F.lit(None).cast("int").alias("level"))
-            return failed if out is None else out.union(failed)
-        out = ready if out is None else out.union(ready)
-        left = cut(left.join(ready.select(F.col("unit").alias("file_id")), "file_id", "left_anti"))
-        level += 1
+            return levels.all().select(F.col("file_id").alias("unit"), F.col("at_step").alias("level")).union(failed)
+        left = cut(left.join(ready, "file_id", "left_anti"))
 
 
 def chain_dependents(chains: DataFrame, files: DataFrame) -> DataFrame:
@@ -225,22 +217,51 @@ def header_mode(diagnostics: DataFrame, codes=CONTEXT_CODES) -> DataFrame:
 def wavefront_scan(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, config_id, wave): files in the wave in which they are first met; of several
     discoverers in a wave the smallest (src, ord) gives the configuration."""
-    arcs = cut(edges.select("src", "config_id", "dst", "ord"))
-    front = cut(seeds.select("file_id", "config_id").dropDuplicates(["file_id"]))
-    out, met, wave = front.withColumn("wave", F.lit(0)), front.select("file_id"), 0
-    while True:
-        wave += 1
-        step = front.join(arcs.withColumnRenamed("src", "file_id"), ["file_id", "config_id"])
+    spark = seeds.sparkSession
+    arcs = cut(edges.select(F.col("src").alias("file_id"), "config_id", "dst", "ord"))
+    waves = Grown(spark, "waves")
+    front = waves.add(seeds.select("file_id", "config_id").dropDuplicates(["file_id"]))
+    while not front.isEmpty():
+        step = front.join(arcs, ["file_id", "config_id"])
         new = step.groupBy("dst").agg(F.min(F.struct("file_id", "ord", "config_id")).alias("by")).select(F.col("dst").alias("file_id"), "by.config_id")
-        front = cut(new.join(met, "file_id", "left_anti"))
+        front = waves.add(new.join(waves.all().select("file_id"), "file_id", "left_anti"))
+    return waves.all().select("file_id", "config_id", F.col("at_step").alias("wave"))
+
+
+def wavefront_from_sources(seeds: DataFrame, includes: DataFrame, search: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scans from seeds (path, config_id) on, wave by wave, until no wave finds a new file.
+
+    includes are what the files say (src: path, ord, name, angled, next, conditional), search and
+    listing as in resolve_includes, which resolves each wave's own includes under the
+    configuration, and from the directory index, that its files were found with. Of several
+    discoverers of a file in a wave the smallest (src, ord, config_id) hands these on, and later
+    ones change nothing; a file found beside its includer, or by an absolute name, has index 0.
+
+    Returns waves (path, config_id, found_idx, wave), with a row for each configuration of a seed,
+    and edges (src, config_id, ord, name, angled, conditional, idx, dst, wave), dst null where
+    nothing was found. Files without a row in includes have no edges; null paths and names take no
+    part. The state between waves is written to the shared folder, a folder each."""
+    spark = seeds.sparkSession
+    said = cut(includes.filter("src is not null and name is not null").select("src", "ord", "name", "angled", "next", "conditional"))
+    waves, edges = Grown(spark, "waves"), Grown(spark, "edges")
+    front = waves.add(seeds.filter("path is not null").select("path", "config_id", F.lit(0).cast("long").alias("found_idx")).distinct())
+    while True:
+        asked = front.withColumnRenamed("path", "src").join(said, "src")
+        own = front.select(F.col("path").alias("src"), dirname(F.col("path")).alias("dir")).distinct()
+        found = edges.add(resolve_includes(asked, search, listing, own).select("src", "config_id", "ord", "name", "angled", "conditional", "idx", F.col("path").alias("dst")))
+        by = F.struct("src", "ord", "config_id", F.greatest(F.coalesce("idx", F.lit(0)), F.lit(0)).cast("long").alias("found_idx"))
+        new = found.filter("dst is not null").groupBy("dst").agg(F.min(by).alias("by")).select(F.col("dst").alias("path"), "by.config_id", "by.found_idx")
+        front = waves.add(new.join(waves.all().select("path"), "path", "left_anti"))
         if front.isEmpty():
-            return out
-        out, met = out.union(front.withColumn("wave", F.lit(wave))), met.union(front.select("file_id"))
+            break
+    each = lambda t: t.withColumnRenamed("at_step", "wave")
+    return each(waves.all()), each(edges.all())
 
 
 def scan_report(waves: DataFrame, files: DataFrame, edges: DataFrame, found: DataFrame, modules: DataFrame) -> DataFrame:
-    """(metric, value): files by kind, edges by kind, found and resolved includes, modules,
-    waves and the files of each. found: name, resolved (boolean)."""
+    """(metric, value): files by kind, edges by kind, found and resolved includes, their share
+    (accuracy, in thousandths), modules, waves and the files of each. found: name, resolved
+    (boolean)."""
     is_source = suffix(F.col("path")) == ".cpp"
     rows = [
         files.select(F.explode(F.array(F.lit("files"), F.when(is_source, "source_files").otherwise("header_files"))).alias("metric")),
@@ -253,6 +274,7 @@ def scan_report(waves: DataFrame, files: DataFrame, edges: DataFrame, found: Dat
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
-    return out.groupBy("metric").agg(F.count("*").alias("value"))
+    share = found.agg(F.floor(1000 * F.count_if("resolved") / F.count("*")).alias("value")).filter("value is not null").select(F.lit("accuracy").alias("metric"), "value")
+    return out.groupBy("metric").agg(F.count("*").alias("value")).union(share)
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.columns import basename, dirname, without_dots
+
 INCLUDE = r'^[ \t]*#[ \t]*(include|include_next|import)[ \t]*([<"])([^>"]+)[>"]'
 OPENING, CLOSING = r"^[ \t]*#[ \t]*if(n?def)?\b", r"^[ \t]*#[ \t]*endif\b"
 MODULE = r"^[ \t]*(export[ \t]+)?module[ \t]+([\w.:]+)[ \t]*;"
@@ -146,23 +148,42 @@ def resolve_includes(includes: DataFrame, search: DataFrame, listing: DataFrame,
     """includes (src, config_id, ord, name, angled) with idx and path of the first hit, null if
     there is none. Quoted names look in the includer's directory (own_dirs: src, dir) first, as
     idx -1; angled ones begin at the first directory that isn't quoted. An absolute name is
-    itself. search: config_id, idx, grp, dir; listing: dir, entry."""
-    name = F.regexp_replace(F.regexp_replace("name", r"(^|/)(\./)+", "$1"), r"[^/]+/\.\./", "")
-    asked = includes.withColumn("clean", name)
-    sub = F.regexp_extract("clean", r"^(.*)/[^/]*$", 1)
-    asked = asked.withColumns({"sub": sub, "base": F.element_at(F.split("clean", "/"), -1)})
+    itself. search: config_id, idx, grp, dir; listing: dir, entry.
+
+    Two more columns of includes may be given: next (boolean) and found_idx, the idx at which src
+    was found itself. A next include begins after that, wherever src lies. The first directory of
+    a nested name must be one (it may be left again by `..`)."""
+    columns = includes.columns
+    for name, none in (("next", F.lit(False)), ("found_idx", F.lit(None).cast("long"))):
+        if name not in columns:
+            includes = includes.withColumn(name, none)
+    key = ["src", "config_id", "ord"]
+    asked = includes.select(*key, "name", F.coalesce("angled", F.lit(False)).alias("angled"), F.coalesce("next", F.lit(False)).alias("next"), "found_idx")
     spots = listing.select(F.col("dir").alias("spot"), F.col("entry").alias("base"))
-    at = lambda d: F.when(F.col("sub") == "", d).otherwise(F.concat(d, F.lit("/"), "sub"))
+
+    def there(candidates: DataFrame) -> DataFrame:
+        """Those of candidates (dir, name) that the listing has, with their path."""
+        whole = candidates.withColumn("path", without_dots(F.concat("dir", F.lit("/"), "name")))
+        head = F.regexp_extract("name", r"^([^/]*)/", 1)
+        nested = (head != "") & ~head.isin(".", "..")
+        made = whole.withColumns({"spot": F.when(F.col("path").rlike("^/[^/]*$"), "/").otherwise(dirname(F.col("path"))), "base": basename(F.col("path")), "head": head, "nested": nested})
+        found = made.join(spots, ["spot", "base"], "left_semi")
+        first = spots.select(F.col("spot").alias("dir"), F.col("base").alias("head"))
+        return found.filter("not nested").unionByName(found.filter("nested").join(first, ["dir", "head"], "left_semi")).drop("spot", "base", "head", "nested")
+
+    relative = F.col("name").isNotNull() & ~F.col("name").startswith("/")
     start = search.filter("grp <> 'quoted'").groupBy("config_id").agg(F.min("idx").alias("start"))
     # The few search directories are spelled out for each distinct name of a configuration.
-    wanted = asked.filter("name not like '/%'").select("config_id", "clean", "sub", "base").distinct()
-    hits = wanted.join(search, "config_id").withColumn("spot", at(F.col("dir"))).join(spots, ["spot", "base"], "left_semi").select("config_id", "clean", "idx", F.concat("spot", F.lit("/"), "base").alias("path"))
-    keys = ["config_id", "clean"]
-    from_search = asked.join(hits, keys).join(start, "config_id", "left").filter("not angled or idx >= start").groupBy("src", "ord").agg(F.min(F.struct("idx", "path")).alias("hit"))
-    own = asked.filter("not angled and name not like '/%'").join(own_dirs, "src").withColumn("spot", at(F.col("dir"))).join(spots, ["spot", "base"], "left_semi").select("src", "ord", F.struct(F.lit(-1).cast("long").alias("idx"), F.concat("spot", F.lit("/"), "base").alias("path")).alias("hit"))
-    whole = asked.filter("name like '/%'").withColumn("spot", sub).join(spots, ["spot", "base"], "left_semi").select("src", "ord", F.struct(F.lit(None).cast("long").alias("idx"), F.col("clean").alias("path")).alias("hit"))
-    best = from_search.union(own).union(whole).groupBy("src", "ord").agg(F.min("hit").alias("hit"))
-    return includes.join(best, ["src", "ord"], "left").select(*includes.columns, "hit.idx", "hit.path")
+    wanted = asked.filter(relative).select("config_id", "name").distinct()
+    hits = there(wanted.join(search.select("config_id", "idx", "dir"), "config_id")).select("config_id", "name", "idx", "path")
+    reach = F.when(F.col("next"), F.coalesce("found_idx", F.lit(0)) + 1).when(F.col("angled"), F.col("start")).otherwise(0)
+    best = F.min(F.struct("idx", "path")).alias("hit")
+    from_search = asked.join(hits, ["config_id", "name"]).join(start, "config_id", "left").filter(F.col("idx") >= reach).groupBy(*key).agg(best)
+    own = there(asked.filter(relative & ~F.col("angled") & ~F.col("next")).join(own_dirs.distinct(), "src")).select(*key, F.struct(F.lit(-1).cast("long").alias("idx"), "path").alias("hit"))
+    whole = asked.filter(F.col("name").startswith("/")).withColumns({"path": without_dots(F.col("name"))})
+    whole = whole.withColumns({"spot": F.when(F.col("path").rlike("^/[^/]*$"), "/").otherwise(dirname(F.col("path"))), "base": basename(F.col("path"))}).join(spots, ["spot", "base"], "left_semi").select(*key, F.struct(F.lit(None).cast("long").alias("idx"), "path").alias("hit"))
+    best = from_search.union(own).union(whole).groupBy(*key).agg(F.min("hit").alias("hit"))
+    return includes.join(best, key, "left").select(*columns, "hit.idx", "hit.path")
 
 
 def unresolved_includes(resolved: DataFrame) -> DataFrame:

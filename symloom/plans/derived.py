@@ -62,6 +62,16 @@ UNION ALL SELECT concat('/inc/', lower(r_name)), concat(lower(n_name), '.h') FRO
 UNION ALL SELECT s_suppkey, 0, 1, 'nope.h', TRUE, FALSE FROM {supplier} WHERE s_suppkey % 3 = 0""",
     "x13": "SELECT user_id AS file_id, event_id AS line, CASE event_type WHEN 'signup' THEN 'if' WHEN 'error' THEN 'endif' WHEN 'click' THEN 'else' WHEN 'view' THEN 'include' ELSE 'text' END AS directive FROM {events}",
     "x14": _RELATIONS,
+    # Headers of one name in up to four directories, sources, and what they include.
+    "wfile": "SELECT p_partkey AS p, CAST(floor(p_partkey / 4) AS BIGINT) AS q, CASE WHEN p_partkey % 5 = 0 THEN concat('/src/f', p_partkey, '.cpp') ELSE concat('/inc/', p_partkey % 4, '/h', CAST(floor(p_partkey / 4) AS BIGINT), '.h') END AS path FROM {part}",
+    "wincl": """SELECT path AS src, 0 AS ord, concat('h', CAST(floor(q / 2) AS BIGINT), '.h') AS name, TRUE AS angled, FALSE AS next, p % 3 = 1 AS conditional FROM {wfile} WHERE q > 0
+UNION ALL SELECT path, 1, concat('h', q, '.h'), p % 2 = 0, TRUE, FALSE FROM {wfile} WHERE p % 3 = 0 AND p % 5 <> 0
+UNION ALL SELECT path, 2, concat('h', CAST(floor(q / 3) AS BIGINT), '.h'), FALSE, FALSE, p % 2 = 0 FROM {wfile} WHERE p % 7 < 3
+UNION ALL SELECT path, 3, concat('../2/./h', CAST(floor(q / 5) AS BIGINT), '.h'), FALSE, FALSE, FALSE FROM {wfile} WHERE p % 11 = 0 AND p % 5 <> 0
+UNION ALL SELECT path, 4, concat('/inc/1/h', CAST(floor(q / 7) AS BIGINT), '.h'), TRUE, FALSE, TRUE FROM {wfile} WHERE p % 13 = 0
+UNION ALL SELECT path, 5, 'none/../h1.h', TRUE, FALSE, FALSE FROM {wfile} WHERE p % 17 = 0""",
+    "wdirs": "SELECT CAST(n_nationkey % 2 AS INT) AS config_id, CAST(floor(n_nationkey / 2) AS BIGINT) AS idx, CASE WHEN n_nationkey < 2 THEN 'quoted' WHEN n_nationkey < 6 THEN 'angled' ELSE 'system' END AS grp, concat('/inc/', CAST((n_nationkey * 3 + floor(n_nationkey / 2)) % 4 AS BIGINT)) AS dir FROM {nation} WHERE n_nationkey < 8",
+    "wseeds": "SELECT path, CAST(floor(p / 5) AS BIGINT) % 2 AS config_id FROM {wfile} WHERE p % 5 = 0 AND p % 4 <> 3 UNION ALL SELECT path, CAST(floor(p / 5) AS BIGINT) % 2 + 1 - 2 * (CAST(floor(p / 5) AS BIGINT) % 2) FROM {wfile} WHERE p % 20 = 0",
     # Rules over files, commands, diagnostics and tracker ticks.
     "rules": "SELECT CAST(n_nationkey AS BIGINT) AS rule_ord, concat('**/', CASE WHEN n_nationkey % 3 = 0 THEN '*.cpp' WHEN n_nationkey % 3 = 1 THEN concat('f', n_nationkey % 10, '*') ELSE concat('brand', n_nationkey % 5 + 1, '?/*.h') END) AS pattern, concat('-D', n_name) AS append, CASE WHEN n_nationkey % 4 = 0 THEN '-DALGERIA' ELSE concat('-DX', n_nationkey) END AS remove FROM {nation}",
     "commands": "SELECT concat('/src/', lower(replace(p_brand,'#','')), '/f', p_partkey, '.cpp') AS file, concat('/build', p_size % 3) AS directory, concat('clang++ -g -O', p_size % 3, ' -I inc', p_size % 4, ' -I/abs -DA=', p_size % 2, ' -DALGERIA -Wall -c') AS command FROM {part}",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.operators import graph as g
+from symloom.operators.scan import dir_listing, resolve_includes, scan_includes
 
 from .registry import query
 
@@ -119,15 +120,7 @@ def _(t):
     return g.build_levels(t.x2.select("src", "dst").union(cycle))
 
 
-@query("E18_chain_dependents", f"""WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {{x1}} UNION SELECT header, dst FROM up JOIN {{x2}} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
-def _(t):
-    # From the files asked for backwards, so that no other chain is followed.
-    up = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), g.reversed_(t.x2))
-    return up.select(F.col("root").alias("file_id"), F.col("node").alias("header"))
-
-
-# The same by given chains.
-@query("E18_chain_dependents_whole", """WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {x1} UNION SELECT header, dst FROM up JOIN {x2} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
+@query("E18_chain_dependents", """WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {x1} UNION SELECT header, dst FROM up JOIN {x2} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
 def _(t):
     chains = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), t.x2).select(F.col("root").alias("header"), "node")
     return g.chain_dependents(chains, t.x1)
@@ -166,9 +159,60 @@ m AS (SELECT 'files' AS metric FROM {x1} UNION ALL SELECT CASE WHEN path LIKE '%
 UNION ALL SELECT 'edges' FROM {x2} UNION ALL SELECT CASE WHEN conditional THEN 'conditional_edges' ELSE 'unconditional_edges' END FROM {x2}
 UNION ALL SELECT 'includes_found' FROM inc UNION ALL SELECT CASE WHEN ok THEN 'includes_resolved' ELSE 'includes_unresolved' END FROM inc
 UNION ALL SELECT 'modules' FROM (SELECT DISTINCT name FROM {x3}) z UNION ALL SELECT 'waves' FROM (SELECT DISTINCT w FROM wv) z UNION ALL SELECT concat('wave_', w) FROM wv)
-SELECT metric, count(*) AS value FROM m GROUP BY metric""")
+SELECT metric, count(*) AS value FROM m GROUP BY metric UNION ALL SELECT 'accuracy', CAST(floor(1000 * count(*) FILTER (ok) / count(*)) AS BIGINT) FROM inc""")
 def _(t):
     waves = g.wavefront_scan(g.roots(t.x2).withColumn("config_id", F.lit(0)), t.x2)
     entries = t.x12l.select(F.col("entry").alias("name"), F.lit(True).alias("known")).distinct()
     found = t.x12i.join(entries, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("resolved"))
     return g.scan_report(waves, t.x1, t.x2, found, t.x3)
+
+
+# One include under a configuration and the index of its includer: the first hit. Names of the
+# shape ../2/./x lie in /inc/2, seen from any of the directories; `none` is no directory.
+WHERE = "CASE WHEN name LIKE '../2/./%' THEN concat('/inc/2/', substr(name, 8)) ELSE concat(dir, '/', name) END"
+
+
+def hits(front: str) -> str:
+    return f"""c AS (SELECT f.path AS src, f.config_id, i.ord, i.name, i.angled, i.conditional, d.idx, {WHERE} AS dst FROM {front} f JOIN {{wincl}} i ON i.src = f.path JOIN {{wdirs}} d ON d.config_id = f.config_id
+WHERE name NOT LIKE '/%' AND name NOT LIKE 'none%' AND (name NOT LIKE '../%' OR dir LIKE '/inc/%') AND d.idx >= CASE WHEN next THEN f.found_idx + 1 WHEN angled THEN (SELECT min(idx) FROM {{wdirs}} s WHERE s.config_id = f.config_id AND grp <> 'quoted') ELSE 0 END
+UNION ALL SELECT f.path, f.config_id, i.ord, i.name, i.angled, i.conditional, -1, {WHERE} FROM (SELECT *, regexp_extract(path, '^(.*)/', 1) AS dir FROM {front}) f JOIN {{wincl}} i ON i.src = f.path WHERE NOT angled AND NOT next AND (name NOT LIKE '../%' OR dir LIKE '/inc/%')
+UNION ALL SELECT f.path, f.config_id, i.ord, i.name, i.angled, i.conditional, NULL, name FROM {front} f JOIN {{wincl}} i ON i.src = f.path WHERE name LIKE '/%'),
+h AS (SELECT src, config_id, ord, any_value(name) AS name, any_value(angled) AS angled, any_value(conditional) AS conditional, min((idx, dst)) AS h FROM c WHERE dst IN (SELECT path FROM {{wfile}}) GROUP BY src, config_id, ord),
+r AS (SELECT src, config_id, ord, name, angled, conditional, struct_extract_at(h, 1) AS idx, struct_extract_at(h, 2) AS dst FROM h)"""
+
+
+WAVES = f"""WITH RECURSIVE w(it, path, config_id, found_idx, wave) AS (SELECT 0, path, config_id, CAST(0 AS BIGINT), 0 FROM (SELECT DISTINCT * FROM {{wseeds}}) z UNION ALL (WITH front AS (SELECT * FROM w WHERE wave = it), {hits("front")},
+new AS (SELECT dst AS path, min((src, ord, config_id, CAST(greatest(coalesce(idx, 0), 0) AS BIGINT))) AS b FROM r WHERE dst NOT IN (SELECT path FROM w) GROUP BY dst)
+SELECT it + 1, path, config_id, found_idx, wave FROM w WHERE EXISTS (SELECT 1 FROM new) UNION ALL SELECT (SELECT max(it) FROM w) + 1, path, struct_extract_at(b, 3), struct_extract_at(b, 4), (SELECT max(it) FROM w) + 1 FROM new)),
+waves AS (SELECT path, config_id, found_idx, wave FROM w WHERE it = (SELECT max(it) FROM w))"""
+
+
+def scanned(t):
+    """The files' texts, as their includes' lines; scanned again."""
+    line = F.concat(F.when(F.col("conditional"), "#ifdef X\n").otherwise(""), F.lit("#"), F.when(F.col("next"), "include_next").otherwise("include"), F.when(F.col("angled"), F.concat(F.lit(" <"), "name", F.lit(">"))).otherwise(F.concat(F.lit(' "'), "name", F.lit('"'))), F.when(F.col("conditional"), "\n#endif").otherwise(""))
+    # Six lines a file at most.
+    texts = t.wincl.groupBy(F.col("src").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("text")))), lambda x: x["text"]), "\n").alias("content"))
+    return scan_includes(texts).select(F.col("file_id").alias("src"), F.col("line").alias("ord"), "name", "angled", "next", (F.col("depth") > 0).alias("conditional"))
+
+
+def from_sources(t):
+    return g.wavefront_from_sources(t.wseeds, scanned(t), t.wdirs, dir_listing(t.wfile))
+
+
+@query("D4_wavefront_from_sources", f"{WAVES} SELECT path, config_id, found_idx, wave FROM waves")
+def _(t):
+    return from_sources(t)[0].select("path", "config_id", "found_idx", "wave")
+
+
+@query("D4_wavefront_edges", f"{WAVES}, {hits('waves')} SELECT src, config_id, name, angled, conditional, CAST(idx AS BIGINT) AS idx, dst FROM r UNION ALL SELECT f.path, f.config_id, i.name, i.angled, i.conditional, NULL, NULL FROM waves f JOIN {{wincl}} i ON i.src = f.path WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = f.path AND r.config_id = f.config_id AND r.ord = i.ord)")
+def _(t):
+    return from_sources(t)[1].select("src", "config_id", "name", "angled", "conditional", "idx", "dst")
+
+
+# Every include under both configurations, as of a file found at the index of its own directory.
+@query("D1_include_next", f"WITH front AS (SELECT w.path, c.config_id, CAST(w.p % 4 AS BIGINT) AS found_idx FROM {{wfile}} w, (SELECT DISTINCT config_id FROM {{wdirs}}) c), {hits('front')} SELECT f.path AS src, f.config_id, i.ord, i.name, i.next, CAST(r.idx AS BIGINT) AS idx, r.dst AS path FROM front f JOIN {{wincl}} i ON i.src = f.path LEFT JOIN r ON r.src = f.path AND r.config_id = f.config_id AND r.ord = i.ord")
+def _(t):
+    found = t.wfile.select(F.col("path").alias("src"), (F.col("p") % 4).alias("found_idx"))
+    asked = t.wincl.join(found, "src").crossJoin(F.broadcast(t.wdirs.select("config_id").distinct()))  # a row for each configuration
+    own = t.wfile.select(F.col("path").alias("src"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
+    return resolve_includes(asked, t.wdirs, dir_listing(t.wfile), own).select("src", "config_id", "ord", "name", "next", "idx", "path")
