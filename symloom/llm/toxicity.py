@@ -1,9 +1,9 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 A text's terms are its lower-cased words and what words begin with (4 to 6 letters, which stands
-for the stem where endings vary). Of all terms of the labelled examples those stay that are more,
-or less, frequent in toxic ones than chance makes likely; others say nothing about the label and
-would only blur the cosine. The examples are held in an inverted index, in which the postings of
+for the stem where endings vary). Of all terms of the labelled examples those stay that are several
+times as frequent in toxic ones, which chance must make very unlikely; others say little about
+the label, and rare ones among them would outweigh those that do in the cosine. The examples are held in an inverted index, in which the postings of
 a term are cut into blocks of examples and each block keeps its greatest weight. A text is
 compared to blocks in falling order of what their greatest weights allow, and no block is opened
 that can't hold one of the k nearest, so the k nearest are exact.
@@ -30,9 +30,10 @@ from .shared import saved
 
 #: Labelled documents of each class that are examples, about, at most (taken by a hash of the id).
 LEARN_DOCS = 4_000
-#: Terms that are kept, at most, and how unlikely by chance their frequencies must be (the
-#: log-likelihood ratio; 12 has a chance of 1 in 2,000).
-TERMS, UNLIKELY = 16_384, 12.0
+#: Terms that are kept, at most; how unlikely by chance their frequencies must be (the
+#: log-likelihood ratio; 30 has a chance of 1 in 20 million, and there are millions of terms);
+#: and how many times as frequent in toxic examples.
+TERMS, UNLIKELY, TIMES = 16_384, 30.0, 8.0
 PREFIXES = (4, 5, 6)
 #: Letters of a word that is a term as a whole; of longer ones the beginnings are.
 WORD_LETTERS = 40
@@ -254,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     taken = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
     n1, n0 = taken.get(1, 0), taken.get(0, 0)
     counts = held.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").alias("with1"), F.sum(1 - F.col("label")).alias("with0"))
-    telling = counts.withColumn("g", unlikelihood(F.col("with1"), F.col("with0"), n1, n0) if n1 and n0 else F.lit(0.0)).filter(F.col("g") >= UNLIKELY)
+    telling = counts.withColumn("g", unlikelihood(F.col("with1"), F.col("with0"), n1, n0) if n1 and n0 else F.lit(0.0)).filter((F.col("g") >= UNLIKELY) & ((F.col("with1") + 0.5) / (n1 + 1) >= TIMES * (F.col("with0") + 0.5) / (n0 + 1)))
     kept = telling.orderBy(F.desc("g"), "term").limit(TERMS).collect()  # at most TERMS
     kept.sort(key=lambda r: r["term"])
     numbers = {r["term"]: i for i, r in enumerate(kept)}
