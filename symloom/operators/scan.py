@@ -3,15 +3,17 @@ directive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.columns import basename, dirname, without_dots
+from symloom.operators.lexing import comment_parts, pieces, transitions
 
 INCLUDE = r'^[ \t]*#[ \t]*(include|include_next|import)[ \t]*([<"])([^>"]+)[>"]'
 OPENING, CLOSING = r"^[ \t]*#[ \t]*if(n?def)?\b", r"^[ \t]*#[ \t]*endif\b"
 MODULE = r"^[ \t]*(export[ \t]+)?module[ \t]+([\w.:]+)[ \t]*;"
-COMMENT = r"(?s)//[^\n]*|/\*.*?\*/"
+#: Lines of a file that share a task where something is carried along it.
+STRETCH = 4096
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -25,10 +27,35 @@ def lines(sources: DataFrame) -> DataFrame:
 
 
 def saturating_depth(steps: DataFrame, step: str, keys: list[str], order: str) -> DataFrame:
-    """steps with depth: the running sum of +1 and -1 that never falls below 0."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = steps.withColumn("sum_", F.sum(step).over(upto))
-    return summed.withColumn("depth", (F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(upto))).cast("long")).drop("sum_")
+    """steps with depth, the running sum of +1 and -1 that never falls below 0, and before, the
+    depth ahead of the row. order is a whole number, of its own for each row of a key.
+
+    A key's rows are cut into stretches of order. Of a stretch only its sum and the lowest of its
+    running sums go on, which is all that later stretches need to know of it, so that a key of any
+    size is many tasks."""
+    part = steps.withColumn("stretch_", F.floor(F.col(order) / STRETCH))
+    upto = Window.partitionBy(*keys, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = part.withColumn("sum_", F.sum(step).over(upto)).withColumn("low_", F.min("sum_").over(upto))
+    totals = own.groupBy(*keys, "stretch_").agg(F.sum(step).alias("total_"), F.min("sum_").alias("least_"))
+    earlier = Window.partitionBy(*keys).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+    based = totals.withColumn("base_", F.coalesce(F.sum("total_").over(earlier), F.lit(0)))
+    based = based.withColumn("floor_", F.least(F.lit(0), F.min(F.col("base_") + F.col("least_")).over(earlier))).drop("total_", "least_")
+    both = own.join(based, [*keys, "stretch_"])
+    ahead = F.least(F.col("floor_"), F.col("base_") + F.coalesce(F.lag("low_").over(Window.partitionBy(*keys, "stretch_").orderBy(order)), F.lit(0)))
+    depth = F.col("base_") + F.col("sum_") - F.least(F.col("floor_"), F.col("base_") + F.col("low_"))
+    before = F.col("base_") + F.col("sum_") - F.col(step) - F.least(F.col("floor_"), ahead)
+    return both.withColumns({"depth": depth.cast("long"), "before": before.cast("long")}).drop("stretch_", "sum_", "low_", "base_", "floor_")
+
+
+def counted_so_far(rows: DataFrame, what: Column, keys: list[str], order: str, to: str) -> DataFrame:
+    """rows with `to`: how many of the same keys hold `what`, up to the row itself; cut as in
+    saturating_depth."""
+    part = rows.withColumns({"what_": what.cast("int"), "stretch_": F.floor(F.col(order) / STRETCH)})
+    own = F.sum("what_").over(Window.partitionBy(*keys, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = part.groupBy(*keys, "stretch_").agg(F.sum("what_").alias("total_"))
+    earlier = F.sum("total_").over(Window.partitionBy(*keys).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1))
+    base = totals.select(*keys, "stretch_", F.coalesce(earlier, F.lit(0)).alias("base_"))
+    return part.withColumn("own_", own).join(base, [*keys, "stretch_"]).withColumn(to, F.col("base_") + F.col("own_")).drop("what_", "stretch_", "own_", "base_")
 
 
 def line_table(sources: DataFrame) -> DataFrame:
@@ -59,9 +86,40 @@ def scan_modules(sources: DataFrame) -> DataFrame:
 
 
 def scan_comments(sources: DataFrame) -> DataFrame:
-    """(file_id, comments, comment_chars, chars)."""
-    found = F.regexp_extract_all("content", F.lit(COMMENT), F.lit(0))
-    return sources.select("file_id", F.size(found).alias("comments"), F.length(F.array_join(found, "")).alias("comment_chars"), F.length("content").alias("chars"))
+    """(file_id, begin, end, kind): each comment, line or block, with its range (end excluded).
+
+    Strings, raw strings, character literals, header names and numbers with quotes hide what
+    looks like a comment; a line comment goes on after a backslash at a line's end; a block
+    comment that isn't closed ends with the file. A null content has none.
+
+    A long file is cut into pieces of whole lines that are lexed apart. What a piece does to each
+    state it may begin in is a small map, and a file's maps are folded in their order, so that
+    each piece begins in the right one. Comments across pieces are put together at the end."""
+    parts = pieces(sources)
+    kind = dict(parts.dtypes)["file_id"]
+    many = parts.filter("n_pieces > 1")
+    maps = many.mapInArrow(transitions, f"file_id {kind}, piece int, n_pieces int, ends map<string,string>")
+    step = lambda acc, x: F.struct(F.coalesce(F.try_element_at(x["ends"], acc["state"]), acc["state"]).alias("state"), F.concat(acc["begins"], F.array(acc["state"])).alias("begins"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", F.map_entries("ends").alias("e"))))  # a map for each piece of a file
+    folded = F.aggregate(F.transform(ordered, lambda x: F.struct(F.map_from_entries(x["e"]).alias("ends"))), F.struct(F.lit("").alias("state"), F.array().cast("array<string>").alias("begins")), step)
+    begins = maps.groupBy("file_id").agg(folded["begins"].alias("b")).select("file_id", F.posexplode("b").alias("piece", "state"))
+    known = parts.filter("n_pieces = 1").withColumn("state", F.lit("")).unionByName(many.join(begins, ["file_id", "piece"]))
+    found = known.mapInArrow(comment_parts, f"file_id {kind}, begin long, end long, kind string")
+    whole = found.filter("begin is not null and end is not null")
+    # Of those cut, the beginning and the end are rows; a file has a few for each piece.
+    place = F.coalesce("begin", "end")
+    ends = F.lead("end").over(Window.partitionBy("file_id").orderBy(place))
+    cut = found.filter("begin is null or end is null").withColumn("end", ends).filter("begin is not null")
+    return whole.unionByName(cut.select("file_id", "begin", "end", "kind"))
+
+
+def comment_share(sources: DataFrame, comments: DataFrame) -> DataFrame:
+    """(file_id, comments, comment_chars, chars, share): what comments (of scan_comments) take of
+    each file; share in thousandths, null for an empty file."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sums = comments.groupBy("file_id").agg(F.count("*").alias("comments"), F.sum(F.col("end") - F.col("begin")).alias("comment_chars"))
+    rows = sources.select("file_id", F.length("content").cast("long").alias("chars")).join(sums, "file_id", "left").select("file_id", zero("comments"), zero("comment_chars"), "chars")
+    return rows.withColumn("share", F.floor(F.try_divide(1000 * F.col("comment_chars"), F.col("chars"))).cast("long"))
 
 
 def to_position(offsets: DataFrame, table: DataFrame) -> DataFrame:
@@ -99,10 +157,8 @@ def conditional_groups(directives: DataFrame) -> DataFrame:
     own = directives.filter(F.col("directive").isin("if", "elif", "else", "endif"))
     step = F.when(F.col("directive") == "if", 1).when(F.col("directive") == "endif", -1).otherwise(0)
     deep = saturating_depth(own.withColumn("step", step), "step", ["file_id"], "line")
-    before = F.lag("depth", 1, 0).over(Window.partitionBy("file_id").orderBy("line"))
-    rows = deep.withColumn("before", before).withColumn("depth", F.when(F.col("directive") == "if", F.col("depth")).otherwise(F.col("before"))).filter("depth > 0")
-    w = Window.partitionBy("file_id", "depth").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("grp", F.sum((F.col("directive") == "if").cast("int")).over(w)).drop("step", "before")
+    rows = deep.withColumn("depth", F.when(F.col("directive") == "if", F.col("depth")).otherwise(F.col("before"))).filter("depth > 0")
+    return counted_so_far(rows, F.col("directive") == "if", ["file_id", "depth"], "line", "grp").drop("step", "before")
 
 
 def inactive_regions(conditions: DataFrame, ends: DataFrame) -> DataFrame:
@@ -123,10 +179,11 @@ def pragma_regions(pragmas: DataFrame) -> DataFrame:
     by nesting; pairs on one line are dropped, as are those that never end."""
     step = F.when(F.col("directive") == "region", 1).otherwise(-1)
     deep = saturating_depth(pragmas.withColumn("step", step), "step", ["file_id"], "line")
-    before = F.lag("depth", 1, 0).over(Window.partitionBy("file_id").orderBy("line"))
-    rows = deep.withColumn("level", F.when(F.col("directive") == "region", F.col("depth")).otherwise(before)).filter("level > 0")
-    start = F.lag(F.when(F.col("directive") == "region", F.col("line"))).over(Window.partitionBy("file_id", "level").orderBy("line"))
-    return rows.withColumn("start", start).filter("directive = 'endregion' and start is not null and start < line").select("file_id", "start", F.col("line").alias("end"))
+    region = F.col("directive") == "region"
+    rows = deep.withColumn("level", F.when(region, F.col("depth")).otherwise(F.col("before"))).filter("level > 0")
+    # A level's regions don't overlap, so the n-th to begin is the n-th to end.
+    pairs = counted_so_far(rows, region, ["file_id", "level"], "line", "nth").groupBy("file_id", "level", "nth").agg(F.max(F.when(region, F.col("line"))).alias("start"), F.min(F.when(~region, F.col("line"))).alias("end"))
+    return pairs.filter("start < end").select("file_id", "start", "end")
 
 
 def condition_folds(conditions: DataFrame) -> DataFrame:

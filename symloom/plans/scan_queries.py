@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from symloom.operators import scan as s
 
 from .registry import query
 
-# Sources made from events: every event of a user is a line of that user's file.
+# Sources made from events: an event is a line of a file of its user, of which there is one for
+# every thousand events or so, so that what is gathered for a file is bounded.
+FILE = "(user_id * 1048576 + CAST(floor(event_id / 1024) AS BIGINT))"
 LINE = "CASE event_type WHEN 'signup' THEN '#ifdef X' WHEN 'error' THEN '#endif' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN concat('#include <v', event_id % 50, '.h>') ELSE concat('#include \"w/', event_id % 50, '.h\"') END WHEN 'click' THEN concat('// c', event_id) ELSE CASE WHEN event_id % 40 = 0 THEN concat('export module m.', event_id % 7, ';') ELSE concat('int x', event_id, '; /* y */') END END"
-ROWS = f"rows AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line, {LINE} AS text FROM {{events}})"
+ROWS = f"rows AS (SELECT {FILE} AS file_id, row_number() OVER (PARTITION BY {FILE} ORDER BY event_id) - 1 AS line, {LINE} AS text FROM {{events}})"
 DEPTH = "deep AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY file_id ORDER BY line)) AS depth FROM (SELECT *, sum(CASE WHEN text LIKE '#if%' THEN 1 WHEN text = '#endif' THEN -1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line) AS s FROM rows) z)"
 DOCLINES = "dl AS (SELECT doc_id AS file_id, generate_subscripts(a,1)-1 AS line, unnest(a) AS text FROM (SELECT doc_id, str_split(text, chr(10)) AS a FROM {documents}) z), lt AS (SELECT file_id, line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(text) AS len, text FROM dl)"
 
 
 def sources(t):
-    rows = t.events.select(F.col("user_id").alias("file_id"), "event_id", F.expr(LINE).alias("text"))
+    rows = t.events.select(F.expr(FILE).alias("file_id"), "event_id", F.expr(LINE).alias("text"))
     return rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 
@@ -46,7 +50,39 @@ def _(t):
 
 @query("C3_scan_comments", f"WITH {ROWS} SELECT file_id, count(*) FILTER (text LIKE '//%' OR text LIKE '%/* y */') AS comments, CAST(sum(CASE WHEN text LIKE '//%' THEN length(text) WHEN text LIKE '%/* y */' THEN 7 ELSE 0 END) AS BIGINT) AS comment_chars, CAST(sum(length(text) + 1) - 1 AS BIGINT) AS chars FROM rows GROUP BY file_id")
 def _(t):
-    return s.scan_comments(sources(t))
+    files = sources(t)
+    return s.comment_share(files, s.scan_comments(files)).drop("share")
+
+
+# Texts with strings, raw strings, comments and literals put in where words were.
+PUT = [(", ", " = \"a // b /* \\\" c\"; "), (". ", "; // it is \"so\"\nint x = 1'000'000; "), (" the ", " R\"q(/* \" )q\" "), (" of ", " /* x \"y\n// z */ "), (" and ", " // up \\\n down\n "), (" in ", " '\"' u8'\\'' "), (" is ", " /* // */ ")]
+
+
+def lexed_content(cleaned: str) -> str:
+    quoted = lambda x: "concat(" + ", ".join("chr(10)" if c == "\n" else "chr(92)" if c == "\\" else "chr(39)" if c == "'" else "'" + c + "'" for c in re.split(r"([\n\\'])", x) if c) + ", '')"
+    for word, put in PUT:
+        cleaned = f"replace({cleaned}, '{word}', {quoted(put)})"
+    return cleaned
+
+
+# Every character is in some token, so that lengths give places.
+TOKEN = r"""'R"q\((?s:.)*?\)q"|[0-9][0-9'']*|"(?:\\(?s:.)|[^"\\\n])*"|''(?:\\(?s:.)|[^''\\\n])*''|//(?:\\\n|[^\n])*|/\*(?s:.)*?\*/|[^"''/0-9R]+|(?s:.)'"""
+COMMENTS = f"src AS (SELECT doc_id AS file_id, {lexed_content("regexp_replace(text, '[^A-Za-z,. \n]', '', 'g')")} AS content FROM {{documents}}), tk AS (SELECT file_id, generate_subscripts(a, 1) AS k, unnest(a) AS w FROM (SELECT file_id, regexp_extract_all(content, {TOKEN}) AS a FROM src) z), pl AS (SELECT file_id, w, CAST(sum(length(w)) OVER (PARTITION BY file_id ORDER BY k) AS BIGINT) AS e FROM tk), cm AS (SELECT file_id, e - length(w) AS begin, e AS \"end\", CASE WHEN w LIKE '//%' THEN 'line' ELSE 'block' END AS kind FROM pl WHERE w LIKE '//%' OR w LIKE '/*%')"
+
+
+def lexed_sources(t):
+    return t.documents.select(F.col("doc_id").alias("file_id"), F.expr(lexed_content("regexp_replace(text, '[^A-Za-z,. \\n]', '')")).alias("content"))
+
+
+@query("C3_comments", f"WITH {COMMENTS} SELECT file_id, begin, \"end\", kind FROM cm")
+def _(t):
+    return s.scan_comments(lexed_sources(t))
+
+
+@query("C3_comment_share", f"WITH {COMMENTS}, a AS (SELECT file_id, count(*) AS n, CAST(sum(\"end\" - begin) AS BIGINT) AS c FROM cm GROUP BY file_id) SELECT s.file_id, coalesce(n, 0) AS comments, coalesce(c, 0) AS comment_chars, length(content) AS chars, CASE WHEN length(content) > 0 THEN CAST(floor(1000 * coalesce(c, 0) / length(content)) AS BIGINT) END AS share FROM src s LEFT JOIN a USING (file_id)")
+def _(t):
+    files = lexed_sources(t)
+    return s.comment_share(files, s.scan_comments(files))
 
 
 @query("C4_line_table", f"WITH {DOCLINES} SELECT file_id, line, start, len FROM lt")
