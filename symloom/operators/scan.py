@@ -10,6 +10,7 @@ from symloom.functions.columns import basename, dirname, without_dots
 from symloom.operators.lexing import comment_parts, pieces, transitions
 
 INCLUDE = r'^[ \t]*#[ \t]*(include|include_next|import)[ \t]*([<"])([^>"]+)[>"]'
+LINKED = r'(?:^[ \t]*#[ \t]*(?:include_next|include|import|embed)|__has_(?:include_next|include|embed)[ \t]*\()[ \t]*(?:<[^>]*>|"[^"]*")'
 OPENING, CLOSING = r"^[ \t]*#[ \t]*if(n?def)?\b", r"^[ \t]*#[ \t]*endif\b"
 MODULE = r"^[ \t]*(export[ \t]+)?module[ \t]+([\w.:]+)[ \t]*;"
 #: Lines of a file that share a task where something is carried along it.
@@ -146,9 +147,27 @@ def line_context(offsets: DataFrame, sources: DataFrame) -> DataFrame:
     return to_position(offsets, line_table(sources)).join(lines(sources), ["file_id", "line"], "left").select("file_id", "offset", "line", "text")
 
 
-def document_links(directives: DataFrame, targets: DataFrame) -> DataFrame:
-    """directives (file, ord, name) that resolve, with their target (targets: name, target)."""
-    return directives.join(targets, "name").select("file", "ord", "target")
+def document_links(resolved: DataFrame) -> DataFrame:
+    """(file, kind, begin, end, target): of source_links with the path that resolve_includes
+    found for each, those that have one."""
+    return resolved.filter("path is not null").select(F.col("src").alias("file"), "kind", "begin", "end", F.col("path").alias("target"))
+
+
+def source_links(sources: DataFrame) -> DataFrame:
+    """(src, ord, kind, name, angled, next, begin, end) of what a file's directives name: kind is
+    include, embed, has_include or has_embed; the range is that of the argument with its marks.
+    A line may test several names. sources: file_id, content."""
+    table = line_table(sources).select("file_id", "line", "start")
+    own = lines(sources).filter(F.col("text").rlike(LINKED))
+    # What lies between the matches of a line gives their places.
+    found, between = F.regexp_extract_all("text", F.lit(LINKED), F.lit(0)), F.split("text", LINKED, -1)
+    each = own.join(table, ["file_id", "line"]).withColumns({"found": found, "between": between}).select("file_id", "line", "start", "found", "between", F.posexplode("found").alias("k", "match"))
+    ahead = F.length(F.array_join(F.slice("between", F.lit(1), F.col("k") + 1), "")) + F.length(F.array_join(F.slice("found", F.lit(1), F.col("k")), ""))
+    arg = F.regexp_extract("match", r"[<\"][^>\"]*[>\"]$", 0)
+    word = F.regexp_extract("match", r"(__has_)?(include_next|include|import|embed)", 2)
+    kind = F.concat(F.when(F.col("match").contains("__has_"), "has_").otherwise(""), F.when(word == "embed", "embed").otherwise("include"))
+    end = (F.col("start") + ahead + F.length("match")).cast("long")
+    return each.select(F.col("file_id").alias("src"), (F.col("line") * 1000 + F.col("k")).alias("ord"), kind.alias("kind"), F.regexp_extract(arg, r"^.(.*).$", 1).alias("name"), arg.startswith("<").alias("angled"), (word == "include_next").alias("next"), (end - F.length(arg)).alias("begin"), end.alias("end"))
 
 
 def conditional_groups(directives: DataFrame) -> DataFrame:

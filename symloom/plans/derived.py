@@ -72,6 +72,8 @@ UNION ALL SELECT path, 4, concat('/inc/1/h', CAST(floor(q / 7) AS BIGINT), '.h')
 UNION ALL SELECT path, 5, 'none/../h1.h', TRUE, FALSE, FALSE FROM {wfile} WHERE p % 17 = 0""",
     "wdirs": "SELECT CAST(n_nationkey % 2 AS INT) AS config_id, CAST(floor(n_nationkey / 2) AS BIGINT) AS idx, CASE WHEN n_nationkey < 2 THEN 'quoted' WHEN n_nationkey < 6 THEN 'angled' ELSE 'system' END AS grp, concat('/inc/', CAST((n_nationkey * 3 + floor(n_nationkey / 2)) % 4 AS BIGINT)) AS dir FROM {nation} WHERE n_nationkey < 8",
     "wseeds": "SELECT path, CAST(floor(p / 5) AS BIGINT) % 2 AS config_id FROM {wfile} WHERE p % 5 = 0 AND p % 4 <> 3 UNION ALL SELECT path, CAST(floor(p / 5) AS BIGINT) % 2 + 1 - 2 * (CAST(floor(p / 5) AS BIGINT) % 2) FROM {wfile} WHERE p % 20 = 0",
+    "wlines": """SELECT src, ord, arg, CASE ord WHEN 0 THEN concat('#include ', arg) WHEN 1 THEN concat('# include_next  ', arg) WHEN 2 THEN concat('#if defined(A) && __has_include(', arg, ') || __has_include(<zz.h>)')
+WHEN 3 THEN concat('  #embed ', arg, ' limit(3)') WHEN 4 THEN concat('#import ', arg, ' // x') ELSE concat('#elif __has_embed( ', arg, ')') END AS text FROM (SELECT src, ord, CASE WHEN angled THEN concat('<', name, '>') ELSE concat('"', name, '"') END AS arg FROM {wincl}) z""",
     # Rules over files, commands, diagnostics and tracker ticks.
     "rules": "SELECT CAST(n_nationkey AS BIGINT) AS rule_ord, concat('**/', CASE WHEN n_nationkey % 3 = 0 THEN '*.cpp' WHEN n_nationkey % 3 = 1 THEN concat('f', n_nationkey % 10, '*') ELSE concat('brand', n_nationkey % 5 + 1, '?/*.h') END) AS pattern, concat('-D', n_name) AS append, CASE WHEN n_nationkey % 4 = 0 THEN '-DALGERIA' ELSE concat('-DX', n_nationkey) END AS remove FROM {nation}",
     "commands": "SELECT concat('/src/', lower(replace(p_brand,'#','')), '/f', p_partkey, '.cpp') AS file, concat('/build', p_size % 3) AS directory, concat('clang++ -g -O', p_size % 3, ' -I inc', p_size % 4, ' -I/abs -DA=', p_size % 2, ' -DALGERIA -Wall -c') AS command FROM {part}",
@@ -91,6 +93,25 @@ def there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def files_of(spark: SparkSession, sf_dir: str, names: set[str]) -> str:
+    """The files of driver tables, with their sizes and times: what a written table is of."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(names):
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(conf)
+        found = fs.listStatus(at) if fs.exists(at) else []
+        out += sorted(f"{name}/{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    return "\n".join(out)
+
+
+def inputs_of(name: str) -> set[str]:
+    """The driver tables that a derived table reads."""
+    if name in TABLES:
+        return {name}
+    sql = DERIVED[name]
+    return set().union(*(inputs_of(i) for i in re.findall(r"\{(\w+)\}", sql if isinstance(sql, str) else sql[0])))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived one."""
     if name in TABLES:
@@ -100,8 +121,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     made = spark.sql(sql, **{i: table(spark, sf_dir, i) for i in set(re.findall(r"\{(\w+)\}", sql))})
     if name not in WRITTEN:
         return made
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written or not there(spark, _written[key]):
+    # By the inputs' files, so that changed input is derived anew.
+    key = (spark.sparkContext.applicationId, sf_dir + "\n" + files_of(spark, sf_dir, inputs_of(name)), name)
+    if key not in _written or not there(spark, _written[key] + "/_SUCCESS"):
         path = shared_folder(spark, name)
         made.write.partitionBy(*WRITTEN[name]).parquet(path)
         _written[key] = path

@@ -173,9 +173,10 @@ def _(t):
     return i.unservable_files(c, st)
 
 
-@query("F22_orphan_shards", "SELECT DISTINCT tu AS path FROM {x5} WHERE tu NOT IN (SELECT tu FROM {x5} WHERE path = 'es')")
+@query("F22_orphan_shards", "SELECT DISTINCT tu || '/' || path AS path FROM {x5} WHERE tu || '/' || path NOT IN (SELECT tu || '/' || path FROM {x5} WHERE path <> 'de' AND tu <> 'src3')")
 def _(t):
-    return i.orphan_shards(t.x5.select(F.col("tu").alias("path")), t.x5.filter("path = 'es'").select(F.col("tu").alias("path")))
+    stored = t.x5.select("tu", F.col("path").alias("lang"), F.concat_ws("/", "tu", "path").alias("path"))
+    return i.orphan_shards(stored.select("path"), stored.filter("lang <> 'de' and tu <> 'src3'").select("path"))
 
 
 @query("F23_index_stats", "SELECT 'occurrences' AS metric, count(*) AS value FROM {x4} UNION ALL SELECT 'symbols', count(DISTINCT symbol_id) FROM {x4} UNION ALL SELECT 'files', count(DISTINCT file_id) FROM {x4} UNION ALL SELECT 'relations', count(*) FROM {x14} UNION ALL SELECT 'units', count(DISTINCT tu) FROM {x5} UNION ALL SELECT 'variants', count(DISTINCT (path, rows_hash)) FROM {x5}")

@@ -32,10 +32,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def alias(name: str, of: str) -> None:
-    """Registers a query under another name too."""
-    QUERIES[name] = QUERIES[of]
-    if of in ORACLES:
-        ORACLES[name] = ORACLES[of]

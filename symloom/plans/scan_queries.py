@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import scan as s
 
+from .graph_queries import hits
 from .registry import query
 
 # Sources made from events: an event is a line of a file of its user, of which there is one for
@@ -110,14 +111,19 @@ def _(t):
     return s.line_context(asked(t), docs(t))
 
 
-@query("C8_document_links", "SELECT l.page_id AS file, l.ord, p.page_id AS target FROM {x11} l JOIN {pages} p ON p.url = concat('https://example.org', l.href) UNION ALL SELECT page_id, ord, n FROM {x11} JOIN (SELECT '/' || name AS h, n FROM (SELECT regexp_extract(url, '([^/]*)$', 1) AS name, min(page_id) AS n FROM {pages} GROUP BY 1) y) z ON h = href WHERE NOT EXISTS (SELECT 1 FROM {pages} p WHERE p.url = concat('https://example.org', href))")
+LINKS = f"""front AS (SELECT path, 0 AS config_id, CAST(p % 4 AS BIGINT) AS found_idx FROM {{wfile}}), {hits("front")}, ls AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY src ORDER BY ord) - length(text) - 1 AS start FROM {{wlines}}),
+spans AS (SELECT src, ord, CASE ord WHEN 2 THEN 'has_include' WHEN 3 THEN 'embed' WHEN 5 THEN 'has_embed' ELSE 'include' END AS kind, CAST(start + instr(text, arg) - 1 AS BIGINT) AS begin, CAST(start + instr(text, arg) - 1 + length(arg) AS BIGINT) AS "end" FROM ls)"""
+
+
+@query("C8_document_links", f"WITH {LINKS} SELECT src AS file, kind, begin, \"end\", dst AS target FROM spans JOIN r USING (src, ord)")
 def _(t):
-    direct = t.pages.select(F.col("url").alias("name"), F.col("page_id").alias("target"))
-    links = t.x11.select(F.col("page_id").alias("file"), "ord", F.concat(F.lit("https://example.org"), "href").alias("name"), "href")
-    first = s.document_links(links, direct)
-    ends = t.pages.groupBy(F.concat(F.lit("/"), F.regexp_extract("url", "([^/]*)$", 1)).alias("name")).agg(F.min("page_id").alias("target"))
-    rest = links.join(direct.select("name"), "name", "left_anti").select("file", "ord", F.col("href").alias("name"))
-    return first.union(s.document_links(rest, ends))
+    # Six lines a file at most.
+    texts = t.wlines.groupBy(F.col("src").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    links = s.source_links(texts)
+    found = t.wfile.select(F.col("path").alias("src"), (F.col("p") % 4).alias("found_idx"), F.lit(0).alias("config_id"))
+    own = t.wfile.select(F.col("path").alias("src"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
+    resolved = s.resolve_includes(links.join(found, "src"), t.wdirs, s.dir_listing(t.wfile), own).filter("path is not null")
+    return s.document_links(resolved).select("file", "kind", "begin", "end", "target")
 
 
 COND = "c AS (SELECT file_id, line, directive, line % 3 = 0 AS taken FROM {x13} WHERE directive IN ('if','else','endif')), s AS (SELECT *, sum(CASE directive WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line) AS s FROM c), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY file_id ORDER BY line)) AS d FROM s), e AS (SELECT *, CASE WHEN directive = 'if' THEN d ELSE lag(d, 1, 0) OVER (PARTITION BY file_id ORDER BY line) END AS depth FROM d), g AS (SELECT *, sum(CASE WHEN directive = 'if' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, depth ORDER BY line) AS grp FROM e WHERE depth > 0)"
