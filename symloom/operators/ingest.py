@@ -5,10 +5,16 @@ end, target_symbol), each with a tu or a variant; contributions(tu, path, rows_h
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.bounded import FEW
 from symloom.functions.columns import key64
+from symloom.functions.lineage import cut, delete
 from symloom.functions.ranks import numbered
 
 #: A relation and the one that mirrors it on the other symbol.
@@ -59,6 +65,68 @@ def merge_variants(old: DataFrame, keep: DataFrame, fresh: DataFrame, columns: l
     return kept.union(fresh.select(*columns, "variant")).groupBy(*columns).agg(F.sort_array(F.collect_set("variant")).alias("variants"))
 
 
+#: Variants of a mask.
+WORD = 64
+
+
+def number_variants(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """known (file_id, variant, number) with the variants of seen (file_id, variant), which get
+    each file's next numbers from 0, in order of variant. Numbers are given once and kept, so
+    that masks stay right."""
+    new = seen.select("file_id", "variant").distinct().join(known, ["file_id", "variant"], "left_anti")
+    top = known.groupBy("file_id").agg((F.max("number") + 1).alias("top"))
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("variant")) - 1
+    fresh = new.withColumn("nth", nth).join(top, "file_id", "left").select("file_id", "variant", (F.coalesce("top", F.lit(0)) + F.col("nth")).cast("long").alias("number"))
+    return known.select("file_id", "variant", F.col("number").cast("long").alias("number")).union(fresh)
+
+
+def bits(rows: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (columns with file_id, variant) as (columns, word, mask): a row for every 64 variants
+    by number, in which each has a bit."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int"))
+    own = rows.join(numbers, ["file_id", "variant"]).select(*columns, F.floor(F.col("number") / WORD).alias("word"), mask.alias("mask"))
+    return own.groupBy(*columns, "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def live_masks(live: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(file_id, word, mask) of live variants (file_id, variant)."""
+    return bits(live, numbers, ["file_id"])
+
+
+def merge_masks(old: DataFrame, keep: DataFrame, fresh: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """merge_variants in bits: old rows (columns, word, mask) lose the bits that keep (file_id,
+    word, mask) lacks, fresh ones (columns, variant) are added by their numbers, and equal rows
+    are one, with their masks OR-ed. Rows without a bit vanish. Masks are added up before they
+    are shuffled, and nothing is gathered."""
+    kept = old.join(keep.select("file_id", "word", F.col("mask").alias("kept")), ["file_id", "word"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("kept"))).filter("mask <> 0")
+    both = kept.select(*columns, "word", "mask").unionByName(bits(fresh, numbers, columns).select(*columns, "word", "mask"))
+    return both.groupBy(*columns, "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def live_masked(rows: DataFrame, live: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (columns) of which some word shares a bit with the live one (file_id, word,
+    mask), once each."""
+    own = rows.join(live.select("file_id", "word", F.col("mask").alias("live")), ["file_id", "word"]).filter(F.col("mask").bitwiseAND(F.col("live")) != 0)
+    return own.select(*columns).distinct()
+
+
+def new_sets(rows: DataFrame, stored: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ingests only row sets that aren't stored. rows: tu, path, columns; stored: path, hash.
+
+    Returns contributions (tu, path, hash) and fresh rows (path, hash, columns): of each set that
+    is new, those of its first unit. The identity of a set is added up where its rows lie
+    (rows_hash), so what travels is a sum for each task and (tu, path); of the rows themselves
+    only those of new sets do, and none where all are stored."""
+    contributions = cut(rows_hash(rows, ["tu", "path"], columns))
+    new = contributions.join(stored.select("path", "hash").distinct(), ["path", "hash"], "left_anti").groupBy("path", "hash").agg(F.min("tu").alias("tu"))
+    new = cut(new)
+    # Counted first: where few sets are new their list goes to the rows, which then don't move.
+    some = new.limit(FEW + 1).count()
+    if some == 0:
+        rows = rows.limit(0)
+    return contributions, rows.join(F.broadcast(new) if some <= FEW else new, ["tu", "path"]).select("path", "hash", *columns).distinct()
+
+
 def local_names(names: DataFrame, references: DataFrame) -> DataFrame:
     """names (symbol_id, tu, name, scope) of symbols that aren't External and that a file refers
     to: (file_id, symbol_id, name), the first unit's name."""
@@ -280,17 +348,59 @@ def size_model(per_file: DataFrame, row_bytes: int = 12, symbol_bytes: int = 8)
 
 
 def write_index(tables: dict[str, DataFrame], path: str, generation: int) -> None:
-    """Each table as Parquet, below its generation."""
+    """Each table as Parquet, below its generation; then the generation's pin, a small file that
+    is written aside and renamed, so that it is there as a whole or not at all. Until then
+    readers don't see the generation; a pinned one isn't written again."""
+    spark = next(iter(tables.values())).sparkSession
+    if generation in pinned(spark, path):
+        raise ValueError(f"generation {generation} is pinned")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/generation={generation}")
+    jvm = spark.sparkContext._jvm
+    at, to = (jvm.org.apache.hadoop.fs.Path(f"{path}/pins/{x}") for x in (f".{uuid.uuid4().hex}", f"{generation}.json"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(at)
+    out.write(bytearray(json.dumps({"generation": generation, "tables": sorted(tables)}).encode()))
+    out.close()
+    if not fs.rename(at, to):
+        fs.delete(at, False)
+        raise ValueError(f"generation {generation} was pinned by another writer")
+
+
+def pinned(spark: SparkSession, path: str) -> list[int]:
+    """The pinned generations, oldest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pins")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n))
 
 
 def read_index(spark: SparkSession, path: str, name: str, generation: int | None = None) -> DataFrame:
-    """A table of one generation, the newest by default."""
-    df = spark.read.parquet(f"{path}/{name}")
-    if generation is None:
-        generation = df.agg(F.max("generation")).first()[0]
-    return df.filter(F.col("generation") == generation).drop("generation")
+    """A table of one pinned generation, the newest by default; only its folder is listed."""
+    there = pinned(spark, path)
+    if generation is None and there:
+        generation = there[-1]
+    if generation not in there:
+        raise ValueError(f"no pinned generation {'' if generation is None else generation}")
+    return spark.read.parquet(f"{path}/{name}/generation={generation}")
+
+
+def collect_index(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Deletes generations that aren't pinned, left by writers that failed, and pinned ones but
+    for the newest `keep`: first their pins, then their tables. To be run while none is written.
+    Returns the generations that stay."""
+    there = pinned(spark, path)
+    stay = there[-keep:] if keep > 0 else []
+    for g in set(there) - set(stay):
+        delete(spark, f"{path}/pins/{g}.json")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for table in [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []:
+        for f in [f.getPath() for f in fs.listStatus(table)]:
+            m = re.fullmatch(r"generation=(\d+)", f.getName())
+            if m and int(m[1]) not in stay:
+                delete(spark, f.toString())
+    return stay
 
 
 def stats_report(tables: dict[str, DataFrame], path: str) -> None:

@@ -165,10 +165,14 @@ def reference_totals(wanted: DataFrame, relations: DataFrame, definitions: bool
 
 
 def definition_text(wanted: DataFrame, relations: DataFrame, sources: DataFrame) -> DataFrame:
-    """(symbol_id, file_id, text): the first definition whose range is in bounds and not empty."""
+    """(symbol_id, file_id, text, start_line, end_line): the first definition whose range is in
+    bounds and not empty, and the lines, from 1, on which it begins and ends."""
     found = relations_of(wanted, relations, "Definition").join(sources.select("file_id", F.length("content").alias("n")), "file_id").filter("begin < end and end <= n")
     first = found.groupBy("symbol_id").agg(F.min(F.struct("file_id", "begin", "end")).alias("x")).select("symbol_id", "x.*")
-    return first.join(sources, "file_id").select("symbol_id", "file_id", F.substr("content", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")).alias("text"))
+    text = F.substr("content", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    own = first.join(sources, "file_id").withColumns({"text": text, "start_line": 1 + breaks(F.substr("content", F.lit(1), F.col("begin").cast("int")))})
+    return own.select("symbol_id", "file_id", "text", F.col("start_line").cast("long").alias("start_line"), (F.col("start_line") + breaks("text")).cast("long").alias("end_line"))
 
 
 def calls(wanted: DataFrame, relations: DataFrame, kind: str) -> DataFrame:
@@ -235,6 +239,32 @@ def locate_symbols(locators: DataFrame, symbols: DataFrame, places: DataFrame) -
     return hits.withColumn("exact", F.min("partial").over(Window.partitionBy("locator"))).filter("partial = exact").select("locator", "symbol_id")
 
 
+def locate_by_id(locators: DataFrame, symbols: DataFrame, places: DataFrame) -> DataFrame:
+    """locators (locator, symbol_id) -> (locator, symbol_id): symbols that have a name and a
+    definition (places: symbol_id, path). An id of 0 or null is none."""
+    asked = locators.filter("symbol_id <> 0").select("locator", "symbol_id").distinct()
+    named = symbols.filter("name is not null").select("symbol_id").distinct()
+    return asked.join(named, "symbol_id", "left_semi").join(places.select("symbol_id").distinct(), "symbol_id", "left_semi").select("locator", "symbol_id")
+
+
+def definition_lines(relations: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file_id, line, begin, symbol_id): definitions with the line, from 1, on which they begin."""
+    rows = relations.filter("kind = 'Definition'").select("file_id", "begin", "symbol_id").distinct()
+    at = to_position(rows.select("file_id", F.col("begin").alias("offset")).distinct(), line_table(sources)).filter("line is not null")
+    return rows.join(at.select("file_id", F.col("offset").alias("begin"), (F.col("line") + 1).alias("line")), ["file_id", "begin"]).select("file_id", "line", "begin", "symbol_id")
+
+
+def locate_by_line(locators: DataFrame, files: DataFrame, definitions: DataFrame, stale: DataFrame | None = None) -> DataFrame:
+    """locators (locator, path, line) -> (locator, symbol_id): the symbol defined on that line
+    (definitions: of definition_lines) of the file with that path (files: file_id, path), the
+    first where there are several. Files of stale (file_id), whose lines aren't those of the text
+    as it is, have none. Equal paths and lines meet in a join, so locators may be many."""
+    known = files.select("file_id", "path").join(stale.select("file_id").distinct(), "file_id", "left_anti") if stale is not None else files.select("file_id", "path")
+    asked = locators.select("locator", "path", F.col("line").cast("long").alias("line")).distinct().join(known, "path")
+    first = asked.join(definitions, ["file_id", "line"]).groupBy("locator").agg(F.min(F.struct("begin", "symbol_id"))["symbol_id"].alias("symbol_id"))
+    return first.select("locator", "symbol_id")
+
+
 def resolve_unique(locators: DataFrame, located: DataFrame) -> DataFrame:
     """(locator, status, candidates, symbol_id): found, ambiguous or not found."""
     n = located.groupBy("locator").agg(F.count("*").alias("candidates"), F.min("symbol_id").alias("symbol_id"))
@@ -337,9 +367,12 @@ def fuzzy_score(query: str, name: str) -> float | None:
 def fuzzy_rank(queries: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, name, score): the k best of the distinct names for each of the (few, stated)
     queries, ties by name. Names that lack the letters in order are dropped before any is scored."""
-    letters = F.transform(F.filter(F.split(F.lower("query"), ""), lambda x: x != ""), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
-    asked = few(queries.select("query").distinct()).withColumn("rx", F.concat(F.lit("(?s)"), F.array_join(letters, ".*")))
-    pairs = names.select("name").distinct().join(asked, F.expr("length(name) >= length(query) and lower(name) rlike rx"))
+    # Of the query what the score looks at, and no more.
+    scored_part = F.filter(F.filter(F.split(F.lower("query"), ""), lambda x: x != ""), lambda x, i: F.octet_length(F.substr(F.lower("query"), F.lit(1), i + 1)) <= QUERY_MOST)
+    # Up to each letter what isn't that letter, and no way back: linear in the name.
+    letters = F.transform(scored_part, lambda x: F.concat(F.lit("[^\\Q"), x, F.lit("\\E]*+\\Q"), x, F.lit("\\E")))
+    asked = queries.select("query").distinct().withColumns({"rx": F.concat(F.lit("(?s)"), F.array_join(letters, "")), "need": F.size(letters)})
+    pairs = names.select("name").distinct().join(few(asked), F.expr("length(name) >= need and lower(name) rlike rx"))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

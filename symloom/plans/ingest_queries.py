@@ -68,6 +68,48 @@ def _(t):
     return i.merge_variants(rows.filter("f % 2 = 0"), keep, rows.filter("f % 2 = 1"), ["file_id", "begin", "symbol_id"]).withColumn("variants", F.array_join("variants", " "))
 
 
+# Variants of a line number's rows: one for each source and last digit of the text's id, over
+# several masks a file.
+VARIANT = "concat(tu, '/', file_id % 10)"
+MASK = "CASE WHEN n % 64 = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(n % 64 AS BIGINT) END"
+NUMBERED = f"rw AS (SELECT line AS file_id, tok AS begin, symbol_id, {VARIANT} AS variant, file_id % 3 AS part FROM {{x4}}), nu AS (SELECT file_id, variant, dense_rank() OVER (PARTITION BY file_id ORDER BY variant) - 1 AS n FROM (SELECT DISTINCT file_id, variant FROM rw) z)"
+
+
+def masked_rows(t):
+    return t.x4.select(F.col("line").alias("file_id"), F.col("tok").alias("begin"), "symbol_id", F.expr(VARIANT).alias("variant"), (F.col("file_id") % 3).alias("part"))
+
+
+def numbers(t):
+    none = t.spark.createDataFrame([], "file_id long, variant string, number long")
+    return i.number_variants(none, masked_rows(t))
+
+
+ROW = ["file_id", "begin", "symbol_id"]
+
+
+@query("F7_merge_masks", f"WITH {NUMBERED}, m AS (SELECT rw.file_id, begin, symbol_id, n // 64 AS word, {MASK} AS bit FROM rw JOIN nu USING (file_id, variant) WHERE part > 0 OR (variant NOT LIKE 'src1%' AND part = 0)) SELECT file_id, begin, symbol_id, CAST(word AS BIGINT) AS word, bit_or(bit) AS mask FROM m GROUP BY file_id, begin, symbol_id, word")
+def _(t):
+    rows, known = masked_rows(t), numbers(t)
+    keep = i.live_masks(rows.filter("variant not like 'src1%'").select("file_id", "variant").distinct(), known)
+    old = i.bits(rows.filter("part = 0"), known, ROW)
+    return i.merge_masks(old, keep, rows.filter("part > 0"), known, ROW)
+
+
+@query("F14_live_masked", f"WITH {NUMBERED} SELECT DISTINCT file_id, begin, symbol_id FROM rw WHERE variant LIKE 'src2%' OR variant LIKE '%/7'")
+def _(t):
+    rows, known = masked_rows(t), numbers(t)
+    live = i.live_masks(rows.filter("variant like 'src2%' or variant like '%/7'").select("file_id", "variant").distinct(), known)
+    return i.live_masked(i.bits(rows, known, ROW), live, ROW)
+
+
+# Row sets of (source, language), of which those of some sources are stored already.
+@query("F6_new_sets", "WITH r AS (SELECT DISTINCT source AS tu, lang AS path, md5(text) AS h FROM {documents}), e AS (SELECT tu, path, string_agg(h, ',' ORDER BY h) AS shape FROM r GROUP BY tu, path), n AS (SELECT path, shape, min(tu) AS tu FROM e WHERE (path, shape) NOT IN (SELECT (path, shape) FROM e WHERE tu < 'src15') GROUP BY path, shape) SELECT path, r.h AS row_id, count(*) AS sets FROM n JOIN r USING (tu, path) GROUP BY path, r.h")
+def _(t):
+    rows = t.x5.select("tu", "path", F.col("rows_hash").alias("row_id"))
+    stored = i.rows_hash(rows.filter("tu < 'src15'"), ["tu", "path"], ["row_id"])
+    return i.new_sets(rows, stored, ["row_id"])[1].groupBy("path", "row_id").agg(F.count("*").alias("sets"))
+
+
 @query("F8_local_names", f"SELECT DISTINCT file_id, symbol_id, name FROM {{x4}} WHERE {SCOPE} <> 'External'")
 def _(t):
     names = t.x4.select("symbol_id", "tu", "name", i.classify_scope(linkage()).alias("scope"))

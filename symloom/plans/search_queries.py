@@ -115,7 +115,7 @@ def _(t):
     return s.reference_totals(t.x4, rel(t), definitions=True)
 
 
-@query("G11_definition_text", f"WITH {DEF} SELECT symbol_id, file_id, substr(text, b + 1, e - b) AS text FROM def JOIN {{documents}} ON doc_id = file_id")
+@query("G11_definition_text", f"WITH {DEF} SELECT symbol_id, file_id, substr(text, b + 1, e - b) AS text, 1 + length(substr(text, 1, b)) - length(replace(substr(text, 1, b), chr(10), '')) AS start_line, 1 + length(substr(text, 1, e)) - length(replace(substr(text, 1, e), chr(10), '')) AS end_line FROM def JOIN {{documents}} ON doc_id = file_id")
 def _(t):
     return s.definition_text(t.x4, rel(t), docs(t))
 
@@ -200,6 +200,22 @@ def _(t):
     return s.locate_symbols(locators(t), symbols(t), places(t))
 
 
+# By id: every symbol as it is, and ids that are none. By line: every line of every text.
+@query("G20_locate_by_id", "SELECT DISTINCT symbol_id AS locator, symbol_id FROM {x4} WHERE symbol_id % 4 <> 0")
+def _(t):
+    ids = t.x4.select("symbol_id").distinct()
+    asked = ids.select(F.col("symbol_id").alias("locator"), F.when(F.col("symbol_id") % 4 == 0, F.when(F.col("symbol_id") % 8 == 0, 0).otherwise(F.col("symbol_id") + 1)).otherwise(F.col("symbol_id")).alias("symbol_id"))
+    return s.locate_by_id(asked, symbols(t), places(t))
+
+
+@query("G20_locate_by_line", f"WITH {DEF}, {LINES}, d AS (SELECT def.file_id, line + 1 AS line, b, def.symbol_id FROM def JOIN {{x4}} o ON o.file_id = def.file_id AND o.begin_off = def.b WHERE def.file_id % 13 <> 0) SELECT concat('/d/', dl.file_id, ':', dl.line + 1) AS locator, arg_min(symbol_id, b) AS symbol_id FROM dl JOIN d ON d.file_id = dl.file_id AND d.line = dl.line + 1 GROUP BY dl.file_id, dl.line")
+def _(t):
+    files = t.documents.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("path"))
+    lines = t.documents.select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("k", "x")).select("path", (F.col("k") + 1).alias("line"))
+    asked = lines.withColumn("locator", F.concat_ws(":", "path", F.col("line").cast("string")))
+    return s.locate_by_line(asked, files, s.definition_lines(rel(t), docs(t)), files.filter("file_id % 13 = 0"))
+
+
 @query("G21_resolve_unique", f"WITH {LOC}, c AS (SELECT n_nationkey AS locator, (SELECT count(*) FROM located l WHERE l.locator = n_nationkey) AS candidates, (SELECT min(symbol_id) FROM located l WHERE l.locator = n_nationkey) AS m FROM {{nation}}) SELECT locator, CASE WHEN candidates = 0 THEN 'not found' WHEN candidates = 1 THEN 'found' ELSE 'ambiguous' END AS status, candidates, CASE WHEN candidates = 1 THEN m END AS symbol_id FROM c")
 def _(t):
     return s.resolve_unique(locators(t), s.locate_symbols(locators(t), symbols(t), places(t)))
