@@ -9,6 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from symloom.functions.lineage import shared_folder
+from symloom.operators.clustered import read_clustered, write_clustered
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -82,8 +83,9 @@ WHEN 3 THEN concat('  #embed ', arg, ' limit(3)') WHEN 4 THEN concat('#import ',
 }
 
 
-#: Derived tables that many queries read: written once a session and input, by these columns.
-WRITTEN = {"x4": [], "x14": ["kind"]}
+#: Derived tables that many queries read: written once a session and input, by these columns,
+#: and clustered by that one, if any.
+WRITTEN: dict[str, tuple[list[str], str | None]] = {"x4": ([], None), "x14": (["kind"], "symbol_id")}
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -125,9 +127,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir + "\n" + files_of(spark, sf_dir, inputs_of(name)), name)
     if key not in _written or not there(spark, _written[key] + "/_SUCCESS"):
         path = shared_folder(spark, name)
-        made.write.partitionBy(*WRITTEN[name]).parquet(path)
+        by, cluster = WRITTEN[name]
+        if cluster:
+            write_clustered(made, path, cluster, by)
+        else:
+            made.write.partitionBy(*by).parquet(path)
         _written[key] = path
-    return spark.read.schema(made.schema).parquet(_written[key]).select(*made.columns)
+    path, cluster = _written[key], WRITTEN[name][1]
+    found = read_clustered(spark, path) if cluster else spark.read.schema(made.schema).parquet(path)
+    return found.select(*made.columns)
 
 
 def oracle(sql: str) -> str:
