@@ -144,14 +144,20 @@ def impact_analysis(files: DataFrame, edges: DataFrame, modules: DataFrame) -> D
     return direct.select("file_id", F.lit("direct").alias("effect"), F.col("includer").cast("string").alias("value")).union(further.select("file_id", F.lit("transitive"), F.col("host").cast("string"))).union(owned)
 
 
-def project_files(files: DataFrame, indexed: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, kind): files of the command table are modules, headers or sources; indexed
-    headers that it lacks are added."""
-    named = modules.select("file_id", F.lit(True).alias("named")).distinct()
+def project_files(files: DataFrame, indexed: DataFrame, modules: DataFrame, only: str | None = None) -> DataFrame:
+    """(path, kind, module): files of the command table are modules, headers or sources; indexed
+    headers that it lacks are added. A module file has its name, the last of several. With
+    `only`, files of that kind."""
     header = suffix(F.col("path")).isin(".h", ".hpp", ".hxx", ".hh")
-    own = files.join(named, "file_id", "left").select("path", F.when(F.col("named"), "module").when(header, "header").otherwise("source").alias("kind"))
-    more = indexed.select("path").filter(header).join(files.select("path"), "path", "left_anti").select("path", F.lit("header").alias("kind"))
-    return own.union(more).distinct()
+    own = files.join(module_map(modules).withColumnRenamed("name", "module"), "file_id", "left").select("path", F.when(F.col("module").isNotNull(), "module").when(header, "header").otherwise("source").alias("kind"), "module")
+    more = indexed.select("path").filter(header).join(files.select("path"), "path", "left_anti").select("path", F.lit("header").alias("kind"), F.lit(None).cast("string").alias("module"))
+    out = own.union(more).distinct()
+    return out if only is None else out.filter(F.col("kind") == only)
+
+
+def project_totals(listed: DataFrame) -> DataFrame:
+    """(kind, total) of project_files, and the total of all."""
+    return listed.groupBy("kind").agg(F.count("*").alias("total")).union(listed.agg(F.count("*")).select(F.lit("all"), F.col("count(1)")))
 
 
 def module_map(modules: DataFrame) -> DataFrame:

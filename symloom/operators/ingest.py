@@ -199,6 +199,13 @@ def compact(stored: DataFrame, live: DataFrame) -> DataFrame:
     return marked.groupBy("path").agg(F.when(alive == 0, "retired").when(alive < F.count("*"), "rewritten").otherwise("kept").alias("verdict"))
 
 
+def owners_of(contributions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(tu, path): the units that contribute to the files of verdicts (path): those whose
+    manifests are to be dropped and queued where compact retires a file or unservable_files
+    names it."""
+    return contributions.select("tu", "path").distinct().join(verdicts.select("path").distinct(), "path", "left_semi").select("tu", "path")
+
+
 def merge_plan(sections: DataFrame, stored: DataFrame) -> DataFrame:
     """sections (tu, path, rows_hash, content_hash) with outcome: hit if the variant is stored,
     appended if the file is stored with this content, else rebuilt. stored: path, variant,

@@ -68,6 +68,14 @@ def stage_summary(runs: DataFrame, stages: list[str]) -> DataFrame:
     return compute_stats(long, ["stage"], "ms").select("stage", F.col("count").alias("files"), "p50", "p90", "p99", "max")
 
 
+def failures(runs: DataFrame, stages: list[str]) -> DataFrame:
+    """(stage, failed): for each stage the files that came to it and have no time, while a stage
+    before it has one; stages are in the order in which they run."""
+    came = [F.col(a).isNotNull() & F.col(b).isNull() for a, b in zip(stages, stages[1:], strict=False)]
+    counts = runs.agg(F.count_if(F.col(stages[0]).isNull()).alias(stages[0]), *[F.count_if(c).alias(b) for c, b in zip(came, stages[1:], strict=False)])
+    return counts.unpivot([], stages, "stage", "failed")
+
+
 def slowest(runs: DataFrame, total: Column, n: int = 10) -> DataFrame:
     return runs.select("file", total.alias("ms")).orderBy(F.desc("ms"), "file").limit(n)
 
@@ -88,3 +96,10 @@ def cache_rates(events: DataFrame) -> DataFrame:
     """events (namespace, event): hits, misses, evictions and the share of hits."""
     n = lambda e: F.count_if(F.col("event") == e)
     return events.groupBy("namespace").agg(n("hit").alias("hits"), n("miss").alias("misses"), n("evict").alias("evictions"), (n("hit") / F.nullif(n("hit") + n("miss"), F.lit(0))).alias("hit_rate"))
+
+
+def miss_reasons(events: DataFrame) -> DataFrame:
+    """(namespace, reason, misses, share): the misses of each namespace by reason (a null one is
+    'unknown'), and each reason's share of them."""
+    per = events.filter("event = 'miss'").groupBy("namespace", F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("misses"))
+    return per.withColumn("share", F.col("misses") / F.sum("misses").over(Window.partitionBy("namespace")))  # a row for each reason

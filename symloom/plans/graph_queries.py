@@ -86,12 +86,25 @@ def _(t):
     return g.impact_analysis(t.x1, t.x2, t.x3)
 
 
-@query("E12_project_files", """SELECT path, CASE WHEN file_id IN (SELECT file_id FROM {x3}) THEN 'module' WHEN path LIKE '%.h' THEN 'header' ELSE 'source' END AS kind FROM {x1} WHERE file_id % 4 <> 0
-UNION SELECT path, 'header' FROM {x1} WHERE file_id % 4 = 0 AND path LIKE '%.h'""")
+LISTED = """ls AS (SELECT path, CASE WHEN m.name IS NOT NULL THEN 'module' WHEN path LIKE '%.h' THEN 'header' ELSE 'source' END AS kind, m.name AS module FROM {x1} f LEFT JOIN (SELECT file_id, max(name) AS name FROM {x3} GROUP BY file_id) m ON m.file_id = f.file_id WHERE f.file_id % 4 <> 0
+UNION SELECT path, 'header', NULL FROM {x1} WHERE file_id % 4 = 0 AND path LIKE '%.h')"""
+
+
+@query("E12_project_files", f"WITH {LISTED} SELECT * FROM ls")
 def _(t):
     return g.project_files(t.x1.filter("file_id % 4 <> 0"), t.x1, t.x3)
 
 
+@query("E12_project_headers", f"WITH {LISTED} SELECT path, module FROM ls WHERE kind = 'header'")
+def _(t):
+    return g.project_files(t.x1.filter("file_id % 4 <> 0"), t.x1, t.x3, "header").select("path", "module")
+
+
+@query("E12_project_totals", f"WITH {LISTED} SELECT kind, count(*) AS total FROM ls GROUP BY kind UNION ALL SELECT 'all', count(*) FROM ls")
+def _(t):
+    return g.project_totals(g.project_files(t.x1.filter("file_id % 4 <> 0"), t.x1, t.x3))
+
+
 @query("E13_module_map", "SELECT file_id, max(name) AS name FROM {x3} GROUP BY file_id")
 def _(t):
     return g.module_map(t.x3)

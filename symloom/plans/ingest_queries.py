@@ -167,6 +167,14 @@ def _(t):
     return i.compact(stored, live)
 
 
+@query("F15_retired_owners", "WITH l AS (SELECT DISTINCT tu, rows_hash FROM {x5} WHERE path = 'en' AND tu <> 'src4'), gone AS (SELECT DISTINCT tu AS path FROM {x5} s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tu = s.tu AND l.rows_hash IN (SELECT rows_hash FROM {x5} y WHERE y.tu = s.tu))) SELECT DISTINCT path AS tu, tu AS path FROM {x5} WHERE tu IN (SELECT path FROM gone)")
+def _(t):
+    stored = t.x5.select(F.col("tu").alias("path"), F.col("rows_hash").alias("variant"))
+    live = t.x5.filter("path = 'en' and tu <> 'src4'").select(F.col("tu").alias("path"), F.col("rows_hash").alias("variant")).distinct()
+    owned = t.x5.select(F.col("path").alias("tu"), F.col("tu").alias("path"))
+    return i.owners_of(owned, i.compact(stored, live).filter("verdict = 'retired'")).select("tu", "path")
+
+
 SECTIONS = "sec AS (SELECT source AS tu, lang AS path, md5(text) AS rows_hash, CAST(n_chars % 50 AS BIGINT) AS content_hash FROM {documents}), sto AS (SELECT DISTINCT lang AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE concat(text, '!') END) AS variant, CAST(n_chars % 40 AS BIGINT) AS content_hash, doc_id % 3 AS generation FROM {documents})"
 
 
@@ -215,6 +223,13 @@ def _(t):
     return i.unservable_files(c, st)
 
 
+@query("F21_unservable_owners", f"WITH {SECTIONS}, c AS (SELECT DISTINCT tu || path AS path, rows_hash AS variant FROM {{x5}}), st AS (SELECT DISTINCT source || replace(lang, 'es', 'no') AS path, md5(CASE WHEN doc_id % 3 = 0 AND lang = 'fr' THEN concat(text, '!') ELSE text END) AS variant, CASE WHEN lang = 'de' THEN doc_id % 2 ELSE 0 END AS generation FROM {{documents}}), g AS (SELECT path, count(DISTINCT generation) AS n FROM st GROUP BY path), p AS (SELECT c.path, bool_or(st.path IS NULL) AS lacks FROM c LEFT JOIN (SELECT DISTINCT path, variant FROM st) st ON st.path = c.path AND st.variant = c.variant GROUP BY c.path), r AS (SELECT p.path, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' WHEN lacks THEN 'variant' END AS reason FROM p LEFT JOIN g ON g.path = p.path) SELECT DISTINCT tu, tu || path AS path FROM {{x5}} WHERE tu || path IN (SELECT path FROM r WHERE reason IS NOT NULL)")
+def _(t):
+    c = t.x5.select("tu", F.concat("tu", "path").alias("path"), "rows_hash")
+    st = t.documents.selectExpr("source || replace(lang, 'es', 'no') AS path", "md5(CASE WHEN doc_id % 3 = 0 AND lang = 'fr' THEN concat(text, '!') ELSE text END) AS variant", "CASE WHEN lang = 'de' THEN doc_id % 2 ELSE 0 END AS generation")
+    return i.owners_of(c, i.unservable_files(c, st)).select("tu", "path")
+
+
 @query("F22_orphan_shards", "SELECT DISTINCT tu || '/' || path AS path FROM {x5} WHERE tu || '/' || path NOT IN (SELECT tu || '/' || path FROM {x5} WHERE path <> 'de' AND tu <> 'src3')")
 def _(t):
     stored = t.x5.select("tu", F.col("path").alias("lang"), F.concat_ws("/", "tu", "path").alias("path"))

@@ -104,6 +104,11 @@ def _(t):
     return p.histogram_percentile(h, ["topic"], 0.9).join(p.count_at_least(h, ["topic"], 10), "topic")
 
 
+@query("I6_count_at_least", f"WITH {HIST} SELECT topic, CAST(sum(CASE WHEN bucket >= 25 THEN n ELSE 0 END) AS BIGINT) AS n FROM h GROUP BY topic")
+def _(t):
+    return p.count_at_least(p.capped_histogram(t.x7, ["topic"], "elapsed_ms", 40), ["topic"], 25)
+
+
 RUNS = "SELECT l_orderkey * 10 + l_linenumber AS file, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS parse, CASE WHEN l_tax > 0.02 THEN l_extendedprice END AS build FROM {lineitem}"
 
 
@@ -116,6 +121,11 @@ def _(t):
     return p.stage_summary(runs(t), ["parse", "build"])
 
 
+@query("I7_failures", f"WITH r AS ({RUNS}) SELECT 'parse' AS stage, count(*) FILTER (parse IS NULL) AS failed FROM r UNION ALL SELECT 'build', count(*) FILTER (parse IS NOT NULL AND build IS NULL) FROM r")
+def _(t):
+    return p.failures(runs(t), ["parse", "build"])
+
+
 @query("I7_slowest", f"WITH r AS ({RUNS}) SELECT file, build AS ms FROM r WHERE build IS NOT NULL ORDER BY build DESC, file LIMIT 10")
 def _(t):
     return p.slowest(runs(t), F.col("build"))
@@ -137,3 +147,9 @@ def _(t):
 def _(t):
     event = F.when(F.col("topic") == "view", "hit").when(F.col("topic") == "click", "miss").when(F.col("topic") == "error", "evict")
     return p.cache_rates(t.x7.select(F.col("kind").alias("namespace"), event.alias("event")))
+
+
+@query("H17_miss_reasons", "WITH m AS (SELECT kind AS namespace, CASE seq % 4 WHEN 0 THEN 'absent' WHEN 1 THEN 'stale' WHEN 2 THEN 'evicted' ELSE 'unknown' END AS reason FROM {x7} WHERE topic = 'click'), n AS (SELECT namespace, reason, count(*) AS misses FROM m GROUP BY namespace, reason) SELECT namespace, reason, misses, misses / sum(misses) OVER (PARTITION BY namespace) AS share FROM n")
+def _(t):
+    reason = F.when(F.col("seq") % 4 == 0, "absent").when(F.col("seq") % 4 == 1, "stale").when(F.col("seq") % 4 == 2, "evicted")
+    return p.miss_reasons(t.x7.select(F.col("kind").alias("namespace"), F.when(F.col("topic") == "click", "miss").otherwise("hit").alias("event"), reason.alias("reason")))

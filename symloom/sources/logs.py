@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.columns import basename
+from symloom.functions.ranks import numbered
 
 #: Fixed value: `[stamp] ... [perf:topic] key=value key=value`; a value runs to the next key.
 PERF_LINE = r"^(?:\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\] )?.*?\[perf:([\w-]+)\] (.*)$"
@@ -21,7 +22,7 @@ def perf_events(lines: DataFrame, line: str = "value", file: str = "file") -> Da
     keys = F.regexp_extract_all("rest", F.lit(PAIRS), F.lit(1))
     values = F.regexp_extract_all("rest", F.lit(PAIRS), F.lit(2))
     last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
-    lanes = found.select("file").distinct().withColumn("pid", F.row_number().over(Window.orderBy("file")))
+    lanes = numbered(found.select("file").distinct(), ["file"], "pid").withColumn("pid", F.col("pid").cast("int"))
     return found.join(lanes, "file").select("file", "topic", "ts", "pid", F.when(F.col("thread") == "", 1).otherwise(F.col("thread").cast("long")).alias("tid"), F.map_from_entries(last).alias("values"))
 
 
