@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from symloom.functions.lineage import shared_folder as shared_dir
+
 #: A word, everywhere in this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same characters for Java's regular expressions, as a separator.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors reach.
-
-    Only where the setting is absent and the session runs on a single machine, as in tests, a
-    temporary folder is taken, and set as the checkpoint folder too.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        if context.getCheckpointDir() is None:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: a cut of the lineage
     that a lost executor doesn't undo."""
