@@ -69,8 +69,6 @@ def _(t):
     return invalidated(t, t.events.crossJoin(F.broadcast(t.part.agg(F.count("*").alias("parts")))), F.col("parts"))
 
 
-
-
 def invalidated(t, events, files):
     kind = F.when(F.col("event_type") == "click", "changed").when(F.col("event_type") == "view", "saved").when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "opened").otherwise("closed")
     events = events.select(kind.alias("kind"), (1 + F.col("event_id") % files).alias("file_id"))

@@ -227,8 +227,6 @@ def _(t):
     return s.document_symbols(files, symbols(t), rel(t), docs(t))
 
 
-
-
 @query("G23_read_symbol", f"WITH {LOC}, {DEF}, c AS (SELECT n_nationkey AS locator, (SELECT count(*) FROM located l WHERE l.locator = n_nationkey) AS candidates, (SELECT min(symbol_id) FROM located l WHERE l.locator = n_nationkey) AS m FROM {{nation}}) SELECT locator, CASE WHEN candidates = 0 THEN 'not found' WHEN candidates = 1 THEN 'found' ELSE 'ambiguous' END AS status, candidates, CASE WHEN candidates = 1 THEN (SELECT substr(text, b + 1, e - b) FROM def JOIN {{documents}} ON doc_id = file_id WHERE symbol_id = m) END AS text FROM c")
 def _(t):
     return s.read_symbol(locators(t), symbols(t), places(t), rel(t), docs(t))
