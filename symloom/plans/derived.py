@@ -87,6 +87,7 @@ WHEN 3 THEN concat('  #embed ', arg, ' limit(3)') WHEN 4 THEN concat('#import ',
 #: and clustered by that one, if any.
 WRITTEN: dict[str, tuple[list[str], str | None]] = {"x4": ([], None), "x14": (["kind"], "symbol_id")}
 _written: dict[tuple[str, str, str], str] = {}
+_inputs: dict[tuple[str, str, str], str] = {}
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -123,16 +124,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     made = spark.sql(sql, **{i: table(spark, sf_dir, i) for i in set(re.findall(r"\{(\w+)\}", sql))})
     if name not in WRITTEN:
         return made
-    # By the inputs' files, so that changed input is derived anew.
-    key = (spark.sparkContext.applicationId, sf_dir + "\n" + files_of(spark, sf_dir, inputs_of(name)), name)
-    if key not in _written or not there(spark, _written[key] + "/_SUCCESS"):
+    key, inputs = (spark.sparkContext.applicationId, sf_dir, name), files_of(spark, sf_dir, inputs_of(name))
+    # Derived anew where the input has changed, or what was written is gone or isn't whole.
+    if key not in _written or _inputs[key] != inputs or not there(spark, _written[key] + "/_SUCCESS"):
         path = shared_folder(spark, name)
         by, cluster = WRITTEN[name]
         if cluster:
             write_clustered(made, path, cluster, by)
         else:
             made.write.partitionBy(*by).parquet(path)
-        _written[key] = path
+        _written[key], _inputs[key] = path, inputs
     path, cluster = _written[key], WRITTEN[name][1]
     found = read_clustered(spark, path) if cluster else spark.read.schema(made.schema).parquet(path)
     return found.select(*made.columns)
