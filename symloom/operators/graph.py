@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.columns import common_prefix, dirname, stem, suffix
@@ -10,22 +10,54 @@ from symloom.functions.lineage import Grown, cut
 from symloom.operators.scan import resolve_includes
 
 
-def closure(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
-    """(root, node, depth): nodes reached from each seed (root, node), with the length of the
-    shortest way; the seed itself has depth 0. All roots advance together, a step of the loop
-    for each level; what was met before is dropped by an anti join, so cycles end."""
-    arcs = cut(arcs.select("src", "dst").distinct())
+def word_of(root: Column) -> Column:
+    return F.shiftright(root, 6)
+
+
+def bit_of(root: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), root.bitwiseAND(63).cast("int"))
+
+
+def places_in(bits: Column) -> Column:
+    """The places, from 0, of the bits that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftright", bits, k).bitwiseAND(1) == 1)
+
+
+def reached_words(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, word, bits, depth): the closure of seeds (root, node) with 64 roots in one long.
+    Bit k of word w is root 64 w + k, so roots whose ids are near, as files of one folder have
+    them, go on together; ids far apart are right too, with a row each. A row has the roots that
+    first come to its node at its depth. Arcs (src, dst) are distinct and written.
+
+    A step is one join and one aggregate: what comes in and what was met are OR-ed by node and
+    word, and only bits that are new go on, so cycles end. Seeds with nulls are none."""
     levels = Grown(seeds.sparkSession, "closure")
-    front, depth = levels.add(seeds.select("root", "node").distinct()), 0
+    packed = seeds.filter("root is not null and node is not null").select("node", word_of(F.col("root")).alias("word"), bit_of(F.col("root")).alias("bit"))
+    front, depth, none = levels.add(packed.groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))), 0, F.lit(0).cast("long")
     while most is None or depth < most:
         depth += 1
-        step = front.join(arcs, front["node"] == arcs["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = levels.add(step.join(levels.all().select("root", "node"), ["root", "node"], "left_anti"))
+        came = front.join(arcs, front["node"] == arcs["src"]).select(F.col("dst").alias("node"), "word", F.col("bits").alias("came"), none.alias("met"))
+        met = levels.all().select("node", "word", none, "bits")
+        both = came.union(met).groupBy("node", "word").agg(F.bit_or("came").bitwiseAND(F.bitwise_not(F.bit_or("met"))).alias("bits"))
+        front = levels.add(both.filter("bits <> 0"))
         if front.isEmpty():
             break
     return levels.all().withColumnRenamed("at_step", "depth")
 
 
+def roots_of(words: DataFrame, to: str) -> DataFrame:
+    """words, with a row for each root of a word in column `to`, instead of word and bits."""
+    rows = words.withColumn("place_", F.explode(places_in(F.col("bits"))))
+    return rows.withColumn(to, F.shiftleft("word", 6) + F.col("place_")).drop("word", "bits", "place_")
+
+
+def closure(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, node, depth): nodes reached from each seed (root, node), with the length of the
+    shortest way; the seed itself has depth 0. All roots advance together, 64 in a word."""
+    words = reached_words(seeds, cut(arcs.select("src", "dst").distinct()), most)
+    return roots_of(words, "root").select("root", "node", "depth")
+
+
 def reached_from(files: DataFrame, arcs: DataFrame) -> DataFrame:
     """(file_id): what arcs (src, dst) lead to from any of files, in one step or more. One
     frontier goes on for all files; which of them a node was reached from isn't kept."""
@@ -87,10 +119,14 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def host_sources(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, host): files that include each of files at any distance and that nothing
-    includes. The file itself isn't its host."""
-    up = closure(files.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), reversed_(edges))
-    tops = roots(edges).withColumnRenamed("file_id", "node")
-    return up.filter("depth > 0 and node <> root").join(tops, "node", "left_semi").select(F.col("root").alias("file_id"), F.col("node").alias("host"))
+    includes. The file itself isn't its host. Hosts are followed down to what they include, as
+    hosts with neighbouring ids share most of it, along edges that lead to one of files."""
+    wanted = files.select("file_id").distinct()
+    arcs = cut(leading_to(wanted, edges))
+    tops = roots(arcs)  # what includes a file on a way leads to the same file, so no includer is left out
+    down = reached_words(tops.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), arcs)
+    found = down.filter("depth > 0").join(wanted, F.col("node") == F.col("file_id"), "left_semi")
+    return roots_of(found, "host").select(F.col("node").alias("file_id"), "host")
 
 
 def leading_to(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,24 +140,29 @@ def leading_to(files: DataFrame, edges: DataFrame) -> DataFrame:
 def include_chain(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, target, step, node): a shortest chain from host to target for each reachable
     pair; a single step where they are equal. Of several includers at the same distance the
-    smallest is taken."""
+    smallest is taken. Hosts go in words, both down to what they reach and back from the target."""
+    pairs = pairs.select("host", "target").distinct()
     arcs = cut(leading_to(pairs.select(F.col("target").alias("file_id")), edges))
-    seeds = pairs.select(F.col("host").alias("root"), F.col("host").alias("node"))
-    reach = closure(seeds, arcs)
+    reach = reached_words(pairs.select(F.col("host").alias("root"), F.col("host").alias("node")).distinct(), arcs).select("node", "word", F.col("bits").alias("there"), F.col("depth").alias("step"))
+    asked = pairs.groupBy("target", word_of(F.col("host")).alias("word")).agg(F.bit_or(bit_of(F.col("host"))).alias("bits")).withColumn("node", F.col("target"))
+    both = F.col("bits").bitwiseAND(F.col("there"))
     walked = Grown(edges.sparkSession, "chain")
-    at = walked.add(pairs.distinct().join(reach.select(F.col("root").alias("host"), F.col("node").alias("target"), "depth"), ["host", "target"]).select("host", "target", F.col("depth").alias("step"), F.col("target").alias("node")))
+    at = walked.add(asked.join(reach, ["node", "word"]).select("target", "step", "node", "word", both.alias("bits")).filter("bits <> 0"))
     while not (at := at.filter("step > 0")).isEmpty():
-        up = at.join(arcs, at["node"] == arcs["dst"]).select("host", "target", (F.col("step") - 1).alias("step"), F.col("src").alias("node"))
-        on_way = up.join(reach.select(F.col("root").alias("host"), "node", F.col("depth").alias("step")), ["host", "node", "step"])
-        at = walked.add(on_way.groupBy("host", "target", "step").agg(F.min("node").alias("node")).select("host", "target", "step", "node"))
-    return walked.all().drop("at_step")
+        up = at.join(arcs, at["node"] == arcs["dst"]).select("target", (F.col("step") - 1).alias("step"), F.col("src").alias("node"), "word", "bits")
+        on_way = up.join(reach, ["node", "word", "step"]).select("target", "step", "node", "word", F.explode(places_in(both)).alias("place"))
+        nearest = on_way.groupBy("target", "step", "word", "place").agg(F.min("node").alias("node"))
+        at = walked.add(nearest.groupBy("target", "step", "node", "word").agg(F.bit_or(bit_of(F.col("place").cast("long"))).alias("bits")))
+    return roots_of(walked.all(), "host").select("host", "target", "step", "node")
 
 
 def reaches(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (host, target) with `reaches`."""
-    arcs = leading_to(pairs.select(F.col("target").alias("file_id")), edges)
-    reach = closure(pairs.select(F.col("host").alias("root"), F.col("host").alias("node")), arcs).select(F.col("root").alias("host"), F.col("node").alias("target"), F.lit(True).alias("found"))
-    return pairs.join(reach, ["host", "target"], "left").select("host", "target", F.coalesce("found", F.lit(False)).alias("reaches"))
+    arcs = cut(leading_to(pairs.select(F.col("target").alias("file_id")), edges))
+    reach = reached_words(pairs.select(F.col("host").alias("root"), F.col("host").alias("node")).distinct(), arcs)
+    # A host's bit is set at one depth only, so a pair meets one row at most.
+    met = (F.col("target") == F.col("node")) & (word_of(F.col("host")) == F.col("word")) & (F.col("bits").bitwiseAND(bit_of(F.col("host"))) != 0)
+    return pairs.join(reach, met, "left").select("host", "target", F.col("node").isNotNull().alias("reaches"))
 
 
 def file_deps(files: DataFrame, edges: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
