@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.lineage import cut
 from symloom.functions.ranks import running
 
-from .graph import chain_dependents, reached_from, reversed_, roots
+from .graph import chain_dependents, latest_reaching, reached_from, reversed_, roots
 
 
 def sweep_diff(baseline: DataFrame, now: DataFrame, open_files: DataFrame) -> DataFrame:
@@ -94,6 +97,92 @@ def invalidate(events: DataFrame, edges: DataFrame, chains: DataFrame, deps: Dat
     return own.union(selves).union(hosts).union(context).union(rebuilt).distinct()
 
 
+def file_event_effects(events: DataFrame, edges: DataFrame, fresh_edges: DataFrame, deps: DataFrame, units: DataFrame, chains: DataFrame, contexts: DataFrame, open_files: DataFrame, disk: DataFrame) -> DataFrame:
+    """events (seq, kind, file_id) of a batch -> (effect, file_id), each once.
+
+    edges and fresh_edges (src, dst) are the include graph before and after the batch, deps (src
+    needs dst) and units (file_id) the module units, chains (header, node) what headers were
+    reached through, contexts (header, host) whose commands they borrow, open_files (file_id,
+    same: the buffer is what lies on disk) and disk (file_id, current: the index is of this
+    content) the files that can be read. A file that occurs twice in open_files or disk is taken
+    as the one of false; a null there is false.
+
+    opened, edited: nothing beyond the session. saved: the cascade; an open file is indexed anew,
+    and recompiled if the disk isn't its buffer. changed: an open file is recompiled and indexed
+    anew, a closed one cascades and is indexed anew. closed: a file that can't be read has no
+    index to wait for, one that is indexed as it is waits as a dependent, others as changed.
+    removed: hosts and modules behind it, and nothing is left to index. command_added and
+    command_changed: the index goes and is built anew, open files are recompiled, modules behind
+    it and contexts that borrow from it go; command_removed: likewise, but the index stays.
+    crashed, evicted: what was built is lost. Other kinds and null files have no effect.
+
+    The cascade of changed content: the file's own verdicts go; its hosts and the modules behind
+    it are recompiled if open and else indexed as dependents; headers reached through it are
+    checked anew, and closed ones indexed as dependents.
+
+    Of what is queued for a file the later event decides: a removal takes back what earlier ones
+    queued or dropped, later ones take back the removal, and changed content outdoes dependents.
+    So every effect carries the seq of its last event, and closures carry only the last."""
+    known = events.filter("file_id is not null and seq is not null")
+    flag = lambda rows, c: rows.groupBy("file_id").agg(F.bool_and(F.coalesce(c, F.lit(False))).alias(c), F.lit(True).alias(f"in_{c}"))
+    last = known.groupBy("kind", "file_id").agg(F.max("seq").alias("seq"))
+    last = last.join(flag(open_files, "same"), "file_id", "left").join(flag(disk, "current"), "file_id", "left")
+    last = cut(last.select("kind", "file_id", "seq", F.coalesce("in_same", F.lit(False)).alias("is_open"), F.coalesce("same", F.lit(False)).alias("same"), F.coalesce("in_current", F.lit(False)).alias("readable"), F.coalesce("current", F.lit(False)).alias("current")))
+    kind, is_open = F.col("kind"), F.col("is_open")
+    commands = kind.isin("command_added", "command_changed", "command_removed")
+    rebuilt = kind.isin("command_added", "command_changed")
+    cascade = (kind == "saved") | ((kind == "changed") & ~is_open)
+    when = lambda c, *names: F.when(c, F.array(*map(F.lit, names)))
+    own = F.array_distinct(F.flatten(F.array_compact(F.array(
+        when(cascade, "reset_header_mode", "reset_trial"),
+        when((kind == "saved") & is_open, "content"),
+        when((kind == "saved") & is_open & ~F.col("same"), "recompile"),
+        when(kind == "changed", "content"),
+        when((kind == "changed") & is_open, "recompile"),
+        when((kind == "closed") & ~F.col("readable"), "clear"),
+        when((kind == "closed") & F.col("readable") & F.col("current"), "dependent"),
+        when((kind == "closed") & F.col("readable") & ~F.col("current"), "content"),
+        when(kind == "removed", "clear"),
+        when(commands & is_open, "recompile"),
+        when(rebuilt, "drop_index", "content"),
+        when(kind.isin("crashed", "evicted"), "lost"),
+    ))))
+    on_own = last.select(F.explode(own).alias("effect"), "file_id", "seq")
+
+    at = lambda c: last.filter(c).groupBy("file_id").agg(F.max("seq").alias("seq"))
+    content = at(cascade)
+    moved = content.union(at(kind == "removed"))
+    hosts = [latest_reaching(moved, reversed_(e)).join(roots(e), "file_id", "left_semi") for e in (edges, fresh_edges)]
+    begun = moved.union(at(commands)).join(units.select("file_id").distinct(), "file_id", "left_semi")
+    behind = begun.union(latest_reaching(begun, reversed_(deps)))
+    opened = open_files.select("file_id", F.lit(True).alias("opened")).distinct()
+    recompiled = lambda rows, closed: rows.join(opened, "file_id", "left").select(F.when(F.col("opened"), "recompile").otherwise(closed).alias("effect"), "file_id", "seq")
+    through = cut(chains.select("header", F.col("node").alias("file_id")).join(content, "file_id").groupBy(F.col("header").alias("file_id")).agg(F.max("seq").alias("seq")))
+    checked = through.select(F.explode(F.array(F.lit("force_revalidate"), F.lit("reset_header_mode"))).alias("effect"), "file_id", "seq")
+    waiting = through.join(opened, "file_id", "left_anti").select(F.lit("dependent").alias("effect"), "file_id", "seq")
+    given = at(commands)
+    borrowers = contexts.select("header", F.col("host").alias("file_id")).join(given, "file_id").groupBy(F.col("header").alias("file_id")).agg(F.max("seq").alias("seq"))
+    dropped = borrowers.select(F.explode(F.array(F.lit("drop_context"), F.lit("drop_index"))).alias("effect"), "file_id", "seq")
+    own_context = given.join(contexts.select(F.col("header").alias("file_id")).distinct(), "file_id", "left_semi").select(F.lit("drop_context").alias("effect"), "file_id", "seq")
+    parts = [on_own, recompiled(hosts[0].union(hosts[1]).union(behind), "dependent"), checked, waiting, dropped, own_context, recompiled(borrowers, "content")]
+    per_file = _last_word(reduce(DataFrame.union, parts))
+    after = last.agg(F.bool_or(cascade | commands | (kind == "removed")).alias("a"), F.bool_or(cascade | commands | kind.isin("removed", "closed")).alias("b"))
+    whole = after.select(F.explode(F.array_compact(F.array(F.when(F.col("a"), "recheck_contexts"), F.when(F.col("b"), "reschedule_indexing")))).alias("effect"), F.lit(None).cast("long").alias("file_id"))
+    return per_file.union(whole)
+
+
+def _last_word(effects: DataFrame) -> DataFrame:
+    """effects (effect, file_id, seq) -> (effect, file_id): those of the queue (content,
+    dependent, drop_index, clear) as the later event leaves them; a removal comes after what its
+    own event queued."""
+    seq = lambda e: F.max(F.when(F.col("effect") == e, F.col("seq")))
+    queued = ("content", "dependent", "drop_index", "clear")
+    per = effects.groupBy("file_id").agg(*[seq(e).alias(e) for e in queued], F.collect_set(F.when(~F.col("effect").isin(*queued), F.col("effect"))).alias("rest"))  # a handful of names
+    stays = lambda e: F.col(e).isNotNull() & (F.col("clear").isNull() | (F.col(e) > F.col("clear")))
+    index = F.when(stays("content"), "reindex_content").when(stays("dependent"), "reindex_dependent").when(F.col("clear").isNotNull(), "clear_reindex")
+    return per.select(F.explode(F.array_union(F.array_compact(F.array(index, F.when(stays("drop_index"), "drop_index"))), F.col("rest"))).alias("effect"), "file_id")
+
+
 def reduce_reindex_effects(effects: DataFrame) -> DataFrame:
     """effects (seq, file_id, effect: enqueue, clear or drop) -> (file_id, effect): the later of
     enqueue and clear; a drop unless a clear comes after it."""

@@ -73,6 +73,23 @@ def reached_from(files: DataFrame, arcs: DataFrame) -> DataFrame:
     return met.all().select("file_id")
 
 
+def latest_reaching(files: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(file_id, seq): what arcs (src, dst) lead to from files (file_id, seq) in one step or more,
+    with the greatest seq of those it is reached from. A node goes on again only when its seq has
+    risen, so that a step has a row for a node at most, however many files lead there."""
+    arcs = cut(arcs.select("src", "dst").distinct())
+    met, front, none = None, files.groupBy("file_id").agg(F.max("seq").alias("seq")), F.lit(None).cast("long")
+    while met is None or not front.isEmpty():
+        came = front.join(arcs, front["file_id"] == arcs["src"]).select(F.col("dst").alias("file_id"), "seq", none.alias("had"))
+        if met is None:
+            met = Grown(files.sparkSession, "latest")
+        else:
+            came = came.union(met.all().select("file_id", none, "seq"))
+        best = came.groupBy("file_id").agg(F.max("seq").alias("seq"), F.max("had").alias("had"))
+        front = met.add(best.filter("seq is not null and (had is null or seq > had)").select("file_id", "seq"))
+    return met.all().groupBy("file_id").agg(F.max("seq").alias("seq"))
+
+
 def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -17,8 +17,9 @@ from symloom.functions.columns import key64
 from symloom.functions.lineage import cut, delete
 from symloom.functions.ranks import numbered
 
-#: A relation and the one that mirrors it on the other symbol.
-MIRRORS = {"Callee": "Caller", "Base": "Derived", "Interface": "Implementation", "TypeDefinition": "Constructor"}
+#: A relation and the one that mirrors it on the other symbol. A type's constructors
+#: and destructors are told by the type; the type of anything else has no mirror.
+MIRRORS = {"Callee": "Caller", "Base": "Derived", "Interface": "Implementation", "Constructor": "TypeDefinition", "Destructor": "TypeDefinition"}
 
 
 def canonical_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,7 +28,8 @@ def canonical_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mirror_relations(facts: DataFrame, mirrors: dict[str, str] = MIRRORS) -> DataFrame:
-    """facts (file_id, symbol_id, kind, begin, end, target_symbol) with their mirror rows."""
+    """facts (file_id, symbol_id, kind, begin, end, target_symbol) with their mirror rows.
+    Of rows without a mirror or a target there is only the row itself."""
     pairs = F.create_map(*[F.lit(x) for kv in mirrors.items() for x in kv])
     own = F.struct("symbol_id", "kind", "target_symbol")
     other = F.struct(F.col("target_symbol").alias("symbol_id"), F.try_element_at(pairs, F.col("kind")).alias("kind"), F.col("symbol_id").alias("target_symbol"))

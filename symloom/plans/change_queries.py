@@ -76,6 +76,36 @@ def invalidated(t, events, files):
     return c.invalidate(events, t.x2, chains, t.x2, t.part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("file_id")))
 
 
+# Events of every kind over all files; every file has its buffer, disk and context by its number.
+KINDS = ["opened", "edited", "saved", "closed", "changed", "removed", "command_added", "command_changed", "command_removed", "crashed", "evicted"]
+
+
+@query("H7_file_event_effects", f"""WITH RECURSIVE n AS (SELECT count(*) AS parts FROM {{part}}), ev AS (SELECT event_id AS seq, event_id % parts AS f, {KINDS}[1 + event_id % 11] AS kind FROM {{events}}, n),
+la AS (SELECT kind, f, max(seq) AS seq, f % 4 = 0 AS o FROM ev GROUP BY kind, f), casc AS (SELECT f, max(seq) AS seq FROM la WHERE kind = 'saved' OR (kind = 'changed' AND NOT o) GROUP BY f),
+moved AS (SELECT f, max(seq) AS seq FROM (SELECT * FROM casc UNION ALL SELECT f, seq FROM la WHERE kind = 'removed') z GROUP BY f), given AS (SELECT f, max(seq) AS seq FROM la WHERE kind LIKE 'command%' GROUP BY f),
+fe AS (SELECT src, dst FROM {{x2}} WHERE src % 11 <> 0), ctx AS (SELECT src AS header, dst AS host FROM {{x2}} WHERE config_id = 1 AND ord = 1 AND src % 3 = 1),
+up(node, seq, own) AS (SELECT f, seq, TRUE FROM moved UNION SELECT src, seq, FALSE FROM up JOIN {{x2}} ON dst = node), uf(node, seq, own) AS (SELECT f, seq, TRUE FROM moved UNION SELECT src, seq, FALSE FROM uf JOIN fe ON dst = node),
+md(node, seq) AS (SELECT f, seq FROM (SELECT * FROM moved UNION ALL SELECT * FROM given) z WHERE f % 3 <> 1 UNION SELECT src, seq FROM md JOIN {{x2}} ON dst = node WHERE src % 3 <> 1),
+cascaded AS (SELECT node AS f, seq FROM up WHERE NOT own AND node NOT IN (SELECT dst FROM {{x2}}) UNION ALL SELECT node, seq FROM uf WHERE NOT own AND node NOT IN (SELECT dst FROM fe) UNION ALL SELECT node, seq FROM md),
+through AS (SELECT src AS f, seq FROM casc JOIN {{x2}} ON dst = f), bor AS (SELECT header AS f, seq FROM given JOIN ctx ON host = f),
+ef AS (SELECT 'reset_header_mode' AS effect, f, seq FROM casc UNION ALL SELECT 'reset_trial', f, seq FROM casc UNION ALL SELECT 'content', f, seq FROM la WHERE (kind = 'saved' AND o) OR kind = 'changed' OR kind IN ('command_added', 'command_changed') OR (kind = 'closed' AND f % 10 <> 0 AND f % 7 <> 0)
+UNION ALL SELECT 'recompile', f, seq FROM la WHERE o AND ((kind = 'saved' AND f % 8 <> 0) OR kind = 'changed' OR kind LIKE 'command%') UNION ALL SELECT 'clear', f, seq FROM la WHERE kind = 'removed' OR (kind = 'closed' AND f % 10 = 0)
+UNION ALL SELECT 'dependent', f, seq FROM la WHERE kind = 'closed' AND f % 10 <> 0 AND f % 7 = 0 UNION ALL SELECT 'drop_index', f, seq FROM la WHERE kind IN ('command_added', 'command_changed') UNION ALL SELECT 'lost', f, seq FROM la WHERE kind IN ('crashed', 'evicted')
+UNION ALL SELECT CASE WHEN f % 4 = 0 THEN 'recompile' ELSE 'dependent' END, f, seq FROM cascaded UNION ALL SELECT 'force_revalidate', f, seq FROM through UNION ALL SELECT 'reset_header_mode', f, seq FROM through UNION ALL SELECT 'dependent', f, seq FROM through WHERE f % 4 <> 0
+UNION ALL SELECT 'drop_context', f, seq FROM bor UNION ALL SELECT 'drop_index', f, seq FROM bor UNION ALL SELECT CASE WHEN f % 4 = 0 THEN 'recompile' ELSE 'content' END, f, seq FROM bor UNION ALL SELECT 'drop_context', f, seq FROM given WHERE f IN (SELECT header FROM ctx)),
+la2 AS (SELECT effect, f, max(seq) AS seq FROM ef GROUP BY effect, f), cl AS (SELECT f AS g, seq AS c FROM la2 WHERE effect = 'clear'), st AS (SELECT effect, f FROM la2 LEFT JOIN cl ON g = f WHERE effect NOT IN ('content', 'dependent', 'drop_index') OR c IS NULL OR seq > c)
+SELECT effect, f AS file_id FROM st WHERE effect NOT IN ('content', 'dependent', 'clear') UNION ALL SELECT 'reindex_content', f FROM st WHERE effect = 'content' UNION ALL SELECT 'reindex_dependent', f FROM st WHERE effect = 'dependent' AND f NOT IN (SELECT f FROM st WHERE effect = 'content')
+UNION ALL SELECT 'clear_reindex', f FROM st WHERE effect = 'clear' AND f NOT IN (SELECT f FROM st WHERE effect IN ('content', 'dependent')) UNION ALL SELECT unnest(['recheck_contexts', 'reschedule_indexing']), NULL""")
+def _(t):
+    events = t.events.crossJoin(F.broadcast(t.part.agg(F.count("*").alias("parts"))))  # one row
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (1 + F.col("event_id") % 11).cast("int"))
+    events = events.select(F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % F.col("parts")).alias("file_id"))
+    of = lambda condition, *columns: t.x1.filter(condition).select("file_id", *columns)
+    chains, contexts = t.x2.select(F.col("src").alias("header"), F.col("dst").alias("node")), t.x2.filter("config_id = 1 and ord = 1 and src % 3 = 1").select(F.col("src").alias("header"), F.col("dst").alias("host"))
+    opened, disk = of("file_id % 4 = 0", (F.col("file_id") % 8 == 0).alias("same")), of("file_id % 10 <> 0", (F.col("file_id") % 7 == 0).alias("current"))
+    return c.file_event_effects(events, t.x2, t.x2.filter("src % 11 <> 0"), t.x2.filter("src % 3 <> 1 and dst % 3 <> 1"), of("file_id % 3 <> 1"), chains, contexts, opened, disk)
+
+
 @query("H8_reduce_reindex_effects", "WITH e AS (SELECT user_id AS file_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'enqueue' WHEN 'view' THEN 'clear' ELSE 'drop' END AS effect FROM {events} WHERE event_type IN ('click', 'view', 'error')), p AS (SELECT file_id, max(seq) FILTER (effect = 'enqueue') AS e, max(seq) FILTER (effect = 'clear') AS c, max(seq) FILTER (effect = 'drop') AS d FROM e GROUP BY file_id) SELECT file_id, CASE WHEN coalesce(e, -1) > coalesce(c, -1) THEN 'enqueue' ELSE 'clear' END AS effect FROM p WHERE e IS NOT NULL OR c IS NOT NULL UNION ALL SELECT file_id, 'drop' FROM p WHERE d > coalesce(c, -1)")
 def _(t):
     effect = F.when(F.col("event_type") == "click", "enqueue").when(F.col("event_type") == "view", "clear").otherwise("drop")

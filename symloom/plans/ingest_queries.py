@@ -27,9 +27,15 @@ def _(t):
     return i.canonical_rows(rows.union(rows), rows.columns).groupBy("tu").agg(F.count("*").alias("n"), F.sum("begin").alias("s"))
 
 
-@query("F2_mirror_relations", "SELECT kind, count(*) AS n, count(DISTINCT symbol_id) AS symbols FROM {x14} WHERE kind IN ('Caller', 'Callee') GROUP BY kind")
+# Every relation of the index as a fact of one of seven kinds.
+FACT = "CASE begin % 7 WHEN 0 THEN 'Callee' WHEN 1 THEN 'Base' WHEN 2 THEN 'Interface' WHEN 3 THEN 'Constructor' WHEN 4 THEN 'Destructor' WHEN 5 THEN 'TypeDefinition' ELSE 'Reference' END"
+
+
+@query("F2_mirror_relations", f"""WITH f AS (SELECT file_id, symbol_id, begin_off AS begin, end_off AS e, target_symbol, {FACT.replace("begin", "begin_off")} AS kind FROM {{x14}}), m AS (SELECT * FROM f UNION ALL SELECT file_id, target_symbol, begin, e, symbol_id, CASE kind WHEN 'Callee' THEN 'Caller' WHEN 'Base' THEN 'Derived' WHEN 'Interface' THEN 'Implementation' ELSE 'TypeDefinition' END FROM f WHERE target_symbol IS NOT NULL AND kind NOT IN ('TypeDefinition', 'Reference'))
+SELECT kind, symbol_id, count(*) AS n, count(target_symbol) AS targets, CAST(sum(begin + e) AS BIGINT) AS places FROM m GROUP BY kind, symbol_id""")
 def _(t):
-    return i.mirror_relations(rel(t).filter("kind = 'Callee'")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("symbol_id").alias("symbols"))
+    rows = i.mirror_relations(rel(t).withColumn("kind", F.expr(FACT)))
+    return rows.groupBy("kind", "symbol_id").agg(F.count("*").alias("n"), F.count("target_symbol").alias("targets"), F.sum(F.col("begin") + F.col("end")).alias("places"))
 
 
 SCOPE = "CASE symbol_id % 4 WHEN 0 THEN 'FileLocal' WHEN 1 THEN 'TULocal' ELSE 'External' END"

@@ -29,13 +29,13 @@ def docs(t):
     return t.documents.select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
 
 
-@query("A3_read_sources", "SELECT count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM (SELECT * FROM {documents} WHERE text NOT LIKE '%' || chr(10) || '%') z")
+@query("A3_read_sources", "SELECT count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM {documents} WHERE text IS NOT NULL")
 def _(t):
     from symloom.functions.lineage import shared_folder
 
     path = shared_folder(t.spark, "sources")
-    # One-line texts, a folder for each, so that every text is a file of its own.
-    t.documents.filter("not contains(text, '\n')").withColumn("k", F.col("doc_id")).select("k", "text").repartition("k").write.partitionBy("k").option("lineSep", "\n").text(path)
+    # A folder for each text, so that every text is a file of its own, with a line feed at its end.
+    t.documents.filter("text is not null").withColumn("k", F.col("doc_id")).select("k", "text").repartition("k").write.partitionBy("k").option("lineSep", "\n").text(path)
     return s.read_sources(t.spark, f"{path}/*/*.txt").agg(F.count("content").alias("files"), (F.sum("size") - F.count("*")).alias("bytes"))
 
 
@@ -92,10 +92,10 @@ def _(t):
 
 
 def asked(t):
-    return t.x4.filter("tok = 3").select("file_id", F.col("begin_off").alias("offset"))
+    return t.x4.select("file_id", F.col("begin_off").alias("offset"))
 
 
-@query("C5_to_position", f"WITH {DOCLINES} SELECT o.file_id, begin_off AS offset, lt.line, begin_off - start AS \"column\" FROM {{x4}} o JOIN lt ON lt.file_id = o.file_id AND lt.line = o.line WHERE tok = 3")
+@query("C5_to_position", f"WITH {DOCLINES} SELECT o.file_id, begin_off AS offset, lt.line, begin_off - start AS \"column\" FROM {{x4}} o JOIN lt ON lt.file_id = o.file_id AND lt.line = o.line")
 def _(t):
     return s.to_position(asked(t), s.line_table(docs(t)))
 
@@ -106,7 +106,7 @@ def _(t):
     return s.to_offset(table.select("file_id", "line", (F.col("line") * 7).alias("column")), table)
 
 
-@query("C7_line_context", f"WITH {DOCLINES} SELECT o.file_id, begin_off AS offset, lt.line, text FROM {{x4}} o JOIN lt ON lt.file_id = o.file_id AND lt.line = o.line WHERE tok = 3")
+@query("C7_line_context", f"WITH {DOCLINES} SELECT o.file_id, begin_off AS offset, lt.line, text FROM {{x4}} o JOIN lt ON lt.file_id = o.file_id AND lt.line = o.line")
 def _(t):
     return s.line_context(asked(t), docs(t))
 
