@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.bounded import few
@@ -227,6 +227,48 @@ def search_symbols(queries: DataFrame, symbols: DataFrame, relations: DataFrame,
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("name", "symbol_id"))).filter(F.col("rank") <= most).select("query", "rank", "symbol_id", "name", "kind")
 
 
+#: Letters of a posting's gram, at most.
+GRAM = 3
+
+
+def grams_of(text: Column, sizes: list[int]) -> Column:
+    """The distinct grams of text of these sizes, in letters, case aside; of size 0 the empty one."""
+    low = F.lower(text)
+    some = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda k: F.substring(low, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[some(n) if n else F.array(F.lit("")) for n in sizes]))
+
+
+def name_postings(symbols: DataFrame) -> DataFrame:
+    """(gram, symbol_id): each gram of up to three letters of each symbol's name, once. Written
+    by gram (clustered.write_clustered), it answers searches for parts of names."""
+    return symbols.filter("name is not null").select(F.explode(grams_of(F.col("name"), [0, 1, 2, 3])).alias("gram"), "symbol_id").distinct()
+
+
+def candidates(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """queries (query) -> (query, symbol_id): symbols of the posting list of each query's rarest
+    gram, of three letters or of all where it has fewer; whatever holds the query is among them.
+    Queries may be many: they meet lists by gram and not every name. A query with a gram that no
+    name has finds nothing; the count of a list is taken only for grams that are asked for."""
+    asked = queries.filter("query is not null").select("query").distinct()
+    long, size = F.length(F.lower("query")), lambda n: grams_of(F.col("query"), [n])
+    own = F.when(long >= GRAM, size(3)).when(long == 2, size(2)).when(long == 1, size(1)).otherwise(size(0))
+    grams = asked.select("query", F.explode(own).alias("gram"))
+    lists = postings.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    met = grams.join(lists, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = met.groupBy("query").agg(F.min(F.struct("n", "gram")).alias("r")).filter("r.n > 0").select("query", F.col("r.gram").alias("gram"))
+    return postings.join(rarest, "gram").select("query", "symbol_id")
+
+
+def search_by_postings(queries: DataFrame, symbols: DataFrame, postings: DataFrame, relations: DataFrame, kinds=SEARCHED, most: int = 100) -> DataFrame:
+    """As search_symbols, for any number of queries, with the postings of the symbols' names."""
+    rows = symbols.filter("name <> ''")
+    if kinds is not None:
+        rows = rows.filter(F.col("kind").isin(*kinds))
+    defined = relations.filter("kind = 'Definition'").select("symbol_id").distinct()
+    found = candidates(queries, postings).join(rows, "symbol_id").filter("contains(lower(name), lower(query))").join(defined, "symbol_id", "left_semi")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("name", "symbol_id"))).filter(F.col("rank") <= most).select("query", "rank", "symbol_id", "name", "kind")
+
+
 def locate_symbols(locators: DataFrame, symbols: DataFrame, places: DataFrame) -> DataFrame:
     """locators (locator, name, path) -> (locator, symbol_id): symbols named so, whole or after
     `::`, case aside; if there are none, those whose name holds it. With a path only those

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from symloom.functions.lineage import shared_folder
 from symloom.operators import search as s
+from symloom.operators.clustered import read_clustered, write_clustered
 
 from .registry import query
 
@@ -179,6 +181,18 @@ def _(t):
     return s.search_symbols(asked(t), symbols(t), rel(t))
 
 
+# Beginnings of names of up to six letters, and nothing at all.
+MANY = "ask AS (SELECT DISTINCT substr(n_name, 1, k) AS query FROM {nation}, range(0, 7) r(k) UNION SELECT 'th')"
+
+
+@query("G18_search_by_postings", f"WITH {SYM}, {MANY} SELECT query, rank, symbol_id, name, kind FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY name, symbol_id) AS rank, symbol_id, name, kind FROM sym JOIN ask ON contains(name, lower(query)) WHERE kind <> 'Header') z WHERE rank <= 100")
+def _(t):
+    names, path = symbols(t), shared_folder(t.spark, "postings")
+    write_clustered(s.name_postings(names), path, "gram")
+    asked = t.nation.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.substring("n_name", F.lit(1), k))).alias("query")).union(t.region.select(F.lit("th"))).distinct()
+    return s.search_by_postings(asked, names, read_clustered(t.spark, path), rel(t))
+
+
 @query("G19_symbol_search", f"WITH {SYM}, {ASKED} SELECT query, rank, symbol_id, name, kind FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY name, symbol_id) AS rank, symbol_id, name, kind FROM sym JOIN ask ON contains(name, query) WHERE kind IN ('Header', 'Macro')) z WHERE rank <= 20")
 def _(t):
     return s.search_symbols(asked(t), symbols(t), rel(t), ("Header", "Macro"), 20)
