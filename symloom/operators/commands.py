@@ -212,3 +212,13 @@ def reconcile_snapshot(old: DataFrame, new: DataFrame, headers: DataFrame) -> Da
     h = headers.join(moved, "host", "left").join(live, "host", "left")
     stale = ~F.col("rules").eqNullSafe(F.col("new_rules")) | F.col("moved").isNotNull() | F.col("live").isNull() | ~F.coalesce("reaches", F.lit(False))
     return entries.union(h.filter(stale).select("file", F.lit("changed").alias("verdict"))).distinct()
+
+
+def owed_rows(recorded: DataFrame, entries: DataFrame, manifests: DataFrame, pending: DataFrame, disk: DataFrame) -> DataFrame:
+    """(file): recorded files (file, hashes: none, as for what is indexed on its own) whose index
+    was dropped and never built again: they have no entry, no manifest and are not queued, so that
+    nothing else would queue them. Those that are gone from disk are owed nothing."""
+    own = recorded.filter("file is not null and (hashes is null or size(hashes) = 0)").select("file").distinct()
+    for other in (entries, manifests, pending):
+        own = own.join(other.select("file").distinct(), "file", "left_anti")
+    return own.join(disk.select("file").distinct(), "file", "left_semi")

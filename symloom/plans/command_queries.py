@@ -137,3 +137,11 @@ def _(t):
     k = F.col("s_suppkey")
     headers = t.supplier.select(k.alias("host"), (-k).alias("file"), (k % 4 == 0).alias("rules"), (k % 8 == 0).alias("new_rules"), (k % 5 != 0).alias("reaches"))
     return c.reconcile_snapshot(old, new, headers)
+
+
+@query("B14_owed_rows", "SELECT c_custkey AS file FROM {customer} WHERE (c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING') AND c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderpriority LIKE '1%' AND o_orderkey % 4 = 0) AND c_nationkey <> 7 AND c_acctbal >= 0")
+def _(t):
+    hashes = F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("c_mktsegment") != "BUILDING", F.array("c_name"))
+    of = lambda rows, key, condition: rows.filter(condition).select(F.col(key).alias("file"))
+    entries, manifests = of(t.orders, "o_custkey", "o_orderstatus = 'P'"), of(t.orders, "o_custkey", "o_orderpriority like '1%' and o_orderkey % 4 = 0")
+    return c.owed_rows(t.customer.select(F.col("c_custkey").alias("file"), hashes.alias("hashes")), entries, manifests, of(t.customer, "c_custkey", "c_nationkey = 7"), of(t.customer, "c_custkey", "c_acctbal >= 0"))

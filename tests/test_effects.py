@@ -1,6 +1,7 @@
 """Literal cases of what file events lead to, and of relations with their mirrors."""
 
 from symloom.operators import change as c
+from symloom.operators import commands
 from symloom.operators import graph as g
 from symloom.operators import ingest as i
 
@@ -79,3 +80,11 @@ def test_roots_far_apart_share_no_word(spark):
     got = g.closure(seeds, spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, None)], ARCS))
     want = {(r, n, (n - s) % 3) for r, s in ((-(1 << 40), 1), (63, 1), (64, 2), (-1, 2)) for n in (1, 2, 3)}
     assert {tuple(r) for r in got.filter("node is not null").collect()} == want
+
+
+def test_owed_rows(spark):
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "file string")
+    recorded = spark.createDataFrame([("a", []), ("b", None), ("b", []), ("c", ["h"]), ("entry", []), ("kept", []), ("queued", []), ("gone", []), (None, [])], "file string, hashes array<string>")
+    got = commands.owed_rows(recorded, files("entry", None), files("kept"), files("queued"), files("a", "b", "c", "entry", "kept", "queued", "b"))
+    assert sorted(r[0] for r in got.collect()) == ["a", "b"]
+    assert commands.owed_rows(recorded.filter("false"), files(), files(), files(), files()).count() == 0
