@@ -345,6 +345,12 @@ def serving_files(files: DataFrame, pending: DataFrame, open_files: DataFrame, i
 QUERY_MOST, NAME_MOST = 63, 127
 #: Scores of a letter: full marks, and what can't be.
 FULL, NEVER = 4, -(1 << 13)
+#: What a letter earns by being found, by agreeing in case or in where it stands, and
+#: by coming right after another or at the start; what it costs to skip the first character or the
+#: head of a segment, and to match inside of a segment: the head of a segment of the query, its
+#: first letter, and a letter after a gap.
+FOUND, ALIKE, NEXT = 1, 1, 2
+SKIP_FIRST, SKIP_HEAD, HEAD_INSIDE, FIRST_INSIDE, GAP_INSIDE = 3, 1, 1, 4, 3
 
 
 def segments(text: str) -> tuple[list[str], set[str]]:
@@ -377,7 +383,7 @@ def fuzzy_score(query: str, name: str) -> float | None:
     role, kinds = segments(n)
     own_role, own_kinds = segments(q)
     single = own_kinds in ({"lower"}, {"upper"})
-    skip = [3 if i == 0 else int(r == "head") for i, r in enumerate(role)]
+    skip = [SKIP_FIRST if i == 0 else SKIP_HEAD * (r == "head") for i, r in enumerate(role)]
     # Best sums over the characters so far whose last one was skipped, or matched.
     skipped, matched = [0], [NEVER]
     for i in range(len(n)):
@@ -393,11 +399,12 @@ def fuzzy_score(query: str, name: str) -> float | None:
             if same[i] != low:
                 continue
             tail = role[i] == "tail"
-            point = 1 + (letter == n[i] or (role[i] == "head" and (single or own_role[k] == "head"))) - (own_role[k] == "head" and tail) - 4 * (k == 0 and tail)
-            run = matched[i] + point + 2
+            point = FOUND + ALIKE * (letter == n[i] or (role[i] == "head" and (single or own_role[k] == "head")))
+            point -= HEAD_INSIDE * (own_role[k] == "head" and tail) + FIRST_INSIDE * (k == 0 and tail)
+            run = matched[i] + point + NEXT
             # Capitals of one word may begin segments of their own, unless all letters are capitals.
             strong = not tail or (n[i] != same[i] and "lower" in kinds)
-            jump = skipped[i] + point + 2 * (i == 0) - 3 * (tail and k > 0) if strong else NEVER
+            jump = skipped[i] + point + NEXT * (i == 0) - GAP_INSIDE * (tail and k > 0) if strong else NEVER
             to_matched[i + 1] = max(run, jump)
         skipped, matched = to_skipped, to_matched
     best = max(skipped[-1], matched[-1])
