@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a piece, about; it ends with a line.
@@ -16,10 +16,14 @@ PIECE = 1 << 18
 #: RAW with its delimiter for a raw string.
 CODE, LINE, BLOCK, STRING, CHAR, RAW = "", "/", "*", '"', "'", "R"
 #: The rest of a line comment and of literals, over backslashes at line ends.
-REST = {LINE: re.compile(r"(?:\\\r?\n|[^\n])*"), STRING: re.compile(r'(?:\\\r?\n|\\.|[^"\\\n])*'), CHAR: re.compile(r"(?:\\\r?\n|\\.|[^'\\\n])*")}
+REST = {LINE: re.compile(r"(?:[^\n\\]++|\\\r?\n|\\)*+"), STRING: re.compile(r'(?:[^"\\\n]++|\\\r?\n|\\.)*+'), CHAR: re.compile(r"(?:[^'\\\n]++|\\\r?\n|\\.)*+")}
 #: Where something other than plain code begins: a header name, a raw string, a number with
 #: quotes, a comment or a literal.
 BEGIN = re.compile(r"""(?m)(?P<header>^[ \t]*\#[ \t]*(?:include|include_next|import|embed)[ \t]*<[^>\n]*>)|(?<!\w)(?:u8|[uUL])?R"(?P<raw>[^\s()\\"]{0,16})\(|(?P<number>(?<![\w.])\.?[0-9](?:'?[\w.])*)|(?P<mark>//|/\*|"|')""")
+#: What is looked for first: without a mark there is no comment and no literal. A header name may
+#: hold one.
+MARK = re.compile(r"""//|/\*|["']""")
+HEADER = re.compile(r"[ \t]*\#[ \t]*(?:include|include_next|import|embed)[ \t]*<[^>\n]*>")
 #: What can end a raw string.
 CLOSING = re.compile(r"""\)([^\s()\\"]{0,16})\"""")
 ESCAPED_END = re.compile(r"\\\r?\n\Z")
@@ -51,15 +55,25 @@ def lexed(text: str, state: str, at: int = 0) -> tuple[str, list[tuple[int, int,
                 return state, found
             at = end + len(state) + 1
         state = CODE
-        m = BEGIN.search(text, at)
+        m = MARK.search(text, at)
         if not m:
             return state, found
+        p = m.start()
+        line = text.rfind("\n", at, p) + 1 or (at if at == 0 or text[at - 1] == "\n" else p)
+        if (header := HEADER.match(text, line)) and header.end() > p:
+            at = header.end()
+            continue
+        mark = m[0]
+        if mark == "'" or (mark == '"' and p > at and text[p - 1] == "R"):
+            # It may belong to a number or a raw string; these have no blanks before their marks.
+            m = BEGIN.search(text, max(at, line if line < p else at, text.rfind(" ", at, p) + 1))
+            mark = m["mark"]
         at = m.end()
-        if (raw := m["raw"]) is not None:
-            state = RAW + raw
-        elif mark := m["mark"]:
+        if mark:
             begin = m.start()
             state = {"//": LINE, "/*": BLOCK}.get(mark, mark)
+        elif (raw := m["raw"]) is not None:
+            state = RAW + raw
 
 
 def ends_of(text: str) -> dict[str, str]:
@@ -89,6 +103,32 @@ def pieces_of(parts: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column("file_id").take(pa.array([k] * n)), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(cuts, pa.int64()), pa.array([text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)])], names=["file_id", "piece", "n_pieces", "start", "text"])
 
 
+def pieces_of_lines(rows: DataFrame, size: int = PIECE) -> DataFrame:
+    """pieces of files that are rows already (file_id, line, start, text): lines whose starts share
+    a stretch are gathered, and never a file."""
+    own = rows.withColumn("at", F.floor(F.col("start") / size))
+    per = Window.partitionBy("file_id")
+    numbers = own.select("file_id", "at").distinct().select("file_id", "at", (F.row_number().over(per.orderBy("at")) - 1).alias("piece"), F.count("*").over(per).cast("int").alias("n_pieces"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    made = own.groupBy("file_id", "at").agg(F.min("start").alias("start"), texts.alias("text")).join(numbers, ["file_id", "at"])
+    return made.select("file_id", "piece", "n_pieces", "start", F.when(F.col("piece") < F.col("n_pieces") - 1, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
+
+
+def whole_comments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, begin, end, kind) of files (file_id, content) of a piece at most; none of others."""
+    for part in parts:
+        of, begins, ends, kinds = [], [], [], []
+        for k, text in enumerate(part.column("content").to_pylist()):
+            if text is None or len(text) > PIECE:
+                continue
+            state, found = lexed(text, CODE)
+            of += [k] * len(found)
+            begins += [begin for begin, _, _ in found]
+            ends += [len(text) if end < 0 else end for _, end, _ in found]
+            kinds += [kind for _, _, kind in found]
+        yield pa.RecordBatch.from_arrays([part.column("file_id").take(pa.array(of, pa.int64())), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.string())], names=["file_id", "begin", "end", "kind"])
+
+
 def transitions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file_id, piece, n_pieces, ends) of pieces."""
     for part in parts:

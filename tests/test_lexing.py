@@ -120,3 +120,45 @@ def test_regions_and_branches_over_stretches(spark, monkeypatch):
     ends = spark.createDataFrame([(1, 90)], "file_id int, last int")
     assert sorted(map(tuple, s.inactive_regions(table, ends).collect())) == [(1, 4, 30), (1, 42, 60), (1, 71, 91)]
     assert sorted(map(tuple, s.condition_folds(table).collect())) == [(1, 30, 41)]
+
+
+def test_marks_within_numbers_headers_and_raw_strings():
+    # What is looked for first is a mark; what it belongs to may begin before it.
+    for text, want in [
+        ("#include <a//b> // c", [(16, 20, "line")]), ("x\n # import <'> /* c */", [(16, 23, "block")]), ("y #include <a//b>", [(13, 17, "line")]),
+        ("1'0'0 // c", [(6, 10, "line")]), ("8'/*' // c", [(6, 10, "line")]), ('u8R"x(" // )x" // c', [(15, 19, "line")]),
+        ('1.R"( // " // c', [(11, 15, "line")]), ('xR"( // " // c', [(10, 14, "line")]), ("a / b * c", []),
+    ]:
+        assert x.lexed(text, "")[1] == want, text
+
+
+def test_comments_of_files_that_are_lines(spark):
+    text = {1: "a // b \\\n c\nd /* e\nf\n*/ g\n\"h // i\"\nx // last", 2: "", 3: "/* never\nclosed", 4: "one // two"}
+    rows = []
+    for k, content in text.items():
+        start = 0
+        for n, line in enumerate(content.split("\n")):
+            rows.append((k, n, start, line))
+            start += len(line) + 1
+    table = spark.createDataFrame(rows, "file_id long, line long, start long, text string")
+    want = sorted((k, b, len(c) if e < 0 else e, kind) for k, c in text.items() for b, e, kind in x.lexed(c, "")[1])
+    assert len(want) == 5
+    for size in (1, 7, 12, 1000):
+        parts = x.pieces_of_lines(table, size)
+        assert sorted(map(tuple, s.comments_of_pieces(parts).collect())) == want, size
+    assert parts.count() == 4 and x.pieces_of_lines(table, 12).filter("file_id = 1").count() > 2
+
+
+def test_a_users_events_are_one_file(spark):
+    import os
+
+    import pytest
+
+    from symloom.plans import ORACLES, QUERIES
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    users = spark.read.parquet(f"{at}/events.parquet").select("user_id").distinct().count()
+    assert QUERIES["C3_scan_comments"](spark, at).count() == users
+    assert all("1024" not in ORACLES[n] for n in ("C1_scan_includes", "C2_scan_modules", "C3_scan_comments"))
