@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions.lineage import cut
 from symloom.functions.ranks import running
 from symloom.sources.logs import event_name, number
 
@@ -20,8 +21,9 @@ def series(perf: DataFrame) -> DataFrame:
 def percentile_rows(values: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """A column for each p of ps: the element at floor(p * (n - 1)) of a group's sorted values.
 
-    Ranks come from a count of each distinct value, so a group's equal values are one row."""
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
+    Ranks come from a count of each distinct value, so a group's equal values are one row. The
+    counts are cut, as they are read twice and values may be costly."""
+    counts = cut(values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_")))
     totals = counts.groupBy(*by).agg(F.sum("n_").alias("all_")).select(*[F.col(c).alias(f"{c}_of") for c in by], "all_")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by], F.lit(True))
     ranked = running(counts, by, [value], "n_", "before_").join(totals, same).withColumn("upto_", F.col("before_") + F.col("n_"))
