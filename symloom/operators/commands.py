@@ -157,26 +157,29 @@ def effective_command(files: DataFrame, entries: DataFrame, matched: DataFrame)
 
 
 def search_dirs(configs: DataFrame) -> DataFrame:
-    """configs (config_id, args) -> (config_id, idx, grp, dir): quoted, angled, system and after
-    directories in that order; -iprefix holds for later -iwithprefixbefore; from the angled
-    group on a directory's first place counts."""
-    flat = configs.select("config_id", F.posexplode("args").alias("pos", "arg"))
-    order = Window.partitionBy("config_id").orderBy("pos")
-    flat = flat.withColumn("prev", F.lag("arg").over(order))
-    prefix = F.last(F.when(F.col("prev") == "-iprefix", F.col("arg")), ignorenulls=True).over(order)
-    flat = flat.withColumn("prefix", prefix)
-    rows = None
-    for g, (grp, flag) in enumerate((("quoted", "-iquote"), ("angled", "-I"), ("system", "-isystem"), ("after", "-idirafter"))):
-        glued = F.when(F.col("arg").startswith(flag) & (F.col("arg") != flag), F.substring("arg", len(flag) + 1, 1 << 20))
-        d = F.when(F.col("prev") == flag, F.col("arg")).otherwise(F.when(~F.coalesce(F.col("prev").isin("-iquote", "-I", "-isystem", "-idirafter", "-iprefix"), F.lit(False)), glued))
+    """configs (config_id, args; a row for each) -> (config_id, idx, grp, dir): quoted, angled,
+    system and after directories in that order; -iprefix holds for later -iwithprefixbefore; from
+    the angled group on a directory's first place counts. A list is read where it lies."""
+    groups = (("quoted", "-iquote"), ("angled", "-I"), ("system", "-isystem"), ("after", "-idirafter"))
+    every = F.sequence(F.lit(0), F.size("args") - 1)
+    at = lambda i: F.get("args", i)
+    own = configs.filter("size(args) > 0").select("config_id", "args", F.filter(every, lambda i: at(i - 1) == "-iprefix").alias("prefixes"))
+
+    def found(g: int, i: Column) -> Column:
+        grp, flag = groups[g]
+        arg, prev = at(i), at(i - 1)
+        glued = F.when(arg.startswith(flag) & (arg != flag), F.substring(arg, len(flag) + 1, 1 << 20))
+        d = F.when(prev == flag, arg).otherwise(F.when(~F.coalesce(prev.isin("-iquote", "-I", "-isystem", "-idirafter", "-iprefix"), F.lit(False)), glued))
         if grp == "angled":
-            d = F.coalesce(d, F.when(F.col("prev") == "-iwithprefixbefore", F.concat(F.coalesce("prefix", F.lit("")), "arg")))
-        part = flat.select("config_id", F.lit(g).alias("g"), F.lit(grp).alias("grp"), "pos", d.alias("dir")).filter("dir is not null")
-        rows = part if rows is None else rows.union(part)
-    once = F.row_number().over(Window.partitionBy("config_id", "dir", F.col("g") > 0).orderBy("g", "pos"))
-    kept = rows.withColumn("n", once).filter("g = 0 or n = 1")
-    idx = F.row_number().over(Window.partitionBy("config_id").orderBy("g", "pos")) - 1
-    return kept.select("config_id", idx.cast("long").alias("idx"), "grp", "dir")
+            prefix = at(F.try_element_at(F.filter("prefixes", lambda j: j <= i), F.lit(-1)))
+            d = F.coalesce(d, F.when(prev == "-iwithprefixbefore", F.concat(F.coalesce(prefix, F.lit("")), arg)))
+        return F.struct(F.lit(grp).alias("grp"), d.alias("dir"))
+
+    named = lambda g: F.filter(F.transform(every, lambda i: found(g, i)), lambda x: x["dir"].isNotNull())
+    listed = own.select("config_id", named(0).alias("quoted"), F.concat(named(1), named(2), named(3)).alias("rest"))
+    first = F.filter("rest", lambda x, k: F.array_position(F.col("rest.dir"), x["dir"]) == k + 1)
+    rows = listed.select("config_id", F.posexplode(F.concat("quoted", first)).alias("idx", "x"))
+    return rows.select("config_id", F.col("idx").cast("long").alias("idx"), "x.grp", "x.dir")
 
 
 def has_entry(files: DataFrame, entries: DataFrame) -> DataFrame:

@@ -98,3 +98,12 @@ def test_rules_are_few(spark, monkeypatch):
     rules = spark.createDataFrame([(k, "*", "-DA", None) for k in range(3)], "rule_ord int, pattern string, append string, remove string")
     with pytest.raises(ValueError):
         c.match_rules(files, rules)
+
+
+def test_search_dirs_move_nothing(spark):
+    args = ["-iwithprefixbefore", "p", "-Ia", "-iprefix", "/x/", "-iquote", "q", "-isystem", "a", "-iwithprefixbefore", "b", "-iquoteq", "-I", "-Ia", "-iprefix", "-Iy", "-iwithprefixbefore", "c", "-idirafter/x/b", "-Ia", "-isystems"]
+    got = c.search_dirs(spark.createDataFrame([(1, args), (2, []), (3, None), (4, ["-I", "a", None])], "config_id long, args array<string>"))
+    want = [("quoted", "q"), ("quoted", "q"), ("angled", "p"), ("angled", "a"), ("angled", "/x/b"), ("angled", "-Ia"), ("angled", "-Iyc"), ("system", "s")]
+    assert sorted(map(tuple, got.collect())) == [(1, k, *x) for k, x in enumerate(want)] + [(4, 0, "angled", "a")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
