@@ -135,8 +135,7 @@ def _(t):
 
 @query("E18_chain_dependents", """WITH RECURSIVE up(header, node) AS (SELECT file_id, file_id FROM {x1} UNION SELECT header, dst FROM up JOIN {x2} ON src = node) SELECT DISTINCT node AS file_id, header FROM up""")
 def _(t):
-    chains = g.closure(t.x1.select(F.col("file_id").alias("root"), F.col("file_id").alias("node")), t.x2).select(F.col("root").alias("header"), "node")
-    return g.chain_dependents(chains, t.x1)
+    return g.chain_dependents(t.x1, t.x2, t.x1)
 
 
 @query("E19_orphaned_choices", """WITH RECURSIVE c AS (SELECT dst AS file_id, src AS host, ord AS occurrence, src % 5 AS hash FROM {x2}),
