@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import occurrences as o
+from symloom.operators import scan
 from symloom.plans import QUERIES, derived
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,30 @@ def test_words_and_relations_are_not_written(spark):
     assert n == derived.table(spark, SF, "x14k").count()
     calls = derived.table(spark, SF, "x14k").filter("kind = 'Callee'")._jdf.queryExecution().executedPlan().toString()
     assert calls.count("MapInArrow") == 1 and "Exchange" not in calls and "Window" not in calls
+
+
+def test_lines_that_hold_places(spark):
+    texts = [(1, "a\u00e9\nb c\n\n"), (2, None), (3, ""), (5, "\U0001f600x"), (6, "unasked\n")]
+    asked = [(1, 0, "p"), (1, 2, "q"), (1, 3, "r"), (1, 3, "r"), (1, 6, "s"), (1, 7, "t"), (1, 8, "u"), (1, 9, "v"), (1, -1, "w"), (1, None, "x"), (2, 0, "y"), (3, 0, "z"), (3, 1, "z"), (4, 0, "A"), (5, 2, "B"), (5, 3, "C"), (None, 0, "D")]
+    got = scan.line_context(spark.createDataFrame(asked, "file_id long, offset long, tag string"), spark.createDataFrame(texts, "file_id long, content string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert got.columns == ["file_id", "offset", "tag", "line", "text"]
+    a, b = (0, "a\u00e9"), (1, "b c")
+    want = [a, a, b, b, b, (2, ""), (3, ""), *[(None, None)] * 4, (0, ""), *[(None, None)] * 2, (0, "\U0001f600x"), *[(None, None)] * 2]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(map(tuple, got.collect())) == order((*x, *y) for x, y in zip(asked, want, strict=True))
+
+
+def test_lines_of_texts_over_many_batches(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"l{k}\n\u00fc{k} x\n" * (k % 4) for k in range(12)]
+    rows = [r for k, text in enumerate(texts) for r in [(k, False, text, None), *[(k, True, None, {"offset": o}) for o in range(len(text) + 2)]]]
+    types = pa.schema([("file_id", pa.int64()), ("asked", pa.bool_()), ("content", pa.string()), ("row", pa.struct([("offset", pa.int64())]))])
+    batch = lambda part: pa.RecordBatch.from_pylist([dict(zip(types.names, r, strict=True)) for r in part], types)
+    spread = lambda out: sorted(((r["file_id"], x["offset"], r["line"], r["text"]) for part in out for r in part.to_pylist() for x in r["rows"]), key=str)
+    want = sorted(((k, o, *((text[:o].count("\n"), text.split("\n")[text[:o].count("\n")]) if o <= len(text) else (None, None))) for k, text in enumerate(texts) for o in range(len(text) + 2)), key=str)
+    assert spread(o.lines_held(iter([batch(rows)]))) == want
+    monkeypatch.setattr(o, "SLICE", 20)
+    assert spread(o.lines_held(batch(rows[k : k + 7]) for k in range(0, len(rows), 7))) == want
