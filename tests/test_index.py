@@ -94,3 +94,14 @@ def test_long_fuzzy_queries(spark):
     odd = s.fuzzy_rank(spark.createDataFrame([("]^",), ("-\\",), ("é",)], "query string"), spark.createDataFrame([("a]^",), ("-x\\",), ("É-é",)], "name string")).collect()
     assert {(r["query"], r["name"]) for r in odd} <= {("]^", "a]^"), ("-\\", "-x\\"), ("é", "É-é")}
     assert {(r["query"], r["name"]) for r in got} == {(name, name), (name, "aBc" * 25), ("ab", name), ("ab", "aBc" * 25)}
+
+
+def test_fresh_masks_are_added_up_once(spark):
+    columns, none = ["file_id", "symbol_id"], spark.createDataFrame([], "file_id long, variant string, number long")
+    rows = spark.createDataFrame([(1, s, f"v{k}") for s in (7, 8) for k in range(3)] + [(1, 7, "v0")], "file_id long, symbol_id long, variant string")
+    known = i.number_variants(none, rows)
+    keep = i.live_masks(rows.filter("variant = 'v0'").select("file_id", "variant"), known)
+    got = i.merge_masks(i.bits(rows.filter("symbol_id = 7"), known, columns), keep, rows.filter("symbol_id = 8"), known, columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("bit_or(") == 6 and "Window" not in plan
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 0, 1), (1, 8, 0, 7)]
