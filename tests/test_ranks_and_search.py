@@ -28,6 +28,17 @@ def test_one_frontier(spark):
     assert reach(1) == {1, 2, 3} and reach(4, 5) == {5} and reach(6) == {6} and reach(10) == set(range(11, 41)) and reach(5) == set()
 
 
+def test_one_step_of_a_hierarchy_writes_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f, rng.randrange(12), rng.choice(["Caller", "Callee", "Reference"]), f, f + 1, rng.choice([None, *range(12)])) for f in range(300)]
+    rel = spark.createDataFrame(rows, "file_id long, symbol_id long, kind string, begin long, end long, target_symbol long")
+    wanted = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 3, 99, None)], "symbol_id long")
+    far = {tuple(r) for r in s.hierarchy(wanted, rel, "Caller", "Callee", 2).filter("depth = 1").collect()}
+    monkeypatch.setattr(g, "cut", None)
+    got = [tuple(r) for r in s.hierarchy(wanted, rel, "Caller", "Callee").collect()]
+    assert len(got) == len(set(got)) and set(got) == far == {(y, k, t, 1) for _, y, k, _, _, t in rows if y < 4 and k != "Reference" and t not in (None, y)}
+
+
 def test_counts_of_places_equal_their_rows(spark):
     rng = random.Random(3)
     occ = [(f, 10 * k, 10 * k + 6, rng.randrange(8)) for f in range(4) for k in range(30)]
