@@ -44,6 +44,17 @@ def test_words_and_relations_are_not_written(spark):
     assert calls.count("MapInArrow") == 1 and "Exchange" not in calls and "Window" not in calls
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_texts_stay_where_kinds_are_not_asked_for(spark):
+    for name in ("F23_index_stats", "F25_shares", "F4_reference_files", "F2_mirror_relations"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" in plan and "firsts" not in plan, name
+    shares = QUERIES["F25_shares"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in shares
+    rows = lambda name: derived.table(spark, SF, name).drop("kind")
+    assert rows("x14n").exceptAll(rows("x14")).isEmpty() and rows("x14").exceptAll(rows("x14n")).isEmpty()
+
+
 def test_lines_that_hold_places(spark):
     texts = [(1, "a\u00e9\nb c\n\n"), (2, None), (3, ""), (5, "\U0001f600x"), (6, "unasked\n")]
     asked = [(1, 0, "p"), (1, 2, "q"), (1, 3, "r"), (1, 3, "r"), (1, 6, "s"), (1, 7, "t"), (1, 8, "u"), (1, 9, "v"), (1, -1, "w"), (1, None, "x"), (2, 0, "y"), (3, 0, "z"), (3, 1, "z"), (4, 0, "A"), (5, 2, "B"), (5, 3, "C"), (None, 0, "D")]
