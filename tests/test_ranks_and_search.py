@@ -39,6 +39,18 @@ def test_one_step_of_a_hierarchy_writes_nothing(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == far == {(y, k, t, 1) for _, y, k, _, _, t in rows if y < 4 and k != "Reference" and t not in (None, y)}
 
 
+def test_places_are_cut_down_before_they_meet_the_wanted(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(9), rng.randrange(20), rng.choice(["Reference", "Definition"]), k, k + 2, rng.randrange(3)) for k in range(400)]
+    rel = spark.createDataFrame(rows, "file_id long, symbol_id long, kind string, begin long, end long, priority int")
+    wanted = spark.createDataFrame([(k,) for k in (1, 2, 2, 7, 99, None)], "symbol_id long")
+    df = s.relation_location(wanted.hint("shuffle_hash"), rel, "Reference")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate [symbol_id") < plan.index("Reference")
+    want = {y: min((p, f, b, e) for f, z, k, b, e, p in rows if z == y and k == "Reference")[1:] for y in (1, 2, 7)}
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == want
+
+
 def test_counts_of_places_equal_their_rows(spark):
     rng = random.Random(3)
     occ = [(f, 10 * k, 10 * k + 6, rng.randrange(8)) for f in range(4) for k in range(30)]
