@@ -105,3 +105,16 @@ def test_fresh_masks_are_added_up_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("bit_or(") == 6 and "Window" not in plan
     assert sorted(map(tuple, got.collect())) == [(1, 7, 0, 1), (1, 8, 0, 7)]
+
+
+def test_old_rows_stay_where_few_variants_are_kept(spark):
+    # What is kept is read back, so that its size is known: the old rows meet it without a shuffle.
+    rows = spark.range(2000).selectExpr("id % 7 AS file_id", "id % 50 AS begin", "id % 3 AS symbol_id", "concat('v', id % 4) AS variant")
+    keep = rows.filter("variant <> 'v1'").select("file_id", "variant")
+    df = i.merge_variants(rows, keep, rows.filter("begin = 0"), ["file_id", "begin", "symbol_id"])
+    assert df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+    want = {}
+    for r in rows.collect():
+        if r["variant"] != "v1" or r["begin"] == 0:
+            want.setdefault((r["file_id"], r["begin"], r["symbol_id"]), set()).add(r["variant"])
+    assert {tuple(r)[:3]: r["variants"] for r in df.collect()} == {k: sorted(v) for k, v in want.items()}
