@@ -44,6 +44,18 @@ def test_words_and_relations_are_not_written(spark):
     assert calls.count("MapInArrow") == 1 and "Exchange" not in calls and "Window" not in calls
 
 
+def test_first_places_of_symbols(spark, monkeypatch):
+    monkeypatch.setattr(o, "SLICE", 60)
+    texts = [(k % 9 - 4, "t", " ".join(f"W{(k * j) % 13}" for j in range(k % 5)) + f" w{k % 3}\nz") for k in range(60)] + [(3, "t", None), (None, "t", "n z"), (-5, "t", "")]
+    own = spark.createDataFrame(texts, "file_id long, tu string, content string").coalesce(3)
+    at = F.min(F.struct("file_id", "begin_off", "len", "name")).alias("x")
+    want = o.occurrences(own).groupBy("symbol_id").agg(at).select("symbol_id", "x.name", "x.file_id", "x.begin_off", "x.len")
+    assert sorted(map(tuple, o.firsts(own).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    batch = own.filter("file_id is not null").toArrow().combine_chunks().to_batches()[0]
+    rows = [len(part) for part in o.first_words(iter([batch]))], [len(set(part.column("symbol_id").to_pylist())) for part in o.words(iter([batch]))]
+    assert sum(rows[1]) <= sum(rows[0]) < sum(len(part) for part in o.words(iter([batch])))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_texts_stay_where_kinds_are_not_asked_for(spark):
     for name in ("F23_index_stats", "F25_shares", "F4_reference_files", "F2_mirror_relations"):
