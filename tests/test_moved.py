@@ -68,3 +68,9 @@ def test_texts_in_many_files_are_not_written(spark, tmp_path):
         got, want = (sorted(map(str, QUERIES[name](spark, at).collect())) for at in (str(tmp_path), SF))
         assert got == want, name
     assert [name for (_, at, name) in derived._written if at == str(tmp_path)] == ["firsts"]
+
+
+@tables
+def test_words_of_totals_stay_unmarked(spark):
+    plan = plan_of(QUERIES["G10_reference_totals"](spark, SF))
+    assert made(plan) == [["begin_off", "file_id", "symbol_id"]] and "collect_list" not in plan
