@@ -74,3 +74,10 @@ def test_texts_in_many_files_are_not_written(spark, tmp_path):
 def test_words_of_totals_stay_unmarked(spark):
     plan = plan_of(QUERIES["G10_reference_totals"](spark, SF))
     assert made(plan) == [["begin_off", "file_id", "symbol_id"]] and "collect_list" not in plan
+
+
+@tables
+def test_rows_are_dealt_out_in_small_tasks(spark):
+    plan = plan_of(QUERIES["F1_canonical_rows"](spark, SF))
+    # Texts by number, rows by file, and sums by unit; no partial aggregate of what doesn't repeat.
+    assert plan.count("Exchange") == 3 and plan.count("REPARTITION_BY_NUM") == plan.count("REPARTITION_BY_COL") == 1
