@@ -81,3 +81,13 @@ def test_rows_are_dealt_out_in_small_tasks(spark):
     plan = plan_of(QUERIES["F1_canonical_rows"](spark, SF))
     # Texts by number, rows by file, and sums by unit; no partial aggregate of what doesn't repeat.
     assert plan.count("Exchange") == 3 and plan.count("REPARTITION_BY_NUM") == plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_symbols_of_rejected_units_are_not_moved(spark):
+    symbols = spark.createDataFrame([("t", 1, "a", "k", "External", 1), ("u", 1, "b", "k", "External", 2), ("u", 2, "c", "k", "FileLocal", 9), ("v", 1, "c", "k", "External", 1)], "tu string, symbol_id long, name string, kind string, scope string, file_id long")
+    files = spark.createDataFrame([(1,), (2,)], "file_id long")
+    for used in (None, symbols.select("tu", "file_id")):
+        got = ingest.merge_symbols(symbols, files, used)
+        assert re.search(r"BroadcastHashJoin \[tu#\d+\], \[tu#\d+\], LeftAnti", plan_of(got))
+        assert [tuple(r) for r in got.collect()] == [(1, "a", "k", 1)]
+    assert ingest.symbol_files(symbols, files).agg(F.count("*")).first()[0] == 1
