@@ -192,11 +192,10 @@ def shares(sizes: DataFrame, comments: DataFrame) -> DataFrame:
 def to_position(offsets: DataFrame, table: DataFrame) -> DataFrame:
     """offsets (file_id, offset) with line and column, null beyond the file. One sort of lines
     and offsets together: each offset takes the last line that starts at or before it."""
-    starts = table.select("file_id", F.col("start").alias("at"), F.lit(0).alias("kind"), "line", "start", "len")
-    asked = offsets.select("file_id", F.col("offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("len"))
+    starts = table.select("file_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("line", "start", "len").alias("own"))
+    asked = offsets.select("file_id", F.col("offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["own"].dataType).alias("own"))
     w = Window.partitionBy("file_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    rows = starts.union(asked).select("file_id", "at", "kind", last("line").alias("line"), last("start").alias("start"), last("len").alias("len")).filter("kind = 1")
+    rows = starts.union(asked).select("file_id", "at", "kind", F.last("own", ignorenulls=True).over(w).alias("own")).filter("kind = 1").select("file_id", "at", "own.*")
     inside = F.col("at") <= F.col("start") + F.col("len")
     return rows.select("file_id", F.col("at").alias("offset"), F.when(inside, F.col("line")).alias("line"), F.when(inside, F.col("at") - F.col("start")).alias("column"))
 

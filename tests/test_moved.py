@@ -76,6 +76,18 @@ def test_words_of_totals_stay_unmarked(spark):
     assert made(plan) == [["begin_off", "file_id", "symbol_id"]] and "collect_list" not in plan
 
 
+@tables
+def test_offsets_need_no_words(spark):
+    assert ["begin_off", "file_id"] in made(plan_of(QUERIES["C5_to_position"](spark, SF)))
+
+
+def test_a_line_is_carried_as_one(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 4, 0)], "file_id long, line long, start long, len long")
+    got = scan.to_position(spark.createDataFrame([(1, 0), (1, 3), (1, 4), (1, 5), (2, 0)], "file_id long, offset long"), lines)
+    assert plan_of(got, "optimizedPlan").count("last(") == 1
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 0, 0), (1, 3, 0, 3), (1, 4, 1, 0), (1, 5, None, None), (2, 0, None, None)]
+
+
 @tables
 def test_rows_are_dealt_out_in_small_tasks(spark):
     plan = plan_of(QUERIES["F1_canonical_rows"](spark, SF))
