@@ -88,6 +88,11 @@ def test_a_line_is_carried_as_one(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 0, 0), (1, 3, 0, 3), (1, 4, 1, 0), (1, 5, None, None), (2, 0, None, None)]
 
 
+@tables
+def test_local_names_are_made_of_what_they_need(spark):
+    assert sorted(made(plan_of(QUERIES["F8_local_names"](spark, SF)))) == [["file_id", "symbol_id"], ["name", "symbol_id", "tu"]]
+
+
 @tables
 def test_rows_are_dealt_out_in_small_tasks(spark):
     plan = plan_of(QUERIES["F1_canonical_rows"](spark, SF))
