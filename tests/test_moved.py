@@ -76,6 +76,11 @@ def test_words_of_totals_stay_unmarked(spark):
     assert made(plan) == [["begin_off", "file_id", "symbol_id"]] and "collect_list" not in plan
 
 
+@tables
+def test_fuzzy_names_are_made_alone(spark):
+    assert made(plan_of(QUERIES["G26_fuzzy_rank"](spark, SF))) == [["name"]]
+
+
 @tables
 def test_offsets_need_no_words(spark):
     assert ["begin_off", "file_id"] in made(plan_of(QUERIES["C5_to_position"](spark, SF)))
