@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symloom.functions.lineage import cut
 from symloom.functions.ranks import running
 
-from .graph import chain_dependents, latest_reaching, reached_from, reversed_, roots
+from .graph import latest_reaching, reached_from, reversed_, roots
 
 
 def sweep_diff(baseline: DataFrame, now: DataFrame, open_files: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def invalidate(events: DataFrame, edges: DataFrame, chains: DataFrame, deps: Dat
     is_open = open_files.select("file_id", F.lit(True).alias("open")).distinct()
     selves = events.filter("kind = 'changed'").select("file_id").distinct().join(is_open, "file_id", "left_anti").select(F.lit("reindex").alias("effect"), "file_id")
     hosts = reached_from(moved, reversed_(edges)).join(roots(edges), "file_id", "left_semi").join(is_open, "file_id", "left").select(F.when(F.col("open"), "recompile").otherwise("reindex").alias("effect"), "file_id")
-    context = chain_dependents(chains, moved).select(F.lit("drop_context").alias("effect"), F.col("header").alias("file_id"))
+    context = chains.select("header", F.col("node").alias("file_id")).join(moved, "file_id", "left_semi").select(F.lit("drop_context").alias("effect"), F.col("header").alias("file_id"))
     rebuilt = moved.union(reached_from(moved, reversed_(deps))).select(F.lit("rebuild_module").alias("effect"), "file_id")
     return own.union(selves).union(hosts).union(context).union(rebuilt).distinct()
 

@@ -25,6 +25,15 @@ def test_changed_content_cascades(spark):
     assert got == {("reset_header_mode", 1), ("reset_trial", 1), ("reindex_content", 1), ("recompile", 10), ("reindex_dependent", 11), ("reindex_dependent", 4), ("force_revalidate", 3), ("reset_header_mode", 3), ("reindex_dependent", 3)}
 
 
+def test_invalidate_follows_hosts_and_modules_but_not_chains(spark):
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    # 10 includes 2, which includes 1; the chain of 3 holds 1 (twice), that of 5 only holds 3.
+    edges, chains = of([(10, 2), (2, 1)], ARCS), of([(3, 1), (3, 1), (5, 3), (6, None)], "header long, node long")
+    out = c.invalidate(of([("changed", 1), ("opened", 7), ("changed", None)], "kind string, file_id long"), edges, chains, of([(4, 1)], ARCS), of([(10,)], "file_id long"))
+    got = sorted(tuple(r) for r in out.filter("file_id is not null").collect())
+    assert got == [("drop_context", 3), ("rebuild_module", 1), ("rebuild_module", 4), ("recompile", 10), ("reindex", 1), ("start_session", 7)]
+
+
 def test_open_file_is_its_buffer(spark):
     edges = [(10, 1)]
     assert effects(spark, [(1, "changed", 1)], edges, opened=[(1, True)]) == {("recompile", 1), ("reindex_content", 1)}
