@@ -92,3 +92,39 @@ def test_lines_of_texts_over_many_batches(monkeypatch):
     assert spread(o.lines_held(iter([batch(rows)]))) == want
     monkeypatch.setattr(o, "SLICE", 20)
     assert spread(o.lines_held(batch(rows[k : k + 7]) for k in range(0, len(rows), 7))) == want
+
+
+def test_lists_of_places_as_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [(1, "t", "a b a\nb c"), (2, "t", None), (3, "t", "c"), (4, "t", " a")]
+    df = spark.createDataFrame(texts, "file_id long, tu string, content string")
+    listed = o.occurrences(df, "symbol_id", "file_id", "begin_off", lists=True)
+    flat = lambda rows: sorted((r["file_id"], b, s) for r in rows for b, s in zip(r["begin_off"], r["symbol_id"], strict=True))
+    assert flat(listed.collect()) == sorted((r["file_id"], r["begin_off"], r["symbol_id"]) for r in o.occurrences(df).collect())
+    asked = listed.select("file_id", F.col("begin_off").alias("offset"), "symbol_id")
+    # One deal, no join and nothing made distinct besides; places that come twice come once.
+    got = scan.line_context(asked.union(asked), df.select("file_id", "content"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    want = [(1, 0, 0, "a b a"), (1, 2, 0, "a b a"), (1, 4, 0, "a b a"), (1, 6, 1, "b c"), (1, 8, 1, "b c"), (3, 0, 0, "c"), (4, 1, 0, " a")]
+    assert sorted((r["file_id"], r["offset"], r["line"], r["text"]) for r in got.collect()) == want
+    # However the rows lie in batches, and however short lists are.
+    types = pa.schema([("file_id", pa.int64()), ("asked", pa.bool_()), ("content", pa.string()), ("offset", pa.list_(pa.int64())), ("tag", pa.list_(pa.string()))])
+    rows = [r for f in range(5) for r in [(f, False, f"x{f}\ny", None, None), *[(f, True, None, [k, 3, k + 1], ["p", None, "p"]) for k in range(3)], (f, True, None, [], [])]]
+    batch = lambda part: pa.RecordBatch.from_pylist([dict(zip(types.names, r, strict=True)) for r in part], types)
+    once = sorted(((f, k, t) for f in range(5) for k, t in [(0, "p"), (1, "p"), (2, "p"), (3, "p"), (3, None)]), key=str)
+    for size, limit in ((99, 1 << 20), (2, 1 << 20), (99, 2)):
+        monkeypatch.setattr(o, "AT_ONCE", limit)
+        out = [r for part in o.unpacked((batch(rows[k : k + size]) for k in range(0, len(rows), size)), once=True) for r in part.to_pylist()]
+        assert sorted(((r["file_id"], r["row"]["offset"], r["row"]["tag"]) for r in out if r["asked"]), key=str) == once
+        assert [r["content"] for r in out if not r["asked"]] == [f"x{f}\ny" for f in range(5)]
+    monkeypatch.setattr(o, "LIST", 2)
+    words = pa.RecordBatch.from_pydict({"file_id": [1, 1, 1, 2, 3, 3], "k": [0, 1, 2, 3, 4, 5]})
+    assert [tuple(r.values()) for r in next(o.runs([words])).to_pylist()] == [(1, [0, 1]), (1, [2]), (2, [3]), (3, [4, 5])]
+
+
+def test_references_of_every_symbol_are_dealt_out_once(spark):
+    # Before: by symbol, by all columns, and by file, with the texts moved to their first places.
+    plan = QUERIES["G10_references_with_context"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "firsts" not in plan
