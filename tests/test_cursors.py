@@ -72,5 +72,6 @@ def test_files_and_symbols_over_many_batches(monkeypatch):
 def test_cursors_meet_texts_once(spark):
     # Before: occurrences as rows of their own, and a sort, a join and an aggregation for each.
     plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan("G1_symbol_at").count("Exchange") == 1 and "Join" not in plan("G1_symbol_at")
     for name in ("G5_definition", "G6_declaration"):
         assert plan(name).count("Exchange") == 2 and "Join" not in plan(name)
